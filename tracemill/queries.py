@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracemill import suite
+from tracemill.plans.lens import Lens
+from tracemill.suite import analyses, catalog, evaluation  # noqa: F401  they register their queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(1)
+    return analyses.flagship(Lens(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: suite.runner(name) for name in suite.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(suite.ORACLES)
