@@ -20,14 +20,14 @@ LEAST_SHARE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: those without letters, and those where no language has half the share."""
     model = langid.train(docs)
-    out = langid.predict(docs, model, keep=docs.columns)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    out = langid.predict(docs, model, keep=docs.columns, prefix="__")
+    return out.where((F.col("__lang_pred") != "und") & (F.col("__score") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go; learned from the labels of those that are here."""
     weights = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, weights, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, weights, keep=docs.columns, prefix="__").where("__predicted = 0").select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -155,9 +155,11 @@ def train(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     return Model(counts.toPandas())
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """``keep`` columns, then lang_pred, score and bits_per_byte for each row; one pass, no shuffle.
 
+    ``prefix`` goes before the three names where ``keep`` has such names too.
+
     score: the share of the best language if all are equally likely beforehand, 2^-length each.
     """
     small_batches(df.sparkSession)
@@ -183,9 +185,9 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(per_byte, pa.float64())], [*out_names])
 
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    out_names = [*keep, "lang_pred", "score", "bits_per_byte"]
+    out_names = [*keep, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits_per_byte"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, lang_pred string, score double, bits_per_byte double")
+    return source.mapInArrow(run, f"{types}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}bits_per_byte` double")
 
 
 def language_query(docs: DataFrame) -> DataFrame:

@@ -110,8 +110,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     return weights
 
 
-def score(df: DataFrame, weights: np.ndarray, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """``keep`` columns, then score and predicted for each row; one pass, no shuffle."""
+def score(df: DataFrame, weights: np.ndarray, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """``keep`` columns, then score and predicted for each row, their names after ``prefix``; one pass, no shuffle."""
     small_batches(df.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     at = np.flatnonzero(weights)
@@ -131,9 +131,9 @@ def score(df: DataFrame, weights: np.ndarray, keep: list[str] | None = None, tex
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names)
 
     source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    names = [*keep, "score", "predicted"]
+    names = [*keep, f"{prefix}score", f"{prefix}predicted"]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, score double, predicted int")
+    return source.mapInArrow(run, f"{types}, `{prefix}score` double, `{prefix}predicted` int")
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
