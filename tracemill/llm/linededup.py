@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,37 +25,37 @@ from .common import small_batches, staged
 WINDOW, DEALT = 3, 16
 
 
+MARK = F.xxhash64
+
+
 def windows(df: DataFrame) -> DataFrame:
     """(doc_id, mark, pos, a, b): mark tells documents of one id apart, a and b are the window's hash."""
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, marks, positions, first, second = [], [], [], [], []
+            rows, positions, first, second = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                if text is None or text.count("\n") < WINDOW - 1:
-                    continue
                 lines = text.encode().split(b"\n")
                 digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x in lines]), np.uint64).reshape(-1, 2)
-                mixed = [np.zeros(len(lines) - WINDOW + 1, np.uint64) for _ in range(2)]
+                n = len(lines) - WINDOW + 1
+                mixed = [np.zeros(n, np.uint64) for _ in range(2)]
                 for k in range(WINDOW):
                     for half, odd in enumerate((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)):
-                        d = digests[k : len(lines) - WINDOW + 1 + k, half]
-                        m = (mixed[half] ^ d) * np.uint64(odd)
+                        m = (mixed[half] ^ digests[k : n + k, half]) * np.uint64(odd)
                         mixed[half] = m ^ (m >> np.uint64(29))
-                n = len(mixed[0])
                 rows.append(np.full(n, i))
-                marks.append(np.full(n, xxhash.xxh3_64_intdigest(text), np.uint64))
                 positions.append(np.arange(n, dtype=np.int32))
                 first.append(mixed[0])
                 second.append(mixed[1])
             if rows:
-                whole = [np.concatenate(x) for x in (marks, positions, first, second)]
-                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(whole[0].view(np.int64)), pa.array(whole[1]), pa.array(whole[2].view(np.int64)), pa.array(whole[3].view(np.int64))], ["doc_id", "mark", "pos", "a", "b"])
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(np.concatenate(positions)), pa.array(np.concatenate(first).view(np.int64)), pa.array(np.concatenate(second).view(np.int64))], ["doc_id", "mark", "pos", "a", "b"])
 
     key = dict(df.dtypes)["doc_id"]
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, mark long, pos int, a long, b long")
+    long_enough = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) >= WINDOW - 1
+    rows = df.select("doc_id", "text", MARK("text").alias("mark")).where(long_enough)
+    return rows.mapInArrow(run, f"doc_id {key}, mark long, pos int, a long, b long")
 
 
 def covered(df: DataFrame) -> DataFrame:
@@ -72,40 +73,34 @@ def covered(df: DataFrame) -> DataFrame:
 def dedup_lines(df: DataFrame) -> DataFrame:
     """All columns of ``df`` with the text's later lines removed, and __lines and __removed, their numbers."""
     small_batches(df.sparkSession)
-    starts = covered(df)
-    marked = df.select(*[F.col(c) for c in df.columns], F.col("doc_id").alias("__id"))
-    starts = starts.select(F.col("doc_id").alias("__key"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
+    starts = covered(df).select(F.col("doc_id").alias("__key"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
     names, texts = list(df.columns), df.columns.index("text")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks = [None if t is None else xxhash.xxh3_64_intdigest(t) for t in batch.column(texts).to_pylist()]
-            made = np.array([m or 0 for m in marks], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made)], [*names, "__mark"])
+    def without(text: str, at: list[int]) -> tuple[str, int]:
+        lines = text.split("\n")
+        cover = np.zeros(len(lines) + 1, np.int32)
+        cover[at] = 1
+        ends = np.zeros(len(lines) + 1, np.int32)
+        np.add.at(ends, np.minimum(np.array(at) + WINDOW, len(lines)), 1)
+        stay = np.cumsum(cover - ends)[:-1] == 0
+        return "\n".join([x for x, ok in zip(lines, stay.tolist(), strict=True) if ok]), len(lines) - int(stay.sum())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, counts, gone = [], [], []
-            for text, at in zip(batch.column(texts).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                lines = [] if text is None else text.split("\n")
-                counts.append(len(lines))
-                if not at:
-                    out.append(text)
-                    gone.append(0)
-                    continue
-                cover = np.zeros(len(lines) + 1, np.int32)
-                np.add.at(cover, np.array(at), 1)
-                np.add.at(cover, np.array(at) + WINDOW, -1)
-                stay = np.cumsum(cover)[:-1] == 0
-                out.append("\n".join([x for x, ok in zip(lines, stay.tolist(), strict=True) if ok]))
-                gone.append(int(len(lines) - stay.sum()))
-            columns = list(batch.columns[:-1])
-            columns[texts] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], [*names, "__lines", "__removed"])
+            columns, starts = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
+            had = pc.add(pc.count_substring(columns[texts], "\n"), 1).fill_null(0).cast(pa.int32())
+            hit = starts.is_valid()
+            gone = np.zeros(batch.num_rows, np.int32)
+            at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+            if len(at):
+                pick = pa.array(at)
+                made = [without(t, s) for t, s in zip(columns[texts].take(pick).to_pylist(), starts.take(pick).to_pylist(), strict=True)]
+                columns[texts] = pc.replace_with_mask(columns[texts], hit, pa.array([m[0] for m in made], columns[texts].type))
+                gone[at] = [m[1] for m in made]
+            yield pa.RecordBatch.from_arrays([*columns, had, pa.array(gone)], [*names, "__lines", "__removed"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    marked = marked.mapInArrow(mark, f"{types}, __mark long")
-    joined = marked.join(starts, F.col("doc_id").eqNullSafe(F.col("__key")) & (marked["__mark"] == starts["__mark"]), "left").select(*[F.col(c) for c in df.columns], "__starts")
+    joined = df.join(starts, F.col("doc_id").eqNullSafe(F.col("__key")) & (MARK("text") == F.col("__mark")), "left").select(*[F.col(c) for c in names], "__starts")
     return joined.mapInArrow(remove, f"{types}, __lines int, __removed int")
 
 
