@@ -52,7 +52,7 @@ def verified_files(spark: SparkSession, path: str, pinned: DataFrame) -> DataFra
 
 def trace_of_request(spans: DataFrame, request_key: str, requests: DataFrame, excluded: list[str]) -> DataFrame:
     """The first trace whose root carries each request's id in an attribute; requests: request_id, from_time, to_time."""
-    roots = spans.where(F.col("parent_id").isNull() & ~F.lower(F.trim("name")).isin([e.lower() for e in excluded]))
+    roots = spans.where(F.col("parent_id").isNull() & ~F.lower(F.trim("name")).isin([e.strip().lower() for e in excluded]))
     roots = roots.select("trace_id", "start_time", F.try_element_at("attributes", F.lit(request_key)).alias("request_id"))
     met = roots.join(requests, "request_id").where((F.col("start_time") >= F.col("from_time")) & (F.col("start_time") < F.col("to_time")))
     return met.groupBy("request_id").agg(F.min(F.struct("start_time", "trace_id"))["trace_id"].alias("trace_id"))
