@@ -7,8 +7,8 @@ bands; documents that share a band are candidates, and candidates are linked if
 
 Equal sets are one class from the start, and only classes are compared. Inside a bucket no list of all pairs is made:
 each member meets a few centres, links are joined to components, and what is left of the bucket (members of different
-components that have not met) meets further centres, round after round, until nothing is left; each round's work is
-bounded by ``CENTRES`` times the rows, and no pair between components is dropped.
+components that have not met) meets further centres, round after round, until nothing is left; a round's
+work is bounded by its centres times the rows, and no pair between components is dropped.
 
 Edge cases: null and empty texts, and those of white space, have no shingles and are linked with nothing; texts of fewer
 than five words have one; rows with a null id take no part (component null, kept); rows that repeat an id and text are
@@ -29,8 +29,9 @@ from .common import drop_staged, mix64, small_batches, staged
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 30, 4
-#: Centres that a bucket's members meet in a round after the first; places that large classes are dealt out to.
-CENTRES, DEALT = 16, 16
+#: Centres that a bucket's members meet in the second round, eight times as many in each later one, up to the most;
+#: places that large classes are dealt out to.
+CENTRES, MOST_CENTRES, DEALT = 16, 8192, 16
 MAX_WORDS = 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -154,51 +155,58 @@ def components(edges: DataFrame) -> DataFrame:
     to their minimum and joined back, never listed.
     """
     now = staged(edges.where("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        facts = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if facts == before or not facts["n"]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = facts
+    while not _is_stars(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         new = staged(small, "edges")
         drop_staged(now)
         now = new
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent, and no parent is a child."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child")).union(edges.select(F.col("v").alias("node"), F.lit(0).alias("child")))
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.min("child").alias("low")).where("c > 1 or c = 1 and low = 0").isEmpty()
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(node, root) of the classes that are linked with others; None if none is. classes: (node, n, keys)."""
-    rows = classes.select("node", "n", F.explode("keys").alias("key"))
+    brief = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
+    rows = classes.select("node", "n", brief, F.posexplode("keys").alias("band", "key"))
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = staged(rows.join(full, "key").distinct(), "members")
+    members = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "members")
     sets = staged(full_sets(docs, members.select("node").distinct()), "sets")
     edges: DataFrame | None = None
     roots: DataFrame | None = None
-    active = members
+    active, centres_each = members, CENTRES
     while True:
         if roots is None:  # the first round: every member meets its bucket's smallest
             now = active.withColumn("root", F.col("node"))
-            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("c"))
+            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root", "brief")).alias("c"))
+            fresh = F.lit(True)
         else:
             now = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             # a pair between components has a member outside the bucket's largest one: those are the centres
             parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.root").alias("main"))
             left = active
-            active = staged(now.join(main, "key").select("key", "node", "n", "root", "main"), "active")
+            active = staged(now.join(main, "key").select("key", "band", "node", "n", "brief", "root", "main"), "active")
             if left is not members:
                 drop_staged(left)
             if active.isEmpty():
                 break
             now = active.drop("main")
-            outside = active.where("root <> main").withColumn("place", F.pmod(F.xxhash64("node", "key"), F.lit(CENTRES)))
-            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root")).alias("c"))
-        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.root").alias("cr")), "centres")
-        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(F.least("n", "cs") * 100 >= F.greatest("n", "cs") * PERCENT)
+            outside = active.where("root <> main").withColumn("place", F.pmod(F.xxhash64("node", "key"), F.lit(centres_each)))
+            centres_each = min(centres_each * 8, MOST_CENTRES)
+            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root", "brief")).alias("c"))
+            # a pair that shares several bands meets in the first of them only
+            fresh = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("brief", 1, F.greatest("band", F.lit(1))), F.slice("cb", 1, F.greatest("band", F.lit(1))))
+        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb")), "centres")
+        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(F.least("n", "cs") * 100 >= F.greatest("n", "cs") * PERCENT).where(fresh)
         pairs = meets.select(F.least("node", "cn").alias("x"), F.greatest("node", "cn").alias("y")).distinct()
         found = staged(confirmed(pairs, sets), "links")
         edges = found if edges is None else edges.union(found)
@@ -206,7 +214,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             roots = components(edges)
             edges = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
         left = active
-        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "node", "n"), "left")
+        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "band", "node", "n", "brief"), "left")
         if left is not members:
             drop_staged(left)
         drop_staged(centres)
