@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, staged
 
 #: Rows in a shard, about, and in a block of queries; shards at least; rows in a leaf.
-SHARD, BLOCK, LEAST_SHARDS, LEAF = 16384, 1024, 12, 128
+SHARD, BLOCK, LEAST_SHARDS, LEAF = 16384, 8192, 12, 128
 SLACK = 1e-9
 
 
@@ -34,12 +34,21 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        self.squares = squares(self.vectors)
-        self.unit = self.vectors / np.sqrt(self.squares)[:, None]
+        self._hold(ids[order], vectors[order])
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
 
+    def _hold(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors, self.squares = ids, vectors, squares(vectors)
+        self.unit = vectors / np.sqrt(self.squares)[:, None]
+
+    def __getstate__(self) -> tuple:
+        return self.ids, self.vectors, self.nodes, self.root
+
+    def __setstate__(self, state: tuple) -> None:
+        self._hold(*state[:2])
+        self.nodes, self.root = state[2:]
+
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         if len(rows) <= LEAF:
