@@ -5,8 +5,9 @@ shifted circularly by k, gives the k-th coordinate: two permutations make the wh
 bands; documents that share a band are candidates, and candidates are linked if their full shingle sets have
 100 * intersection >= 75 * union. With 30 bands of 4 rows a pair at exactly 0.75 is missed with probability 1.2e-5.
 
-Equal sets are one class from the start, and only classes are compared. Inside a bucket no list of all pairs is made:
-each member meets a few centres, links are joined to components, and what is left of the bucket (members of different
+Equal sets are one class from the start, and only classes are compared. Shingles that no other candidate has bound
+what a document can share, and a pair whose bounds forbid a link is not compared. Inside a bucket no list of all pairs is
+made: each member meets a few centres, links are joined to components, and what is left of the bucket (members of different
 components that have not met) meets further centres, round after round, until nothing is left; a round's
 work is bounded by its centres times the rows, and no pair between components is dropped.
 
@@ -29,9 +30,9 @@ from .common import drop_staged, mix64, small_batches, staged
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 30, 4
-#: Centres that a bucket's members meet in the second round, eight times as many in each later one, up to the most;
+#: Centres that a bucket's members meet in the second round, 32 times as many in each later one, up to the most;
 #: places that large classes are dealt out to.
-CENTRES, MOST_CENTRES, DEALT = 16, 8192, 16
+CENTRES, MOST_CENTRES, DEALT = 128, 1 << 16, 16
 MAX_WORDS = 400_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
@@ -173,20 +174,25 @@ def _is_stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("child").alias("c"), F.min("child").alias("low")).where("c > 1 or c = 1 and low = 0").isEmpty()
 
 
-def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(node, root) of the classes that are linked with others; None if none is. classes: (node, n, keys)."""
-    brief = F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief")
-    rows = classes.select("node", "n", brief, F.posexplode("keys").alias("band", "key"))
+def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, root) of the classes that are linked with others, roots aside. classes: (node, keys)."""
+    rows = classes.select("node", F.posexplode("keys").alias("band", "key"))
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "members")
+    members = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "buckets")
     sets = staged(full_sets(docs, members.select("node").distinct()), "sets")
+    # shingles that only one candidate has are in no intersection: they bound each document's similarity to any other
+    alone = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    facts = sets.select("node", F.size("s").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("shared")).where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    brief = classes.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
+    buckets, members = members, staged(members.join(facts.join(brief.dropDuplicates(["node"]), "node"), "node"), "members")
+    drop_staged(buckets)
     edges: DataFrame | None = None
     roots: DataFrame | None = None
     active, centres_each = members, CENTRES
     while True:
         if roots is None:  # the first round: every member meets its bucket's smallest
             now = active.withColumn("root", F.col("node"))
-            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root", "brief")).alias("c"))
+            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "shared", "root", "brief")).alias("c"))
             fresh = F.lit(True)
         else:
             now = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -194,19 +200,20 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.root").alias("main"))
             left = active
-            active = staged(now.join(main, "key").select("key", "band", "node", "n", "brief", "root", "main"), "active")
+            active = staged(now.join(main, "key").select("key", "band", "node", "n", "shared", "brief", "root", "main"), "active")
             if left is not members:
                 drop_staged(left)
             if active.isEmpty():
                 break
             now = active.drop("main")
             outside = active.where("root <> main").withColumn("place", F.pmod(F.xxhash64("node", "key"), F.lit(centres_each)))
-            centres_each = min(centres_each * 8, MOST_CENTRES)
-            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root", "brief")).alias("c"))
+            centres_each = min(centres_each * 32, MOST_CENTRES)
+            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "shared", "root", "brief")).alias("c"))
             # a pair that shares several bands meets in the first of them only
             fresh = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("brief", 1, F.greatest("band", F.lit(1))), F.slice("cb", 1, F.greatest("band", F.lit(1))))
-        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb")), "centres")
-        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(F.least("n", "cs") * 100 >= F.greatest("n", "cs") * PERCENT).where(fresh)
+        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("size"), F.col("c.shared").alias("cs"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb")), "centres")
+        common = F.least("shared", "cs")
+        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(common * 100 >= (F.col("n") + F.col("size") - common) * PERCENT).where(fresh)
         pairs = meets.select(F.least("node", "cn").alias("x"), F.greatest("node", "cn").alias("y")).distinct()
         found = staged(confirmed(pairs, sets), "links")
         edges = found if edges is None else edges.union(found)
@@ -214,7 +221,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
             roots = components(edges)
             edges = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
         left = active
-        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "band", "node", "n", "brief"), "left")
+        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "band", "node", "n", "shared", "brief"), "left")
         if left is not members:
             drop_staged(left)
         drop_staged(centres)
@@ -228,7 +235,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = staged(signed(docs), "signed")
     some = found.where("n > 0 and doc_id is not null")
     classes = staged(some.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("top"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    roots = linked(docs, classes.select("node", "n", "keys"))
+    roots = linked(docs, classes.select("node", "keys"))
     several = classes.where("top > node").select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("class_root"))
     # a class may be a large part of all rows: its rows are dealt out to DEALT places, its root to each of them
     several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
