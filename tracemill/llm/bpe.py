@@ -357,15 +357,24 @@ class Codec:
         self.whole = ranks if whole_pieces else {}
         self.utf8 = Utf8Machine(self.merges.bytes_of.__getitem__)
         self.clean = {r: t for r, t in self.merges.bytes_of.items() if _is_utf8(t)}
+        # two generations of each: what is used again is carried over, the rest goes with the older one
         self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.older_chunks: dict[str, bytes] = {}
         self.digits = {r: str(r) for r in ranks.values()}
 
     def learn(self, pieces: set[str]) -> None:
         """Encode pieces that aren't remembered."""
         if len(self.pieces) > MAX_CHUNKS:
-            self.pieces.clear()
-        todo = [p for p in pieces if p not in self.pieces]
+            self.older_pieces, self.pieces = self.pieces, {}
+        todo = []
+        for p in pieces.difference(self.pieces):
+            ids = self.older_pieces.get(p)
+            if ids is None:
+                todo.append(p)
+            else:
+                self.pieces[p] = ids
         raw = [p.encode() for p in todo]
         for p, r, ids in zip(todo, raw, self.machine.encode_many([b"" if r in self.whole else r for r in raw]), strict=True):
             self.pieces[p] = ids or np.uint32(self.whole[r]).tobytes()
@@ -374,18 +383,22 @@ class Codec:
         """The ids of each text."""
         split, lacking, odd = [], set(), {}
         if len(self.chunks) > MAX_CHUNKS:
-            self.chunks.clear()
-        known = self.chunks
+            self.older_chunks, self.chunks = self.chunks, {}
+        known, older = self.chunks, self.older_chunks
         for n, text in enumerate(texts):
             head, *rest = text.split(" ")
             new = [p for p in rest if p not in known]
-            if any(not p or p[0].isspace() for p in new):
+            if "" in new or any(map(str.isspace, [p[0] for p in new])):
                 odd[n] = self.segments(head, rest)
                 split.append(None)
                 continue
             lacking.update(new)
             split.append((head, rest))
-        lacking = list(lacking)
+        for p in lacking:
+            ids = older.get(p)
+            if ids is not None:
+                known[p] = ids
+        lacking = list(lacking.difference(known))
         found = self.find(" " + " ".join(lacking)) if lacking else []  # each chunk's first piece begins with its space
         heads = {n: self.find(s[0]) for n, s in enumerate(split) if s and s[0]}
         odd = {n: [p for s in segments for p in self.find(s)] for n, segments in odd.items()}
