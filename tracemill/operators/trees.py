@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def walked(spark: SparkSession, spans: DataFrame, levels: int = 100, rows: int = 1_000_000_000) -> DataFrame:
+def walked(spark: SparkSession, spans: DataFrame, levels: int = 100) -> DataFrame:
     """Every span reachable from a root: (trace_id, span_id, depth, root, top, path).
 
     top is the ancestor right below the root (null for the root itself); path orders spans depth first, siblings by
     (start, end, type, id). A recursive query; ``levels`` bounds the depth.
     """
     sibling = F.row_number().over(Window.partitionBy("trace_id", "parent_id").orderBy("start_us", "end_us", "span_type", "span_id"))
-    spans.select("trace_id", "span_id", "parent_id", F.lpad(sibling.cast("string"), 8, "0").alias("ordinal")).createOrReplaceTempView("__walk_spans")
+    spans.select("trace_id", "span_id", "parent_id", F.lpad(sibling.cast("string"), 8, "0").alias("ordinal")).createOrReplaceTempView(view := f"walk_{uuid.uuid4().hex}")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the number of spans isn't bounded
     return spark.sql(
         f"""WITH RECURSIVE w(trace_id, span_id, depth, root, top, path) MAX RECURSION LEVEL {levels} AS (
-        SELECT trace_id, span_id, 0, span_id, CAST(NULL AS BIGINT), ordinal FROM __walk_spans WHERE parent_id IS NULL
+        SELECT trace_id, span_id, 0, span_id, CAST(NULL AS BIGINT), ordinal FROM {view} WHERE parent_id IS NULL
         UNION ALL
         SELECT s.trace_id, s.span_id, w.depth + 1, w.root, coalesce(w.top, s.span_id), concat(w.path, '.', s.ordinal)
-        FROM w JOIN __walk_spans s ON s.trace_id = w.trace_id AND s.parent_id = w.span_id)
+        FROM w JOIN {view} s ON s.trace_id = w.trace_id AND s.parent_id = w.span_id)
         SELECT * FROM w"""
     )

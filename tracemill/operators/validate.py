@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -22,19 +23,25 @@ def span_violations(spans: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, rules)
 
 
-def cycles(spans: DataFrame, rounds: int = 6) -> DataFrame:
-    """Spans that don't reach a root within 2^rounds steps up; the way up is doubled each round.
+def cycles(spans: DataFrame, levels: int = 100) -> DataFrame:
+    """Spans that no walk down from a root reaches; ``levels`` bounds the depth, deeper traces raise an error.
 
     A span whose parent is missing counts as a root here; that is a rule of its own.
     """
+    spark = spans.sparkSession
     up = spans.select("trace_id", "span_id", F.col("parent_id").alias("up")).distinct()
     ids = up.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s")).distinct()
     known = up.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("s")), "left").select("trace_id", "span_id", F.col("s").alias("up"))
-    left = known
-    for _ in range(rounds):
-        higher = left.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("up").alias("next"))
-        left = left.join(higher, (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("s")), "left").select("trace_id", "span_id", F.col("next").alias("up"))
-    return left.where("up is not null").select("trace_id", "span_id")
+    view = f"walk_{uuid.uuid4().hex}"
+    known.createOrReplaceTempView(view)
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    reached = spark.sql(
+        f"""WITH RECURSIVE r(trace_id, span_id) MAX RECURSION LEVEL {levels} AS (
+        SELECT trace_id, span_id FROM {view} WHERE up IS NULL
+        UNION ALL SELECT v.trace_id, v.span_id FROM r JOIN {view} v ON v.trace_id = r.trace_id AND v.up = r.span_id)
+        SELECT * FROM r"""
+    )
+    return known.select("trace_id", "span_id").distinct().join(reached, ["trace_id", "span_id"], "left_anti")
 
 
 def plan_violations(plans: DataFrame) -> DataFrame:
