@@ -28,7 +28,7 @@ from .common import small_batches
 
 #: Transitions kept before the lazy automaton is dropped and begun anew; remembered chunks likewise.
 MAX_TRANSITIONS = 400_000
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 80_000
 MAX_PAIRS = 600_000
 #: Bits of the table of neighbours; pieces of up to so many bytes are encoded together.
 TABLE_BITS, LONGEST_TOGETHER = 21, 48

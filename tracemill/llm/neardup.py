@@ -33,7 +33,7 @@ BANDS, ROWS = 30, 4
 #: Centres that a bucket's members meet in the second round, 32 times as many in each later one, up to the most;
 #: places that large classes are dealt out to.
 CENTRES, MOST_CENTRES, DEALT = 128, 1 << 16, 16
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 

@@ -28,7 +28,7 @@ BITS = 18
 SAMPLE, PASSES, ALPHA, BETA, L1, L2, POSITIVE = 16000, 4, 2.0, 1.0, 8.0, 1.0, 1.0
 THRESHOLD = 0.7
 #: Words whose hashes a worker remembers.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 WORDS = regex.compile(r"[\p{L}\p{N}']+")
 
 
