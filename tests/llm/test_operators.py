@@ -265,6 +265,20 @@ def test_nearest(spark):
     assert ann.nearest_query(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")).count() == 1
 
 
+@pytest.mark.parametrize("width", [8, 16, 64])
+def test_many_equal_vectors(width):
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        v = rng.normal(size=(4500, width)).astype(np.float32).astype(float)
+        equal = rng.permutation(4500)[:1500]
+        v[equal] = v[equal[0]]
+        asked = equal[:90]
+        got, _ = ann.Tree(np.arange(4500), v).search(asked, v[asked], 5)
+        s = ann.cosines(v[asked], ann.squares(v[asked]), v, ann.squares(v))
+        s[np.arange(90), asked] = -np.inf
+        assert got.tolist() == [np.lexsort((np.arange(4500), -x))[:5].tolist() for x in s]
+
+
 def test_relaxed_search_recalls():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(2000, 6))

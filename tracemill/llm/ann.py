@@ -26,7 +26,12 @@ from .common import small_batches, staged
 
 #: Rows in a shard, about, and in a block of queries; shards at least; rows in a leaf.
 SHARD, BLOCK, LEAST_SHARDS, LEAF = 16384, 8192, 12, 128
-SLACK = 1e-9
+
+
+def slack(width: int) -> float:
+    """What rounding can add to a gap and take from a reach. A product of unit vectors is off by up to (2 * width + 8) half
+    units in the last place; its distance, a square root, by the root of twice that near zero; three distances are compared."""
+    return 3 * float(np.sqrt(2 * (2 * width + 8) * 2.0**-53))
 
 
 class Tree:
@@ -72,7 +77,7 @@ class Tree:
         self.q_unit = queries / np.sqrt(self.q_squares)[:, None]
         self.best_ids = np.full((len(ids), k), -1, np.int64)
         self.best = np.full((len(ids), k), -np.inf)
-        self.k, self.factor = k, factor
+        self.k, self.factor, self.slack = k, factor, slack(queries.shape[1])
         if len(ids) and len(self.ids):
             self._visit(self.root, np.arange(len(ids)))
         return self.best_ids, self.best
@@ -94,7 +99,7 @@ class Tree:
             for child, own in ((inside, near), (outside, ~near)):
                 mine = own if first else ~own
                 gap = d - low if child == inside else high - d
-                go = mine & (gap <= self.factor * self._reach(rows) + SLACK)
+                go = mine & (gap <= self.factor * self._reach(rows) + self.slack)
                 if go.any():
                     self._visit(child, rows[go])
 
