@@ -324,6 +324,22 @@ def test_packing_ids(spark):
     assert [x.tolist() for x in ours.encode_many(texts)] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    parts = ["", " ", "  ", "\n", "a", " b", "c ", "é  ", "don't", "<|endoftext", "|>", "中文"]
+    rng = random.Random(7)
+    texts = [f"a {end} b", end, end * 2, *("".join(rng.choice([*parts, end]) for _ in range(rng.randrange(9))) for _ in range(300)), *[t or "" for t in ODD]]
+    theirs = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ours = packing.json_codec(path, P.PATTERN)
+    assert [x.tolist() for x in ours.encode_many(texts)] == theirs
+    assert [ours.encode(t).tolist() for t in texts] == theirs
+    out = {r["doc_id"]: r for r in packing.packed(documents(spark, texts[:3]), path, P.PATTERN).where("start = 0").collect()}
+    assert [out[i]["doc_tokens"] for i in range(3)] == [len(ids) + 1 for ids in theirs[:3]]
+
+
 def test_packing(spark):
     texts = [*ODD, *[r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet'").fetchall()], *["same words here"] * 500]
     path = P.path("byte_bpe_50k.json")

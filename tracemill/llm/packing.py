@@ -12,13 +12,14 @@ before, so that one frequent length doesn't meet in one task.
 
 Sequence ids: full windows have 2^62 + partition * 2^38 + a running number; the others count from 0.
 
-Edge cases: null and empty texts are the end id alone; repeated rows are packed each; ids of special tokens' strings are
-those of ordinary text; a null id is carried along.
+Edge cases: null and empty texts are the end id alone; repeated rows are packed each; strings of the file's added tokens
+are found in texts before anything else and have these tokens' ids; a null id is carried along.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,14 +43,41 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-_codecs: dict[str, Codec] = {}
+class AddedCodec(Codec):
+    """A codec for texts that may hold added tokens: they are cut out first, leftmost and longest, and the parts between
+    them are encoded each by itself."""
 
+    def __init__(self, added: dict[str, int], *args, **kwargs):
+        super().__init__(*args, **kwargs)
+        self.added = {t: np.array([i], np.uint32) for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
-def json_codec(path: str, pattern: str) -> Codec:
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [self.cut(t) if any(a in t for a in self.added) else [t] for t in texts]
+        made = iter(super().encode_many([p for ps in parts for p in ps[::2]]))  # the odd ones are added tokens
+        return [next(made) if len(ps) == 1 else np.concatenate([self.added[p] if i % 2 else next(made) for i, p in enumerate(ps)]) for ps in parts]
+
+
+_codecs: dict[str, AddedCodec] = {}
+
+
+def added_tokens(file: dict) -> dict[str, int]:
+    """Strings and ids of the file's added tokens. Only such as match anywhere and as they stand are known."""
+    tokens = file.get("added_tokens") or []
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")) or file.get("normalizer"):
+        raise ValueError("added tokens that match by their surroundings, and normalizers, are not supported")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
+
+
+def json_codec(path: str, pattern: str) -> AddedCodec:
     """The codec of a byte-level BPE file of the tokenizers library, made once in each Python worker."""
     if path not in _codecs:
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
         letters = byte_letters()
         vocab = model["vocab"]
         ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if all(c in letters for c in t)}
@@ -60,7 +88,7 @@ def json_codec(path: str, pattern: str) -> Codec:
             if merged <= before:
                 raise ValueError("merges must be in the order of the ids they make")
             before = pairs[vocab[a], vocab[b]] = merged
-        _codecs[path] = Codec(ranks, pattern, pairs, whole_pieces=bool(model.get("ignore_merges")))
+        _codecs[path] = AddedCodec(added_tokens(file), ranks, pattern, pairs, whole_pieces=bool(model.get("ignore_merges")))
     return _codecs[path]
 
 
