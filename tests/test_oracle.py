@@ -46,3 +46,10 @@ def test_degraded(spark):
     found = queries()["r06_degraded"](spark, DATA).toPandas()
     assert not found.duplicated(["q", "i"]).any()
     assert 0.25 < found["swapped"].mean() < 0.55
+
+
+@pytest.mark.skipif(not TABLES, reason="no tables")
+@pytest.mark.parametrize("name, key, ids", [("c10_flatten_all", "event_id", "SELECT event_id FROM events"), ("b17_report_all", "run_id", "SELECT o_orderkey FROM orders"), ("a19_truths_of_all", "item_id", "SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")])
+def test_whole_tables(spark, duck, name, key, ids):
+    found = queries()[name](spark, DATA).select(key).collect()
+    assert sorted(r[0] for r in found) == sorted(r[0] for r in duck.execute(ids).fetchall())

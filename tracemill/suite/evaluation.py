@@ -56,10 +56,19 @@ def _(t: Lens) -> DataFrame:
 
 @query("c10_flatten", "SELECT event_id, props AS a_b, 'x' AS c FROM events WHERE event_id % 7 = 0")
 def _(t: Lens) -> DataFrame:
+    return flattened(t.table("events").where("event_id % 7 = 0"))
+
+
+def flattened(events: DataFrame) -> DataFrame:
     nested = F.to_json(F.struct(F.struct(F.from_json("props", "k int").alias("b")).alias("a"), F.lit("x").alias("c")))
     m = normalize.flattened(nested)
     back = F.concat(F.lit('{"k": '), F.try_element_at(m, F.lit("a.b.k")), F.lit("}"))
-    return t.table("events").where("event_id % 7 = 0").select("event_id", back.alias("a_b"), F.try_element_at(m, F.lit("c")).alias("c"))
+    return events.select("event_id", back.alias("a_b"), F.try_element_at(m, F.lit("c")).alias("c"))
+
+
+@query("c10_flatten_all", "SELECT event_id, props AS a_b, 'x' AS c FROM events")
+def _(t: Lens) -> DataFrame:
+    return flattened(t.table("events"))
 
 
 @query("c13_violations", "SELECT trace_id, 'negative_duration' AS rule, CAST(span_id AS VARCHAR) AS detail FROM span WHERE end_us - 5000000 < start_us UNION ALL SELECT trace_id, 'missing_parent', CAST(parent_id AS VARCHAR) FROM span s WHERE parent_id IS NOT NULL AND span_id % 97 <> 5 AND parent_id % 97 = 5", "span")

@@ -32,6 +32,11 @@ def _(t: Lens) -> DataFrame:
     return t.gold().where("item_id % 2 = 0").groupBy("item_id").agg(F.count(F.lit(1)).alias("truths"))
 
 
+@query("a19_truths_of_all", "SELECT g.item_id, CAST(count(*) AS BIGINT) AS truths FROM gold g GROUP BY g.item_id", "gold")
+def _(t: Lens) -> DataFrame:
+    return t.gold().groupBy("item_id").agg(F.count(F.lit(1)).alias("truths"))
+
+
 @query("a23_samples_of_run", "SELECT sample_id, status FROM rs WHERE run_id = 1", "rs")
 def _(t: Lens) -> DataFrame:
     return t.run_samples().where("run_id = 1").select("sample_id", "status")
@@ -60,11 +65,20 @@ def _(t: Lens) -> DataFrame:
 @query("b17_report", "SELECT r.run_id, r.status, count(s.run_id) AS processed, CAST(count(*) FILTER (WHERE s.status = 'COMPLETED') AS BIGINT) AS succeeded FROM run r LEFT JOIN rs s USING (run_id) WHERE r.run_id % 10 = 0 GROUP BY ALL", "run rs")
 def _(t: Lens) -> DataFrame:
     some = lambda df: df.where("run_id % 10 = 0")
-    out = report.full_report(some(t.runs()).select("run_id", "status"), some(t.run_samples()), some(t.computations()), ["AF"])
+    return run_reports(some(t.runs()), some(t.run_samples()), some(t.computations()))
+
+
+def run_reports(runs: DataFrame, run_samples: DataFrame, computations: DataFrame) -> DataFrame:
+    out = report.full_report(runs.select("run_id", "status"), run_samples, computations, ["AF"])
     n = lambda path: F.get_json_object("report", path).cast("long")
     return out.select("run_id", F.get_json_object("report", "$.status").alias("status"), n("$.samples.processed").alias("processed"), n("$.samples.succeeded").alias("succeeded"))
 
 
+@query("b17_report_all", "SELECT r.run_id, r.status, count(s.run_id) AS processed, CAST(count(*) FILTER (WHERE s.status = 'COMPLETED') AS BIGINT) AS succeeded FROM run r LEFT JOIN rs s USING (run_id) GROUP BY ALL", "run rs")
+def _(t: Lens) -> DataFrame:
+    return run_reports(t.runs(), t.run_samples(), t.computations())
+
+
 @query("c29_executed_steps", WALK + "SELECT trace_id, string_agg(CAST(span_id AS VARCHAR), ',' ORDER BY start_us, span_id) AS steps FROM w JOIN (SELECT span_id AS sid, start_us, span_type FROM span) s ON s.sid = w.span_id WHERE depth > 0 AND span_type = 'tool' GROUP BY trace_id")
 def _(t: Lens) -> DataFrame:
     spans = t.spans()
