@@ -1,5 +1,6 @@
 """Every query against its DuckDB SQL."""
 
+import hashlib
 import os
 
 import duckdb
@@ -53,3 +54,12 @@ def test_degraded(spark):
 def test_whole_tables(spark, duck, name, key, ids):
     found = queries()[name](spark, DATA).select(key).collect()
     assert sorted(r[0] for r in found) == sorted(r[0] for r in duck.execute(ids).fetchall())
+
+
+def test_display_of_whole_texts(spark, tmp_path):
+    texts = ["", " ", "\n\t", "  two words ", "\u00a0\u3000x y\u2028", "\x0b\x1c\x85z\n\n", "a", "\n b\n\nc \n", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: r["shown"] for r in queries()["c20_display_whole"](spark, str(tmp_path)).collect()}
+    want = {i: hashlib.md5(((t or "").strip() or "<empty>").encode()).hexdigest() for i, t in enumerate(texts)}
+    theirs = duckdb.sql(oracle_sql()["c20_display_whole"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert found == want == dict(theirs)

@@ -110,6 +110,11 @@ def _(t: Lens) -> DataFrame:
     return t.table("documents").select("doc_id", text.display(F.concat(F.substring("text", 1, 1), F.lit("  "))).alias("shown"))
 
 
+@query("c20_display_whole", "SELECT doc_id, md5(coalesce(nullif(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g'), ''), '<empty>')) AS shown FROM documents")
+def _(t: Lens) -> DataFrame:
+    return t.table("documents").select("doc_id", F.md5(text.display(F.col("text"))).alias("shown"))
+
+
 @query("c22_render_plan", "SELECT conv_id, array_to_string(list_transform(executed, lambda x, i: 'Step ' || i || ': operation=' || x), chr(10)) AS plan FROM conv", "conv")
 def _(t: Lens) -> DataFrame:
     return t.conversations().select("conv_id", report.render_plan(F.transform("executed", lambda x: F.struct(x.alias("operation"), F.lit(None).cast("string").alias("instruction")))).alias("plan"))
