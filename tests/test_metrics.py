@@ -127,3 +127,19 @@ def test_store(spark, tmp_path):
     assert {tuple(r) for r in store.upserted(df, new, ["id"]).collect()} == {(1, "a"), (2, None), (4, "d")}
     merged = df.select(store.merged_json(F.lit('{"a": 1, "b": 2}'), F.lit('{"b": 3}')).alias("x")).first()["x"]
     assert merged == '{"a":"1","b":"3"}'
+
+
+def test_plan_rules(spark):
+    kind = "trace_id string, plan_id string, supersedes string, steps array<struct<id:string,depends_on:array<string>>>"
+    chain = [(str(i), [str(i + 1)] if i < 9 else []) for i in range(10)]
+    plans = spark.createDataFrame(
+        [
+            ("good", "p", None, chain), ("good", "q", "p", [("a", None), ("b", ["a"])]), ("good", "r", None, []),
+            ("circle", "p", None, [("a", []), ("b", ["a", "d"]), ("c", ["b"]), ("d", ["c"])]), ("self", "p", None, [("a", ["a"])]),
+            ("lacks", "p", None, [("a", ["z"]), ("b", ["a"])]), ("turns", "p", "q", []), ("turns", "q", "p", []), ("turns", "r", None, []),
+        ],
+        kind,
+    )
+    assert {tuple(r) for r in validate.plan_violations(plans).collect()} == {("circle", "dependency_cycle", "p"), ("self", "dependency_cycle", "p"), ("lacks", "unknown_dependency", "p"), ("turns", "plan_cycle", "p"), ("turns", "plan_cycle", "q")}
+    steps = spark.createDataFrame([("good", "1", "p", "3"), ("good", "2", None, None), ("good", "3", "p", None), ("good", "4", "x", None), ("good", "5", "q", "z"), ("good", "6", None, "a")], "trace_id string, step_id string, plan_id string, planned_step_id string")
+    assert {tuple(r)[1:] for r in validate.step_plan_violations(steps, plans).collect()} == {("unknown_plan", "4"), ("unknown_planned_step", "5"), ("unknown_planned_step", "6")}

@@ -52,7 +52,24 @@ def plan_violations(plans: DataFrame) -> DataFrame:
     step_ids = F.transform("steps", lambda s: s["id"])
     doubled = plans.where(F.size(F.array_distinct(step_ids)) < F.size(step_ids))
     lacking = plans.where(F.exists("steps", lambda s: F.size(F.array_except(s["depends_on"], step_ids)) > 0))
-    return reduce(DataFrame.union, [_said(repeated, "duplicate_plan", "plan_id"), _said(unknown, "missing_superseded_plan", "supersedes"), _said(doubled, "duplicate_step", "plan_id"), _said(lacking, "unknown_dependency", "plan_id")])
+    needs = lambda s: F.array_intersect(F.coalesce(s["depends_on"], F.array()), step_ids)  # noqa: E731  unknown ones are a rule of their own
+    free = lambda done: F.transform(F.filter("steps", lambda s: F.size(F.array_except(needs(s), done)) == 0), lambda s: s["id"])
+    ordered = F.aggregate("steps", F.filter(step_ids, lambda i: F.lit(False)), lambda done, _: F.array_union(done, free(done)))
+    circular = plans.where(F.size(ordered) < F.size(F.array_distinct(step_ids)))
+    superseding = cycles(plans.select("trace_id", F.col("plan_id").alias("span_id"), F.col("supersedes").alias("parent_id")))
+    return reduce(DataFrame.union, [_said(repeated, "duplicate_plan", "plan_id"), _said(unknown, "missing_superseded_plan", "supersedes"), _said(superseding, "plan_cycle", "span_id"), _said(doubled, "duplicate_step", "plan_id"), _said(lacking, "unknown_dependency", "plan_id"), _said(circular, "dependency_cycle", "plan_id")])
+
+
+def step_plan_violations(steps: DataFrame, plans: DataFrame) -> DataFrame:
+    """steps: trace_id, step_id, plan_id, planned_step_id (one row for each executed step); plans as above.
+
+    A planned step must be one of its plan; without a plan, or where the plan is unknown, there is none.
+    """
+    known = plans.groupBy(F.col("trace_id").alias("t"), F.col("plan_id").alias("p")).agg(F.flatten(F.collect_list(F.transform("steps", lambda s: s["id"]))).alias("there"))
+    met = steps.join(known, (F.col("trace_id") == F.col("t")) & (F.col("plan_id") == F.col("p")), "left")
+    unplanned = met.where("plan_id is not null and p is null")
+    unknown = met.where("planned_step_id is not null").where(~F.coalesce(F.array_contains("there", F.col("planned_step_id")), F.lit(False)))
+    return _said(unplanned, "unknown_plan", "step_id").union(_said(unknown, "unknown_planned_step", "step_id"))
 
 
 def step_violations(steps: DataFrame, spans: DataFrame) -> DataFrame:

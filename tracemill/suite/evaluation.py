@@ -79,6 +79,28 @@ def _(t: Lens) -> DataFrame:
     return found.union(validate.span_violations(broken).where("rule = 'missing_parent'"))
 
 
+@query("c13_plan_violations", """, p AS (SELECT *, span_id % 11 AS c FROM span)
+SELECT trace_id, 'plan_cycle' AS rule, CAST(span_id AS VARCHAR) AS detail FROM p WHERE c = 0
+UNION ALL SELECT trace_id, 'missing_superseded_plan', '-1' FROM p WHERE c = 1
+UNION ALL SELECT trace_id, 'dependency_cycle', CAST(span_id AS VARCHAR) FROM p WHERE c = 2
+UNION ALL SELECT trace_id, 'unknown_dependency', CAST(span_id AS VARCHAR) FROM p WHERE c = 3
+UNION ALL SELECT trace_id, 'duplicate_step', CAST(span_id AS VARCHAR) FROM p WHERE c = 4
+UNION ALL SELECT trace_id, 'unknown_plan', CAST(span_id AS VARCHAR) FROM p WHERE c = 5
+UNION ALL SELECT trace_id, 'unknown_planned_step', CAST(span_id AS VARCHAR) FROM p WHERE c IN (6, 7)
+UNION ALL SELECT trace_id, 'unknown_execution_span', CAST(span_id AS VARCHAR) FROM p WHERE c = 8
+UNION ALL SELECT trace_id, 'duplicate_plan', CAST(span_id AS VARCHAR) FROM p WHERE c = 9""", "span")
+def _(t: Lens) -> DataFrame:
+    """A plan and an executed step for each span; each rule is broken by the spans of one class of ids."""
+    s = t.spans().withColumn("c", F.col("span_id") % 11)
+    step = lambda name, *needs: F.struct(F.lit(name).alias("id"), F.array(*map(F.lit, needs)).cast("array<string>").alias("depends_on"))
+    fine = F.array(step("a"), step("b", "a"), step("c", "a", "b"))
+    steps = F.when(F.col("c") == 2, F.array(step("a"), step("b", "a", "c"), step("c", "b"))).when(F.col("c") == 3, F.array(step("a", "z"))).when(F.col("c") == 4, F.array(step("a"), step("a"))).otherwise(fine)
+    plans = s.select("trace_id", F.col("span_id").alias("plan_id"), F.when(F.col("c") == 0, F.col("span_id")).when(F.col("c") == 1, F.lit(-1)).alias("supersedes"), steps.alias("steps"), "c")
+    plans = plans.union(plans.where("c = 9")).drop("c")
+    done = s.select("trace_id", F.col("span_id").alias("step_id"), F.when(F.col("c") == 8, F.lit(-1)).otherwise(F.col("span_id")).alias("span_id"), F.when(F.col("c") == 5, F.lit(-1)).when(F.col("c") != 7, F.col("span_id")).alias("plan_id"), F.when(F.col("c") == 6, "z").when(F.col("c") != 5, "a").alias("planned_step_id"))
+    return validate.plan_violations(plans).union(validate.step_violations(done, s)).union(validate.step_plan_violations(done, plans))
+
+
 @query("c14_unavailable_items", "SELECT span_id FROM span WHERE status = 'error' AND rn % 2 = 0", "span")
 def _(t: Lens) -> DataFrame:
     r = t.spans().select("span_id", F.when(F.col("status") == "error", "unavailable").otherwise("available").alias("availability"), F.when(F.col("rn") % 2 == 0, F.array("span_id")).otherwise(F.array().cast("array<bigint>")).alias("items"))
