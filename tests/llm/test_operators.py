@@ -378,6 +378,16 @@ def test_urls(spark):
     assert urlfilter.judged(df.limit(0)).count() == 0
 
 
+def test_repeated_urls_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "SAMPLE", 60)
+    urls = [f"http://{i}.example.com/en/7" for i in range(50)] + [f"http://{i}.com/en/{i}" for i in range(50)] + ["http://7.example.org/en", "http://7.net/d"]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    often = once.crossJoin(spark.range(200).select(F.lit(0).alias("copy"))).drop("copy")
+    want = {r["page_id"]: (r["verdict"], r["ratio"]) for r in urlfilter.judged(once).collect()}
+    assert any(ratio for _, ratio in want.values())
+    assert {(r["page_id"], r["verdict"], r["ratio"]) for r in urlfilter.judged(often).distinct().collect()} == {(i, *x) for i, x in want.items()}
+
+
 def test_markov_shares_sum_to_one():
     m = urlfilter.Markov()
     for t in ("abcab", "abd"):
