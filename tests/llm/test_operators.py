@@ -320,8 +320,28 @@ def test_packing_ids(spark):
     theirs = Tokenizer.from_file(path)
     theirs.encode_special_tokens = True
     texts = [t or "" for t in ODD] + [r[0] for r in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' LIMIT 60").fetchall()]
-    ours = packing.json_codec(path, P.PATTERN)
-    assert [x.tolist() for x in ours.encode_many(texts)] == [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    want = [e.ids for e in theirs.encode_batch(texts, add_special_tokens=False)]
+    assert packing.ranks_suffice(path)
+    for by_ranks in (False, True):
+        ours = packing.json_codec(path, P.PATTERN, by_ranks)
+        assert [x.tolist() for x in ours.encode_many(texts)] == want
+
+
+def test_packing_long_white_space():
+    ours = packing.json_codec(P.path("byte_bpe_50k.json"), P.PATTERN, True)
+    text = " " * 2_000_000 + "a" + "\n" * 150_000
+    assert ours.encode(text).tolist() == packing.json_codec(P.path("byte_bpe_50k.json"), P.PATTERN).encode(text).tolist()
+
+
+def test_ranks_that_do_not_suffice(tmp_path):
+    """The pair (a, bc) isn't listed, so "abc" stays two tokens; by ranks it would be one."""
+    import json
+
+    letters = {c: i for i, c in enumerate("abc")}
+    file = tmp_path / "f.json"
+    for vocab, merges, suffice in (({"bc": 3, "ab": 4, "abc": 5}, ["b c", "a b", "ab c"], False), ({"bc": 3, "ab": 4, "abc": 5}, ["b c", "a b", "a bc"], True)):
+        file.write_text(json.dumps({"model": {"vocab": letters | vocab, "merges": merges}}))
+        assert packing.ranks_suffice(str(file)) == suffice
 
 
 def test_packing_added_tokens(spark):
@@ -333,9 +353,9 @@ def test_packing_added_tokens(spark):
     rng = random.Random(7)
     texts = [f"a {end} b", end, end * 2, *("".join(rng.choice([*parts, end]) for _ in range(rng.randrange(9))) for _ in range(300)), *[t or "" for t in ODD]]
     theirs = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
-    ours = packing.json_codec(path, P.PATTERN)
-    assert [x.tolist() for x in ours.encode_many(texts)] == theirs
-    assert [ours.encode(t).tolist() for t in texts] == theirs
+    for by_ranks in (False, True):
+        ours = packing.json_codec(path, P.PATTERN, by_ranks)
+        assert [x.tolist() for x in ours.encode_many(texts)] == theirs
     out = {r["doc_id"]: r for r in packing.packed(documents(spark, texts[:3]), path, P.PATTERN).where("start = 0").collect()}
     assert [out[i]["doc_tokens"] for i in range(3)] == [len(ids) + 1 for ids in theirs[:3]]
 

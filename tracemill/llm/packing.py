@@ -18,6 +18,7 @@ are found in texts before anything else and have these tokens' ids; a null id is
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec
+from .bpe import Merges
 from .common import small_batches, staged
 
 WINDOW, DEALT, END = 1024, 64, 0
@@ -43,53 +44,84 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class AddedCodec(Codec):
-    """A codec for texts that may hold added tokens: they are cut out first, leftmost and longest, and the parts between
-    them are encoded each by itself."""
+def added_tokens(file: dict) -> dict[str, int]:
+    """Strings and ids of the file's added tokens. Only such as match anywhere and as they stand are known."""
+    tokens = file.get("added_tokens") or []
+    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")) or file.get("normalizer"):
+        raise ValueError("added tokens that match by their surroundings, and normalizers, are not supported")
+    return {t["content"]: t["id"] for t in tokens if t["content"]}
 
-    def __init__(self, added: dict[str, int], *args, **kwargs):
-        super().__init__(*args, **kwargs)
-        self.added = {t: np.array([i], np.uint32) for t, i in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")").split if added else lambda text: [text]
 
-    def encode(self, text: str) -> np.ndarray:
-        return self.encode_many([text])[0]
+def byte_ranks(vocab: dict[str, int]) -> dict[bytes, int]:
+    """The ids of the vocabulary's tokens by their bytes."""
+    letters = byte_letters()
+    return {bytes(letters[c] for c in t): i for t, i in vocab.items() if all(c in letters for c in t)}
 
-    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [self.cut(t) if any(a in t for a in self.added) else [t] for t in texts]
-        made = iter(super().encode_many([p for ps in parts for p in ps[::2]]))  # the odd ones are added tokens
-        return [next(made) if len(ps) == 1 else np.concatenate([self.added[p] if i % 2 else next(made) for i, p in enumerate(ps)]) for ps in parts]
 
+@functools.cache
+def ranks_suffice(path: str) -> bool:
+    """Whether merging by ranks alone gives the file's ids.
 
-_codecs: dict[str, AddedCodec] = {}
+    The file merges listed pairs only; by ranks, any two tokens merge whose bytes make one. Both are the same if plain BPE
+    below each token's rank leaves just the listed pair of it: two tokens that meet with a complete border would be left
+    by the token's bytes alone as well.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, pairs, before = model["vocab"], {}, -1
+    for m in model["merges"]:
+        a, b = m.split(" ") if isinstance(m, str) else m
+        if vocab[a + b] <= before:
+            return False
+        before = pairs[vocab[a], vocab[b]] = vocab[a + b]
+    if model.get("ignore_merges") or len(set(pairs.values())) < len(pairs):
+        return False
+    merges, listed = Merges(byte_ranks(vocab), pairs), {m: p for p, m in pairs.items()}
+    return all(merges.split.get(i, 0) == listed.get(i) for t, i in merges.ranks.items())
 
 
-def added_tokens(file: dict) -> dict[str, int]:
-    """Strings and ids of the file's added tokens. Only such as match anywhere and as they stand are known."""
-    tokens = file.get("added_tokens") or []
-    if any(t.get(flag) for t in tokens for flag in ("single_word", "lstrip", "rstrip")) or file.get("normalizer"):
-        raise ValueError("added tokens that match by their surroundings, and normalizers, are not supported")
-    return {t["content"]: t["id"] for t in tokens if t["content"]}
+class LibraryCodec:
+    """Texts to the ids that the tokenizers library gives by the file. Added tokens are cut out first, leftmost and
+    longest, and the parts between them are encoded each by itself; by tiktoken where ranks suffice, which takes a
+    quarter of the time, but for texts with very long runs of white space, which its matcher doesn't bear."""
 
+    #: White space characters in a row from which on a text goes to the tokenizers library.
+    RUN = 100_000
+
+    def __init__(self, path: str, pattern: str, by_ranks: bool):
+        import tiktoken
+        from tokenizers import Tokenizer
 
-def json_codec(path: str, pattern: str) -> AddedCodec:
-    """The codec of a byte-level BPE file of the tokenizers library, made once in each Python worker."""
-    if path not in _codecs:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        model = file["model"]
-        letters = byte_letters()
-        vocab = model["vocab"]
-        ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items() if all(c in letters for c in t)}
-        pairs, before = {}, -1
-        for m in model["merges"]:
-            a, b = m.split(" ") if isinstance(m, str) else m
-            merged = vocab[a + b]
-            if merged <= before:
-                raise ValueError("merges must be in the order of the ids they make")
-            before = pairs[vocab[a], vocab[b]] = merged
-        _codecs[path] = AddedCodec(added_tokens(file), ranks, pattern, pairs, whole_pieces=bool(model.get("ignore_merges")))
-    return _codecs[path]
+        self.added = {t: np.array([i], np.uint32) for t, i in added_tokens(file).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
+        self.long_run = re.compile(r"\s{%d}" % self.RUN).search
+        self.whole = Tokenizer.from_file(path)
+        self.ranked = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=byte_ranks(file["model"]["vocab"]), special_tokens={}) if by_ranks else None
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.ranked is None or len(text) >= self.RUN and self.long_run(text):
+            return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        if any(a in text for a in self.added):
+            return np.concatenate([self.added[p] if i % 2 else self._ranked(p) for i, p in enumerate(self.cut(text))])
+        return self._ranked(text)
+
+    def _ranked(self, text: str) -> np.ndarray:
+        return self.ranked.encode_to_numpy(text, disallowed_special=())
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.encode(t) for t in texts]
+
+
+_codecs: dict[tuple[str, str, bool], LibraryCodec] = {}
+
+
+def json_codec(path: str, pattern: str, by_ranks: bool = False) -> LibraryCodec:
+    """The codec of a byte-level BPE file of the tokenizers library, made once in each Python worker."""
+    if (path, pattern, by_ranks) not in _codecs:
+        _codecs[path, pattern, by_ranks] = LibraryCodec(path, pattern, by_ranks)
+    return _codecs[path, pattern, by_ranks]
 
 
 # --- the plan, on the driver
@@ -181,11 +213,12 @@ def tokenised(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
     """(uid, doc_id, doc_tokens, first, crcs, rest, rest_crc, rest_ids): full windows' first sequence id and digests, and
     the remainder."""
     small_batches(docs.sparkSession)
+    by_ranks = ranks_suffice(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        c, part = json_codec(path, pattern), TaskContext.get().partitionId()
+        c, part = json_codec(path, pattern, by_ranks), TaskContext.get().partitionId()
         rows, full = part << 38, (1 << 62) + (part << 38)
         end = np.array([END], "<u4")
         for batch in batches:
