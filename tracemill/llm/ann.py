@@ -4,17 +4,17 @@ Distances are between unit vectors, so that the nearest by distance are the near
 point v and radius r, the inside is skipped if d(q, v) - r, and the outside if r - d(q, v), exceeds ``factor`` times the
 distance of the k-th nearest so far. Factor one gives exact results; smaller ones prune more.
 
-Queries come in blocks, each block meets each shard once, and the k best of all shards are chosen by a window. Scores
-are dot(a, b) / sqrt(dot(a, a) * dot(b, b)), in double precision, dimension after dimension, so equal vectors have equal
+A task gets the rows of a shard, builds their tree, and then streams the queries past it in blocks; the k best of all
+shards are chosen by a window. Trees are neither stored nor sent. Scores are dot(a, b) / sqrt(dot(a, a) * dot(b, b)), in double precision, dimension after dimension, so equal vectors have equal
 scores; ties go to the smaller id.
 
 Edge cases: null vectors, empty ones, those of only zeros, with null or non-finite components, or of another length than
 most have no part; rows with a null id neither; rows that share an id are each found, but never for a query of that id.
+Ids are whole numbers; other columns are left out and may have any names.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import col
 
-#: Rows in a shard, about, and in a block of queries; shards at least; rows in a leaf.
-SHARD, BLOCK, LEAST_SHARDS, LEAF = 16384, 8192, 12, 128
+#: Rows in a shard, about, and in a block of queries; blocks searched for together; shards at least; rows in a leaf.
+SHARD, BLOCK, TOGETHER, LEAST_SHARDS, LEAF = 32768, 256, 32, 12, 128
+#: Tasks that search, at most.
+MOST_TASKS = 8192
 
 
 def slack(width: int) -> float:
@@ -39,21 +41,12 @@ class Tree:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self._hold(ids[order], vectors[order])
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.squares = squares(self.vectors)
+        self.unit = self.vectors / np.sqrt(self.squares)[:, None]
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
 
-    def _hold(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors, self.squares = ids, vectors, squares(vectors)
-        self.unit = vectors / np.sqrt(self.squares)[:, None]
-
-    def __getstate__(self) -> tuple:
-        return self.ids, self.vectors, self.nodes, self.root
-
-    def __setstate__(self, state: tuple) -> None:
-        self._hold(*state[:2])
-        self.nodes, self.root = state[2:]
-
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
         if len(rows) <= LEAF:
@@ -137,41 +130,40 @@ def usable(vector: Column) -> Column:
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, factor: float = 1.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each query row among all other rows."""
-    spark = df.sparkSession
-    small_batches(spark, 64)
-    rows = df.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    width = max(sizes, key=lambda d: (sizes[d], -d), default=1)
-    total = sizes.get(width, 0)
+    rows = df.select(col(id_col).cast("long").alias("vec_id"), col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    sizes = rows.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("asking"))
+    most = sizes.orderBy(F.desc("n"), "width").first()
+    width, total, asking = most or (1, 0, 0)
+    shards, blocks = max(LEAST_SHARDS, -(-total // SHARD)), max(1, -(-asking // BLOCK))
     rows = rows.where(F.size("v") == width)
-    shards = max(LEAST_SHARDS, -(-total // SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    asking = rows.where("asks")
-    blocks = max(1, -(-asking.count() // BLOCK))
-
-    def build(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(Tree(ids, vectors), 5)], pa.binary())})
-
-    def block(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        vectors = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, vectors.reshape(-1, width)), 5)], pa.binary())})
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ids, vectors, tree = None, [], [], None
         for batch in batches:
-            for tree, asked in zip(batch.column(0), batch.column(1), strict=True):
-                ids, vectors = pickle.loads(asked.as_py())
-                found, score = pickle.loads(tree.as_py()).search(ids, vectors, k, factor)
-                ok = found >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k).reshape(-1, k)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
-
-    trees = staged(rows.select("shard", "vec_id", "v").groupBy("shard").applyInArrow(build, "shard int, tree binary"), "trees")
-    asked = asking.select(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v").groupBy("block").applyInArrow(block, "block int, asked binary")
-    meets = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    small_batches(spark, 2)
-    found = trees.join(meets, "shard").repartition(shards * blocks if shards * blocks < 4096 else 4096, "shard", "block").select("tree", "asked").mapInArrow(search, "query_id long, vec_id long, score double")
+            at, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(at)]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if at[first] != shard:
+                    shard, ids, vectors, tree = at[first], [], [], None
+                for start in range(first, last, TOGETHER if kind[first] else last):
+                    part = batch.slice(start, min(TOGETHER, last - start) if kind[first] else last - first)
+                    some, v = part.column(2).flatten().to_numpy(), part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    if not kind[first]:
+                        ids.append(some)
+                        vectors.append(v)
+                        continue
+                    if tree is None:
+                        tree = Tree(np.concatenate(ids), np.concatenate(vectors)) if ids else Tree(np.zeros(0, np.int64), np.zeros((0, width)))
+                    found, score = tree.search(some, v, k, factor)
+                    ok = found >= 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some, k).reshape(-1, k)[ok]), pa.array(found[ok]), pa.array(score[ok])], ["query_id", "vec_id", "score"])
+
+    kept = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.array("vec_id").alias("ids"), "v")
+    asked = rows.where("asks").groupBy(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("q.vec_id").alias("ids"), F.flatten("q.v").alias("v"))
+    # a shard's rows first, then the queries
+    met = kept.union(asked).repartition(min(4 * shards, MOST_TASKS), "shard").sortWithinPartitions("shard", "kind")
+    found = met.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

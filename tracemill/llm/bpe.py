@@ -22,9 +22,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import col, sliced
 
 #: Transitions kept before the lazy automaton is dropped and begun anew; remembered chunks likewise.
 MAX_TRANSITIONS = 400_000
@@ -481,11 +480,10 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     No shuffle: one pass of the two columns. ``ranks_path`` must be readable on every executor.
     """
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, id_shas, text_shas, listed = [], [], [], []
             for ids in c.encode_many([text or "" for text in batch.column(1).to_pylist()]):
                 counts.append(len(ids))
@@ -500,6 +498,6 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    key = dict(df.select(id_col).dtypes)[id_col]
+    key = df.schema[id_col].dataType.simpleString()
     schema = f"doc_id {key}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return df.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, schema)

@@ -4,42 +4,75 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-#: Rows in an Arrow batch sent to Python: texts can be long, so batches are kept small.
+#: Rows that Python holds as objects at once: texts can be long.
 BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a folder in the warehouse where that is unset."""
+    """The folder all executors see: ``spark.checkpoint.dir``; where that is unset and all is one machine, the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged").rstrip("/")
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staged"
+    return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what an Arrow batch holds, so that a task of very long texts fits the Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While jobs run in here, an Arrow batch holds at most so many rows; afterwards the session is as it was."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
 
 
-def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of at most so many rows."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def staged(df: DataFrame, name: str, codec: str = "zstd", rows: int = BATCH_ROWS, buckets: tuple[int, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``buckets``: number and column; the table is then joined on that column without being shuffled.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracemill/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", codec).parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/tracemill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    writer, table = df.write.option("compression", codec), None
+    with small_batches(spark, rows):
+        if buckets is None:
+            writer.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+        else:
+            table = f"tracemill_{uuid.uuid4().hex}"
+            writer.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(table)
+            out = spark.table(table)
+    _staged.append((spark, path, table))
     out._staged_path = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _delete(spark: SparkSession, path: str, table: str | None) -> None:
     jvm = spark._jvm
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -48,18 +81,54 @@ def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more."""
     for df in tables:
         path = getattr(df, "_staged_path", None)
-        if path:
-            _delete(df.sparkSession, path)
-            _staged[:] = [x for x in _staged if x[1] != path]
+        for entry in [x for x in _staged if x[1] == path]:
+            _delete(*entry)
+            _staged.remove(entry)
 
 
 @atexit.register
 def _drop_all() -> None:
-    for spark, path in _staged:
+    for entry in _staged:
         try:
-            _delete(spark, path)
+            _delete(*entry)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return
+            continue
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
+    """The columns and further ones under the names c0, c1, ...: functions of Arrow batches take columns by name, which
+    can't have dots or come twice."""
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate([*map(col, columns), *more])])
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so in either case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def free_prefix(taken: list[str], *names: str) -> str:
+    """Underscores enough that none of the names after them is a column's."""
+    used, prefix = {t.lower() for t in taken}, ""
+    while any((prefix + n).lower() in used for n in names):
+        prefix += "_"
+    return prefix
+
+
+def with_fields(df: DataFrame, columns: list[str], *more: tuple[str, DataType]) -> StructType:
+    """The schema of some columns of ``df`` and further ones."""
+    return StructType([df.schema[c] for c in columns] + [StructField(n, t) for n, t in more])
 
 
 def crc_mod(key: str, n: int) -> Column:
@@ -72,10 +141,6 @@ def hash_share(key: Column, seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) / float(1 << 30)
 
 
-def texts_of(column: pa.Array) -> list[str | None]:
-    return column.to_pylist()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit words (the splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

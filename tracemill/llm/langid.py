@@ -7,11 +7,13 @@ training the statistics are frozen, so every context's code lengths are known be
 up each byte's; the language with the shortest code wins.
 
 The trees are learned from a bounded sample: about ``SAMPLE`` rows of each language, chosen by a hash of the id over the
-whole table, whole texts. Counting is distributed; the driver gets at most ``MAX_GRAMS`` counts.
+whole table, whole texts. Counting is distributed; the driver gets at most ``MAX_GRAMS`` counts of each language, the
+highest. The model's size is bounded too: of the contexts with ``MIN_USES`` uses in any language those stay that rank
+highest in one, so that each language has the same share of the ``MAX_CONTEXTS``.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name;
-without labelled rows every text is ``und``; repeated rows each get a row; a null id is not held out and is not learned
-from.
+without labelled rows every text is ``und``; a language of which there are only empty texts has 8 bits for each byte;
+repeated rows each get a row; a null id is not held out and is not learned from; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,17 +21,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
-from .common import crc_mod, hash_share, small_batches
+from .common import col, crc_mod, hash_share, plain, sliced, small_batches, with_fields
 
-#: Rows of each language that are learned from, about; counts that reach the driver; contexts that are kept; uses that a
-#: context needs.
-SAMPLE, MAX_GRAMS, MAX_CONTEXTS, MIN_USES = 800, 300_000, 4096, 8
+#: Rows of each language that are learned from, about; counts of each that reach the driver; contexts of three bytes that
+#: are kept, and of two; uses that a context needs.
+SAMPLE, MAX_GRAMS, MAX_CONTEXTS, MAX_PAIRS, MIN_USES = 800, 1 << 18, 4096, 1024, 8
 PAD = b"\n\n\n"
 LETTER = regex.compile(r"\p{L}")
 
@@ -38,7 +40,7 @@ def gram_counts(df: DataFrame) -> DataFrame:
     """Counts of four-byte strings by language: (lang, gram, n); ``df`` has lang and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             by_lang: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_lang.setdefault(lang, []).append(PAD + text.encode())
@@ -56,17 +58,22 @@ def gram_counts(df: DataFrame) -> DataFrame:
 class Model:
     """Code lengths in bits: ``bits[context, byte, language]``; ``contexts``: (length, value), value's last byte nearest."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
-        lang = np.searchsorted(self.langs, counts["lang"].to_numpy(str)) if len(self.langs) else np.zeros(0, np.int64)
+    def __init__(self, counts: pa.Table, langs: list[str]):
+        """counts: lang, gram, n."""
+        self.langs = sorted(langs)
+        gram, n = counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(np.int64)
+        at_lang = {name: i for i, name in enumerate(self.langs)}
+        lang = np.array([at_lang[x] for x in counts["lang"].to_pylist()], np.int64)
         self.contexts: list[tuple[int, int]] = [(0, 0)]
-        for order in (1, 2, 3):
-            value = gram >> 8 & (1 << 8 * order) - 1
-            keys, at = np.unique(value, return_inverse=True)
-            used = np.bincount(at, weights=n) if len(keys) else np.zeros(0)
-            kept = sorted((-u, int(k)) for k, u in zip(keys.tolist(), used.tolist(), strict=True) if u >= MIN_USES)
-            self.contexts += [(order, k) for _, k in kept[: MAX_CONTEXTS - len(self.contexts) if order == 3 else MAX_CONTEXTS // 4]]
+        for order, most in ((1, 256), (2, MAX_PAIRS), (3, MAX_CONTEXTS)):
+            keys, at = np.unique(gram >> 8 & (1 << 8 * order) - 1, return_inverse=True)
+            used = np.zeros((len(keys), max(1, len(self.langs))), np.int64)
+            np.add.at(used, (at, lang), n)
+            # each context's best place among one language's, most used first
+            place = np.argsort(np.argsort(-used, axis=0, kind="stable"), axis=0, kind="stable")
+            best = np.where(used >= MIN_USES, place, len(keys)).min(axis=1, initial=len(keys))
+            kept = [int(i) for i in np.lexsort((keys, best)) if best[i] < len(keys)]
+            self.contexts += [(order, int(keys[i])) for i in kept[:most]]
         ids = {c: i for i, c in enumerate(self.contexts)}
         seen = np.zeros((len(self.contexts), 256, len(self.langs)), np.float32)
         for order in range(4):
@@ -140,19 +147,18 @@ class Scorer:
             start += n + 3
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def train(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """Learn a model from labelled rows: about ``sample`` rows of each language among those ``use`` holds for."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), (F.lit(True) if use is None else use).alias("use")).where(F.col("use") & F.col("lang").isNotNull() & F.col("id").isNotNull())
+    rows = df.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).alias("lang"), (F.lit(True) if use is None else use).alias("use")).where(F.col("use") & F.col("lang").isNotNull() & F.col("id").isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
     chosen = rows.where((hash_share(F.col("id"), 11) < share) & F.col("text").isNotNull())
-    counts = gram_counts(chosen).where("n > 0").orderBy(F.desc("n"), "lang", "gram").limit(MAX_GRAMS)
-    return Model(counts.toPandas())
+    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    counts = gram_counts(chosen).withColumn("place", F.row_number().over(most)).where(F.col("place") <= MAX_GRAMS).drop("place")
+    with small_batches(df.sparkSession):
+        return Model(counts.toArrow(), list(sizes))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
@@ -162,18 +168,13 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     score: the share of the best language if all are equally likely beforehand, 2^-length each.
     """
-    small_batches(df.sparkSession)
     keep = [id_col] if keep is None else keep
     shared = df.sparkSession.sparkContext.broadcast(model)
-    token = id(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorers.get(token)
-        if scorer is None or scorer.model is not shared.value:
-            _scorers.clear()
-            scorer = _scorers[token] = Scorer(shared.value)
+        scorer = Scorer(shared.value)
         langs = scorer.model.langs
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t if t and langs and LETTER.search(t) else None for t in batch.column(batch.num_columns - 1).to_pylist()]
             raw = [t.encode() if t else b"" for t in texts]
             lengths = scorer.code_lengths(raw) if langs else np.zeros((len(raw), 1))
@@ -182,12 +183,10 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             per_byte = [float(m) / len(r) if r else None for m, r in zip(lengths.min(axis=1), raw, strict=True)]
             said = [langs[b] if t else "und" for b, t in zip(best.tolist(), texts, strict=True)]
             sure = [float(s) if t else 0.0 for s, t in zip(score, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(per_byte, pa.float64())], [*out_names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(said, pa.string()), pa.array(sure, pa.float64()), pa.array(per_byte, pa.float64())], schema.names)
 
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    out_names = [*keep, f"{prefix}lang_pred", f"{prefix}score", f"{prefix}bits_per_byte"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, `{prefix}lang_pred` string, `{prefix}score` double, `{prefix}bits_per_byte` double")
+    schema = with_fields(df, keep, (f"{prefix}lang_pred", StringType()), (f"{prefix}score", DoubleType()), (f"{prefix}bits_per_byte", DoubleType()))
+    return plain(df, keep, col(text_col)).mapInArrow(run, schema)
 
 
 def language_query(docs: DataFrame) -> DataFrame:

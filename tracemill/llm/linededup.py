@@ -5,7 +5,8 @@ more than once, the occurrence of the smallest (doc_id, position) stays and all
 covered; covered lines are removed once, however many windows cover them.
 
 Edge cases: texts of fewer than three lines have no window and stay; null texts stay null; rows with equal doc_id and
-equal text are one document (one result for each row); a null doc_id sorts first; other columns are carried along.
+equal text are one document (one result for each row); a null doc_id sorts first; other columns are carried along, but
+for those with the names of the two columns added, which these replace.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from .common import small_batches, staged
+from .common import col, free_names, plain, sliced, staged, with_fields
 
 #: Lines in a window; places that a window's occurrences are dealt out to when they are joined.
 WINDOW, DEALT = 3, 16
@@ -30,10 +32,9 @@ MARK = F.xxhash64
 
 def windows(df: DataFrame) -> DataFrame:
     """(doc_id, mark, pos, a, b): mark tells documents of one id apart, a and b are the window's hash."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, positions, first, second = [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 lines = text.encode().split(b"\n")
@@ -70,11 +71,14 @@ def covered(df: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("starts"))
 
 
-def dedup_lines(df: DataFrame) -> DataFrame:
-    """All columns of ``df`` with the text's later lines removed, and __lines and __removed, their numbers."""
-    small_batches(df.sparkSession)
-    starts = covered(df).select(F.col("doc_id").alias("__key"), F.col("mark").alias("__mark"), F.col("starts").alias("__starts"))
+def dedup_lines(df: DataFrame, lines: str = "__lines", removed: str = "__removed") -> DataFrame:
+    """All columns of ``df`` with the text's later lines removed, and two more: the numbers of its lines and of those
+    removed. Columns of ``df`` that are called like these two give way to them."""
+    df = df.select(*[col(c) for c in df.columns if c.lower() not in (lines.lower(), removed.lower())])
     names, texts = list(df.columns), df.columns.index("text")
+    key, mark, at = free_names(names, "key", "mark", "starts")
+    starts = covered(df.select("doc_id", "text")).select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("starts").alias(at))
+    schema = with_fields(df, names, (lines, IntegerType()), (removed, IntegerType()))
 
     def without(text: str, at: list[int]) -> tuple[str, int]:
         lines = text.split("\n")
@@ -86,7 +90,7 @@ def dedup_lines(df: DataFrame) -> DataFrame:
         return "\n".join([x for x, ok in zip(lines, stay.tolist(), strict=True) if ok]), len(lines) - int(stay.sum())
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             columns, starts = list(batch.columns[:-1]), batch.column(batch.num_columns - 1)
             had = pc.add(pc.count_substring(columns[texts], "\n"), 1).fill_null(0).cast(pa.int32())
             hit = starts.is_valid()
@@ -97,11 +101,10 @@ def dedup_lines(df: DataFrame) -> DataFrame:
                 made = [without(t, s) for t, s in zip(columns[texts].take(pick).to_pylist(), starts.take(pick).to_pylist(), strict=True)]
                 columns[texts] = pc.replace_with_mask(columns[texts], hit, pa.array([m[0] for m in made], columns[texts].type))
                 gone[at] = [m[1] for m in made]
-            yield pa.RecordBatch.from_arrays([*columns, had, pa.array(gone)], [*names, "__lines", "__removed"])
+            yield pa.RecordBatch.from_arrays([*columns, had, pa.array(gone)], schema.names)
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    joined = df.join(starts, F.col("doc_id").eqNullSafe(F.col("__key")) & (MARK("text") == F.col("__mark")), "left").select(*[F.col(c) for c in names], "__starts")
-    return joined.mapInArrow(remove, f"{types}, __lines int, __removed int")
+    joined = df.join(starts, F.col("doc_id").eqNullSafe(F.col(key)) & (MARK("text") == F.col(mark)), "left")
+    return plain(joined, names, F.col(at)).mapInArrow(remove, schema)
 
 
 def line_query(docs: DataFrame) -> DataFrame:

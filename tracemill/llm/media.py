@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType
 
-from .common import small_batches, staged
+from .common import col, plain, sliced, staged, with_fields
 
 #: Payload bytes come in multiples of this; the tiles' side.
 BLOCK, TILE = 576, 16
@@ -139,43 +140,42 @@ def encode_payload(payload: bytes) -> bytes:
 
 def media_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts stored as images: doc_id, n_bytes, media."""
-    small_batches(df.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
             images = [encode_payload(r + b"\xff" * ((-len(r)) % BLOCK or (0 if r else BLOCK))) for r in raw]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    key = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {key}, n_bytes long, media binary")
+    key = df.schema[id_col].dataType.simpleString()
+    return df.select(col(id_col).alias("doc_id"), col(text_col).alias("text")).mapInArrow(run, f"doc_id {key}, n_bytes long, media binary")
 
 
-def media_features(media: DataFrame, keep: list[str], with_tiles: bool = False) -> DataFrame:
-    """``keep`` columns, the decoded payload's digests, the stored form's, the feature, and the NPY tile if asked for."""
+def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns, the decoded payload's digests, the stored form's, the difference hash and the NPY tile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             rows = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
                 pixels = decode(data)
                 payload = np.ascontiguousarray(pixels).tobytes()
                 grey = to_grey(pixels)
                 tile = npy(np.rint(area_resize(grey, TILE, TILE)).astype(np.uint8))
-                feature = f"{difference_hash(grey):016x}-{zlib.crc32(tile):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile))
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(grey):016x}", tile))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            made = [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string())]
-            if with_tiles:
-                made.append(pa.array(columns[6], pa.binary()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(columns, arrow, strict=True))], schema.names)
 
-    names = [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["tile_npy"] * with_tiles
-    source = media.select(*keep, "media")
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tile_npy binary" * with_tiles)
+    more = (("payload_bytes", LongType()), ("payload_sha256", StringType()), ("tail_crc32", LongType()), ("media_bytes", LongType()), ("media_sha256", StringType()), ("difference_hash", StringType()), ("tile_npy", BinaryType()))
+    arrow = [{LongType: pa.int64(), StringType: pa.string(), BinaryType: pa.binary()}[type(t)] for _, t in more]
+    schema = with_fields(media, keep, *more)
+    return plain(media, keep, F.col("media")).mapInArrow(run, schema)
 
 
 def media_query(docs: DataFrame) -> DataFrame:
-    """Every text stored as an image in the shared folder, read back, decoded and described."""
-    return media_features(staged(media_table(docs), "media"), ["doc_id", "n_bytes"])
+    """Every text stored as an image in the shared folder, read back, decoded and described; the NPY tiles are written
+    there as well, and the feature is the difference hash with the checksum of the tile read back."""
+    stored = staged(media_table(docs), "media", rows=500)
+    tiles = staged(media_features(stored, ["doc_id", "n_bytes"]), "tiles", rows=500)
+    feature = F.concat("difference_hash", F.lit("-"), F.lpad(F.lower(F.hex(F.crc32("tile_npy"))), 8, "0"))
+    return tiles.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Merges
-from .common import small_batches, staged
+from .common import sliced, staged
 
 WINDOW, DEALT, END = 1024, 64, 0
 #: Steps of the solver.
@@ -212,7 +212,6 @@ class Plan:
 def tokenised(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> DataFrame:
     """(uid, doc_id, doc_tokens, first, crcs, rest, rest_crc, rest_ids): full windows' first sequence id and digests, and
     the remainder."""
-    small_batches(docs.sparkSession)
     by_ranks = ranks_suffice(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +220,7 @@ def tokenised(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) ->
         c, part = json_codec(path, pattern, by_ranks), TaskContext.get().partitionId()
         rows, full = part << 38, (1 << 62) + (part << 38)
         end = np.array([END], "<u4")
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for ids in c.encode_many([t or "" for t in batch.column(1).to_pylist()]):
                 raw = np.concatenate([ids, end]).astype("<u4").tobytes()
@@ -250,7 +249,7 @@ def packed(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> Da
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan, shift = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             rows, at = [], []
             for i, (tokens, rest, crc, ids, place, number) in enumerate(zip(*(batch.column(j).to_pylist() for j in range(1, 7)), strict=True)):
                 pieces = plan.place(rest, int(shift[rest, place]) + number - 1)

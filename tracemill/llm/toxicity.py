@@ -4,10 +4,12 @@ Features of a text, each present or not: its words, pairs of neighbours and pair
 2^18 places. FTRL-proximal keeps for each place the sum of gradients and of their squares; the latter set the place's
 own learning rate, the L1 term leaves places at exactly zero, so that the weights sent to the executors are few.
 
-Learning takes a bounded sample: about ``SAMPLE`` labelled rows chosen by a hash of the id, whole texts; one task learns.
+Learning takes a bounded sample: about ``SAMPLE`` labelled rows chosen by a hash of the id, whole texts, and of these so
+many that they have about ``MAX_PLACES`` features in all; one task learns.
 
 Edge cases: null and empty texts get the score of the bias alone; labels that are null are not learned from; without
-labels all scores are 0.5; repeated rows each get a row, repeated labels are each learned from.
+labels all scores are 0.5; repeated rows each get a row, repeated labels are each learned from; other columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -20,13 +22,16 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType
 
-from .common import crc_mod, hash_share, mix64, small_batches
+from .common import col, crc_mod, drop_staged, hash_share, mix64, plain, sliced, small_batches, staged, with_fields
 
 BITS = 18
 #: Labelled rows learned from, about; passes over them; the rate, its offset, the L1 and L2 terms, a toxic row's weight.
 SAMPLE, PASSES, ALPHA, BETA, L1, L2, POSITIVE = 16000, 4, 2.0, 1.0, 8.0, 1.0, 1.0
 THRESHOLD = 0.7
+#: Features that the learning task holds, about: 4 bytes each.
+MAX_PLACES = 60_000_000
 #: Words whose hashes a worker remembers.
 MAX_WORDS = 150_000
 WORDS = regex.compile(r"[\p{L}\p{N}']+")
@@ -78,8 +83,6 @@ def learn(rows: list[tuple[int, np.ndarray]], passes: int = PASSES) -> tuple[np.
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from labelled rows (labels: doc_id, toxic; null ids and labels left out)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     labels = labels.select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     total = labels.count()
     weights = np.zeros((1 << BITS) + 1)
@@ -89,30 +92,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Features()
-        for batch in batches:
+        for batch in sliced(batches):
             got = [np.append(np.unique(make.places(t or "")), 1 << BITS).astype(np.int32).tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["doc_id", "toxic", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary())], ["share", "toxic", "places"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for batch in batches:
-            for label, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for label, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.append((label, np.frombuffer(places, np.int32)))
         order = sorted(range(len(rows)), key=lambda i: xxhash.xxh3_64_intdigest(rows[i][1].tobytes()))
         at, w = learn([rows[i] for i in order])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(w)], ["place", "weight"])
 
     # the sample is bounded, so its labels can be broadcast and one task can learn from it
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
-    made = joined.mapInArrow(features, "doc_id long, toxic int, places binary")
-    for row in made.repartition(1).mapInArrow(fit, "place long, weight double").collect():
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(hash_share(F.col("doc_id"), 9).alias("share"), "toxic", "text")
+    made = staged(joined.mapInArrow(features, "share double, toxic int, places binary"), "features")
+    places = made.agg(F.sum(F.length("places")).alias("n")).first()["n"] or 0
+    held = made.where(F.col("share") < min(1.0, 4 * MAX_PLACES / max(1, places)))
+    with small_batches(docs.sparkSession):
+        found = held.select("toxic", "places").repartition(1).mapInArrow(fit, "place long, weight double").collect()
+    drop_staged(made)
+    for row in found:
         weights[row["place"]] = row["weight"]
     return weights
 
 
 def score(df: DataFrame, weights: np.ndarray, keep: list[str] | None = None, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``keep`` columns, then score and predicted for each row, their names after ``prefix``; one pass, no shuffle."""
-    small_batches(df.sparkSession)
     keep = ["doc_id"] if keep is None else keep
     at = np.flatnonzero(weights)
     shared = df.sparkSession.sparkContext.broadcast((at, weights[at]))
@@ -122,18 +129,16 @@ def score(df: DataFrame, weights: np.ndarray, keep: list[str] | None = None, tex
         places, values = shared.value
         w[places] = values
         used, bias = w != 0, w[1 << BITS]
-        for batch in batches:
+        for batch in sliced(batches):
             sums = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 p = make.places(text or "")
                 sums.append(bias + w[np.unique(p[used[p]])].sum())
             s = 1 / (1 + np.exp(-np.clip(np.array(sums), -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], schema.names)
 
-    source = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    names = [*keep, f"{prefix}score", f"{prefix}predicted"]
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{types}, `{prefix}score` double, `{prefix}predicted` int")
+    schema = with_fields(df, keep, (f"{prefix}score", DoubleType()), (f"{prefix}predicted", IntegerType()))
+    return plain(df, keep, col(text_col)).mapInArrow(run, schema)
 
 
 def toxicity_query(docs: DataFrame, labels: DataFrame) -> DataFrame:
