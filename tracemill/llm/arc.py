@@ -20,16 +20,20 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, staged
+from .common import col, drop_staged, sliced, staged
 
 #: Bytes of records after which a segment is closed; payloads from this size on are compared; places that equal payloads
 #: are dealt out to when they are joined.
 SEGMENT, LEAST, DEALT = 2 << 20, 100, 16
+#: Bytes of pages for a bucket of segments, about, and the most buckets.
+BUCKET, MOST_BUCKETS = 256 << 20, 100_000
 DATE = "20260101000000"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -114,62 +118,70 @@ def http_split(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return found, head, content[end + 4 :]
 
 
-def arc_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", version: int = 1) -> DataFrame:
-    """Pages as ARC segments (name, data); the id travels as an HTTP header, as crawlers' own fields do."""
-    small_batches(pages.sparkSession, 500)
+def id_header(key) -> str:
+    return "" if key is None else f"X-Page-Id: {quote(str(key), safe='')}\r\n"
+
+
+def id_of(headers: dict[str, str]) -> str | None:
+    found = headers.get("x-page-id")
+    return None if found is None else unquote(found)
+
+
+def arc_table(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", version: int | None = None) -> DataFrame:
+    """Pages as ARC segments (name, data, part, seq): seq counts the segments of a part of the pages, and odd ones are of
+    version 2 where none is asked for. The id travels as an HTTP header, as crawlers' own fields do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
+        def name_of() -> str:
+            return f"part-{part:06d}-{n:06d}.arc.gz"
+
         def close() -> pa.RecordBatch:
-            name = f"part-{part:06d}-{n:06d}.arc.gz"
-            data = gz(arc_version_block(name, version)) + b"".join(held)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "data"])
+            data = gz(arc_version_block(name_of(), version or 1 + n % 2)) + b"".join(held)
+            return pa.RecordBatch.from_arrays([pa.array([name_of()]), pa.array([data], pa.binary()), pa.array([part], pa.int32()), pa.array([n], pa.int32())], ["name", "data", "part", "seq"])
 
-        for batch in batches:
+        for batch in sliced(batches, 500):
             for key, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = (text or "").encode()
-                mine = "" if key is None else f"X-Page-Id: {key}\r\n"
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{mine}\r\n".encode()
-                held.append(gz(arc_record(clean_url(url), head + payload, version)))
-                size += len(payload)
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{id_header(key)}\r\n".encode()
+                held.append(gz(arc_record(clean_url(url), head + payload, version or 1 + n % 2, name=name_of(), offset=size)))
+                size += len(head) + len(payload)
                 if size >= SEGMENT:
                     yield close()
                     n, held, size = n + 1, [], 0
         if held:
             yield close()
 
-    return pages.select(id_col, url_col, payload_col).mapInArrow(run, "name string, data binary")
+    return pages.select(col(id_col), col(url_col), col(payload_col)).mapInArrow(run, "name string, data binary, part int, seq int")
+
 
+def placed(arcs: DataFrame) -> DataFrame:
+    """Segments with part and seq, which together tell them apart; of segments without these the name does."""
+    if {"part", "seq"} <= set(arcs.columns):
+        return arcs.select("name", "data", "part", "seq")
+    return arcs.select("name", "data", F.col("name").alias("part"), F.lit(0).alias("seq"))
 
-def arc_records(arcs: DataFrame, id_type: str = "long", with_content: bool = True) -> DataFrame:
-    """(page_id, payload_bytes, digest) of every ARC record, and (url, date, head, payload) if asked for."""
+
+def arc_records(arcs: DataFrame, id_type: str = "long") -> DataFrame:
+    """(part, seq, at, page_id, payload_bytes, digest) of every ARC record; ``at`` counts a segment's records."""
+    arcs = placed(arcs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(batch.schema.get_field_index("data")).to_pylist():
-                rows = []
-                for r in parse_arc(data):
-                    headers, head, payload = http_split(r["content"])
-                    rows.append((headers.get("x-page-id"), len(payload), hashlib.sha256(payload).hexdigest(), r["url"], r["date"], head, payload))
-                    if len(rows) >= 500:
-                        yield batch_of(rows)
-                        rows = []
-                if rows:
-                    yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        c = list(zip(*rows, strict=True))
-        made = [pa.array(c[0], pa.string()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string())]
-        if with_content:
-            made += [pa.array(c[3], pa.string()), pa.array(c[4], pa.string()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.binary())]
-        return pa.RecordBatch.from_arrays(made, names)
-
-    names = ["page_id", "payload_bytes", "digest"] + ["url", "date", "head", "payload"] * with_content
-    schema = "page_id string, payload_bytes long, digest string" + ", url string, date string, head binary, payload binary" * with_content
-    return arcs.mapInArrow(run, schema).withColumn("page_id", F.col("page_id").cast(id_type))
+        for batch in sliced(batches, 1):
+            rows = []
+            for at, r in enumerate(parse_arc(batch.column(3)[0].as_py())):
+                headers, _, payload = http_split(r["content"])
+                rows.append((at, id_of(headers), len(payload), hashlib.sha256(payload).hexdigest()))
+            c = list(zip(*rows, strict=True)) if rows else [()] * 4
+            where = pa.array(np.zeros(len(rows), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(c[0], pa.int32()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], ["part", "seq", "at", "page_id", "payload_bytes", "digest"])
+
+    kind = dict(arcs.dtypes)["part"]
+    out = arcs.select("part", "seq", "name", "data").mapInArrow(run, f"part {kind}, seq int, at int, page_id string, payload_bytes long, digest string")
+    return out.withColumn("page_id", F.col("page_id").cast(id_type))
 
 
 # --- WARC
@@ -181,7 +193,7 @@ def warc_record(kind: str, url: str, date: str, head: bytes, payload: bytes, dig
     iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(page_id, url, digest)}>", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {'application/http; msgtype=response' if head else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {quote(str(refers_to), safe='')}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -213,19 +225,30 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def revisits(records: DataFrame) -> DataFrame:
-    """(page_id, digest, refers_to) of the records whose payload a smaller id has; small rows only, dealt out."""
-    ids = records.where((F.col("payload_bytes") >= LEAST) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    firsts = ids.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top")).where("top > refers_to").drop("top")
-    dealt = firsts.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    placed = ids.withColumn("place", F.pmod(F.xxhash64("page_id"), F.lit(DEALT)).cast("int"))
-    return placed.join(dealt, ["digest", "place"]).where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    """(part, seq, again): the records of each segment whose payload a smaller id has, as (at, refers_to).
+
+    Equal payloads may be a large part of all rows: their ids are dealt out to DEALT places, and the smallest id to those
+    of the places that hold any.
+    """
+    ids = records.where((F.col("payload_bytes") >= LEAST) & F.col("page_id").isNotNull()).withColumn("place", F.pmod(F.xxhash64("page_id"), F.lit(DEALT)).cast("int"))
+    held = ids.groupBy("digest", "place").agg(F.min("page_id").alias("low"), F.max("page_id").alias("top"))
+    firsts = held.groupBy("digest").agg(F.min("low").alias("refers_to"), F.max("top").alias("top"), F.collect_set("place").alias("places")).where("top > refers_to")
+    firsts = firsts.select("digest", "refers_to", F.explode("places").alias("place"))
+    again = ids.join(firsts, ["digest", "place"]).where("page_id > refers_to")
+    return again.groupBy("part", "seq").agg(F.collect_list(F.struct("at", F.col("refers_to").cast("string").alias("refers_to"))).alias("again"))
 
 
 def convert(arcs: DataFrame, id_type: str = "long") -> DataFrame:
-    """ARC segments to WARC segments (name, data)."""
-    again = revisits(arc_records(arcs, id_type, with_content=False)).select(F.col("page_id").alias("__id"), F.col("digest").alias("__digest"), "refers_to")
-    rows = arc_records(arcs, id_type)
-    joined = rows.join(again, (rows["page_id"] == again["__id"]) & (rows["digest"] == again["__digest"]), "left").select("page_id", "digest", "url", "date", "head", "payload", "refers_to")
+    """ARC segments to WARC segments (name, data).
+
+    Payloads stay where they are: what is shuffled are ids and digests, and the list of each segment's revisits comes to
+    the segment. Segments that are bucketed by ``part`` aren't shuffled either.
+    """
+    arcs = placed(arcs)
+    again = revisits(arc_records(arcs, id_type)).withColumnsRenamed({"part": "of_part", "seq": "of_seq"})
+    # not an equality of two columns: the join must go by part alone, as the buckets do
+    same = (F.col("part") == F.col("of_part")) & (F.col("seq").bitwiseXOR(F.col("of_seq")) == 0)
+    joined = arcs.join(again.hint("shuffle_hash"), same, "left").select("data", "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -239,9 +262,12 @@ def convert(arcs: DataFrame, id_type: str = "long") -> DataFrame:
             data = gz(top.encode() + info + b"\r\n\r\n") + b"".join(held)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "data"])
 
-        for batch in batches:
-            for key, digest, url, date, head, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = gz(warc_record("response" if refers is None else "revisit", url, date, head, payload, digest, key, refers))
+        for batch in sliced(batches, 1):
+            refers = {r["at"]: r["refers_to"] for r in batch.column(1)[0].as_py() or ()}
+            for at, r in enumerate(parse_arc(batch.column(0)[0].as_py())):
+                headers, head, payload = http_split(r["content"])
+                kind = "revisit" if at in refers else "response"
+                record = gz(warc_record(kind, r["url"], r["date"], head, payload, hashlib.sha256(payload).hexdigest(), id_of(headers), refers.get(at)))
                 held.append(record)
                 size += len(record)
                 if size >= SEGMENT:
@@ -257,8 +283,8 @@ def warc_records(warcs: DataFrame, id_type: str = "long") -> DataFrame:
     """What the archives say of each page; a response's digest is that of the payload read, and must equal the stated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(batch.schema.get_field_index("data")).to_pylist():
+        for batch in sliced(batches, 1):
+            for data in batch.column(0).to_pylist():
                 rows = []
                 for headers, block in parse_warc(data):
                     kind = headers["warc-type"]
@@ -271,11 +297,12 @@ def warc_records(warcs: DataFrame, id_type: str = "long") -> DataFrame:
                         size = int(http["content-length"])
                     elif hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {headers['warc-record-id']} has another digest")
-                    rows.append((http.get("x-page-id"), size, digest, kind, headers.get("x-refers-to-page-id"), headers["warc-record-id"]))
+                    refers = headers.get("x-refers-to-page-id")
+                    rows.append((id_of(http), size, digest, kind, None if refers is None else unquote(refers), headers["warc-record-id"]))
                 c = list(zip(*rows, strict=True)) if rows else [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i == 1 else pa.string()) for i, x in enumerate(c)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"])
 
-    out = warcs.mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string")
+    out = warcs.select("data").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string")
     return out.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})
 
 
@@ -303,9 +330,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_query(pages: DataFrame) -> DataFrame:
     """Pages to ARC archives, these to WARC archives, and these read back; both archives are in the shared folder."""
-    arcs = staged(arc_table(pages), "arc", "none")
-    warcs = staged(convert(arcs), "warc", "none")
-    return warc_records(warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
+    spark, kind = pages.sparkSession, dict(pages.dtypes)["page_id"]
+    stated = int(str(pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = 0 if stated >> 60 else stated  # Spark takes what it doesn't know for endless
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // BUCKET))
+    arcs = staged(arc_table(pages), "arc", "none", 500, (buckets, "part"))
+    warcs = staged(convert(arcs, kind), "warc", "none", 1)
+    drop_staged(arcs)
+    return warc_records(warcs, kind).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id")
 
 
 #: DuckDB SQL for the contract's columns.
