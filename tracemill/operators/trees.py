@@ -1,27 +1,69 @@
-"""Span trees: depth, top ancestor, pre-order."""
+"""Span trees by pointer doubling: depth, root, top ancestor, depth-first order, and spans that have no root.
 
-from __future__ import annotations
+Every node points to an ancestor and knows what lies between. Each round it takes its ancestor's pointer instead, so that
+pointers reach twice as far; a tree of depth d is done after about log2(d) rounds, whatever d is, and what no round
+brings nearer to a root hangs on a cycle.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracemill.staging import drop_staged, staged
+
+
+def resolved(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(done, stuck) of nodes (key, node, up, seg): done has key, node, depth, root, top, path; stuck are the nodes on
+    cycles and below them. ``up`` is null for roots; nodes whose parent isn't there, and those below them, have no root.
+
+    root is null below a missing parent; top is the ancestor right below the root, null for the root; path joins the
+    segments from the root down. (key, node) must be unique.
+    """
+    there = parents.select(F.col("key").alias("k"), F.col("node").alias("n"))
+    known = parents.join(there, (F.col("key") == F.col("k")) & (F.col("up") == F.col("n")), "left")
+    kind = dict(parents.dtypes)["node"]
+    lost, is_root = F.col("up").isNotNull() & F.col("n").isNull(), F.col("up").isNull()
+    nothing = F.lit(None).cast(kind)
+    state = staged(known.select("key", "node", F.when(~lost, F.col("up")).alias("up"), F.col("node").alias("low"), F.when(is_root | lost, 0).otherwise(1).cast("long").alias("depth"), F.when(is_root, F.col("node")).alias("root"), nothing.alias("top"), F.col("seg").alias("path")), "tree")
+    finished: list[DataFrame] = []
+    left = state.where("up is not null").count()
+    while left:
+        finished.append(state)
+        far = state.select(F.col("key").alias("k"), F.col("node").alias("n"), *[F.col(c).alias(f"a_{c}") for c in ("up", "low", "depth", "root", "top", "path")])
+        met = state.where("up is not null").join(far, (F.col("key") == F.col("k")) & (F.col("up") == F.col("n")))
+        arrived = F.col("a_up").isNull()
+        below = F.when(F.col("a_root") == F.col("n"), F.col("low")).otherwise(F.col("a_top"))
+        moved = met.select("key", "node", F.col("a_up").alias("up"), F.col("a_low").alias("low"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.when(arrived, F.col("a_root")).alias("root"), F.when(arrived, below).alias("top"), F.concat("a_path", F.lit("."), "path").alias("path"))
+        state = staged(state.where("up is null").union(moved), "tree")
+        drop_staged(finished.pop())
+        before, left = left, state.where("up is not null").count()
+        if left == before:  # a span at the least depth that is left would have arrived
+            break
+    return state.where("up is null").drop("up", "low"), state.where("up is not null").select("key", "node")
 
-def walked(spark: SparkSession, spans: DataFrame, levels: int = 100) -> DataFrame:
+
+def walked(spark: SparkSession, spans: DataFrame) -> DataFrame:
     """Every span reachable from a root: (trace_id, span_id, depth, root, top, path).
 
     top is the ancestor right below the root (null for the root itself); path orders spans depth first, siblings by
-    (start, end, type, id). A recursive query; ``levels`` bounds the depth.
+    (start, end, type, id). An only child's part of the path is empty, so that long chains have short paths.
+    """
+    by = Window.partitionBy("trace_id", "parent_id")
+    sibling = F.row_number().over(by.orderBy("start_us", "end_us", "span_type", "span_id"))
+    alone = F.count(F.lit(1)).over(by) == 1
+    nodes = spans.select(F.col("trace_id").alias("key"), F.col("span_id").alias("node"), F.col("parent_id").alias("up"), F.when(alone, "").otherwise(F.lpad(sibling.cast("string"), 8, "0")).alias("seg"))
+    done, _ = resolved(nodes.dropDuplicates(["key", "node"]))
+    return done.where("root is not null").select(F.col("key").alias("trace_id"), F.col("node").alias("span_id"), F.col("depth").cast("int").alias("depth"), "root", "top", "path")
+
+
+def cycles(spans: DataFrame) -> DataFrame:
+    """(trace_id, span_id) of the spans on cycles of parents and below these, each once.
+
+    A span whose parent is missing counts as a root here; that is a rule of its own. Of rows that share an id, one without
+    a parent counts, else that of the least parent.
     """
-    sibling = F.row_number().over(Window.partitionBy("trace_id", "parent_id").orderBy("start_us", "end_us", "span_type", "span_id"))
-    spans.select("trace_id", "span_id", "parent_id", F.lpad(sibling.cast("string"), 8, "0").alias("ordinal")).createOrReplaceTempView(view := f"walk_{uuid.uuid4().hex}")
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the number of spans isn't bounded
-    return spark.sql(
-        f"""WITH RECURSIVE w(trace_id, span_id, depth, root, top, path) MAX RECURSION LEVEL {levels} AS (
-        SELECT trace_id, span_id, 0, span_id, CAST(NULL AS BIGINT), ordinal FROM {view} WHERE parent_id IS NULL
-        UNION ALL
-        SELECT s.trace_id, s.span_id, w.depth + 1, w.root, coalesce(w.top, s.span_id), concat(w.path, '.', s.ordinal)
-        FROM w JOIN {view} s ON s.trace_id = w.trace_id AND s.parent_id = w.span_id)
-        SELECT * FROM w"""
-    )
+    up = F.when(F.count_if(F.col("parent_id").isNull()) == 0, F.min("parent_id")).alias("up")
+    nodes = spans.groupBy(F.col("trace_id").alias("key"), F.col("span_id").alias("node")).agg(up).withColumn("seg", F.lit(""))
+    _, stuck = resolved(nodes)
+    return stuck.select(F.col("key").alias("trace_id"), F.col("node").alias("span_id"))

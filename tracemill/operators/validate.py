@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.operators.trees import cycles
+
 
 def _said(df: DataFrame, rule: str, detail: str) -> DataFrame:
     return df.select("trace_id", F.lit(rule).alias("rule"), F.col(detail).cast("string").alias("detail"))
@@ -23,25 +24,15 @@ def span_violations(spans: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, rules)
 
 
-def cycles(spans: DataFrame, levels: int = 100) -> DataFrame:
-    """Spans that no walk down from a root reaches; ``levels`` bounds the depth, deeper traces raise an error.
+def envelope_violations(traces: DataFrame, spans: DataFrame, version: int = 1) -> DataFrame:
+    """traces: trace_id, schema_version. The version must be the one known, and there must be a span."""
+    empty = traces.join(spans.select("trace_id"), "trace_id", "left_anti").withColumn("nothing", F.lit(None).cast("string"))
+    return _said(traces.where(~F.coalesce(F.col("schema_version") == version, F.lit(False))), "schema_version", "schema_version").union(_said(empty, "no_spans", "nothing"))
 
-    A span whose parent is missing counts as a root here; that is a rule of its own.
-    """
-    spark = spans.sparkSession
-    up = spans.select("trace_id", "span_id", F.col("parent_id").alias("up")).distinct()
-    ids = up.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s")).distinct()
-    known = up.join(ids, (F.col("trace_id") == F.col("t")) & (F.col("up") == F.col("s")), "left").select("trace_id", "span_id", F.col("s").alias("up"))
-    view = f"walk_{uuid.uuid4().hex}"
-    known.createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    reached = spark.sql(
-        f"""WITH RECURSIVE r(trace_id, span_id) MAX RECURSION LEVEL {levels} AS (
-        SELECT trace_id, span_id FROM {view} WHERE up IS NULL
-        UNION ALL SELECT v.trace_id, v.span_id FROM r JOIN {view} v ON v.trace_id = r.trace_id AND v.up = r.span_id)
-        SELECT * FROM r"""
-    )
-    return known.select("trace_id", "span_id").distinct().join(reached, ["trace_id", "span_id"], "left_anti")
+
+def trace_id_violations(spans: DataFrame) -> DataFrame:
+    """spans: trace_id (of the file or table they are in), span_id, stated_trace_id; a null one is no statement."""
+    return _said(spans.where("stated_trace_id <> trace_id"), "other_trace", "span_id")
 
 
 def plan_violations(plans: DataFrame) -> DataFrame:
