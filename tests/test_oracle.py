@@ -50,7 +50,7 @@ def test_degraded(spark):
 
 
 @pytest.mark.skipif(not TABLES, reason="no tables")
-@pytest.mark.parametrize("name, key, ids", [("c10_flatten_all", "event_id", "SELECT event_id FROM events"), ("b17_report_all", "run_id", "SELECT o_orderkey FROM orders"), ("a19_truths_of_all", "item_id", "SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")])
+@pytest.mark.parametrize("name, key, ids", [("c10_flatten", "event_id", "SELECT event_id FROM events"), ("b17_report", "run_id", "SELECT o_orderkey FROM orders"), ("a19_truths_of_sample", "item_id", "SELECT DISTINCT item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")])
 def test_whole_tables(spark, duck, name, key, ids):
     found = queries()[name](spark, DATA).select(key).collect()
     assert sorted(r[0] for r in found) == sorted(r[0] for r in duck.execute(ids).fetchall())
@@ -59,7 +59,7 @@ def test_whole_tables(spark, duck, name, key, ids):
 def test_display_of_whole_texts(spark, tmp_path):
     texts = ["", " ", "\n\t", "  two words ", "\u00a0\u3000x y\u2028", "\x0b\x1c\x85z\n\n", "a", "\n b\n\nc \n", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r["doc_id"]: r["shown"] for r in queries()["c20_display_whole"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["shown"] for r in queries()["c20_display"](spark, str(tmp_path)).collect()}
     want = {i: hashlib.md5(((t or "").strip() or "<empty>").encode()).hexdigest() for i, t in enumerate(texts)}
-    theirs = duckdb.sql(oracle_sql()["c20_display_whole"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    theirs = duckdb.sql(oracle_sql()["c20_display"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
     assert found == want == dict(theirs)

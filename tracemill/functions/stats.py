@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.staging import staged
+
 DIGITS = 6
 
 
@@ -33,21 +35,38 @@ def kappa(a: Column, b: Column) -> Column:
     return F.when(chance < 1 - 1e-12, (agreed - chance) / (1 - chance))
 
 
-def average_rank(value: Column, keys: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, value)) - 1) / 2
+def less_than(counts: DataFrame, keys: list[str], value: str, total: str) -> DataFrame:
+    """``counts`` (keys, value, total, ...) with ``less``: the sum of ``total`` over the key's smaller values.
+
+    Rows are cut into ranges of (keys, value), each range is summed up by itself, and the sums of the ranges before are
+    added, so that no task orders all of a key. (keys, value) must be unique.
+    """
+    parts = staged(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*keys, "__p").agg(F.sum(total).alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)))
+    sums = sums.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate([*keys, "__p"])], "__b")
+    here = Window.partitionBy("__p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    on = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate([*keys, "__p"])]
+    out = parts.withColumn("__l", F.coalesce(F.sum(total).over(here), F.lit(0))).join(sums, on)
+    return out.select(*counts.columns, (F.col("__l") + F.col("__b")).alias("less"))
+
+
+def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the rank of each value among its key's, ties at their mean, by counts of equal values."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = less_than(counts, keys, value, "__c").select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, value])], (F.col("less") + (F.col("__c") + 1) / 2).alias(name))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate([*keys, value])]
+    return df.join(ranked, on, "left").drop(*[f"__k{i}" for i in range(len(keys) + 1)])
 
 
 def auroc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """Area under the ROC curve by rank sums, ties one half; null unless both classes occur.
 
-    Ranks come from counts of equal scores and a running sum over distinct scores, so one class or one frequent score
-    never has its rows sorted in one task.
+    Ranks come from counts of equal scores and running sums over ranges of distinct scores, so that neither one class nor
+    one frequent score nor all scores are sorted in one task.
     """
     counts = df.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    ranked = less_than(counts, keys, score, "n")
     wins = F.sum(F.col("p") * (F.col("less") + F.col("n") / 2))
     return ranked.groupBy(*keys).agg(F.try_divide(wins, (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 

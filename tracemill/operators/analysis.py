@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.stats import average_rank, guarded_corr, kappa, rounded
+from tracemill.functions.stats import guarded_corr, kappa, rounded, with_average_rank
 
 
 def macro_score(units: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:
@@ -51,7 +51,7 @@ def retest_pairs(values: DataFrame, item: list[str], repetition: str, value: str
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks of ties; null where a side is constant."""
-    ranked = pairs.select(*keys, average_rank(F.col(x), keys).alias("rx"), average_rank(F.col(y), keys).alias("ry"))
+    ranked = with_average_rank(with_average_rank(pairs.select(*keys, x, y), keys, x, "rx"), keys, y, "ry")
     return ranked.groupBy(*keys).agg(rounded(guarded_corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 

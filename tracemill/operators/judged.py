@@ -1,6 +1,7 @@
 """Metrics whose verdicts come from outside: a verdict table in, scores, skips, failures and usage out.
 
-A provider is a function from requests to verdicts (request, verdict columns); equal requests are judged once.
+A provider is a function from requests to verdicts (request, verdict columns); equal requests are judged once. A judge
+gives ``VERDICT`` columns, of which a metric reads its own; a claim extractor gives ``claims``.
 """
 
 from __future__ import annotations
@@ -10,6 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracemill.functions.scores import precision_at_relevant
+from tracemill.functions.text import non_empty
+from tracemill.operators.metrics import Metric, Registry, retrieval_skip, selected
+
+#: score: of the answer or plan; rankings: of each ranking's items, whether they are relevant; attributable: of each claim;
+#: failure: the class of what went wrong.
+VERDICT = "score double, rankings array<array<boolean>>, attributable array<boolean>, failure string, input_tokens long, output_tokens long"
+#: What claims are made of, by metric; stored ones are columns of the rows.
+STORED = {"contextual_recall_{}_stored_claims": ("claims", "selected", ("document", "snippet")), "contextual_recall_gold_claims": ("gold_claims", "retrieved", ("document",)), "contextual_recall_extracted_claims": ("extracted_claims", "retrieved", ("document",))}
+
 
 def judged_once(requests: DataFrame, text: str, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Requests with their verdicts; the provider sees every distinct request once, keyed by its SHA-256."""
@@ -72,3 +83,95 @@ def topological(walked: DataFrame, spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, number): parents before children, then by start and id."""
     w = Window.partitionBy("trace_id").orderBy("depth", "start_us", "span_id")
     return walked.select("trace_id", "span_id", "depth").join(spans.select("span_id", "start_us"), "span_id").select("trace_id", "span_id", F.row_number().over(w).cast("long").alias("number"))
+
+
+def asked(*parts: Column) -> Column:
+    """A request's text: its parts as paragraphs, nulls left out."""
+    return F.concat_ws("\n\n", *parts)
+
+
+def contents(kind: str, stage: str) -> Column:
+    """The texts of all available results, in order."""
+    there = F.filter(selected(F.col("retrieval"), kind, stage), lambda r: r["availability"] == "available")
+    return F.flatten(F.transform(there, lambda r: r["contents"]))
+
+
+def rendered_item(title: Column, text: Column, rank: Column | None = None, score: Column | None = None) -> Column:
+    """A retrieved item as a judge reads it: rank and score lines only where they are given, blank ones left out."""
+    lines = [F.concat(F.lit("Rank: "), rank.cast("string")) if rank is not None else None, F.concat(F.lit("Score: "), score.cast("string")) if score is not None else None, F.concat(F.lit("Title: "), non_empty(title)), F.concat(F.lit("Text: "), non_empty(text))]
+    return F.concat_ws("\n", *[x for x in lines if x is not None])
+
+
+def failed(fault: Column) -> Callable[[], Column]:
+    """The judge's failure, or a fault of its verdict; without a verdict there is none to find."""
+    failure = F.concat(F.lit("The judge failed: "), F.col("verdict.failure"), F.lit("."))
+    return lambda: F.when(F.col("verdict").isNull(), "The judge gave no verdict.").otherwise(F.coalesce(failure, fault))
+
+
+def register(r: Registry) -> None:
+    """The metrics of a judge: answer and plan correctness, contextual precision and recall of documents and snippets."""
+    for name, text, skip, binary in (
+        ("answer_correctness_judge", lambda: asked(F.col("request"), F.col("expected_output"), F.col("answer")), lambda: F.when(non_empty(F.col("answer")).isNull(), "Trace does not provide an answer."), True),
+        ("plan_correctness_judge", lambda: asked(F.col("request"), F.array_join("expected_plan", "\n"), F.array_join("executed_steps", "\n")), lambda: F.when(F.col("executed_steps").isNull(), "Trace does not provide executed steps."), False),
+    ):
+        r.register(Metric(name, "agent_root", lambda: F.col("verdict.score"), skip=skip, fail=lambda binary=binary: failed(bounded_score(F.col("verdict.score"), binary)[0])(), ground_truth_keys=("expected_output" if binary else "expected_plan",), needs=("judge",), request=lambda text=text, name=name: asked(F.lit(name), text())))
+    for kind in ("document", "snippet"):
+        rankings = lambda kind=kind: F.transform(F.filter(selected(F.col("retrieval"), kind, "selected"), lambda x: x["availability"] == "available"), lambda x: x["contents"])
+        sizes = lambda rankings=rankings: F.transform(rankings(), lambda x: F.size(x))
+        mean = lambda: F.try_divide(F.aggregate(F.transform("verdict.rankings", precision_at_relevant), F.lit(0.0), lambda s, v: s + v), F.size("verdict.rankings").cast("double"))
+        wrong = lambda sizes=sizes: F.when(~F.coalesce(F.transform("verdict.rankings", lambda x: F.size(x)) == sizes(), F.lit(False)), "The judge's verdicts don't match the items.")
+        name = f"contextual_precision_{kind}_judge"
+        r.register(Metric(name, "agent_root", lambda mean=mean: F.coalesce(mean(), F.lit(0.0)), skip=lambda kind=kind: retrieval_skip(F.col("retrieval"), kind, ranked=True, content=True), fail=lambda wrong=wrong: failed(wrong())(), ground_truth_keys=("expected_output",), needs=("judge",), request=lambda rankings=rankings, name=name: asked(F.lit(name), F.col("request"), F.array_join(F.flatten(rankings()), "\n"))))
+        recall(r, f"contextual_recall_{kind}_judge", kind, "selected", None, ("judge",))
+        recall(r, f"contextual_recall_{kind}_claim_extractor", kind, "selected", "extracted", ("judge", "claim_extractor"))
+    for name, (claims, stage, kinds) in STORED.items():
+        for kind in kinds:
+            recall(r, name.format(kind), kind, stage, claims, ("judge",))
+
+
+def recall(r: Registry, name: str, kind: str, stage: str, claims: str | None, needs: tuple[str, ...]) -> None:
+    """Attributable claims by claims. The judge itself takes the expected output apart where ``claims`` is null; an
+    extractor does where it is "extracted", unverifiable ones left out; else it is a column of texts, of which one at least
+    must be there. Without any content the score is 0 and nobody is asked."""
+    texts = None if claims is None else F.transform(verifiable(F.col("claims_found")), lambda c: c["text"]) if claims == "extracted" else F.col(claims)
+    empty = F.size(contents(kind, stage)) == 0
+    known = F.size(F.coalesce(F.col("verdict.attributable"), F.array().cast("array<boolean>"))) if texts is None else F.coalesce(F.size(texts), F.lit(0))
+    hits = F.size(F.filter("verdict.attributable", lambda x: x))
+    score = F.when(empty | (known == 0), 0.0).otherwise(hits / known)
+    skip = retrieval_skip(F.col("retrieval"), kind, stage, content=True)
+    mismatch = F.lit(None).cast("string") if texts is None else F.when(F.size("verdict.attributable") != known, "The judge's verdicts don't match the claims.")
+    none = F.lit(None).cast("string") if texts is None or claims == "extracted" else F.when(F.coalesce(F.size(texts), F.lit(0)) == 0, "Ground truth has no claims.")
+    unasked = empty if texts is None else empty | (known == 0)
+    fail = F.coalesce(none, F.when(~unasked, failed(mismatch)()))
+    parts = [F.col("expected_output")] if texts is None else [F.array_join(texts, "\n")]
+    r.register(Metric(name, "agent_root", lambda: score, skip=lambda: skip, fail=lambda: fail, ground_truth_keys=(claims or "expected_output",), needs=needs, request=lambda: asked(F.lit(name), F.col("request"), *parts, F.array_join(contents(kind, stage), "\n")), unasked=lambda: unasked, extract=(lambda: F.col("expected_output")) if claims == "extracted" else None))
+
+
+def with_verdicts(plan: DataFrame, metrics: list[Metric], judge: Callable[[DataFrame], DataFrame], extractor: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
+    """Planned rows with ``claims_found`` and ``verdict``. Skipped rows aren't asked about; equal requests are judged once.
+
+    judge: (request_hash, text) to (request_hash, ``VERDICT``); extractor: (request_hash, text) to (request_hash, claims
+    array<struct<text, kind>>).
+    """
+    by_name = lambda part: F.coalesce(*[F.when(F.col("metric") == m.name, part(m)) for m in metrics], F.lit(None))
+    skip = F.coalesce(F.col("skip_reason"), by_name(lambda m: m.skip()))
+    extracting = [m for m in metrics if m.extract]
+    if extracting:
+        texts = F.coalesce(*[F.when((F.col("metric") == m.name) & skip.isNull(), m.extract()) for m in extracting])
+        found = provided(plan, texts, extractor)
+        plan = found.withColumnRenamed("claims_", "claims_found")
+    request = F.coalesce(*[F.when((F.col("metric") == m.name) & skip.isNull() & ~m.unasked(), m.request()) for m in metrics if m.request])
+    out = provided(plan, request, judge)
+    names = [c.split()[0] for c in VERDICT.split(", ")]
+    verdict = F.when(F.col("__answered"), F.struct(*[F.col(f"{n}_").alias(n) for n in names]))
+    return out.withColumns({"verdict": verdict, "input_tokens": F.col("input_tokens_"), "output_tokens": F.col("output_tokens_")}).drop(*[f"{n}_" for n in names], "__answered")
+
+
+def provided(rows: DataFrame, text: Column, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows with the provider's columns, each with an underscore after its name, for the distinct texts; null texts aren't
+    asked about. Where the provider answers ``VERDICT`` columns, ``__answered`` says whether it did."""
+    keyed = rows.withColumns({"__text": text}).withColumn("__hash", F.sha2("__text", 256))
+    requests = keyed.where("__hash is not null").select(F.col("__hash").alias("request_hash"), F.col("__text").alias("text")).dropDuplicates(["request_hash"])
+    said = provider(requests).drop("text")
+    said = said.select(F.col("request_hash").alias("__hash"), *[F.col(c).alias(f"{c}_") for c in said.columns if c != "request_hash"], *([F.lit(True).alias("__answered")] if "rankings" in said.columns else []))
+    return keyed.join(said, "__hash", "left").drop("__hash", "__text")

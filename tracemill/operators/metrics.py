@@ -29,6 +29,11 @@ class Metric:
     mode: str = "SINGLE"
     needs: tuple[str, ...] = ()
     description: str = ""
+    #: The text a judge is asked, and where that is needless; the score then reads the column ``verdict``.
+    request: Callable[[], Column] | None = None
+    unasked: Callable[[], Column] = field(default=lambda: F.lit(False))
+    #: The text that a claim extractor is asked; the request then reads the column ``claims``.
+    extract: Callable[[], Column] | None = None
 
 
 class Registry:
@@ -59,7 +64,18 @@ class Registry:
         unknown = [k for k in keys if k not in self.metrics]
         if unknown:
             raise ValueError(f"unknown metrics: {', '.join(unknown)}")
-        return [self.metrics[k] for k in keys]
+        found = [self.metrics[k] for k in keys]
+        if clients is not None and (lacking := sorted(self.required_clients(names) - clients)):
+            raise ValueError(f"the metrics need: {', '.join(lacking)}")
+        return found
+
+    def available(self, clients: set[str]) -> list[str]:
+        """Names of the metrics that the clients at hand allow."""
+        return [m.name for m in self.select(None, clients)]
+
+    def required_clients(self, names: str | list[str] | None) -> set[str]:
+        """What the named metrics need, of judge and claim_extractor."""
+        return set().union(*[m.needs for m in self.select(names)])
 
 
 def selected(results: Column, kind: str, stage: str) -> Column:
@@ -100,9 +116,13 @@ def set_precision(predicted: Column, relevant: Column) -> tuple[Column, Column]:
     return skip, score
 
 
+def recall_of_counts(matched: Column, relevant: Column) -> tuple[Column, Column]:
+    """(skip reason, score) from the numbers of matched and of relevant ids."""
+    return F.when(relevant == 0, "No relevant IDs, so recall is undefined."), F.when(relevant > 0, matched / relevant)
+
+
 def set_recall(predicted: Column, relevant: Column) -> tuple[Column, Column]:
-    skip = F.when(F.size(relevant) == 0, "No relevant IDs, so recall is undefined.")
-    return skip, F.when(F.size(relevant) > 0, F.size(F.array_intersect(predicted, relevant)) / F.size(F.array_distinct(relevant)))
+    return recall_of_counts(F.size(F.array_intersect(predicted, relevant)), F.size(F.array_distinct(relevant)))
 
 
 def mean_ndcg(rankings: Column, relevant: Column, k: int = 10) -> Column:
@@ -142,7 +162,17 @@ def alignment(expected: Column, given: Column) -> dict[str, Column]:
 
 
 def built_in() -> Registry:
-    """The metrics that need no judge, over span rows with retrieval, relevant_document_ids and the like."""
+    """All metrics, over rows with answer, retrieval, relevant_document_ids and the like; those of a judge are added by
+    ``judged.register``."""
+    from tracemill.operators import judged
+
+    r = without_judge()
+    judged.register(r)
+    return r
+
+
+def without_judge() -> Registry:
+    """The metrics that need no judge."""
     r = Registry()
     r.register(Metric("llm_calls", "llm", lambda: F.col("n_spans").cast("double"), mode="GROUP", description="Number of model calls."))
     r.register(Metric("response_length", "agent_root", lambda: F.length("answer").cast("double"), skip=lambda: F.when(F.col("answer").isNull(), "Trace does not provide an answer.")))
@@ -171,4 +201,5 @@ def compute(plan: DataFrame, metrics: list[Metric]) -> DataFrame:
     for m in metrics:
         mine = F.col("metric") == m.name
         skip, fail, score = F.when(mine, m.skip()).otherwise(skip), F.when(mine, m.fail()).otherwise(fail), F.when(mine, m.score()).otherwise(score)
-    return plan.select("trace_id", "metric", "target_span_type", "span_ids", *result(F.coalesce(F.col("skip_reason"), skip), fail, score))
+    usage = [c for c in ("input_tokens", "output_tokens") if c in plan.columns]
+    return plan.select("trace_id", "metric", "target_span_type", "span_ids", *result(F.coalesce(F.col("skip_reason"), skip), fail, score), *usage)

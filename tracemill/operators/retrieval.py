@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scores import cosine
 from tracemill.functions.text import bm25_tokens
+from tracemill.staging import staged
 
 K1, B, RRF = 1.2, 0.75, 60
-#: A set of queries is sent to all executors if it has at most so many rows; beyond, it goes in blocks.
-SMALL = 10_000
+#: Queries are sent to all executors in blocks of about so many rows.
+BLOCK = 10_000
 
 
 def dense_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -21,9 +22,8 @@ def dense_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     Exact search needs all pairs: the stated query set is broadcast block by block, so that candidates aren't shuffled.
     """
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
-    small = q.limit(SMALL + 1).count() <= SMALL
-    blocks = [q] if small else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(64)) == i) for i in range(64)]
-    made = [candidates.crossJoin(F.broadcast(b) if small else b).select("query_id", "q_label", "vec_id", "label", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("score")) for b in blocks]
+    blocks = -(-q.count() // BLOCK) or 1
+    made = [candidates.crossJoin(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).select("query_id", "q_label", "vec_id", "label", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("score")) for i in range(blocks)]
     return reduce(DataFrame.union, made)
 
 
@@ -83,21 +83,42 @@ def hybrid(dense: DataFrame, sparse: DataFrame, key: str, item: str, top: int =
     return fused([dense.where(F.col("rank") <= top), sparse.where(F.col("rank") <= top)], key, item).where(F.col("position") <= k)
 
 
+def drawn(seed: int, *parts) -> Column:
+    """48 bits of the SHA-256 of the seed and the parts, which any engine can repeat."""
+    said = F.concat_ws(":", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("long")
+
+
+def next_prime(n: int) -> int:
+    """The least prime from ``n`` on, at least 3."""
+    n = max(3, n)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
 def degraded(results: DataFrame, pool: DataFrame, key: str, item: str, share: float, seed: int) -> DataFrame:
-    """Results with about ``share`` of each query's items swapped for distinct items outside them, by hash order.
+    """Results with ``share`` of each query's items, the fraction by chance, swapped for distinct items outside them.
 
-    pool: (item). Each query's candidates are the items of 64 hash buckets chosen by its hash; no list of all pairs.
+    pool: (item), all of which can be drawn: a query walks through the numbered pool in steps of its own, from a place of
+    its own, modulo a prime, so that no place comes twice; as many steps as it has results, swaps and numbers past the
+    pool are sure to meet enough others. No list of all pairs. ``ValueError`` if the pool has less than twice the results.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col(item).cast("string"))
-    ranked = results.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("__o", F.row_number().over(Window.partitionBy(key).orderBy(h, item)))
-    swap = F.floor(F.col("__n") * share + F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key).cast("string")), F.lit(1 << 20)) / float(1 << 20))
-    marked = ranked.withColumn("__swap", F.col("__o") <= swap)
-    asked = results.select(key).distinct().withColumn("__b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string"), i), F.lit(64)))))
-    others = pool.select(item).distinct().withColumn("__b", F.pmod(F.xxhash64(item), F.lit(64)))
-    offered = asked.distinct().join(others, "__b").select(key, item).join(results.select(key, item), [key, item], "left_anti")
-    offered = offered.withColumn("__o", F.row_number().over(Window.partitionBy(key).orderBy(h, item)))
-    new = offered.select(F.col(key).alias("__k"), F.col("__o").alias("__p"), F.col(item).alias("__new"))
-    out = marked.join(new, (F.col(key) == F.col("__k")) & (F.col("__o") == F.col("__p")) & F.col("__swap"), "left")
+    pool = shard_numbers(pool.select(item).distinct(), item).select(F.col(item).alias("__new"), F.col("row").alias("__row"))
+    sizes = results.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total, most = pool.count(), sizes.agg(F.max("__n")).first()[0] or 0
+    if total < 2 * most:
+        raise ValueError(f"swaps need at least {2 * most} items, the pool has {total}")
+    prime = next_prime(total)
+    sizes = sizes.withColumn("__swaps", F.floor(F.col("__n") * share + drawn(seed, key, F.lit("count")) / float(1 << 48)).cast("long"))
+    order = Window.partitionBy(key).orderBy(drawn(seed, key, item), item)
+    marked = results.withColumn("__o", F.row_number().over(order)).join(sizes.select(key, "__swaps"), key)
+    steps = F.sequence(F.lit(0).cast("long"), F.col("__n") + F.col("__swaps") + (prime - total) - 1)
+    walk = sizes.where("__swaps > 0").select(key, drawn(seed, key, F.lit("start")).alias("__start"), (1 + F.pmod(drawn(seed, key, F.lit("step")), F.lit(prime - 1))).alias("__step"), F.explode(steps).alias("__j"))
+    offered = walk.withColumn("__row", F.pmod(F.pmod("__start", F.lit(prime)) + F.col("__j") * F.col("__step"), F.lit(prime))).join(pool, "__row")
+    offered = offered.join(results.select(key, F.col(item).alias("__new")), [key, "__new"], "left_anti")
+    new = offered.select(F.col(key).alias("__k"), F.row_number().over(Window.partitionBy(key).orderBy("__j")).alias("__p"), "__new")
+    out = marked.join(new, (F.col(key) == F.col("__k")) & (F.col("__o") == F.col("__p")) & (F.col("__o") <= F.col("__swaps")), "left")
     return out.select(key, "rank", F.coalesce("__new", item).alias(item), F.col("__new").isNotNull().alias("swapped"))
 
 
@@ -112,7 +133,7 @@ def shard_numbers(df: DataFrame, key: str, size: int = 2048) -> DataFrame:
 
     Ranges of keys are counted first and each range is numbered by itself, so that no task orders all rows.
     """
-    parts = df.repartitionByRange(key).withColumn("__p", F.spark_partition_id())
+    parts = staged(df.repartitionByRange(key).withColumn("__p", F.spark_partition_id()), "ranges")
     counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("c"))
     before = counts.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("c")
     n = F.row_number().over(Window.partitionBy("__p").orderBy(key)) + F.col("before") - 1

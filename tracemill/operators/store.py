@@ -44,11 +44,41 @@ def fail_running(df: DataFrame, end_time: Column) -> DataFrame:
 
 
 def merged_json(old: Column, new: Column) -> Column:
-    """A shallow merge of JSON objects with scalar values, the new one's keys winning; null counts as empty."""
-    kind = "map<string,string>"
+    """A shallow merge of JSON objects, the new one's keys winning, whatever their values are; what is no object counts as empty.
+
+    Values keep their types; keys come in the order of their code points, which also tells equal results apart from others.
+    """
+    kind = "map<string,variant>"
     empty = F.create_map().cast(kind)
-    before, after = F.coalesce(F.from_json(old, kind), empty), F.coalesce(F.from_json(new, kind), empty)
-    return F.to_json(F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k)), after))
+    opened = lambda c: F.coalesce(F.try_variant_get(F.try_parse_json(c), "$", kind), empty)
+    before, after = opened(old), opened(new)
+    merged = F.map_concat(F.map_filter(before, lambda k, v: ~F.map_contains_key(after, k)), after)
+    keys = F.array_sort(F.map_keys(merged))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(merged, k))))
+
+
+def status_updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Rows with the columns of ``changes`` set where these aren't null; the status is always set. Unknown keys change
+    nothing. changes: key, status and further columns, at most one row for each key."""
+    new = changes.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__new_{c}") for c in changes.columns if c != key])
+    met = rows.join(new, F.col(key) == F.col("__key"), "left")
+    return met.select(*[F.coalesce(f"__new_{c}", c).alias(c) if c in changes.columns and c != key else F.col(c) for c in rows.columns])
+
+
+def inserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old and new rows; ``ValueError`` if a new key is there or comes twice."""
+    taken = new.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).union(new.select(key).join(old.select(key), key, "left_semi"))
+    if not taken.isEmpty():
+        raise ValueError(f"{key} is there already: {taken.first()[0]!r}")
+    return old.unionByName(new)
+
+
+def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old rows, those of the new keys replaced as a whole; ``LookupError`` if a key isn't there."""
+    unknown = new.select(key).join(old.select(key), key, "left_anti")
+    if not unknown.isEmpty():
+        raise LookupError(f"no row with {key} = {unknown.first()[0]!r}")
+    return old.join(new.select(key), key, "left_anti").unionByName(new).select(*old.columns)
 
 
 def targeting_fault(span_ids: Column, mode: Column, status: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip
 from tracemill.operators import report as reports
+from tracemill.operators.judged import with_verdicts
 from tracemill.operators.metrics import Registry, built_in, compute
 from tracemill.operators.normalize import ADAPTERS
 from tracemill.operators.validate import span_violations
@@ -37,15 +40,25 @@ def bind_samples(requests: DataFrame, samples: DataFrame) -> tuple[DataFrame, Da
     return met.where(good).select("trace_id", "sample_id"), met.where(F.coalesce(~good, F.lit(True))).select("trace_id", "samples", "traces")
 
 
-def evaluate(rows: DataFrame, spans: DataFrame, registry: Registry | None = None, names: str | list[str] | None = None, source_run: DataFrame | None = None) -> DataFrame:
+#: What metrics read of a trace; columns that rows don't have are null.
+RESULT = "struct<kind:string,stage:string,availability:string,reason:string,ids:array<string>,contents:array<string>,ranked:boolean>"
+ROW = {"request": "string", "answer": "string", "expected_output": "string", "expected_plan": "array<string>", "executed_steps": "array<string>", "retrieval": f"array<{RESULT}>", "relevant_document_ids": "array<string>", "relevant_snippet_ids": "array<string>", "claims": "array<string>", "gold_claims": "array<string>", "extracted_claims": "array<string>"}
+
+
+def evaluate(rows: DataFrame, spans: DataFrame, registry: Registry | None = None, names: str | list[str] | None = None, source_run: DataFrame | None = None, judge: Callable | None = None, extractor: Callable | None = None) -> DataFrame:
     """Computations of the selected metrics. rows: a row for each trace with what the metrics read; spans: trace_id,
-    span_type, start_us, span_id; ``source_run`` (trace_id) repeats only a former run's traces."""
-    chosen = (registry or built_in()).select(names)
+    span_type, start_us, span_id; ``source_run`` (trace_id) repeats only a former run's traces. Without names all metrics
+    run that the judge and the extractor at hand allow; see ``judged.with_verdicts`` for these."""
+    clients = {name for name, c in (("judge", judge), ("claim_extractor", extractor)) if c is not None}
+    chosen = (registry or built_in()).select(names, clients)
     if source_run is not None:
         rows = rows.join(source_run.select("trace_id").distinct(), "trace_id", "left_semi")
         spans = spans.join(source_run.select("trace_id").distinct(), "trace_id", "left_semi")
-    planned = plan(rows, spans, targets(rows.sparkSession, chosen))
-    return compute(planned.join(rows, "trace_id").withColumn("n_spans", F.size("span_ids")), chosen)
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in ROW.items() if c not in rows.columns})
+    planned = plan(rows, spans, targets(rows.sparkSession, chosen)).join(rows, "trace_id").withColumn("n_spans", F.size("span_ids"))
+    if any(m.request for m in chosen):
+        planned = with_verdicts(planned, chosen, judge, extractor)
+    return compute(planned, chosen)
 
 
 def report(runs: DataFrame, run_samples: DataFrame, computations: DataFrame, run_id, wanted: list[str]) -> str:

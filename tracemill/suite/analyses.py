@@ -144,7 +144,7 @@ def _(t: Lens) -> DataFrame:
 @query("f10_average_ranks", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000)) + (count(*) OVER (PARTITION BY s_nationkey, floor(s_acctbal / 1000)) - 1) / 2 AS rank FROM supplier")
 def _(t: Lens) -> DataFrame:
     s = t.table("supplier").withColumn("v", F.floor(F.col("s_acctbal") / 1000))
-    return s.select("s_suppkey", stats.average_rank(F.col("v"), ["s_nationkey"]).alias("rank"))
+    return stats.with_average_rank(s.select("s_suppkey", "s_nationkey", "v"), ["s_nationkey"], "v", "rank").select("s_suppkey", "rank")
 
 
 @query("f11_evidence", "SELECT trace_id, event_type, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY first_us, span_id) AS BIGINT) AS position FROM (SELECT trace_id, event_type, min(start_us) AS first_us, arg_min(span_id, (start_us, span_id)) AS span_id FROM span GROUP BY ALL) q", "span")
@@ -189,31 +189,47 @@ def _(t: Lens) -> DataFrame:
     return retrieval.dense_top(*t.dense(), 50).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
-RANKINGS = "x AS (SELECT l_orderkey % 50 AS q, l_partkey AS i, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_extendedprice DESC, l_partkey) AS rk FROM (SELECT l_orderkey % 50 AS l_orderkey, l_partkey, max(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY ALL) z), y AS (SELECT l_orderkey % 50 AS q, l_partkey AS i, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_quantity DESC, l_partkey) AS rk FROM (SELECT l_orderkey % 50 AS l_orderkey, l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL) z), rr AS (SELECT coalesce(a.q, b.q) AS q, coalesce(a.i, b.i) AS i, a.rk AS r0, b.rk AS r1, round(coalesce(1.0 / (60 + a.rk), 0) + coalesce(1.0 / (60 + b.rk), 0), 12) AS score FROM (SELECT * FROM x WHERE rk <= 50) a FULL JOIN (SELECT * FROM y WHERE rk <= 50) b ON a.q = b.q AND a.i = b.i), fu AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, least(coalesce(r0, 1000000), coalesce(r1, 1000000)), coalesce(r0, 1000000), coalesce(r1, 1000000), i) AS position FROM rr)"
+#: Dense and sparse rankings of the documents for each benchmark item: an item's vector is that of its number, as a document's is.
+BOTH = f"""{BM25}, dv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), dq AS (SELECT item_id, v FROM benchmark JOIN dv ON vec_id = item_id), dd AS (SELECT doc_id, v FROM documents JOIN dv ON vec_id = doc_id),
+x AS (SELECT item_id AS q, doc_id AS i, row_number() OVER (PARTITION BY item_id ORDER BY round(list_cosine_similarity(dq.v, dd.v), 6) DESC, doc_id) AS rk FROM dq CROSS JOIN dd),
+y AS (SELECT item_id AS q, doc_id AS i, rk FROM bmr),
+rr AS (SELECT coalesce(a.q, b.q) AS q, coalesce(a.i, b.i) AS i, a.rk AS r0, b.rk AS r1 FROM (SELECT * FROM x WHERE rk <= 50) a FULL JOIN (SELECT * FROM y WHERE rk <= 50) b ON a.q = b.q AND a.i = b.i),
+fu AS (SELECT q, i, row_number() OVER (PARTITION BY q ORDER BY round(coalesce(1.0 / (60 + r0), 0) + coalesce(1.0 / (60 + r1), 0), 12) DESC, least(coalesce(r0, 1073741824), coalesce(r1, 1073741824)), r0 NULLS LAST, r1 NULLS LAST, i) AS position FROM rr)"""
 
 
 def rankings(t: Lens) -> list[DataFrame]:
-    out = []
-    for value in ("l_extendedprice", "l_quantity"):
-        one = t.table("lineitem").groupBy((F.col("l_orderkey") % 50).alias("q"), F.col("l_partkey").alias("i")).agg(F.max(value).alias("score"))
-        out.append(retrieval.top_k(one, 50, "q", "i"))
-    return out
+    """The 50 best documents of each benchmark item by cosine and by BM25: (q, i, rank)."""
+    vectors = t.table("embeddings").select("vec_id", "embedding", "label")
+    asked = t.table("benchmark").select(F.col("item_id").alias("vec_id")).join(vectors, "vec_id")
+    there = t.table("documents").select(F.col("doc_id").alias("vec_id")).join(vectors, "vec_id")
+    dense = retrieval.dense_top(asked, there, 50)
+    return [dense.select(F.col("query_id").alias("q"), F.col("vec_id").alias("i"), "rank"), sparse_top(t).select(F.col("item_id").alias("q"), F.col("doc_id").alias("i"), "rank")]
 
 
-@query("r04_rrf", f"WITH {RANKINGS} SELECT q, i, CAST(position AS BIGINT) AS position FROM fu")
+@query("r04_rrf", f"WITH {BOTH} SELECT q, i, CAST(position AS BIGINT) AS position FROM fu")
 def _(t: Lens) -> DataFrame:
     return retrieval.fused(rankings(t), "q", "i").select("q", "i", F.col("position").cast("long").alias("position"))
 
 
-@query("r05_hybrid", f"WITH {RANKINGS} SELECT q, i, p_name AS payload, CAST(position AS BIGINT) AS position FROM fu JOIN part ON p_partkey = i WHERE position <= 10")
+@query("r05_hybrid", f"WITH {BOTH} SELECT q, i, md5(text) AS payload, CAST(position AS BIGINT) AS position FROM fu JOIN documents ON doc_id = i WHERE position <= 10")
 def _(t: Lens) -> DataFrame:
     best = retrieval.hybrid(*rankings(t), "q", "i")
-    return best.join(t.table("part").select(F.col("p_partkey").alias("i"), F.col("p_name").alias("payload")), "i").select("q", "i", "payload", F.col("position").cast("long").alias("position"))
+    return best.join(t.table("documents").select(F.col("doc_id").alias("i"), F.md5("text").alias("payload")), "i").select("q", "i", "payload", F.col("position").cast("long").alias("position"))
 
 
-@query("r06_degraded")
+DRAWN = "CAST('0x' || left(sha256(concat_ws(':', '7', {})), 12) AS BIGINT)"
+
+
+@query("r06_degraded", f"""WITH {BOTH}, best AS (SELECT q, i, position AS rank FROM fu WHERE position <= 10),
+pool AS (SELECT p_partkey AS i, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part), m AS (SELECT count(*) AS m FROM pool),
+pr AS (SELECT m, min(c) AS p FROM m, LATERAL (SELECT unnest(range(m, m + 1000)) AS c) x WHERE len(list_filter(range(2, CAST(floor(sqrt(c)) AS BIGINT) + 1), lambda d: c % d = 0)) = 0 GROUP BY m),
+sz AS (SELECT q, count(*) AS n, CAST(floor(count(*) * CAST(0.4 AS DOUBLE) + {DRAWN.format("q, 'count'")} / CAST(281474976710656 AS DOUBLE)) AS BIGINT) AS swaps FROM best GROUP BY q),
+mk AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY {DRAWN.format("q, i")}, i) AS o FROM best JOIN sz USING (q)),
+wk AS (SELECT q, j, ({DRAWN.format("q, 'start'")} % p + j * (1 + {DRAWN.format("q, 'step'")} % (p - 1))) % p AS place FROM (SELECT q, n, swaps, p, unnest(range(n + swaps + p - m)) AS j FROM sz, pr) z),
+nw AS (SELECT q, pool.i AS new, row_number() OVER (PARTITION BY q ORDER BY j) AS k FROM wk JOIN pool USING (place) WHERE (q, pool.i) NOT IN (SELECT (q, i) FROM best))
+SELECT mk.q, mk.rank, coalesce(CASE WHEN o <= swaps THEN new END, mk.i) AS i, o <= swaps AND new IS NOT NULL AS swapped FROM mk LEFT JOIN nw ON nw.q = mk.q AND nw.k = mk.o""")
 def _(t: Lens) -> DataFrame:
-    best = retrieval.hybrid(*rankings(t), "q", "i").withColumn("rank", F.col("position"))
+    best = retrieval.hybrid(*rankings(t), "q", "i").withColumn("rank", F.col("position").cast("long"))
     return retrieval.degraded(best, t.table("part").select(F.col("p_partkey").alias("i")), "q", "i", 0.4, 7)
 
 
@@ -226,13 +242,13 @@ def _(t: Lens) -> DataFrame:
 
 
 def flagship(t: Lens) -> DataFrame:
-    """Recall of dense retrieval by label: top 10 by cosine, set recall with its skip rule, one report row."""
+    """Recall of dense retrieval by label: top 10 by cosine, recall by counts with its skip rule, one report row."""
     q, c = t.dense()
-    predicted = retrieval.dense_top(q, c, 10).groupBy("query_id").agg(F.collect_set("vec_id").alias("predicted"))
-    relevant = c.groupBy("label").agg(F.collect_set("vec_id").alias("relevant"))
-    rows = q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(predicted, "query_id", "left")
-    rows = rows.withColumn("relevant", F.coalesce("relevant", F.array().cast("array<bigint>")))
-    skip, score = metrics.set_recall(F.col("predicted"), F.col("relevant"))
+    top = retrieval.dense_top(q, c, 10)
+    hits = top.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("q_label")).alias("hits"))
+    relevant = c.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
+    rows = q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(hits, "query_id", "left")
+    skip, score = metrics.recall_of_counts(F.coalesce("hits", F.lit(0)), F.coalesce("relevant", F.lit(0)))
     done = rows.select(*metrics.result(skip, F.lit(None).cast("string"), score))
     scored = F.when(F.col("status") == "COMPLETED", F.col("score"))
     return done.agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), *stats.score_stats(scored), F.round(F.coalesce(F.try_divide(F.count(scored).cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)), 6).alias("coverage"))

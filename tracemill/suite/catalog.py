@@ -122,11 +122,15 @@ def _(t: Lens) -> DataFrame:
     return store.status_if_current(t.runs(), F.col("agent_id") % 2 == 0, ["RUNNING", "PARTIALLY_COMPLETED"], "FAILED").select("run_id", "status")
 
 
-@query("b10_merge_metadata", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 2 = 0 THEN 'new' END AS tag FROM events")
-def _(t: Lens) -> DataFrame:
-    new = F.when(F.col("event_id") % 2 == 0, F.lit('{"tag": "new"}'))
-    merged = store.merged_json(F.col("props"), new)
-    return t.table("events").select("event_id", F.get_json_object(merged, "$.k").cast("long").alias("k"), F.get_json_object(merged, "$.tag").alias("tag"))
+@query("b10_merge_metadata", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a":' || k || ',"n":null,"o":{"x":[1,2.5,"y"]},"t":true}'
+ WHEN 1 THEN '{"a":"' || k || '","b":[],"n":null,"o":{"z":' || k || '},"t":true}' WHEN 2 THEN '{"a":"' || k || '","b":[],"o":{"z":' || k || '}}' ELSE '{}' END AS metadata
+ FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) q""")
+def _(t: Lens) -> DataFrame:
+    """Numbers, lists, objects, nulls and text keep their types; whole JSON texts are compared."""
+    k, c = F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    old = F.when(c < 2, F.concat(F.lit('{"t": true, "o": {"x": [1, 2.5, "y"]}, "n": null, "a": '), k, F.lit("}")))
+    new = F.when(c.isin(1, 2), F.concat(F.lit('{"o": {"z": '), k, F.lit('}, "b": [], "a": "'), k, F.lit('"}')))
+    return t.table("events").select("event_id", store.merged_json(old, new).alias("metadata"))
 
 
 @query("b11_fail_running", "SELECT run_id, CASE WHEN status = 'RUNNING' THEN 'FAILED' ELSE status END AS status, CASE WHEN status = 'RUNNING' THEN 1 ELSE 0 END AS end_time FROM run", "run")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import scores, text
-from tracemill.operators import metrics, normalize, report, trees, validate
+from tracemill.operators import judged, metrics, normalize, report, trees, validate
 from tracemill.plans import planner
 from tracemill.plans.lens import SQL, Lens
 from tracemill.suite import query
@@ -54,11 +56,6 @@ def _(t: Lens) -> DataFrame:
     return normalize.envelopes(t.spans(), "start_us", "end_us")
 
 
-@query("c10_flatten", "SELECT event_id, props AS a_b, 'x' AS c FROM events WHERE event_id % 7 = 0")
-def _(t: Lens) -> DataFrame:
-    return flattened(t.table("events").where("event_id % 7 = 0"))
-
-
 def flattened(events: DataFrame) -> DataFrame:
     nested = F.to_json(F.struct(F.struct(F.from_json("props", "k int").alias("b")).alias("a"), F.lit("x").alias("c")))
     m = normalize.flattened(nested)
@@ -66,17 +63,37 @@ def flattened(events: DataFrame) -> DataFrame:
     return events.select("event_id", back.alias("a_b"), F.try_element_at(m, F.lit("c")).alias("c"))
 
 
-@query("c10_flatten_all", "SELECT event_id, props AS a_b, 'x' AS c FROM events")
+@query("c10_flatten", "SELECT event_id, props AS a_b, 'x' AS c FROM events")
 def _(t: Lens) -> DataFrame:
     return flattened(t.table("events"))
 
 
-@query("c13_violations", "SELECT trace_id, 'negative_duration' AS rule, CAST(span_id AS VARCHAR) AS detail FROM span WHERE end_us - 5000000 < start_us UNION ALL SELECT trace_id, 'missing_parent', CAST(parent_id AS VARCHAR) FROM span s WHERE parent_id IS NOT NULL AND span_id % 97 <> 5 AND parent_id % 97 = 5", "span")
-def _(t: Lens) -> DataFrame:
-    s = t.spans().withColumn("end_us", F.col("end_us") - 5000000)
-    broken = s.where("span_id % 97 <> 5")
-    found = validate.span_violations(s).where("rule <> 'missing_parent'")
-    return found.union(validate.span_violations(broken).where("rule = 'missing_parent'"))
+@query("c13_violations", """, e AS (SELECT *, CASE WHEN span_id % 11 IN (6, 7) AND 2 * rn <= count(*) OVER (PARTITION BY trace_id) THEN 0 ELSE span_id % 11 END AS c FROM span), t AS (SELECT trace_id, arg_min(span_id, rn) AS root FROM span GROUP BY trace_id)
+SELECT trace_id, 'negative_duration' AS rule, CAST(span_id AS VARCHAR) AS detail FROM e WHERE end_us - 5000000 < start_us
+UNION ALL SELECT trace_id, 'missing_parent', '-5' FROM e WHERE c = 5
+UNION ALL SELECT trace_id, 'cycle', CAST(span_id AS VARCHAR) FROM e WHERE c = 6
+UNION ALL SELECT trace_id, 'cycle', CAST(-1000 - span_id AS VARCHAR) FROM e WHERE c IN (6, 7)
+UNION ALL SELECT trace_id, 'cycle', CAST(span_id AS VARCHAR) FROM e WHERE c = 7
+UNION ALL SELECT trace_id, 'duplicate_span_id', CAST(-2000000000 - span_id AS VARCHAR) FROM e WHERE c = 8
+UNION ALL SELECT -1 - trace_id, 'no_spans', NULL FROM t
+UNION ALL SELECT trace_id, 'schema_version', '2' FROM t WHERE trace_id % 3 = 0
+UNION ALL SELECT trace_id, 'other_trace', CAST(root AS VARCHAR) FROM t WHERE trace_id % 4 = 0""", "span")
+def _(t: Lens) -> DataFrame:
+    """Each rule is broken by the spans of one class of ids: a parent that isn't there (5), a leaf above itself (6), two
+    spans above each other, one of them a leaf (7), a span that comes twice (8); and by traces without spans, of another version, and with
+    a span that names another trace."""
+    s, n = t.spans(), F.count(F.lit(1)).over(Window.partitionBy("trace_id"))
+    s = s.withColumns({"end_us": F.col("end_us") - 5000000, "c": F.when((F.col("span_id") % 11).isin(6, 7) & (2 * F.col("rn") <= n), 0).otherwise(F.col("span_id") % 11)})
+    columns = ["trace_id", "span_id", "parent_id", "start_us", "end_us"]
+    extra = lambda c, span, parent: s.where(F.col("c").isin(c)).select("trace_id", span.alias("span_id"), parent.alias("parent_id"), F.lit(0).cast("long").alias("start_us"), F.lit(1).cast("long").alias("end_us"))
+    other, nobody = -1000 - F.col("span_id"), F.lit(None).cast("long")
+    twice = extra([8], -2000000000 - F.col("span_id"), nobody)
+    spans = s.withColumn("parent_id", F.when(F.col("c") == 5, F.lit(-5)).when(F.col("c") == 6, F.col("span_id")).when(F.col("c") == 7, other)).select(*columns)
+    spans = reduce(DataFrame.union, [spans, extra([6, 7], other, F.col("span_id")), twice, twice])
+    heads = t.spans().groupBy("trace_id").agg(F.min_by("span_id", "rn").alias("root"))
+    traces = heads.select("trace_id", F.when(F.col("trace_id") % 3 == 0, 2).otherwise(1).alias("schema_version")).union(heads.select(-1 - F.col("trace_id"), F.lit(1)))
+    stated = heads.select("trace_id", F.col("root").alias("span_id"), F.when(F.col("trace_id") % 4 == 0, -1).otherwise(F.col("trace_id")).alias("stated_trace_id"))
+    return validate.span_violations(spans).union(validate.envelope_violations(traces, spans)).union(validate.trace_id_violations(stated))
 
 
 @query("c13_plan_violations", """, p AS (SELECT *, span_id % 11 AS c FROM span)
@@ -127,12 +144,7 @@ def _(t: Lens) -> DataFrame:
     return t.spans().select("span_id", F.array_join(ids, ",").alias("ids"), fault.alias("fault"))
 
 
-@query("c20_display", "SELECT doc_id, coalesce(nullif(regexp_replace(left(text, 1) || '  ', '^\\s+|\\s+$', '', 'g'), ''), '<empty>') AS shown FROM documents")
-def _(t: Lens) -> DataFrame:
-    return t.table("documents").select("doc_id", text.display(F.concat(F.substring("text", 1, 1), F.lit("  "))).alias("shown"))
-
-
-@query("c20_display_whole", "SELECT doc_id, md5(coalesce(nullif(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g'), ''), '<empty>')) AS shown FROM documents")
+@query("c20_display", "SELECT doc_id, md5(coalesce(nullif(regexp_replace(text, '^[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+|[\\s\\x0b\\x1c-\\x1f\\x{85}\\p{Z}]+$', '', 'g'), ''), '<empty>')) AS shown FROM documents")
 def _(t: Lens) -> DataFrame:
     return t.table("documents").select("doc_id", F.md5(text.display(F.col("text"))).alias("shown"))
 
@@ -260,9 +272,9 @@ def _(t: Lens) -> DataFrame:
     return report.metric_scores(t.computations()).select("metric", F.col("mean").alias("avg"), "min", "max", "stddev", "n")
 
 
-@query("e14_scores_descending", "SELECT score, l_partkey, l_suppkey FROM comp WHERE metric = 'AF' AND status = 'COMPLETED' AND score IS NOT NULL ORDER BY score DESC, us, l_partkey, l_suppkey LIMIT 25", "comp")
+@query("e14_scores_descending", "SELECT score, l_partkey, l_suppkey FROM comp WHERE metric = 'AF' AND status = 'COMPLETED' AND score IS NOT NULL ORDER BY score DESC, us, l_partkey, l_suppkey", "comp")
 def _(t: Lens) -> DataFrame:
-    return t.computations().where("metric = 'AF' and status = 'COMPLETED' and score is not null").orderBy(F.desc("score"), "us", "l_partkey", "l_suppkey").limit(25).select("score", "l_partkey", "l_suppkey")
+    return t.computations().where("metric = 'AF' and status = 'COMPLETED' and score is not null").orderBy(F.desc("score"), "us", "l_partkey", "l_suppkey").select("score", "l_partkey", "l_suppkey")
 
 
 @query("e15_counts", "SELECT 'run' AS entity, count(*) AS n FROM run UNION ALL SELECT 'sample', count(*) FROM rs UNION ALL SELECT 'computation', count(*) FROM comp UNION ALL SELECT 'span', count(*) FROM span", "run rs comp span")
@@ -396,12 +408,15 @@ def _(t: Lens) -> DataFrame:
     return report.judged_precision(verdicts).select(F.col("unit_id").alias("query_id"), F.round("score", 6).alias("score"))
 
 
-@query("m14_contextual_recall", "SELECT d.doc_id, round(CASE WHEN length(d.text) % 5 = 0 THEN 0 ELSE (length(d.text) % 3) / (1 + length(d.text) % 5) END, 6) AS score FROM documents d WHERE length(d.text) % 3 <= 1 + length(d.text) % 5")
+@query("m14_contextual_recall", """WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS claim FROM documents)
+SELECT doc_id, count(*) AS claims, CAST(count(*) FILTER (WHERE doc_id % 5 <> 0 AND length(claim) % 3 > 0) AS BIGINT) AS attributed, round(count(*) FILTER (WHERE doc_id % 5 <> 0 AND length(claim) % 3 > 0) / count(*), 6) AS score FROM c GROUP BY doc_id""")
 def _(t: Lens) -> DataFrame:
-    n = F.length("text")
-    docs = t.table("documents").where(n % 3 <= 1 + n % 5)
-    claims = F.when(n % 5 == 0, 0).otherwise(1 + n % 5)
-    return docs.select("doc_id", F.round(metrics.contextual_recall(n % 3, claims), 6).alias("score"))
+    """A document's lines are its claims; a judge said of each whether it is attributable. Every fifth has no context."""
+    claims = t.table("documents").select(F.col("doc_id").alias("unit_id"), F.posexplode(F.split("text", "\n", -1)).alias("claim_id", "claim"))
+    verdicts = claims.select("unit_id", "claim_id", (F.length("claim") % 3 > 0).alias("attributable"))
+    items = t.table("documents").select(F.col("doc_id").alias("unit_id"), F.when(F.col("doc_id") % 5 == 0, 0).otherwise(3).alias("items"))
+    found = judged.claim_recall(claims, verdicts, items)
+    return found.select(F.col("unit_id").alias("doc_id"), "claims", F.col("attributed").cast("long").alias("attributed"), F.round("score", 6).alias("score"))
 
 
 @query("m22_alignment", "SELECT conv_id, array_to_string(list_sort(list_filter(range(1, len(executed) + 1), lambda i: i % 3 = 0 AND i <> 3)), ',') AS missing, CASE WHEN len(executed) > 0 THEN '99' ELSE '' END AS \"unknown\", CASE WHEN len(executed) >= 1 THEN '1' ELSE '' END AS repeated FROM conv", "conv")
