@@ -5,8 +5,9 @@ shifted circularly by k, gives the k-th coordinate: two permutations make the wh
 bands; documents that share a band are candidates, and candidates are linked if their full shingle sets have
 100 * intersection >= 75 * union. With 30 bands of 4 rows a pair at exactly 0.75 is missed with probability 1.2e-5.
 
-Equal sets are one class from the start, and only classes are compared. Shingles that no other candidate has bound
-what a document can share, and a pair whose bounds forbid a link is not compared. Inside a bucket no list of all pairs is
+Equal sets are one class from the start, and only classes are compared. Each set's shingles are also counted, odd or
+even, in 1,024 places: two sets differ by at least one shingle where these differ, so that most pairs that aren't similar
+enough are ruled out, and none that is, before full sets are compared. Inside a bucket no list of all pairs is
 made: each member meets a few centres, links are joined to components, and what is left of the bucket (members of different
 components that have not met) meets further centres, round after round, until nothing is left; a round's
 work is bounded by its centres times the rows, and no pair between components is dropped.
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, mix64, small_batches, staged
+from .common import col, drop_staged, free_names, mix64, sliced, staged
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 30, 4
@@ -34,6 +35,9 @@ BANDS, ROWS = 30, 4
 #: places that large classes are dealt out to.
 CENTRES, MOST_CENTRES, DEALT = 128, 1 << 16, 16
 MAX_WORDS = 150_000
+#: Bits of a set's parities.
+PARITY = 1024
+MARK = F.xxhash64
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -105,40 +109,47 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """For each of PARITY places of a set's hashes, whether an odd number of them falls there: as 64-bit words.
+
+    Places where two sets' words differ hold at least one shingle that only one of the sets has, so their number is a
+    lower bound of what the sets don't share.
+    """
+    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & PARITY - 1, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, a, b, keys): the set's size, its digest in two halves, and its bands' keys."""
-    small_batches(docs.sparkSession)
+    """(doc_id, mark, n, a, b, keys): mark tells texts of one id apart; the set's size, its digest in two halves, and its
+    bands' keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
-        for batch in batches:
-            sets = [make.set_of(t) for t in batch.column(1).to_pylist()]
+        for batch in sliced(batches):
+            sets = [make.set_of(t) for t in batch.column(2).to_pylist()]
             digests = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s.tobytes()) for s in sets]), np.int64).reshape(-1, 2)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys: list = [None] * len(sets)
             if full:
                 for i, k in zip(full, band_keys(signatures([sets[i] for i in full])), strict=True):
                     keys[i] = k
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "a", "b", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "n", "a", "b", "keys"])
 
     key = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, n long, a long, b long, keys array<long>")
+    return docs.select("doc_id", MARK("text").alias("mark"), "text").mapInArrow(run, f"doc_id {key}, mark long, n long, a long, b long, keys array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, s): the full shingle set of each wanted document."""
+    """(node, s, bits): the full shingle set of each wanted document (node, doc_id, mark), and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for first in range(0, len(texts), 200):
-                sets = [make.set_of(t).view(np.int64) for t in texts[first : first + 200]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sets)), pa.array(sets, pa.list_(pa.int64()))], ["node", "s"])
+        for batch in sliced(batches, 200):
+            sets = [make.set_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.list_(pa.int64()))], ["node", "s", "bits"])
 
-    key = dict(docs.dtypes)["doc_id"]
-    chosen = docs.select("doc_id", "text").join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, f"node {key}, s array<long>").dropDuplicates(["node"])
+    chosen = docs.select("doc_id", MARK("text").alias("mark"), "text").join(wanted, ["doc_id", "mark"]).select("node", "text")
+    return chosen.mapInArrow(run, "node long, s array<long>, bits array<long>").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,6 +160,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.size("xs") + F.size("ys") - F.col("i")) * PERCENT).select("x", "y")
 
 
+def may_link() -> Column:
+    """Whether the sizes n and cn and the parities bits and cbits leave a link possible: with j percent asked, at most
+    (100 - j) / (100 + j) of both sizes' sum is not shared."""
+    most = (F.col("n") + F.col("size")) * (100 - PERCENT)
+    sizes = F.abs(F.col("n") - F.col("size")) * (100 + PERCENT) <= most
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("cbits")[i])) for i in range(PARITY // 64)), F.lit(0))
+    return sizes & (apart * (100 + PERCENT) <= most)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (x, y): root is the smallest node reachable.
 
@@ -175,24 +195,23 @@ def _is_stars(edges: DataFrame) -> bool:
 
 
 def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(node, root) of the classes that are linked with others, roots aside. classes: (node, keys)."""
+    """(node, root) of the classes that are linked with others, roots aside. classes: (node, doc_id, mark, keys), where
+    doc_id and mark name a row of ``docs`` that has the class's set."""
     rows = classes.select("node", F.posexplode("keys").alias("band", "key"))
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "buckets")
-    sets = staged(full_sets(docs, members.select("node").distinct()), "sets")
-    # shingles that only one candidate has are in no intersection: they bound each document's similarity to any other
-    alone = sets.select("node", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    facts = sets.select("node", F.size("s").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).cast("int").alias("shared")).where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    buckets = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "buckets")
+    sets = staged(full_sets(docs, classes.select("node", "doc_id", "mark").join(buckets.select("node").distinct(), "node")), "sets")
     brief = classes.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    buckets, members = members, staged(members.join(facts.join(brief.dropDuplicates(["node"]), "node"), "node"), "members")
+    members = staged(buckets.join(sets.select("node", F.size("s").alias("n"), "bits").join(brief, "node"), "node"), "members")
     drop_staged(buckets)
+    mine = ["key", "band", "node", "n", "brief", "bits"]
     edges: DataFrame | None = None
     roots: DataFrame | None = None
     active, centres_each = members, CENTRES
     while True:
         if roots is None:  # the first round: every member meets its bucket's smallest
             now = active.withColumn("root", F.col("node"))
-            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "shared", "root", "brief")).alias("c"))
+            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root", "brief", "bits")).alias("c"))
             fresh = F.lit(True)
         else:
             now = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -200,7 +219,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
             parts = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", F.col("top.root").alias("main"))
             left = active
-            active = staged(now.join(main, "key").select("key", "band", "node", "n", "shared", "brief", "root", "main"), "active")
+            active = staged(now.join(main, "key").select(*mine, "root", "main"), "active")
             if left is not members:
                 drop_staged(left)
             if active.isEmpty():
@@ -208,12 +227,11 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
             now = active.drop("main")
             outside = active.where("root <> main").withColumn("place", F.pmod(F.xxhash64("node", "key"), F.lit(centres_each)))
             centres_each = min(centres_each * 32, MOST_CENTRES)
-            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "shared", "root", "brief")).alias("c"))
+            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root", "brief", "bits")).alias("c"))
             # a pair that shares several bands meets in the first of them only
             fresh = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("brief", 1, F.greatest("band", F.lit(1))), F.slice("cb", 1, F.greatest("band", F.lit(1))))
-        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("size"), F.col("c.shared").alias("cs"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb")), "centres")
-        common = F.least("shared", "cs")
-        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(common * 100 >= (F.col("n") + F.col("size") - common) * PERCENT).where(fresh)
+        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("size"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb"), F.col("c.bits").alias("cbits")), "centres")
+        meets = now.join(centres, "key").where("node <> cn and root <> cr").where(may_link()).where(fresh)
         pairs = meets.select(F.least("node", "cn").alias("x"), F.greatest("node", "cn").alias("y")).distinct()
         found = staged(confirmed(pairs, sets), "links")
         edges = found if edges is None else edges.union(found)
@@ -221,32 +239,51 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
             roots = components(edges)
             edges = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
         left = active
-        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select("key", "band", "node", "n", "shared", "brief"), "left")
+        active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select(*mine), "left")
         if left is not members:
             drop_staged(left)
         drop_staged(centres)
-    drop_staged(members, sets)
+    drop_staged(active, members, sets)
     return roots
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+def component_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     found = staged(signed(docs), "signed")
     some = found.where("n > 0 and doc_id is not null")
-    classes = staged(some.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("top"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    roots = linked(docs, classes.select("node", "keys"))
-    several = classes.where("top > node").select("a", "b", "node").join(roots, "node", "left").select("a", "b", F.coalesce("root", "node").alias("class_root"))
-    # a class may be a large part of all rows: its rows are dealt out to DEALT places, its root to each of them
-    several = several.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    rows = found.where("doc_id is not null").select("doc_id", "n", "a", "b", F.when(F.col("n") > 0, F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")).alias("place"))
-    out = rows.join(several, ["a", "b", "place"], "left").join(roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left")
-    own = F.when(F.col("n") > 0, F.coalesce("class_root", "root", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
-    nameless = found.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    least = F.min(F.struct("doc_id", "mark")).alias("least")
+    classes = some.groupBy("a", "b").agg(least, F.max("doc_id").alias("top"), F.first("keys").alias("keys"))
+    classes = staged(classes.select("a", "b", "least.*", "top", "keys", F.monotonically_increasing_id().alias("node")), "classes")
+    roots = linked(docs, classes.select("node", "doc_id", "mark", "keys"))
+    # a class or a component may be a large part of all rows: what belongs to it is dealt out to DEALT places, and what is
+    # told about it goes to each of them
+    spread, everywhere = F.pmod(F.xxhash64("node"), F.lit(DEALT)).cast("int"), F.sequence(F.lit(0), F.lit(DEALT - 1))
+    ends = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "doc_id"), "node").withColumn("place", spread)
+    firsts = ends.groupBy("root", "place").agg(F.min("doc_id").alias("component_id")).groupBy("root").agg(F.min("component_id").alias("component_id")).withColumn("place", F.explode(everywhere))
+    named = ends.join(firsts, ["root", "place"]).select("node", "component_id")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")
+    told = classes.select("a", "b", "node", "doc_id", "top").join(named, "node", "left").where("component_id is not null or top > doc_id")
+    told = told.select("a", "b", F.coalesce("component_id", "doc_id").alias("component_id"), F.explode(F.when(F.col("top") > F.col("doc_id"), everywhere).otherwise(F.array(place))).alias("place"))
+    rows = found.where("doc_id is not null").select("doc_id", "mark", "n", "a", "b", F.when(F.col("n") > 0, place).alias("place"))
+    out = rows.join(told, ["a", "b", "place"], "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = found.where("doc_id is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.union(nameless).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    return component_rows(docs).drop("mark")
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """All columns of the rows of ``docs`` that are kept: of each component those of its smallest id, each row by its own
+    text. Rows with neither id nor component stay."""
+    mark, = free_names(docs.columns, "mark")
+    gone = component_rows(docs).where("not kept").select("doc_id", F.col("mark").alias(mark)).distinct()
+    return docs.withColumn(mark, MARK("text")).join(gone, ["doc_id", mark], "left_anti").select(*map(col, docs.columns))
+
+
 #: DuckDB SQL for ``near_duplicates``'s rows: all pairs that share a shingle, then reachability.
 NEARDUP_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
