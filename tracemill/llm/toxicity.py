@@ -28,7 +28,7 @@ from .common import col, crc_mod, drop_staged, hash_share, mix64, plain, sliced,
 
 BITS = 18
 #: Labelled rows learned from, about; passes over them; the rate, its offset, the L1 and L2 terms, a toxic row's weight.
-SAMPLE, PASSES, ALPHA, BETA, L1, L2, POSITIVE = 16000, 4, 2.0, 1.0, 8.0, 1.0, 1.0
+SAMPLE, PASSES, ALPHA, BETA, L1, L2, POSITIVE = 16000, 8, 4.0, 1.0, 16.0, 1.0, 3.0
 THRESHOLD = 0.7
 #: Features that the learning task holds, about: 4 bytes each.
 MAX_PLACES = 60_000_000
