@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip
 from tracemill.operators import report as reports
+from tracemill.operators.adapters import ADAPTED
 from tracemill.operators.judged import with_verdicts
 from tracemill.operators.metrics import Registry, built_in, compute
 from tracemill.operators.normalize import ADAPTERS
@@ -21,7 +22,9 @@ def import_traces(spark: SparkSession, path: str, adapter: str = "phoenix") -> t
     """(spans, faults) of trace files; spans of traces that break a rule are left out."""
     raw = trace_files(spark, path)
     faults = raw.where("error is not null").select("trace_id", F.lit("file").alias("rule"), F.col("error").alias("detail"))
-    spans = ADAPTERS[adapter](raw.where("error is null"))
+    good = raw.where("error is null")
+    spans, refused = ADAPTED[adapter](good) if adapter in ADAPTED else (ADAPTERS[adapter](good), None)
+    faults = faults if refused is None else faults.union(refused)
     checked = spans.select("trace_id", F.col("external_id").alias("span_id"), F.col("parent_span_id").alias("parent_id"), F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
     faults = faults.union(span_violations(checked))
     return spans.join(faults.select("trace_id").distinct(), "trace_id", "left_anti"), faults
