@@ -1,35 +1,89 @@
-"""python -m tracemill query NAME FOLDER [--out PATH] | list | sql NAME"""
+"""python -m tracemill COMMAND: list | sql | query over folders of tables; dataset | import | run | repeat | report | analyze over
+a store."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 
+#: Exit status of a run without a completed sample.
+FAILED = 4
 
-def main(args: list[str] | None = None) -> int:
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracemill")
     sub = p.add_subparsers(dest="command", required=True)
-    sub.add_parser("list", help="names of all queries")
-    q = sub.add_parser("query", help="run a query over a folder of Parquet tables")
-    q.add_argument("name")
-    q.add_argument("folder")
-    q.add_argument("--out", help="write Parquet here instead of showing 20 rows")
-    s = sub.add_parser("sql", help="the DuckDB SQL of a query")
-    s.add_argument("name")
-    a = p.parse_args(args)
+
+    def add(name: str, text: str, *options: str, **more: str) -> argparse.ArgumentParser:
+        c = sub.add_parser(name, help=text)
+        for o in options:
+            c.add_argument(o)
+        for o, h in more.items():
+            c.add_argument(f"--{o}", help=h)
+        return c
+
+    add("list", "names of all queries")
+    add("query", "run a query over a folder of Parquet tables", "name", "folder", out="write Parquet here instead of showing 20 rows")
+    add("sql", "the DuckDB SQL of a query", "name")
+    add("dataset", "import a data set file into a store", "store", "path", "name")
+    add("import", "import trace files as a run of a data set", "store", "path", "dataset", "run_id", adapter="the traces' adapter, phoenix by default")
+    add("run", "score an imported run", "store", "run_id", metrics="names with commas between; all that need no judge by default")
+    add("repeat", "score a run's traces again as a new run", "store", "source_run", "run_id", metrics="as for run")
+    add("report", "a run's report as JSON", "store", "run_id", out="write it to this file")
+    add("analyze", "a query's rows as JSON lines and a Markdown table", "name", "folder", "out")
+    return p
+
+
+def main(args: list[str] | None = None) -> int:
+    a = parser().parse_args(args)
     from tracemill.queries import oracle_sql, queries
 
     if a.command == "list":
         print("\n".join(queries()))
-    elif a.command == "sql":
+        return 0
+    if a.command == "sql":
         print(oracle_sql()[a.name])
-    else:
-        from tracemill.session import session
+        return 0
+    from tracemill.session import session
+
+    spark = session()
+    if a.command in ("query", "analyze"):
+        df = queries()[a.name](spark, a.folder)
+        if a.command == "analyze":
+            from tracemill.sources.sinks import markdown, write_rows
 
-        df = queries()[a.name](session(), a.folder)
-        if a.out:
+            write_rows(df, a.out)
+            numbers = [c for c, kind in df.dtypes if kind in ("double", "float", "bigint", "int") or kind.startswith("decimal")]
+            print("\n".join(markdown(df, [c for c in df.columns if c not in numbers], numbers)))
+        elif a.out:
             df.write.parquet(a.out)
         else:
             df.show(20, truncate=False)
+        return 0
+    from tracemill import workbench
+    from tracemill.operators.store import Store
+
+    store = Store(spark, a.store)
+    try:
+        if a.command == "dataset":
+            print(f"{workbench.import_dataset(store, a.path, a.name)} samples")
+        elif a.command == "import":
+            for r in workbench.import_run(store, a.path, a.dataset, a.run_id, a.adapter or "phoenix").collect():
+                print(f"{r['trace_id']}: {r['rule']}: {r['detail']}", file=sys.stderr)
+        elif a.command == "report":
+            text = workbench.report_run(store, a.run_id)
+            if a.out:
+                with open(a.out, "w", encoding="utf-8") as f:
+                    f.write(text)
+            else:
+                print(text)
+        else:
+            status = workbench.evaluate_run(store, a.run_id, a.metrics, source_run=getattr(a, "source_run", None))
+            print(status)
+            return FAILED if status == "FAILED" else 0
+    except (ValueError, LookupError) as error:
+        print(f"{a.command}: {error}", file=sys.stderr)
+        return 1
     return 0
 
 

@@ -1,7 +1,8 @@
 """A trace service as a Spark data source: one partition for each trace id.
 
-The service is a callable that yields flat span records for a trace id; the default reads JSON files of a folder. Reads
-are retried with growing pauses, and repeated until every parent is there.
+The service is a callable that gives a page of a trace's span nodes (``from_service``); the data source reads JSON files of
+a folder. Reads are retried with growing pauses, and repeated until every parent is there; a trace that still lacks one
+after the last try is passed on, and breaks the rule of missing parents.
 """
 
 from __future__ import annotations
@@ -10,7 +11,10 @@ import json
 import os
 import time
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "trace_id string, span_id string, parent_id string, record string"
@@ -64,3 +68,67 @@ class TraceSource(DataSource):
 
     def reader(self, schema) -> TraceReader:
         return TraceReader(self.options["path"], [i for i in self.options.get("ids", "").split(",") if i])
+
+
+class BadResponse(ValueError):
+    """What a trace service answered can't be used."""
+
+
+def pages_of(client: Callable[[str, int, str | None], dict], trace_id: str, size: int = 50) -> list[dict]:
+    """All span nodes of a trace: pages of ``size`` follow the cursor. client(trace_id, first, after) answers
+    {"spans": {"edges": [{"node": ...}], "pageInfo": {"hasNextPage", "endCursor"}}}, or null for an unknown trace."""
+    nodes, cursor = [], None
+    while True:
+        answer = client(trace_id, size, cursor)
+        if answer is None:
+            return []
+        spans = answer.get("spans") or {}
+        nodes += [e["node"] for e in spans.get("edges") or [] if e.get("node") is not None]
+        info = spans.get("pageInfo") or {}
+        if not info.get("hasNextPage"):
+            return nodes
+        if info.get("endCursor") in (None, cursor):
+            raise BadResponse(f"trace {trace_id} has a further page without a new cursor")
+        cursor = info["endCursor"]
+
+
+def flat_record(node: dict) -> dict:
+    """A span node as a flat record; nested attributes get dotted keys, times that can't be read are null."""
+    context = node.get("context") or {}
+    out = {"name": node.get("name"), "span_kind": node.get("spanKind"), "status_code": node.get("statusCode"), "status_message": node.get("statusMessage"), "parent_id": node.get("parentId"), "start_time": iso_time(node.get("startTime")), "end_time": iso_time(node.get("endTime")), "context.span_id": context.get("spanId"), "context.trace_id": context.get("traceId")}
+    raw = node.get("attributes")
+    if raw:
+        try:
+            found = json.loads(raw) if isinstance(raw, str) else raw
+        except ValueError as error:
+            raise BadResponse("span attributes aren't JSON") from error
+        todo = [("attributes", found)] if isinstance(found, dict) else []
+        while todo:
+            key, value = todo.pop()
+            if isinstance(value, dict) and (value or key == "attributes"):
+                todo += [(f"{key}.{k}", v) for k, v in value.items()]
+            else:
+                out[key] = value
+    return out
+
+
+def iso_time(text: object) -> str | None:
+    """An ISO time with its zone, Z as +00:00; null if it can't be read."""
+    try:
+        return datetime.fromisoformat(str(text).strip().removesuffix("Z") + ("+00:00" if str(text).strip().endswith("Z") else "")).isoformat() if text else None
+    except ValueError:
+        return None
+
+
+def from_service(spark: SparkSession, client: Callable[[str, int, str | None], dict], ids: list[str], size: int = 50) -> DataFrame:
+    """Records (``SCHEMA``) of traces from a paged service, a task for each trace; ``client`` is sent to the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for trace_id in batch.column(0).to_pylist():
+                found = with_retries(lambda trace_id=trace_id: [flat_record(n) for n in pages_of(client, trace_id, size)])
+                rows = [(trace_id, r["context.span_id"], r["parent_id"], json.dumps(r, sort_keys=True)) for r in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["trace_id", "span_id", "parent_id", "record"])
+
+    asked = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "trace_id string")
+    return asked.repartition(max(1, len(set(ids))), "trace_id").mapInArrow(run, SCHEMA)
