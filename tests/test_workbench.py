@@ -84,10 +84,10 @@ def test_paged_service(spark):
         with pytest.raises(traces.BadResponse):
             traces.pages_of(lambda *_, cursor=cursor: {"spans": {"pageInfo": {"hasNextPage": True, "endCursor": cursor}}}, "t")
     flat = traces.flat_record(nodes[1])
-    assert (flat["attributes.a.b"], flat["attributes.a.c"] if "attributes.a.c" in flat else {}, flat["attributes.x.y"], flat["start_time"], flat["end_time"]) == (1, {}, [2], "2026-01-01T00:00:00+00:00", None)
+    assert (flat["attributes.a.b"], flat["attributes.a.c"], flat["attributes.x.y"], flat["start_time"], flat["end_time"]) == (1, {}, [2], "2026-01-01T00:00:00+00:00", None)
     with pytest.raises(traces.BadResponse):
         traces.flat_record(node("1", attributes="{"))
-    found = traces.from_service(spark, client, ["t", "none", "t"], 2).collect()
+    found = traces.from_service(spark.createDataFrame([("t",), ("none",), ("t",)], "trace_id string"), client, 2).collect()
     assert sorted(r["span_id"] for r in found) == list("01234") and json.loads(found[0]["record"])["context.trace_id"] == "t"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip
+from tracemill.operators.retrieval import shard_numbers
 
 
 def by_id(df: DataFrame, key: str, value) -> DataFrame:
@@ -67,6 +68,20 @@ def prompt_matches(traces: DataFrame, samples: DataFrame, key: str, text: str) -
     return said(traces).join(count, ["h", "n"], "left").select(key, F.coalesce("matches", F.lit(0)).alias("matches"))
 
 
+def snapshots(rows: DataFrame, run: str, key: str, created: str) -> DataFrame:
+    """(run, keys): what was planned for each run, in order of (created, key)."""
+    listed = F.array_sort(F.collect_list(F.struct(created, key)))
+    return rows.groupBy(run).agg(F.transform(listed, lambda x: x[key]).alias("keys"))
+
+
+def in_listed_order(runs: DataFrame, configuration: str, order: list[str], then: list[str]) -> DataFrame:
+    """Runs of the listed configurations with their ``position`` in this order, then by further columns."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col(configuration))
+    rows = runs.where(F.col(configuration).isin(order)).withColumn("__at", rank)
+    numbered = shard_numbers(rows.withColumn("__key", F.struct("__at", *then)), "__key")
+    return numbered.withColumn("position", F.col("row") + 1).drop("__at", "__key", "row", "shard")
+
+
 def expand_ids(asked: DataFrame, key: str, renamed: DataFrame, raw: str, new: str, unknown: int = -1) -> DataFrame:
     """Each raw id's new ids; an unknown one is kept with ``unknown``."""
     return asked.join(renamed, F.col(key) == F.col(raw), "left").select(key, F.coalesce(new, F.lit(unknown)).alias(new))

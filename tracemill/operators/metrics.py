@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scores import ndcg, precision_at_relevant, sequence_match
+from tracemill.functions.text import non_empty
 
 
 @dataclass(frozen=True)
@@ -78,6 +79,11 @@ class Registry:
         return set().union(*[m.needs for m in self.select(names)])
 
 
+def answered(rows: DataFrame) -> DataFrame:
+    """Rows with an answer that isn't blank and with executed steps."""
+    return rows.where(non_empty(F.col("answer")).isNotNull() & F.col("executed_steps").isNotNull())
+
+
 def selected(results: Column, kind: str, stage: str) -> Column:
     return F.filter(results, lambda r: (r["kind"] == kind) & (r["stage"] == stage))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracemill import suite
 from tracemill.plans.lens import Lens
-from tracemill.suite import analyses, catalog, evaluation, judging, more  # noqa: F401  they register their queries
+from tracemill.suite import analyses, catalog, evaluation, exchange, judging, more  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

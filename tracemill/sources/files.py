@@ -10,19 +10,20 @@ SAMPLE = f"struct<input_prompt:string,ground_truth_output:string,snippet_ids:arr
 RECORD = "struct<`context.span_id`:string,`context.trace_id`:string,parent_id:string,name:string,span_kind:string,status_code:string,status_message:string,start_time:string,end_time:string>"
 
 
-def dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of data set files {"samples": [...]}, with their file and place; null and empty lists stay apart."""
-    read = spark.read.schema(f"samples array<{SAMPLE}>").json(path, multiLine=True)
+def dataset_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Samples of data set files {"samples": [...]}, with their file and place; null and empty lists stay apart. With
+    ``lines`` each line is a data set, not each file."""
+    read = spark.read.schema(f"samples array<{SAMPLE}>").json(path, multiLine=not lines)
     return read.select(F.col("_metadata.file_path").alias("file"), F.posexplode("samples").alias("pos", "s")).select("file", "pos", "s.*")
 
 
-def trace_files(spark: SparkSession, path: str) -> DataFrame:
+def trace_files(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Raw span records of trace files {"trace_id": ..., "spans": [...]}: (trace_id, context_span_id, ..., attributes).
 
     Every key that begins with ``attributes.`` goes into the map, as JSON text unless it is a string. A file that can't
-    be read, has a blank id or no spans gives one row with an error.
+    be read, has a blank id or no spans gives one row with an error. With ``lines`` each line is a trace, not each file.
     """
-    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    read = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
     top = read.select("file", F.from_json("value", "trace_id string, spans array<string>").alias("t"))
     tid = F.trim("t.trace_id")
     error = F.when(F.col("t.spans").isNull(), "not a trace file").when(F.coalesce(tid, F.lit("")) == "", "no trace id").when(F.size("t.spans") == 0, "no spans")

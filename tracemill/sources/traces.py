@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "trace_id string, span_id string, parent_id string, record string"
@@ -120,8 +120,8 @@ def iso_time(text: object) -> str | None:
         return None
 
 
-def from_service(spark: SparkSession, client: Callable[[str, int, str | None], dict], ids: list[str], size: int = 50) -> DataFrame:
-    """Records (``SCHEMA``) of traces from a paged service, a task for each trace; ``client`` is sent to the executors."""
+def from_service(asked: DataFrame, client: Callable[[str, int, str | None], dict], size: int = 50) -> DataFrame:
+    """Records (``SCHEMA``) of the traces asked for (trace_id) from a paged service; the executors call ``client``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,5 +130,5 @@ def from_service(spark: SparkSession, client: Callable[[str, int, str | None], d
                 rows = [(trace_id, r["context.span_id"], r["parent_id"], json.dumps(r, sort_keys=True)) for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["trace_id", "span_id", "parent_id", "record"])
 
-    asked = spark.createDataFrame([(i,) for i in dict.fromkeys(ids)], "trace_id string")
-    return asked.repartition(max(1, len(set(ids))), "trace_id").mapInArrow(run, SCHEMA)
+    ids = asked.select(asked["trace_id"].cast("string").alias("trace_id")).distinct()
+    return ids.mapInArrow(run, SCHEMA)

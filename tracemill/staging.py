@@ -31,6 +31,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared one, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/tracemill/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{name}"
+    _staged.append((spark, path))
+    return path
+
+
 def drop_staged(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more; others are deleted when the process ends."""
     for df in tables:
