@@ -37,26 +37,36 @@ def dense_top(queries: DataFrame, candidates: DataFrame, k: int = 50) -> DataFra
     return top_k(dense_scores(queries, candidates), k)
 
 
+def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, len, t): each document's tokens."""
+    return docs.select(key, bm25_tokens(F.col(text)).alias("t")).select(key, F.size("t").cast("long").alias("len"), "t")
+
+
 def term_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, len)"""
-    rows = docs.select(key, bm25_tokens(F.col(text)).alias("t")).withColumn("len", F.size("t").cast("long"))
-    return rows.select(key, "len", F.explode("t").alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, len, term, tf)"""
+    return frequencies(token_table(docs, key, text).select(key, "len", F.explode("t").alias("term")), key)
+
+
+def frequencies(terms: DataFrame, key: str) -> DataFrame:
+    return terms.groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def average_length(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(n, avg_len): rows, and the mean length to one digit, at least 1."""
-    size = F.size(bm25_tokens(F.col(text)))
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.bround(F.avg(size), 1), F.lit(1.0))).alias("avg_len"))
+def average_length(lengths: DataFrame) -> DataFrame:
+    """(n, avg_len): rows, and the mean of ``len`` to one digit, at least 1."""
+    return lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.bround(F.avg("len"), 1), F.lit(1.0))).alias("avg_len"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
     """(query_key, key, score): documents that share a term with the query.
 
-    Queries' terms narrow the term table before it is counted, by a join on terms; the two corpus figures are one row.
+    Documents are tokenised once; the terms are narrowed to the queries' before they are counted, by a join on terms; the
+    two corpus figures are one row.
     """
-    facts = F.broadcast(average_length(docs, text))
     asked = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
-    terms = term_table(docs, key, text).join(asked.select("term").distinct(), "term", "left_semi")
+    tokens = staged(token_table(docs, key, text), "tokens")
+    facts = F.broadcast(average_length(tokens))
+    wanted = tokens.select(key, "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = staged(frequencies(wanted, key), "terms")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) * idf

@@ -110,7 +110,7 @@ def _(t: Lens) -> DataFrame:
 
 @query("e30_bm25_average", f"SELECT count(*) AS n, greatest(1.0, round_even(avg(len({TOKENS})), 1)) AS avg_len FROM documents")
 def _(t: Lens) -> DataFrame:
-    return retrieval.average_length(t.table("documents"))
+    return retrieval.average_length(retrieval.token_table(t.table("documents")))
 
 
 @query("e31_failed_units", "SELECT metric, CASE l_linenumber % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'misaligned' ELSE 'unclassified' END AS failure, count(*) AS n FROM comp WHERE status = 'FAILED' GROUP BY ALL", "comp")
