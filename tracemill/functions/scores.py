@@ -48,3 +48,12 @@ def sequence_match(executed: Column, expected: Column) -> Column:
 def _letter(position: Column) -> Column:
     """The private-use character of a position: U+E000 and on, written by its UTF-16 code."""
     return F.decode(F.unhex(F.lpad(F.hex(position + 0xE000), 4, "0")), "UTF-16BE")
+
+
+def ndcg_of_flags(flags: Column, relevant: Column, k: int = 10) -> Column:
+    """nDCG from whether each ranked item is a first, relevant one, and from the number of relevant items; null without any."""
+    gain = lambda c: F.aggregate(c, F.lit(0.0), lambda total, x: total + x)
+    at = lambda i: 1 / F.log2(i + F.lit(1.0))
+    got = gain(F.transform(F.slice(flags, 1, k), lambda f, i: F.when(f, at(i + 1)).otherwise(0.0)))
+    best = gain(F.transform(F.sequence(F.lit(1), F.least(F.greatest(relevant, F.lit(1)), F.lit(k)).cast("int")), at))
+    return F.when(relevant > 0, got / best)

@@ -115,11 +115,14 @@ def set_parts(predicted: Column, relevant: Column) -> tuple[Column, Column, Colu
     return F.array_sort(both), F.array_sort(F.array_except(predicted, relevant)), F.array_sort(F.array_except(relevant, predicted))
 
 
+def precision_of_counts(matched: Column, predicted: Column, relevant: Column) -> tuple[Column, Column]:
+    """(skip reason, score) from the numbers of ids: both empty is 1; nothing predicted of something relevant is undefined."""
+    skip = F.when((predicted == 0) & (relevant > 0), "Nothing selected, so precision is undefined.")
+    return skip, F.when((predicted == 0) & (relevant == 0), 1.0).when(predicted > 0, matched / predicted)
+
+
 def set_precision(predicted: Column, relevant: Column) -> tuple[Column, Column]:
-    """(skip reason, score): both empty is 1; nothing predicted of something relevant is undefined."""
-    skip = F.when((F.size(predicted) == 0) & (F.size(relevant) > 0), "Nothing selected, so precision is undefined.")
-    score = F.when((F.size(predicted) == 0) & (F.size(relevant) == 0), 1.0).when(F.size(predicted) > 0, F.size(F.array_intersect(predicted, relevant)) / F.size(F.array_distinct(predicted)))
-    return skip, score
+    return precision_of_counts(F.size(F.array_intersect(predicted, relevant)), F.size(F.array_distinct(predicted)), F.size(relevant))
 
 
 def recall_of_counts(matched: Column, relevant: Column) -> tuple[Column, Column]:

@@ -349,14 +349,19 @@ def _(t: Lens) -> DataFrame:
 
 
 def searched(t: Lens) -> DataFrame:
-    """One row for each dense query: predicted ids, best first, and relevant ids (those of its label)."""
+    """One row for each dense query: of the ten nearest, best first, whether each is of its label, and the number of
+    candidates of the label; every fourth query found nothing, every third has nothing relevant."""
     from tracemill.operators import retrieval
 
     q, c = t.dense()
     top = retrieval.dense_top(q, c, 10)
-    predicted = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("predicted"))
-    relevant = c.groupBy("label").agg(F.collect_set("vec_id").alias("relevant"))
-    return q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(predicted, "query_id", "left").withColumns({"predicted": F.when(F.col("query_id") % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.col("predicted")), "relevant": F.when(F.col("query_id") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.col("relevant"))})
+    found = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("q_label")).alias("hit")))), lambda x: x["hit"]).alias("flags"))
+    relevant = c.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
+    rows = q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(found, "query_id", "left")
+    none = F.col("query_id") % 3 == 0
+    flags = F.when(F.col("query_id") % 4 == 0, F.filter("flags", lambda x: F.lit(False))).otherwise(F.transform("flags", lambda x: x & ~none))
+    rows = rows.select("query_id", flags.alias("flags"), F.when(none, 0).otherwise(F.coalesce("relevant", F.lit(0))).alias("relevant"))
+    return rows.withColumns({"predicted": F.size("flags"), "matched": F.size(F.filter("flags", lambda x: x))})
 
 
 HITS = """hits AS (SELECT q.query_id, CASE WHEN q.query_id % 3 = 0 THEN 0 ELSE (SELECT count(*) FROM cv WHERE cv.label = q.label) END AS relevant,
@@ -366,26 +371,26 @@ HITS = """hits AS (SELECT q.query_id, CASE WHEN q.query_id % 3 = 0 THEN 0 ELSE (
 
 @query("m04_set_precision", f", {HITS} SELECT query_id, CASE WHEN predicted = 0 AND relevant > 0 THEN 'Nothing selected, so precision is undefined.' END AS skip_reason, round(CASE WHEN predicted = 0 AND relevant = 0 THEN 1.0 WHEN predicted > 0 THEN matched / predicted END, 6) AS score FROM hits", "cand")
 def _(t: Lens) -> DataFrame:
-    skip, score = metrics.set_precision(F.col("predicted"), F.col("relevant"))
+    skip, score = metrics.precision_of_counts(F.col("matched"), F.col("predicted"), F.col("relevant"))
     return searched(t).select("query_id", skip.alias("skip_reason"), F.round(score, 6).alias("score"))
 
 
 @query("m06_set_recall", f", {HITS} SELECT query_id, CASE WHEN relevant = 0 THEN 'No relevant IDs, so recall is undefined.' END AS skip_reason, round(CASE WHEN relevant > 0 THEN matched / relevant END, 6) AS score FROM hits", "cand")
 def _(t: Lens) -> DataFrame:
-    skip, score = metrics.set_recall(F.col("predicted"), F.col("relevant"))
+    skip, score = metrics.recall_of_counts(F.col("matched"), F.col("relevant"))
     return searched(t).select("query_id", skip.alias("skip_reason"), F.round(score, 6).alias("score"))
 
 
 @query("m08_ndcg", ", r AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label) AS relevant, (SELECT sum(1 / log2(rk + 1)) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS gain FROM qv q WHERE q.query_id % 3 <> 0 AND q.query_id % 4 <> 0) SELECT query_id, round(coalesce(gain, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) g(i) WHERE i <= least(relevant, 10)), 6) AS score FROM r", "cand")
 def _(t: Lens) -> DataFrame:
-    rows = searched(t).where("size(predicted) > 0 and size(relevant) > 0")
-    return rows.select("query_id", F.round(metrics.mean_ndcg(F.array("predicted"), F.col("relevant")), 6).alias("score"))
+    rows = searched(t).where("predicted > 0 and relevant > 0")
+    return rows.select("query_id", F.round(scores.ndcg_of_flags(F.col("flags"), F.col("relevant")), 6).alias("score"))
 
 
 @query("h02_confusion", f", {HITS} SELECT query_id, CAST(matched AS BIGINT) AS tp, CAST(predicted - matched AS BIGINT) AS fp, CAST(relevant - matched AS BIGINT) AS fn FROM hits", "cand")
 def _(t: Lens) -> DataFrame:
-    tp, fp, fn = metrics.set_parts(F.col("predicted"), F.col("relevant"))
-    return searched(t).select("query_id", F.size(tp).cast("long").alias("tp"), F.size(fp).cast("long").alias("fp"), F.size(fn).cast("long").alias("fn"))
+    n = lambda c: c.cast("long")
+    return searched(t).select("query_id", n(F.col("matched")).alias("tp"), n(F.col("predicted") - F.col("matched")).alias("fp"), n(F.col("relevant") - F.col("matched")).alias("fn"))
 
 
 @query("f03_precision_at_k", ", r AS (SELECT query_id, rk, CASE WHEN label = q_label THEN 1 ELSE 0 END AS rel, sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rk) AS hits FROM dense WHERE rk <= 10) SELECT query_id, CAST(rk AS BIGINT) AS rank, CAST(hits AS BIGINT) AS hits, round(hits / rk, 6) AS precision FROM r", "cand")
