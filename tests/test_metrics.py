@@ -52,6 +52,13 @@ def test_relevant_ids(spark):
     assert one(spark, text.relevant_ids(F.lit("[1]"))[1]) == "ground_truth_value must be an object."
 
 
+def test_uuid5(spark):
+    import uuid
+
+    for name in ("", "a", "é 中", "x" * 500):
+        assert one(spark, text.uuid5(str(uuid.NAMESPACE_URL), F.lit(name))) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+
+
 def test_text(spark):
     assert one(spark, text.display(F.lit(" \t\n"))) == "<empty>"
     assert one(spark, text.strip(F.lit("  x \n"))) == "x"

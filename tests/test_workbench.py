@@ -91,6 +91,14 @@ def test_paged_service(spark):
     assert sorted(r["span_id"] for r in found) == list("01234") and json.loads(found[0]["record"])["context.trace_id"] == "t"
 
 
+def always(requests):
+    """A judge that finds everything right unless it is asked to be strict."""
+    from pyspark.sql import functions as F
+
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("rankings", "array<array<boolean>>"), ("attributable", "array<boolean>"), ("failure", "string"), ("input_tokens", "long"), ("output_tokens", "long"))]
+    return requests.select("request_hash", F.when(F.contains("text", F.lit("strict")), 0.0).otherwise(1.0).alias("score"), *none)
+
+
 def test_commands(spark, tmp_path, capsys):
     (tmp_path / "t").mkdir()
     for t, prompt in (("a", "hi"), ("b", "nobody asked")):
@@ -107,7 +115,16 @@ def test_commands(spark, tmp_path, capsys):
     got = {(r["run_id"], r["metric"]): (r["status"], r["score"]) for r in s.table("computations").collect()}
     assert got == {("r1", "llm_calls"): ("COMPLETED", 1.0), ("r1", "response_length"): ("COMPLETED", 6.0), ("r2", "llm_calls"): ("COMPLETED", 1.0)}
     assert {(r["run_id"], r["status"], r["source_run"]) for r in s.table("runs").collect()} == {("r1", "PARTIALLY_COMPLETED", None), ("r2", "PARTIALLY_COMPLETED", "r1")}
+    judged = ("--metrics", "answer_correctness_judge", "--judge", "tests.test_workbench:always")
+    assert run("repeat", store, "r1", "r3", *judged) == 0
+    (tmp_path / "rubric.json").write_text('{"Answer_correctness_judge": "be strict"}')
+    assert run("repeat", store, "r1", "r4", *judged, "--rubric", str(tmp_path / "rubric.json")) == 0
+    assert run("repeat", store, "r1", "r5", "--metrics", "llm_calls", "--rubric", str(tmp_path / "rubric.json")) == 1
+    assert {r["run_id"]: r["score"] for r in s.table("computations").where("metric = 'answer_correctness_judge'").collect()} == {"r3": 1.0, "r4": 0.0}
     capsys.readouterr()
+    assert run("runs", store, "--status", "PARTIALLY_COMPLETED") == 0 and "r4" in capsys.readouterr().out
+    assert run("status", store, "r2", "--set", "CANCELLED") == 0 and run("status", store, "nowhere", "--set", "x") == 1
+    assert workbench.run_progress(s, "r1").first()["succeeded"] == 1 and workbench.set_status(s, "r2", "FAILED", ["RUNNING"]) == "CANCELLED"
     assert run("report", store, "r1", "--out", str(tmp_path / "report.json")) == 0
     assert json.loads((tmp_path / "report.json").read_text())["samples"] == {"processed": 2, "succeeded": 1, "failed": 1}
     assert "answer_correctness_judge" not in json.dumps(json.loads(workbench.report_run(s, "r1")))

@@ -1,15 +1,26 @@
-"""python -m tracemill COMMAND: list | sql | query over folders of tables; dataset | import | run | repeat | report | analyze over
-a store."""
+"""python -m tracemill COMMAND: list | sql | query | analyze over folders of tables; dataset | import | run | repeat | report |
+runs | status over a store."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
 import sys
+from collections.abc import Callable
 
 #: Exit status of a run without a completed sample.
 FAILED = 4
 
 
+def named(path: str | None) -> Callable | None:
+    """The function that module:name says."""
+    if path is None:
+        return None
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracemill")
     sub = p.add_subparsers(dest="command", required=True)
@@ -27,8 +38,11 @@ def parser() -> argparse.ArgumentParser:
     add("sql", "the DuckDB SQL of a query", "name")
     add("dataset", "import a data set file into a store", "store", "path", "name")
     add("import", "import trace files as a run of a data set", "store", "path", "dataset", "run_id", adapter="the traces' adapter, phoenix by default")
-    add("run", "score an imported run", "store", "run_id", metrics="names with commas between; all that need no judge by default")
-    add("repeat", "score a run's traces again as a new run", "store", "source_run", "run_id", metrics="as for run")
+    clients = {"judge": "module:function that gives verdicts", "extractor": "module:function that gives claims", "rubric": "JSON file: metric names and what their judge is asked besides"}
+    add("run", "score an imported run", "store", "run_id", metrics="names with commas between; all that the judge and extractor allow by default", **clients)
+    add("repeat", "score a run's traces again as a new run", "store", "source_run", "run_id", metrics="as for run", **clients)
+    add("runs", "a page of 50 runs, newest first", "store", status="only of this status", offset="after so many")
+    add("status", "a run's samples by outcome", "store", "run_id", set="give it this status first")
     add("report", "a run's report as JSON", "store", "run_id", out="write it to this file")
     add("analyze", "a query's rows as JSON lines and a Markdown table", "name", "folder", "out")
     return p
@@ -77,8 +91,18 @@ def main(args: list[str] | None = None) -> int:
                     f.write(text)
             else:
                 print(text)
+        elif a.command == "runs":
+            workbench.list_runs(store, a.status, offset=int(a.offset or 0)).show(50, truncate=False)
+        elif a.command == "status":
+            if a.set:
+                workbench.set_status(store, a.run_id, a.set)
+            workbench.run_progress(store, a.run_id).show(truncate=False)
         else:
-            status = workbench.evaluate_run(store, a.run_id, a.metrics, source_run=getattr(a, "source_run", None))
+            rubric = None
+            if a.rubric:
+                with open(a.rubric, encoding="utf-8") as f:
+                    rubric = json.load(f)
+            status = workbench.evaluate_run(store, a.run_id, a.metrics, named(a.judge), named(a.extractor), getattr(a, "source_run", None), rubric)
             print(status)
             return FAILED if status == "FAILED" else 0
     except (ValueError, LookupError) as error:

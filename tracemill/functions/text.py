@@ -98,3 +98,11 @@ def relevant_ids(value: Column) -> tuple[Column, Column]:
 def _string(x: Column, path: str) -> Column:
     kind = F.schema_of_variant(F.try_variant_get(x, path, "variant"))
     return F.when(kind == "STRING", F.try_variant_get(x, path, "string"))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based UUID (version 5) of a name in a namespace, itself a UUID's text."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "utf-8")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    part = lambda at, n: F.substring(h, at, n)
+    return F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.lit("5"), part(14, 3)), F.concat(variant, part(18, 3)), part(21, 12))

@@ -7,6 +7,7 @@ gives ``VERDICT`` columns, of which a metric reads its own; a claim extractor gi
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,6 +148,16 @@ def recall(r: Registry, name: str, kind: str, stage: str, claims: str | None, ne
     r.register(Metric(name, "agent_root", lambda: score, skip=lambda: skip, fail=lambda: fail, ground_truth_keys=(claims or "expected_output",), needs=needs, request=lambda: asked(F.lit(name), F.col("request"), *parts, F.array_join(contents(kind, stage), "\n")), unasked=lambda: unasked, extract=(lambda: F.col("expected_output")) if claims == "extracted" else None))
 
 
+def with_rubric(metrics: list[Metric], rubric: dict[str, str]) -> list[Metric]:
+    """Metrics whose requests end with their rubric's text; ``ValueError`` for one that no chosen metric of a judge has."""
+    judged = {Registry.key(m.name) for m in metrics if m.request}
+    if unknown := sorted(set(map(Registry.key, rubric)) - judged):
+        raise ValueError(f"no judge is asked for: {', '.join(unknown)}")
+    texts = {Registry.key(k): v for k, v in rubric.items()}
+    more = lambda m: replace(m, request=lambda: asked(m.request(), F.lit(texts[Registry.key(m.name)])))
+    return [more(m) if Registry.key(m.name) in texts else m for m in metrics]
+
+
 def with_verdicts(plan: DataFrame, metrics: list[Metric], judge: Callable[[DataFrame], DataFrame], extractor: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
     """Planned rows with ``claims_found`` and ``verdict``. Skipped rows aren't asked about; equal requests are judged once.
 

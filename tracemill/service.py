@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.text import strip
 from tracemill.operators import report as reports
 from tracemill.operators.adapters import ADAPTED
-from tracemill.operators.judged import with_verdicts
+from tracemill.operators.judged import with_rubric, with_verdicts
 from tracemill.operators.metrics import Registry, built_in, compute
 from tracemill.operators.normalize import ADAPTERS
 from tracemill.operators.validate import span_violations
@@ -48,12 +48,14 @@ RESULT = "struct<kind:string,stage:string,availability:string,reason:string,ids:
 ROW = {"request": "string", "answer": "string", "expected_output": "string", "expected_plan": "array<string>", "executed_steps": "array<string>", "retrieval": f"array<{RESULT}>", "relevant_document_ids": "array<string>", "relevant_snippet_ids": "array<string>", "claims": "array<string>", "gold_claims": "array<string>", "extracted_claims": "array<string>"}
 
 
-def evaluate(rows: DataFrame, spans: DataFrame, registry: Registry | None = None, names: str | list[str] | None = None, source_run: DataFrame | None = None, judge: Callable | None = None, extractor: Callable | None = None) -> DataFrame:
+def evaluate(rows: DataFrame, spans: DataFrame, registry: Registry | None = None, names: str | list[str] | None = None, source_run: DataFrame | None = None, judge: Callable | None = None, extractor: Callable | None = None, rubric: dict[str, str] | None = None) -> DataFrame:
     """Computations of the selected metrics. rows: a row for each trace with what the metrics read; spans: trace_id,
     span_type, start_us, span_id; ``source_run`` (trace_id) repeats only a former run's traces. Without names all metrics
-    run that the judge and the extractor at hand allow; see ``judged.with_verdicts`` for these."""
+    run that the judge and the extractor at hand allow; see ``judged.with_verdicts`` for these. ``rubric``: for metrics of a
+    judge, what is asked besides."""
     clients = {name for name, c in (("judge", judge), ("claim_extractor", extractor)) if c is not None}
     chosen = (registry or built_in()).select(names, clients)
+    chosen = with_rubric(chosen, rubric or {})
     if source_run is not None:
         rows = rows.join(source_run.select("trace_id").distinct(), "trace_id", "left_semi")
         spans = spans.join(source_run.select("trace_id").distinct(), "trace_id", "left_semi")

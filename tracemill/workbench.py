@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tracemill import service
 from tracemill.operators import report
-from tracemill.operators.store import Store
+from tracemill.operators.catalog import page
+from tracemill.operators.store import Store, status_if_current, status_updated
 from tracemill.sources.files import dataset_json
 
 SPAN = ["trace_id", "external_id", "parent_span_id", "span_type", "status", "name", "start_time", "end_time", "input_data", "output_data"]
@@ -79,7 +80,7 @@ def rows_of(store: Store, run_id: str, dataset: str) -> tuple[DataFrame, DataFra
     return rows, spans.select("trace_id", "span_type", F.unix_micros("start_time").alias("start_us"), F.col("external_id").alias("span_id"))
 
 
-def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None, judge: Callable | None = None, extractor: Callable | None = None, source_run: str | None = None) -> str:
+def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None, judge: Callable | None = None, extractor: Callable | None = None, source_run: str | None = None, rubric: dict[str, str] | None = None) -> str:
     """Score a run's traces and store the computations; the run's status. With ``source_run`` the traces of that run are
     scored again as the run ``run_id``."""
     source = source_run or run_id
@@ -90,7 +91,7 @@ def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None
         raise ValueError(f"run {run_id} is there already")
     dataset = runs[0]["dataset"]
     rows, spans = rows_of(store, source, dataset)
-    found = service.evaluate(rows.drop("sample_id"), spans, names=names, judge=judge, extractor=extractor)
+    found = service.evaluate(rows.drop("sample_id"), spans, names=names, judge=judge, extractor=extractor, rubric=rubric)
     bound = store.table("run_samples").where(F.col("run_id") == source)
     made = found.join(bound.select("trace_id", "sample_id"), "trace_id").select(F.lit(run_id).alias("run_id"), "sample_id", "trace_id", "metric", "target_span_type", "span_ids", "status", "score", "error_message", F.lit(None).cast("string").alias("reasoning"))
     tables = {"computations": made}
@@ -103,3 +104,30 @@ def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None
 def report_run(store: Store, run_id: str, wanted: list[str] | None = None) -> str:
     """A run's report as JSON text."""
     return service.report(store.table("runs"), store.table("run_samples"), store.table("computations"), run_id, wanted or [])
+
+
+def list_runs(store: Store, status: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of runs, newest first."""
+    runs = store.table("runs")
+    return page(runs if status is None else runs.where(F.col("status") == status), ["start_us", "run_id"], limit, offset)
+
+
+def run_progress(store: Store, run_id: str) -> DataFrame:
+    """(run_id, succeeded, failed, pending, unprocessed) of a run against its data set's samples."""
+    runs = store.table("runs").where(F.col("run_id") == run_id)
+    sizes = store.table("samples").groupBy("dataset").agg(F.count(F.lit(1)).alias("expected"))
+    return report.status_snapshot(runs.join(sizes, "dataset"), store.table("run_samples"))
+
+
+def set_status(store: Store, run_id: str, status: str, only_from: list[str] | None = None) -> str:
+    """Set a run's status, where ``only_from`` is given only if it is one of these; the status it has then."""
+    runs, mine = store.table("runs"), F.col("run_id") == run_id
+    if only_from is None:
+        changed = status_updated(runs, store.spark.createDataFrame([(run_id, status)], "run_id string, status string"), "run_id")
+    else:
+        changed = status_if_current(runs, mine, only_from, status)
+    store.commit({"runs": changed})
+    found = store.table("runs").where(mine).first()
+    if found is None:
+        raise LookupError(f"no run {run_id}")
+    return found["status"]
