@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEP = "struct<operation:string,instruction:string,parameters:map<string,string>>"
@@ -17,6 +17,11 @@ def dataset_json(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return read.select(F.col("_metadata.file_path").alias("file"), F.posexplode("samples").alias("pos", "s")).select("file", "pos", "s.*")
 
 
+def iso_time(text: Column) -> Column:
+    """An ISO time with its zone, or Z; null if it can't be read."""
+    return F.try_to_timestamp(F.trim(text))
+
+
 def trace_files(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Raw span records of trace files {"trace_id": ..., "spans": [...]}: (trace_id, context_span_id, ..., attributes).
 
@@ -31,7 +36,7 @@ def trace_files(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     keys = F.from_json("raw", "map<string,string>")
     get = lambda k: F.try_element_at(keys, F.lit(k))
     attributes = F.transform_keys(F.map_filter(keys, lambda k, v: k.startswith("attributes.")), lambda k, v: F.substring(k, len("attributes.") + 1, 1 << 20))
-    time = lambda k: F.try_to_timestamp(get(k))
+    time = lambda k: iso_time(get(k))
     return rows.select("file", "trace_id", "error", get("context.span_id").alias("context_span_id"), get("parent_id").alias("parent_id"), get("name").alias("name"), get("span_kind").alias("span_kind"), get("status_code").alias("status_code"), get("status_message").alias("status_message"), time("start_time").alias("start_time"), time("end_time").alias("end_time"), attributes.alias("attributes"))
 
 

@@ -207,3 +207,19 @@ def _(t: Lens) -> DataFrame:
     return t.spans().select("trace_id", k.alias("k")).groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("k") == 1).alias("first"))
 
 
+
+
+@query("c11_iso_times", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN epoch_us(ts) WHEN 1 THEN epoch_us(ts) - 7200000000 END AS us FROM events")
+def _(t: Lens) -> DataFrame:
+    """Times with Z, with an offset, of no day, and none."""
+    from tracemill.sources.files import iso_time
+
+    said, k = F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.col("event_id") % 4
+    value = F.when(k == 0, F.concat(said, F.lit("Z"))).when(k == 1, F.concat(said, F.lit("+02:00"))).when(k == 2, F.lit("2026-02-31T00:00:00Z"))
+    return t.table("events").select("event_id", F.unix_micros(iso_time(value)).alias("us"))
+
+
+@query("c36_name_uuids", "SELECT p_partkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS id FROM (SELECT p_partkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(p_name || '/' || p_partkey)) AS h FROM part) q")
+def _(t: Lens) -> DataFrame:
+    name = F.concat_ws("/", "p_name", F.col("p_partkey").cast("string"))
+    return t.table("part").select("p_partkey", text.uuid5("6ba7b811-9dad-11d1-80b4-00c04fd430c8", name).alias("id"))
