@@ -71,6 +71,7 @@ class Tree:
         self.best_ids = np.full((len(ids), k), -1, np.int64)
         self.best = np.full((len(ids), k), -np.inf)
         self.k, self.factor, self.slack = k, factor, slack(queries.shape[1])
+        self.rounding = 8 * (2 * queries.shape[1] + 8) * 2.0**-53
         if len(ids) and len(self.ids):
             self._visit(self.root, np.arange(len(ids)))
         return self.best_ids, self.best
@@ -97,15 +98,29 @@ class Tree:
                     self._visit(child, rows[go])
 
     def _leaf(self, points: np.ndarray, rows: np.ndarray) -> None:
+        """Products of unit vectors tell, but for rounding, which points can be among a query's k best of the leaf and of
+        those before; only these are scored exactly."""
+        k = self.k
         for first in range(0, len(rows), 1024):
             r = rows[first : first + 1024]
-            score = cosines(self.q[r], self.q_squares[r], self.vectors[points], self.squares[points])
-            score[self.q_ids[r][:, None] == self.ids[points][None, :]] = -np.inf
-            all_scores = np.concatenate([self.best[r], score], axis=1)
-            all_ids = np.concatenate([self.best_ids[r], np.broadcast_to(self.ids[points], score.shape)], axis=1)
-            by = np.lexsort((all_ids, -all_scores), axis=1)[:, : self.k]
-            self.best[r] = np.take_along_axis(all_scores, by, 1)
-            self.best_ids[r] = np.where(np.isfinite(self.best[r]), np.take_along_axis(all_ids, by, 1), -1)
+            about = self.q_unit[r] @ self.unit[points].T
+            about[self.q_ids[r][:, None] == self.ids[points][None, :]] = -np.inf
+            least = self.best[r, -1]
+            if len(points) > k and not np.isfinite(least).all():
+                least = np.maximum(least, np.partition(about, len(points) - k, axis=1)[:, len(points) - k])
+            at, of = np.nonzero(about >= np.maximum(least - self.rounding, -2.0)[:, None])
+            if not len(at):
+                continue
+            score = pair_cosines(self.q[r], self.q_squares[r], self.vectors[points], self.squares[points], at, of)
+            better = score >= self.best[r[at], -1]
+            at, of, score = at[better], of[better], score[better]
+            row = np.concatenate([np.repeat(np.arange(len(r)), k), at])
+            scores, ids = np.concatenate([self.best[r].ravel(), score]), np.concatenate([self.best_ids[r].ravel(), self.ids[points][of]])
+            by = np.lexsort((ids, -scores, row))
+            starts = np.searchsorted(row[by], np.arange(len(r)))
+            top = by[starts[:, None] + np.arange(k)[None, :]]
+            self.best[r] = scores[top]
+            self.best_ids[r] = np.where(np.isfinite(scores[top]), ids[top], -1)
 
 
 def squares(x: np.ndarray) -> np.ndarray:
@@ -122,6 +137,15 @@ def cosines(q: np.ndarray, q_squares: np.ndarray, x: np.ndarray, x_squares: np.n
     return np.clip(total / np.sqrt(q_squares[:, None] * x_squares[None, :]), -1.0, 1.0)
 
 
+def pair_cosines(q: np.ndarray, q_squares: np.ndarray, x: np.ndarray, x_squares: np.ndarray, at: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """``cosines`` of the pairs (at, of) alone, the same sums in the same order."""
+    total = np.zeros(len(at))
+    for first in range(0, len(at), 8192):  # a running sum adds one after another
+        some = slice(first, first + 8192)
+        total[some] = np.cumsum(q[at[some]] * x[of[some]], axis=1)[:, -1]
+    return np.clip(total / np.sqrt(q_squares[at] * x_squares[of]), -1.0, 1.0)
+
+
 def usable(vector: Column) -> Column:
     """Vectors with only finite components, not all of them zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
