@@ -164,7 +164,7 @@ def _(t: Lens) -> DataFrame:
     return t.spark.createDataFrame([(x,) for x in sinks.markdown(back, ["dataset_id"], ["n", "half"])], "line string")
 
 
-@query("c07_usage", f", {RAW} SELECT CAST(span_id AS VARCHAR) AS call_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, CASE WHEN value > 50 THEN 0.5 END AS cost, CASE WHEN value > 50 THEN 'USD' END AS currency FROM rec WHERE span_type = 'llm'", "span")
+@query("c07_usage", f", {RAW} SELECT CAST(span_id AS VARCHAR) AS call_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, CASE WHEN value > 50 THEN CAST(0.5 AS DOUBLE) END AS cost, CASE WHEN value > 50 THEN 'USD' END AS currency FROM rec WHERE span_type = 'llm'", "span")
 def _(t: Lens) -> DataFrame:
     return normalize.canonical(records(t)).where("usage is not null").select("usage.call_id", "usage.input_tokens", "usage.cost", "usage.currency")
 
