@@ -7,13 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.scores import cosine
+from tracemill.functions.scores import dot, dot_of
 from tracemill.functions.text import bm25_tokens
 from tracemill.staging import staged
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Queries are sent to all executors in blocks of about so many rows.
-BLOCK = 10_000
+#: Queries are sent to all executors in blocks of about so many rows; their terms if there are at most so many.
+BLOCK, TERMS = 10_000, 1_000_000
+#: Widest vectors whose products are written out as one expression.
+UNROLLED = 256
 
 
 def dense_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -21,9 +23,16 @@ def dense_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
     Exact search needs all pairs: the stated query set is broadcast block by block, so that candidates aren't shuffled.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
-    blocks = -(-q.count() // BLOCK) or 1
-    made = [candidates.crossJoin(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).select("query_id", "q_label", "vec_id", "label", F.round(cosine(F.col("qv"), F.col("embedding")), 6).alias("score")) for i in range(blocks)]
+    own = lambda c: dot(F.col(c), F.col(c))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"), own("embedding").alias("qq"))
+    c = candidates.select("vec_id", "label", F.col("embedding").alias("cv"), own("embedding").alias("cc"))
+    facts = q.agg(F.count(F.lit(1)), F.min(F.size("qv")), F.max(F.size("qv"))).first()
+    blocks = -(-facts[0] // BLOCK) or 1
+    product = dot(F.col("qv"), F.col("cv"))
+    if facts[1] == facts[2] and facts[1] and facts[1] <= UNROLLED:  # the same sum, written out
+        product = F.when(F.size("cv") == facts[1], dot_of(F.col("qv"), F.col("cv"), facts[1])).otherwise(product)
+    score = F.round(F.try_divide(product, F.sqrt(F.col("qq") * F.col("cc"))), 6)
+    made = [c.crossJoin(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).select("query_id", "q_label", "vec_id", "label", score.alias("score")) for i in range(blocks)]
     return reduce(DataFrame.union, made)
 
 
@@ -65,7 +74,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: st
     asked = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
     tokens = staged(token_table(docs, key, text), "tokens")
     facts = F.broadcast(average_length(tokens))
-    wanted = tokens.select(key, "len", F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    named = staged(asked.select("term").distinct(), "asked")
+    named = F.broadcast(named) if named.count() <= TERMS else named
+    wanted = tokens.select(key, "len", F.explode("t").alias("term")).join(named, "term", "left_semi")
     terms = staged(frequencies(wanted, key), "terms")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
