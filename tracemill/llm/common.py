@@ -150,3 +150,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def place_mask(place: Column) -> Column:
+    """An aggregate: which of up to 31 places a group's rows are dealt out to, as bits."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1), place))
+
+
+def masked_places(mask: Column, places: int) -> Column:
+    """The places of a mask, a row for each: what is told about a group goes just where it has rows."""
+    every = F.sequence(F.lit(0), F.lit(places - 1))
+    return F.explode(F.filter(every, lambda i: mask.bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0))

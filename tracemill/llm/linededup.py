@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import col, free_names, plain, sliced, staged, with_fields
+from .common import col, free_names, masked_places, place_mask, plain, sliced, staged, with_fields
 
 #: Lines in a window; places that a window's occurrences are dealt out to when they are joined.
 WINDOW, DEALT = 3, 16
@@ -63,10 +63,11 @@ def covered(df: DataFrame) -> DataFrame:
     """(doc_id, mark, starts): where later occurrences of repeated windows begin."""
     found = staged(windows(df), "windows")
     at = F.struct("doc_id", "mark", "pos")
-    repeated = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1)).drop("n")
-    # a window may be a large part of all rows: its occurrences are dealt out to DEALT places, its first to each of them
-    dealt = repeated.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    placed = found.withColumn("place", F.pmod(F.col("mark") + F.col("pos"), F.lit(DEALT)).cast("int"))
+    # a window may be a large part of all rows: its occurrences are dealt out to DEALT places, its first to those that have any
+    place = F.pmod(F.col("mark") + F.col("pos"), F.lit(DEALT)).cast("int")
+    repeated = found.groupBy("a", "b").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"), place_mask(place).alias("mask")).where(F.col("n") > 1)
+    dealt = repeated.select("a", "b", "first", masked_places(F.col("mask"), DEALT).alias("place"))
+    placed = found.withColumn("place", place)
     later = placed.join(dealt, ["a", "b", "place"]).where(~at.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "mark").agg(F.collect_set("pos").alias("starts"))
 
