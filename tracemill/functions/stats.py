@@ -41,6 +41,7 @@ def less_than(counts: DataFrame, keys: list[str], value: str, total: str) -> Dat
     Rows are cut into ranges of (keys, value), each range is summed up by itself, and the sums of the ranges before are
     added, so that no task orders all of a key. (keys, value) must be unique.
     """
+    counts = staged(counts, "counts")  # cutting into ranges reads it twice
     parts = staged(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*keys, "__p").agg(F.sum(total).alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)))

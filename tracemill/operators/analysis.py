@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.stats import guarded_corr, kappa, rounded, with_average_rank
+from tracemill.staging import staged
 
 
 def macro_score(units: DataFrame, outer: list[str], inner: list[str], value: str) -> DataFrame:
@@ -51,7 +52,8 @@ def retest_pairs(values: DataFrame, item: list[str], repetition: str, value: str
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Rank correlation with mean ranks of ties; null where a side is constant."""
-    ranked = with_average_rank(with_average_rank(pairs.select(*keys, x, y), keys, x, "rx"), keys, y, "ry")
+    pairs = staged(pairs.select(*keys, x, y), "pairs")  # read by both ranks and by the result
+    ranked = with_average_rank(with_average_rank(pairs, keys, x, "rx"), keys, y, "ry")
     return ranked.groupBy(*keys).agg(rounded(guarded_corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
