@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, drop_staged, free_names, mix64, sliced, staged
+from .common import col, drop_staged, free_names, masked_places, mix64, place_mask, sliced, staged
 
 WORDS, PERCENT = 5, 75
 BANDS, ROWS = 30, 4
@@ -253,18 +253,19 @@ def component_rows(docs: DataFrame) -> DataFrame:
     found = staged(signed(docs), "signed")
     some = found.where("n > 0 and doc_id is not null")
     least = F.min(F.struct("doc_id", "mark")).alias("least")
-    classes = some.groupBy("a", "b").agg(least, F.max("doc_id").alias("top"), F.first("keys").alias("keys"))
-    classes = staged(classes.select("a", "b", "least.*", "top", "keys", F.monotonically_increasing_id().alias("node")), "classes")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")
+    classes = some.groupBy("a", "b").agg(least, F.max("doc_id").alias("top"), F.first("keys").alias("keys"), place_mask(place).alias("mask"))
+    classes = staged(classes.select("a", "b", "least.*", "top", "keys", "mask", F.monotonically_increasing_id().alias("node")), "classes")
     roots = linked(docs, classes.select("node", "doc_id", "mark", "keys"))
     # a class or a component may be a large part of all rows: what belongs to it is dealt out to DEALT places, and what is
-    # told about it goes to each of them
-    spread, everywhere = F.pmod(F.xxhash64("node"), F.lit(DEALT)).cast("int"), F.sequence(F.lit(0), F.lit(DEALT - 1))
+    # told about it goes to those that have any
+    spread = F.pmod(F.xxhash64("node"), F.lit(DEALT)).cast("int")
     ends = roots.union(roots.select(F.col("root").alias("node"), "root").distinct()).join(classes.select("node", "doc_id"), "node").withColumn("place", spread)
-    firsts = ends.groupBy("root", "place").agg(F.min("doc_id").alias("component_id")).groupBy("root").agg(F.min("component_id").alias("component_id")).withColumn("place", F.explode(everywhere))
+    firsts = ends.groupBy("root", "place").agg(F.min("doc_id").alias("component_id")).groupBy("root").agg(F.min("component_id").alias("component_id"), place_mask(F.col("place")).alias("mask"))
+    firsts = firsts.select("root", "component_id", masked_places(F.col("mask"), DEALT).alias("place"))
     named = ends.join(firsts, ["root", "place"]).select("node", "component_id")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(DEALT)).cast("int")
-    told = classes.select("a", "b", "node", "doc_id", "top").join(named, "node", "left").where("component_id is not null or top > doc_id")
-    told = told.select("a", "b", F.coalesce("component_id", "doc_id").alias("component_id"), F.explode(F.when(F.col("top") > F.col("doc_id"), everywhere).otherwise(F.array(place))).alias("place"))
+    told = classes.select("a", "b", "node", "doc_id", "top", "mask").join(named, "node", "left").where("component_id is not null or top > doc_id")
+    told = told.select("a", "b", F.coalesce("component_id", "doc_id").alias("component_id"), masked_places(F.col("mask"), DEALT).alias("place"))
     rows = found.where("doc_id is not null").select("doc_id", "mark", "n", "a", "b", F.when(F.col("n") > 0, place).alias("place"))
     out = rows.join(told, ["a", "b", "place"], "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     nameless = found.where("doc_id is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
