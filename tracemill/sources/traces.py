@@ -57,7 +57,8 @@ class TraceReader(DataSourceReader):
 
 
 class TraceSource(DataSource):
-    """spark.read.format("traces").option("ids", "a,b").load(folder)"""
+    """spark.read.format("traces").option("ids", "a,b").load(folder), a folder mounted on every executor; traces in stores that
+    only Spark reads are for ``files.trace_files``."""
 
     @classmethod
     def name(cls) -> str:
