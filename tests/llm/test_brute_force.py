@@ -375,3 +375,29 @@ def test_session_settings_stay(spark):
     for name in ("op2_language_id", "op3_arc_to_warc", "op5_minhash_near_dedup", "op7_nearest_neighbours", "op8_toxicity"):
         queries.queries()[name](spark, DATA).count()
         assert {k: spark.conf.get(k) for k in before} == before, name
+
+
+def test_pipeline_by_hand(spark):
+    """The whole pipeline against its stages in plain Python; models are those that the stages learn."""
+    import corpus_pipeline
+    from tests.llm.test_operators import dedup_by_hand, near_by_hand
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.orderBy("doc_id").collect()}
+    scorer = langid.Scorer(langid.train(docs))
+    bits = dict(zip(rows, scorer.code_lengths([(t or "").encode() for t in rows.values()]), strict=True))
+    rows = {i: t for i, t in rows.items() if t and langid.LETTER.search(t) and 1 / np.exp2(np.maximum(bits[i].min() - bits[i], -1000)).sum() >= corpus_pipeline.LEAST_SHARE}
+    weights = toxicity.train(docs.where(F.col("doc_id").isin(list(rows))), spark.read.parquet(f"{DATA}/labels.parquet"))
+    make = toxicity.Features()
+    logit = lambda t: weights[1 << toxicity.BITS] + sum(weights[p] for p in set(make.places(t).tolist()))
+    rows = {i: t for i, t in rows.items() if 1 / (1 + math.exp(-max(-35, min(35, logit(t))))) < toxicity.THRESHOLD}
+    before = list(rows.values())
+    left = dedup_by_hand(before)
+    gone = [not a and b.count("\n") >= 2 and a != b for a, b in zip(left, before, strict=True)]
+    rows = {i: t for i, t, g in zip(rows, left, gone, strict=True) if not g}
+    ids = list(rows)
+    rows = {ids[n]: rows[ids[n]] for n, _, _, kept in near_by_hand(list(rows.values())) if kept}
+    codec = packing.json_codec(*queries.tokenizer_file("byte_bpe_50k.json"))
+    want = {i: len(codec.encode(t)) + 1 for i, t in rows.items()}
+    out = corpus_pipeline.run(spark, DATA).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r["doc_id"]: r["n"] for r in out} == want == {r["doc_id"]: r["all"] for r in out}
