@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, arc, bpe, langid, linededup, media, neardup, packing, toxicity, urlfilter
+from . import ann, arc, bpe, collocations, langid, linededup, media, neardup, packing, resampling, secretscan, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +60,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents"))
+
+
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scanned(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_byte_bpe, op2_language_id, op3_arc_to_warc, op4_line_dedup, op5_minhash_near_dedup, op6_media_columns, op7_nearest_neighbours, op8_toxicity, op9_packing, op10_url_filter)
+    made = (op1_byte_bpe, op2_language_id, op3_arc_to_warc, op4_line_dedup, op5_minhash_near_dedup, op6_media_columns, op7_nearest_neighbours, op8_toxicity, op9_packing, op10_url_filter, op11_phrase_collocations, op12_secret_scan, op13_importance_resampling)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.LINE_SQL, "op5_minhash_near_dedup": neardup.NEARDUP_SQL, "op7_nearest_neighbours": ann.NEAREST_SQL, "op3_arc_to_warc": arc.ARCHIVE_SQL}
+    return {"op4_line_dedup": linededup.LINE_SQL, "op5_minhash_near_dedup": neardup.NEARDUP_SQL, "op7_nearest_neighbours": ann.NEAREST_SQL, "op3_arc_to_warc": arc.ARCHIVE_SQL, "op11_phrase_collocations": collocations.MINED_SQL}
