@@ -75,12 +75,13 @@ def test_phrases_sql(spark):
     assert rows(queries.op11_phrase_collocations(spark, DATA).toPandas()) == rows(con.execute(collocations.MINED_SQL).fetchdf())
 
 
-def test_phrases_in_small_chunks_and_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("ranges", [9, 1000])
+def test_phrases_in_small_chunks_and_ranges(spark, monkeypatch, ranges):
     rng = random.Random(3)
     words = ["the", "a", "of", "x1", "é", "b\x01", "b"]
     texts = [" ".join(rng.choices(words, [9, 5, 4, 1, 1, 1, 1], k=rng.randrange(400))) + rng.choice([".", "\n", "", "! a of"]) for _ in range(60)]
     texts += ["hot pair " * 900 + "".join(f"hot pair z{i % 37}. " for i in range(2000))]
-    for name, value in {"CHUNK_BYTES": 2000, "SAMPLED": 4, "RANGE_KEYS": 64}.items():
+    for name, value in {"CHUNK_BYTES": 2000, "SAMPLE": 5000, "RANGES": ranges, "RANGE_KEYS": 64}.items():
         monkeypatch.setattr(collocations, name, value)
     df = table(spark, texts)
     assert mined(df) == phrases_by_hand([tuple(r) for r in df.collect()])

@@ -5,8 +5,9 @@ A task cuts its texts into chunks of one language with a dictionary of their own
 language get a dense id; each chunk is told the ids of its own words alone, so that no dictionary is broadcast. All other
 words break pieces, as no phrase that holds them can occur LEAST times. Each chunk's pairs and triples of ids are packed
 into binary keys (a pair is a triple whose last id is 0), sorted by radix, run-length counted and cut at the borders of key
-ranges, which are quantiles of a sample that grows with the input; a pair of words that is more than a range is cut by its
-third word. A task merges the sorted counts of one range. Scores are exact: decimals of 38 digits, divided as integers.
+ranges. These are quantiles of about SAMPLE keys, whatever the input's size; a pair of words that is more than a range is
+cut by its third word, and where RANGES of them are too large, each is dealt on by a hash of the key. The sample balances
+tasks and changes no result. A task merges the sorted counts of one place. Scores are exact: decimals of 38 digits, divided as integers.
 
 Edge cases: a null text is empty; a null language is ``und``, as is that of a row whose language says ``und``; texts
 without words count nothing; repeated rows count each; an empty table has no phrases; other columns are not read. A very
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import string
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
+from .common import drop_staged, mix64, staged
 
 #: Least occurrences of a candidate, share in percent at which a longer candidate covers it, phrases told of a language.
 LEAST, COVERED, TOP = 10, 50, 2000
-#: Bytes of text in a chunk; keys between two sampled ones; keys that a range holds about; places of a language's ranking.
-CHUNK_BYTES, SAMPLED, RANGE_KEYS, PLACES = 8 << 20, 1024, 1 << 19, 16
+#: Bytes of text in a chunk; keys sampled for ranges; most ranges; keys that a place holds about; places of a ranking.
+CHUNK_BYTES, SAMPLE, RANGES, RANGE_KEYS, PLACES = 8 << 20, 1 << 20, 4096, 1 << 19, 16
 
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: What a byte is: 0 part of a word, 1 white space, 2 the end of a piece.
@@ -70,7 +72,7 @@ def parts(text: bytes, most: int = CHUNK_BYTES) -> Iterator[bytes]:
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, lang, codes, words, counts): codes are places in words, -1 between pieces."""
+    """(chunk, lang, n, codes, words, counts): n words, codes are their places in words, -1 between pieces."""
 
     def row(lang: str, texts: list[bytes]) -> tuple:
         words, piece = words_of(b"\n".join(texts))
@@ -78,13 +80,13 @@ def chunked(docs: DataFrame) -> DataFrame:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         counts = np.bincount(codes, minlength=len(coded.dictionary)) if len(codes) else np.zeros(0, np.int64)
         codes = np.insert(codes, np.flatnonzero(np.diff(piece)) + 1, -1)
-        return uuid.uuid4().hex, lang, codes.astype("<i4").tobytes(), coded.dictionary, counts
+        return uuid.uuid4().hex, lang, len(words), codes.astype("<i4").tobytes(), coded.dictionary, counts
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        chunk, lang, codes, words, counts = zip(*rows, strict=True)
+        chunk, lang, n, codes, words, counts = zip(*rows, strict=True)
         ends = np.cumsum([0, *map(len, words)])
         flat = pa.concat_arrays([w.cast(pa.string()) for w in words])
-        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(lang), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(counts).astype(np.int64)))], ["chunk", "lang", "codes", "words", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(lang), pa.array(n, pa.int64()), pa.array(codes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(counts).astype(np.int64)))], ["chunk", "lang", "n", "codes", "words", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
@@ -101,7 +103,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield batch_of([row(lang, held.pop(lang))])
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where(F.length("text") > 0)
-    return texts.mapInArrow(run, "chunk string, lang string, codes binary, words array<string>, counts array<long>")
+    return texts.mapInArrow(run, "chunk string, lang string, n long, codes binary, words array<string>, counts array<long>")
 
 
 def dictionary(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
@@ -120,9 +122,9 @@ def dictionary(chunks: DataFrame, least: int = LEAST) -> tuple[DataFrame, int]:
     return table.select("lang", "word", "f", (lookup[part] + F.col("m").bitwiseAND((1 << 33) - 1)).alias("id")), before - 1
 
 
-def encoded(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """(ids, sample): a chunk's text as ids, 0 where pieces break, and the first two ids of every SAMPLED-th place's phrases.
-    A chunk gets the ids of its own words by a join on the word."""
+def encoded(chunks: DataFrame, words: DataFrame, every: int) -> DataFrame:
+    """(ids, sample): a chunk's text as ids, 0 where pieces break, and one of ``every`` pairs of neighbouring ids, beginning
+    at a place that the chunk's name gives. A chunk gets the ids of its own words by a join on the word."""
     own = chunks.select("chunk", "lang", F.posexplode("words").alias("place", "word"))
     told = own.join(words.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
 
@@ -134,10 +136,10 @@ def encoded(chunks: DataFrame, words: DataFrame) -> DataFrame:
                 ids[batch.column(1)[i].values.to_numpy(zero_copy_only=False)] = batch.column(2)[i].values.to_numpy(zero_copy_only=False)
                 text = ids[codes]
                 x, y = text[:-1], text[1:]
-                sample = ((x << 32) | y)[(x > 0) & (y > 0)][SAMPLED // 2 :: SAMPLED] if len(text) > 1 else np.zeros(0, np.int64)
+                sample = ((x << 32) | y)[(x > 0) & (y > 0)][zlib.crc32(batch.column(3)[i].as_buffer()) % every :: every]
                 yield pa.RecordBatch.from_arrays([pa.array([text.astype("<i8").tobytes()], pa.binary()), pa.array([sample.tolist()], pa.list_(pa.int64()))], ["ids", "sample"])
 
-    return chunks.select("chunk", "codes").join(told, "chunk").select("codes", "places", "ids").mapInArrow(run, "ids binary, sample array<long>")
+    return chunks.select("chunk", "codes").join(told, "chunk").select("codes", "places", "ids", "chunk").mapInArrow(run, "ids binary, sample array<long>")
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
@@ -182,8 +184,19 @@ def ranges_of(keys: np.ndarray, cuts: np.ndarray, n_ids: int) -> np.ndarray:
     return low + ids[:, 2] * (high - low + 1) // (n_ids + 1)
 
 
-def counted(texts: DataFrame, cuts: list[int], n_ids: int, least: int = LEAST) -> DataFrame:
-    """(x, y, z, a): pairs (z is 0) and triples of ids that occur ``least`` times."""
+def places_of(keys: np.ndarray, cuts: np.ndarray, n_ids: int, spread: int) -> np.ndarray:
+    """The place of each sorted key: its range, dealt on to ``spread`` by a hash."""
+    ranged = ranges_of(keys, cuts, n_ids)
+    if spread == 1:
+        return ranged
+    ids = keys.view(">u4").astype(np.uint64)
+    mixed = mix64(mix64((ids[:, 0] << np.uint64(32)) | ids[:, 1]) ^ ids[:, 2])
+    return ranged * spread + (mixed % np.uint64(spread)).astype(np.int64)
+
+
+def counted(texts: DataFrame, cuts: list[int], n_ids: int, spread: int = 1, least: int = LEAST) -> DataFrame:
+    """(x, y, z, a): pairs (z is 0) and triples of ids that occur ``least`` times. A place's counts are summed up whenever
+    they have doubled, so that a task holds about twice a place's different keys."""
     at = np.array(cuts, np.int64)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,19 +207,34 @@ def counted(texts: DataFrame, cuts: list[int], n_ids: int, least: int = LEAST) -
                 keys, counts = run_lengths(keys, np.ones(len(keys), np.int64))
                 if not len(keys):
                     continue
-                place = ranges_of(keys, at, n_ids)
+                place = places_of(keys, at, n_ids, spread)
+                if spread > 1:  # no longer in order of the place
+                    order = np.argsort(place, kind="stable")
+                    place, keys, counts = place[order], keys[order], counts[order]
                 first = np.flatnonzero(np.diff(place, prepend=-1))
                 ends = [*first[1:].tolist(), len(keys)]
                 yield pa.RecordBatch.from_arrays([pa.array(place[first]), pa.array([keys[a:b].T.tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary()), pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(first.tolist(), ends, strict=True)], pa.binary())], ["place", "keys", "counts"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint8).reshape(12, -1).T for k in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(c.as_buffer(), "<u4") for c in table.column("counts")]).astype(np.int64)
-        order = radix_order(keys)
-        keys, counts = run_lengths(keys[order], counts[order])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, most = [], 0, RANGE_KEYS
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = radix_order(keys)
+            return run_lengths(keys[order], counts[order])
+
+        for batch in batches:
+            for k, c in zip(batch.column("keys"), batch.column("counts"), strict=True):
+                held.append((np.frombuffer(k.as_buffer(), np.uint8).reshape(12, -1).T, np.frombuffer(c.as_buffer(), "<u4").astype(np.int64)))
+                size += len(held[-1][1])
+                if size > 2 * most:
+                    held = [summed()]
+                    size = len(held[0][1])
+                    most = max(RANGE_KEYS, size)
+        keys, counts = summed()
         often = counts >= least
         ids = np.ascontiguousarray(keys[often]).view(">u4").astype(np.int64).reshape(-1, 3)
-        return pa.table({"x": ids[:, 0], "y": ids[:, 1], "z": ids[:, 2], "a": counts[often]})
+        yield pa.RecordBatch.from_arrays([*[pa.array(ids[:, i]) for i in range(3)], pa.array(counts[often])], ["x", "y", "z", "a"])
 
     dealt = texts.select("ids").mapInArrow(local, "place long, keys binary, counts binary")
     return dealt.groupBy("place").applyInArrow(merge, "x long, y long, z long, a long")
@@ -224,11 +252,12 @@ def mined(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int
     words, n_ids = dictionary(chunks, least)
     if n_ids >= 1 << 32:
         raise ValueError("keys of 32-bit ids hold fewer than 4,294,967,296 frequent words")
-    texts = staged(encoded(chunks, words), "ids")
-    sample = texts.select(F.explode("sample").alias("pair"))
-    ranges = sample.count() * 2 * SAMPLED // RANGE_KEYS + 1
-    cuts = sample.agg(F.percentile_approx("pair", [i / ranges for i in range(1, ranges)], F.lit(max(10_000, 20 * ranges)))).first()[0] if ranges > 1 else []
-    grams = staged(counted(texts, cuts or [], n_ids, least), "grams")
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    texts = staged(encoded(chunks, words, max(1, total // SAMPLE)), "ids")
+    needed = 2 * total // RANGE_KEYS + 1
+    ranges = min(needed, RANGES)
+    cuts = texts.select(F.explode("sample").alias("pair")).agg(F.percentile_approx("pair", [i / ranges for i in range(1, ranges)], F.lit(max(10_000, 20 * ranges)))).first()[0] if ranges > 1 else []
+    grams = staged(counted(texts, cuts or [], n_ids, -(-needed // ranges), least), "grams")
     drop_staged(texts)
 
     first, second = (words.select(F.col("id").alias(k), F.col("word").alias(f"w{k}"), F.col("f").alias(f"f{k}")) for k in "xy")
@@ -248,7 +277,7 @@ def mined(docs: DataFrame, least: int = LEAST, covered: int = COVERED, top: int
     dealt = found.withColumn("place", F.pmod(F.xxhash64("phrase"), F.lit(PLACES)))
     for keys in (["lang", "place"], ["lang"]):  # a language may have a third of all phrases: each place's first ones, then theirs
         dealt = dealt.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
-    n = chunks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    n = chunks.groupBy("lang").agg(F.sum("n").alias("n"))
     return dealt.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
