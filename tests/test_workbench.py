@@ -6,7 +6,8 @@ import pytest
 
 from tests.test_sources import SPANS
 from tracemill import __main__ as cli
-from tracemill import workbench
+from tracemill import service, workbench
+from tracemill.operators import validate
 from tracemill.operators.store import Store, inserted, status_updated, updated
 from tracemill.sources import sinks, traces
 
@@ -128,3 +129,82 @@ def test_commands(spark, tmp_path, capsys):
     assert run("report", store, "r1", "--out", str(tmp_path / "report.json")) == 0
     assert json.loads((tmp_path / "report.json").read_text())["samples"] == {"processed": 2, "succeeded": 1, "failed": 1}
     assert "answer_correctness_judge" not in json.dumps(json.loads(workbench.report_run(s, "r1")))
+
+
+def trace(i, spans, **more):
+    return json.dumps({"trace_id": i, "spans": spans, **more})
+
+
+def span(i, parent=None, start=0, end=9, **more):
+    return {"context.span_id": i, "parent_id": parent, "name": "x", "span_kind": "LLM" if parent else "AGENT", "start_time": f"2026-01-01T00:00:0{start}Z", "end_time": f"2026-01-01T00:00:0{end}Z", **more}
+
+
+def test_every_rule_refuses_a_trace(spark, tmp_path):
+    cases = {
+        "duplicate_span_id": trace("duplicate_span_id", [span("a"), span("b", "a"), span("b", "a")]),
+        "other_trace": trace("other_trace", [span("a"), span("b", "a", **{"context.trace_id": "zzz"})]),
+        "negative_duration": trace("negative_duration", [span("a"), span("b", "a", 5, 4)]),
+        "missing_parent": trace("missing_parent", [span("a"), span("b", "c")]),
+        "cycle": trace("cycle", [span("a"), span("b", "c"), span("c", "b")]),
+        "negative_trace_duration": trace("negative_trace_duration", [span("a")], start_time="2026-01-02T00:00:00Z", end_time="2026-01-01T00:00:00Z"),
+        "schema_version": trace("schema_version", [span("a")], schema_version=2),
+        "missing_span_id": trace("missing_span_id", [span(None)]),
+        "missing_end": trace("missing_end", [span("a", end_time="soon")]),
+        "missing_start": trace("missing_start", [span("a", start_time=None)]),
+        "file": trace("file", []),
+    }
+    (tmp_path / "t").mkdir()
+    for name, text in cases.items():
+        (tmp_path / f"t/{name}.json").write_text(text)
+    (tmp_path / "t/good.json").write_text(trace("good", [span("a", **{"context.trace_id": "good"}), span("b", "a")], schema_version=1, start_time="2026-01-01T00:00:00Z", end_time="2026-01-01T00:00:09Z"))
+    spans, faults = service.import_traces(spark, str(tmp_path / "t"))
+    found = {(r["trace_id"], r["rule"]) for r in faults.collect()}
+    assert {(n, n) for n in cases} <= found and not any(t == "good" for t, _ in found)
+    assert {r["trace_id"] for r in spans.select("trace_id").collect()} == {"good"}
+
+
+def test_plan_rules_of_traces(spark):
+    step = "struct<id:string,span_ids:array<string>,plan_id:string,planned_step_id:string>"
+    schema = f"trace_id string, external_id string, parent_span_id string, start_time timestamp, end_time timestamp, plans array<struct<plan_id:string,supersedes:string,steps:array<struct<id:string,depends_on:array<string>>>>>, executed_steps array<{step}>"
+    from datetime import datetime
+
+    at, fine = datetime(2026, 1, 1), ("p", None, [("s", [])])
+    cases = {
+        "good": ([fine, ("q", "p", [("t", []), ("u", ["t"])])], [("1", ["a"], "q", "u"), ("2", ["a"], None, None)]),
+        "duplicate_plan": ([fine, fine], []),
+        "plan_cycle": ([("p", "q", []), ("q", "p", [])], []),
+        "missing_superseded_plan": ([("p", "x", [])], []),
+        "unknown_execution_span": ([fine], [("1", ["a", "z"], None, None)]),
+        "unknown_plan": ([fine], [("1", ["a"], "x", None)]),
+        "unknown_planned_step": ([fine], [("1", ["a"], "p", "x")]),
+        "dependency_cycle": ([("p", None, [("s", ["t"]), ("t", ["s"])])], []),
+    }
+    spans = spark.createDataFrame([(n, "a", None, at, at, p, s) for n, (p, s) in cases.items()] + [("none", "a", None, at, at, None, [("1", ["a"], None, "s")])], schema)
+    envelopes = spans.selectExpr("trace_id", "1 AS schema_version", "CAST(NULL AS string) AS stated_trace_id", "external_id AS span_id", "CAST(NULL AS long) AS start_us", "CAST(NULL AS long) AS end_us")
+    found = {(r["trace_id"], r["rule"]) for r in validate.trace_violations(spans, envelopes).collect()}
+    assert found == {(n, n) for n in cases if n != "good"} | {("none", "unknown_planned_step")}
+
+
+def test_ids_of_any_form(spark, tmp_path):
+    """Hex ids and ids with leading zeros from files to a report; scoring again replaces, a broken import leaves nothing."""
+    (tmp_path / "t").mkdir()
+    root = dict(span("00f067aa0ba902b7"), **{"attributes.input.value": "hi", "attributes.output.value": "yes"})
+    (tmp_path / "t/a.json").write_text(trace("4bf92f3577b34da6", [root, span("0012", "00f067aa0ba902b7"), span("e1", "0012")]))
+    (tmp_path / "d.json").write_text(json.dumps({"samples": [{"input_prompt": "hi"}]}))
+    store = Store(spark, str(tmp_path / "s"))
+    workbench.import_dataset(store, str(tmp_path / "d.json"), "d")
+    assert workbench.import_run(store, str(tmp_path / "t"), "d", "r").count() == 0
+    for _ in range(2):
+        assert workbench.evaluate_run(store, "r", "llm_calls,response_length") == "COMPLETED"
+    workbench.evaluate_run(store, "r", "llm_calls")
+    got = {r["metric"]: (r["span_ids"], r["score"]) for r in store.table("computations").collect()}
+    assert got == {"llm_calls": (["0012", "e1"], 2.0), "response_length": (["00f067aa0ba902b7"], 3.0)} and store.table("computations").count() == 2
+    assert json.loads(workbench.report_run(store, "r"))["samples"]["succeeded"] == 1
+    before = store.manifest()
+    with pytest.raises(ValueError, match="adapter"):
+        workbench.import_run(store, str(tmp_path / "t"), "d", "r2", "research_agent")
+    with pytest.raises(ValueError, match="no adapter"):
+        workbench.import_run(store, str(tmp_path / "t"), "d", "r2", "nobody")
+    assert store.manifest() == before
+    faults = workbench.import_run(store, str(tmp_path / "t"), "d", "r2", "research_agent", "gpt-x").collect()
+    assert {"root", "other_model"} == {r["rule"] for r in faults} and workbench.run_progress(store, "r2").first()["failed"] == 1

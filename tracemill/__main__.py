@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 #: Exit status of a run without a completed sample.
 FAILED = 4
+#: Faults of an import that are printed.
+TOLD = 1000
 
 
 def named(path: str | None) -> Callable | None:
@@ -37,7 +39,7 @@ def parser() -> argparse.ArgumentParser:
     add("query", "run a query over a folder of Parquet tables", "name", "folder", out="write Parquet here instead of showing 20 rows")
     add("sql", "the DuckDB SQL of a query", "name")
     add("dataset", "import a data set file into a store", "store", "path", "name")
-    add("import", "import trace files as a run of a data set", "store", "path", "dataset", "run_id", adapter="the traces' adapter, phoenix by default")
+    add("import", "import trace files as a run of a data set", "store", "path", "dataset", "run_id", adapter="the traces' adapter, phoenix by default", model="the model that research_agent and deep_agent were given")
     clients = {"judge": "module:function that gives verdicts", "extractor": "module:function that gives claims", "rubric": "JSON file: metric names and what their judge is asked besides"}
     add("run", "score an imported run", "store", "run_id", metrics="names with commas between; all that the judge and extractor allow by default", **clients)
     add("repeat", "score a run's traces again as a new run", "store", "source_run", "run_id", metrics="as for run", **clients)
@@ -82,7 +84,7 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "dataset":
             print(f"{workbench.import_dataset(store, a.path, a.name)} samples")
         elif a.command == "import":
-            for r in workbench.import_run(store, a.path, a.dataset, a.run_id, a.adapter or "phoenix").collect():
+            for r in workbench.import_run(store, a.path, a.dataset, a.run_id, a.adapter or "phoenix", a.model).limit(TOLD + 1).collect()[:TOLD]:
                 print(f"{r['trace_id']}: {r['rule']}: {r['detail']}", file=sys.stderr)
         elif a.command == "report":
             text = workbench.report_run(store, a.run_id)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import non_empty
 from tracemill.operators import report, trees
-from tracemill.operators.normalize import adapter, attribute, canonical
+from tracemill.operators.normalize import ADAPTERS, adapter, attribute, canonical
 
 #: Names that the agents' instrumentation writes.
 SEARCH_TOOL, SEARCH_SPAN = "search_knowledge_base", "retrieval"
@@ -130,6 +130,22 @@ def deep_agent(records: DataFrame, model: str) -> Adapted:
     return langchain(records, model, ROOTS["deepagents"])
 
 
+#: Adapters that need the name of the model which the agent was given.
+MODELLED: dict[str, Callable[[DataFrame, str], Adapted]] = {"research_agent": research_agent, "deep_agent": deep_agent}
+
+
+def adapted(name: str, model: str | None = None) -> Callable[[DataFrame], tuple[DataFrame, DataFrame | None]]:
+    """The adapter of a name, as a function from records to spans and the faults it finds by itself. ``ValueError`` if there
+    is none, if it needs a model and none is given, or the other way round."""
+    if name not in ADAPTERS and name not in MODELLED:
+        raise ValueError(f"no adapter {name}; there are {', '.join(sorted({*ADAPTERS, *MODELLED}))}")
+    if (name in MODELLED) != (model is not None):
+        raise ValueError(f"adapter {name} {'needs' if name in MODELLED else 'takes no'} model")
+    if name in MODELLED:
+        return lambda records: MODELLED[name](records, model)
+    return ADAPTED[name] if name in ADAPTED else lambda records: (ADAPTERS[name](records), None)
+
+
 LOG = "struct<json:array<struct<id:string,label:string,parent_id:string,status:string,error:string,data:string,metadata:string>>>"
 
 

@@ -9,25 +9,29 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.text import strip
 from tracemill.operators import report as reports
-from tracemill.operators.adapters import ADAPTED
+from tracemill.operators.adapters import adapted
 from tracemill.operators.judged import with_rubric, with_verdicts
 from tracemill.operators.metrics import Registry, built_in, compute
-from tracemill.operators.normalize import ADAPTERS
-from tracemill.operators.validate import span_violations
+from tracemill.operators.validate import trace_violations
 from tracemill.plans.planner import plan, targets
 from tracemill.sources.files import trace_files
+from tracemill.staging import drop_staged, staged
 
 
-def import_traces(spark: SparkSession, path: str, adapter: str = "phoenix") -> tuple[DataFrame, DataFrame]:
-    """(spans, faults) of trace files; spans of traces that break a rule are left out."""
-    raw = trace_files(spark, path)
-    faults = raw.where("error is not null").select("trace_id", F.lit("file").alias("rule"), F.col("error").alias("detail"))
+def import_traces(spark: SparkSession, path: str, adapter: str = "phoenix", model: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(spans, faults) of trace files; spans of traces that break a rule are left out. ``model``: for the adapters that hold
+    a trace's calls against one."""
+    raw = staged(trace_files(spark, path), "records")
+    unread = raw.where("error is not null").select("trace_id", F.lit("file").alias("rule"), F.col("error").alias("detail"))
     good = raw.where("error is null")
-    spans, refused = ADAPTED[adapter](good) if adapter in ADAPTED else (ADAPTERS[adapter](good), None)
-    faults = faults if refused is None else faults.union(refused)
-    checked = spans.select("trace_id", F.col("external_id").alias("span_id"), F.col("parent_span_id").alias("parent_id"), F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
-    faults = faults.union(span_violations(checked))
-    return spans.join(faults.select("trace_id").distinct(), "trace_id", "left_anti"), faults
+    spans, refused = adapted(adapter, model)(good)
+    spans = staged(spans, "spans")  # every rule reads it
+    envelopes = good.select("trace_id", "trace.schema_version", "stated_trace_id", F.col("context_span_id").alias("span_id"), "trace.start_us", "trace.end_us")
+    broken = trace_violations(spans, envelopes.join(spans.select("trace_id").distinct(), "trace_id", "left_semi"))
+    faults = staged(unread.union(broken) if refused is None else unread.union(refused).union(broken), "faults")
+    kept = staged(spans.join(faults.select("trace_id").distinct(), "trace_id", "left_anti"), "kept")
+    drop_staged(raw, spans)
+    return kept, faults
 
 
 def bind_samples(requests: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame]:

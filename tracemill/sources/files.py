@@ -26,18 +26,21 @@ def trace_files(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     """Raw span records of trace files {"trace_id": ..., "spans": [...]}: (trace_id, context_span_id, ..., attributes).
 
     Every key that begins with ``attributes.`` goes into the map, as JSON text unless it is a string. A file that can't
-    be read, has a blank id or no spans gives one row with an error. With ``lines`` each line is a trace, not each file.
+    be read, has a blank id or no spans gives one row with an error. ``trace`` is what the file says of the trace as a
+    whole, ``stated_trace_id`` the trace that the record itself names. With ``lines`` each line is a trace, not each file.
     """
     read = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), "value")
-    top = read.select("file", F.from_json("value", "trace_id string, spans array<string>").alias("t"))
+    top = read.select("file", F.from_json("value", "trace_id string, spans array<string>, schema_version int, start_time string, end_time string").alias("t"))
+    stated = {"schema_version": F.col("t.schema_version"), "start_us": F.unix_micros(iso_time(F.col("t.start_time"))), "end_us": F.unix_micros(iso_time(F.col("t.end_time")))}
+    top = top.withColumns(stated).withColumn("trace", F.struct(*stated))
     tid = F.trim("t.trace_id")
     error = F.when(F.col("t.spans").isNull(), "not a trace file").when(F.coalesce(tid, F.lit("")) == "", "no trace id").when(F.size("t.spans") == 0, "no spans")
-    rows = top.select("file", tid.alias("trace_id"), error.alias("error"), F.explode_outer("t.spans").alias("raw"))
+    rows = top.select("file", tid.alias("trace_id"), error.alias("error"), "trace", F.explode_outer("t.spans").alias("raw"))
     keys = F.from_json("raw", "map<string,string>")
     get = lambda k: F.try_element_at(keys, F.lit(k))
     attributes = F.transform_keys(F.map_filter(keys, lambda k, v: k.startswith("attributes.")), lambda k, v: F.substring(k, len("attributes.") + 1, 1 << 20))
     time = lambda k: iso_time(get(k))
-    return rows.select("file", "trace_id", "error", get("context.span_id").alias("context_span_id"), get("parent_id").alias("parent_id"), get("name").alias("name"), get("span_kind").alias("span_kind"), get("status_code").alias("status_code"), get("status_message").alias("status_message"), time("start_time").alias("start_time"), time("end_time").alias("end_time"), attributes.alias("attributes"))
+    return rows.select("file", "trace_id", "error", "trace", get("context.trace_id").alias("stated_trace_id"), get("context.span_id").alias("context_span_id"), get("parent_id").alias("parent_id"), get("name").alias("name"), get("span_kind").alias("span_kind"), get("status_code").alias("status_code"), get("status_message").alias("status_message"), time("start_time").alias("start_time"), time("end_time").alias("end_time"), attributes.alias("attributes"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

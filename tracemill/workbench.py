@@ -19,6 +19,7 @@ from tracemill.operators import report
 from tracemill.operators.catalog import page
 from tracemill.operators.store import Store, status_if_current, status_updated
 from tracemill.sources.files import dataset_json
+from tracemill.staging import drop_staged, staged
 
 SPAN = ["trace_id", "external_id", "parent_span_id", "span_type", "status", "name", "start_time", "end_time", "input_data", "output_data"]
 
@@ -37,12 +38,13 @@ def import_dataset(store: Store, path: str, name: str) -> int:
     return store.table("samples").where(F.col("dataset") == name).count()
 
 
-def import_run(store: Store, path: str, dataset: str, run_id: str, adapter: str = "phoenix") -> DataFrame:
+def import_run(store: Store, path: str, dataset: str, run_id: str, adapter: str = "phoenix", model: str | None = None) -> DataFrame:
     """Trace files as the run ``run_id`` of a data set, each trace bound to the sample with its request; the faults
-    (trace_id, rule, detail) of those that are refused or can't be bound. All of it is written or nothing."""
+    (trace_id, rule, detail) of those that are refused or can't be bound. Spans, samples and the run appear in one
+    transaction or not at all. ``model``: for the adapters that need one."""
     if has(store, "runs", "run_id", run_id):
         raise ValueError(f"run {run_id} is there already")
-    spans, faults = service.import_traces(store.spark, path, adapter)
+    spans, faults = kept, _ = service.import_traces(store.spark, path, adapter, model)
     root = F.col("parent_span_id").isNull()
     if "request" not in spans.columns:
         spans = spans.withColumns({"request": F.when(root, F.col("input_data")), "answer": F.when(root, F.col("output_data")), "retrieval": F.lit(None)})
@@ -52,21 +54,21 @@ def import_run(store: Store, path: str, dataset: str, run_id: str, adapter: str
     asked = spans.where("span_type = 'agent_root' and request is not null").groupBy("trace_id").agg(F.min("request").alias("request"))
     samples = store.table("samples").where(F.col("dataset") == dataset).select("sample_id", "input_prompt")
     bound, unbound = service.bind_samples(asked, samples)
-    faults = faults.union(unbound.select("trace_id", F.lit("binding").alias("rule"), F.concat_ws(" ", F.col("samples").cast("string"), F.lit("samples")).alias("detail")))
+    bound = staged(bound, "bound")
+    faults = staged(faults.union(unbound.select("trace_id", F.lit("binding").alias("rule"), F.concat_ws(" ", F.col("samples").cast("string"), F.lit("samples")).alias("detail"))), "faults")
     times = spans.groupBy("trace_id").agg(F.unix_micros(F.min("start_time")).alias("start_us"), F.unix_micros(F.max("end_time")).alias("end_us"))
     run_samples = bound.join(times, "trace_id").select(F.lit(run_id).alias("run_id"), "sample_id", "trace_id", F.lit("COMPLETED").alias("status"), "start_us", "end_us")
     missing = samples.select("sample_id").join(bound, "sample_id", "left_anti").select(F.lit(run_id).alias("run_id"), "sample_id", F.lit(None).cast("string").alias("trace_id"), F.lit("FAILED").alias("status"), F.lit(None).cast("long").alias("start_us"), F.lit(None).cast("long").alias("end_us"))
-    store.append({"spans": spans.join(bound.select("trace_id"), "trace_id", "left_semi").select(*spans.columns), "run_samples": run_samples.union(missing)})
-    record_run(store, run_id, dataset, None)
+    run_samples = staged(run_samples.union(missing), "run_samples")
+    store.append({"spans": spans.join(bound.select("trace_id"), "trace_id", "left_semi").select(*spans.columns), "run_samples": run_samples, "runs": run_row(store, run_id, dataset, None, run_samples)})
+    drop_staged(run_samples, bound, kept)
     return faults
 
 
-def record_run(store: Store, run_id: str, dataset: str, source: str | None) -> str:
+def run_row(store: Store, run_id: str, dataset: str, source: str | None, run_samples: DataFrame) -> DataFrame:
     """A run's row with the status that its samples' outcomes give."""
     one = store.spark.createDataFrame([(run_id, dataset, source, int(time.time() * 1e6))], "run_id string, dataset string, source_run string, start_us long")
-    said = report.run_status(one, store.table("run_samples").where(F.col("run_id") == run_id))
-    store.append({"runs": one.join(said, "run_id").select("run_id", "dataset", "status", "source_run", "start_us")})
-    return said.first()["status"]
+    return one.join(report.run_status(one, run_samples), "run_id").select("run_id", "dataset", "status", "source_run", "start_us")
 
 
 def rows_of(store: Store, run_id: str, dataset: str) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +83,9 @@ def rows_of(store: Store, run_id: str, dataset: str) -> tuple[DataFrame, DataFra
 
 
 def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None, judge: Callable | None = None, extractor: Callable | None = None, source_run: str | None = None, rubric: dict[str, str] | None = None) -> str:
-    """Score a run's traces and store the computations; the run's status. With ``source_run`` the traces of that run are
-    scored again as the run ``run_id``."""
+    """Score a run's traces and store the computations; the run's status. A metric that the run has been scored by before
+    gets its new computations instead of the old ones. With ``source_run`` the traces of that run are scored again as the
+    run ``run_id``, which appears with all its rows at once."""
     source = source_run or run_id
     runs = store.table("runs").where(F.col("run_id") == source).collect()
     if not runs:
@@ -94,11 +97,19 @@ def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None
     found = service.evaluate(rows.drop("sample_id"), spans, names=names, judge=judge, extractor=extractor, rubric=rubric)
     bound = store.table("run_samples").where(F.col("run_id") == source)
     made = found.join(bound.select("trace_id", "sample_id"), "trace_id").select(F.lit(run_id).alias("run_id"), "sample_id", "trace_id", "metric", "target_span_type", "span_ids", "status", "score", "error_message", F.lit(None).cast("string").alias("reasoning"))
-    tables = {"computations": made}
     if source_run is not None:
-        tables["run_samples"] = bound.withColumn("run_id", F.lit(run_id))
-    store.append(tables)
-    return record_run(store, run_id, dataset, source_run) if source_run is not None else runs[0]["status"]
+        again = bound.withColumn("run_id", F.lit(run_id))
+        row = staged(run_row(store, run_id, dataset, source_run, again), "run")
+        store.append({"computations": made, "run_samples": again, "runs": row})
+        return row.first()["status"]
+    made = staged(made, "computations")
+    if has(store, "computations", "run_id", run_id):
+        again = (F.col("run_id") == run_id) & F.col("metric").isin([r[0] for r in made.select("metric").distinct().collect()])
+        store.commit({"computations": store.table("computations").where(~again).unionByName(made)})
+    else:
+        store.append({"computations": made})
+    drop_staged(made)
+    return runs[0]["status"]
 
 
 def report_run(store: Store, run_id: str, wanted: list[str] | None = None) -> str:
