@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -12,8 +13,11 @@ from pyspark.sql import functions as F
 from tracemill.functions.stats import rounded
 from tracemill.operators.retrieval import shard_numbers, term_table
 from tracemill.operators.store import Store, upserted
+from tracemill.staging import drop_staged, staged
 
 SHARD = 2048
+#: Tasks that shards are dealt out to at most.
+MOST_TASKS = 2000
 
 
 def there(spark: SparkSession, folder: str) -> bool:
@@ -32,14 +36,38 @@ def archived_traces(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(folder)
 
 
-def embed_shards(documents: DataFrame, folder: str, embed: Callable[[DataFrame], DataFrame], size: int = SHARD) -> int:
+def _spec(spark: SparkSession, folder: str, spec: dict) -> None:
+    """Record what vectors are made of, or hold it against what is recorded; ``ValueError`` if that is something else."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_spec.json")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = json.dumps(spec, ensure_ascii=False, sort_keys=True)
+    if fs.exists(path):
+        had = spark._jvm.org.apache.commons.io.IOUtils.toString(opened := fs.open(path), "UTF-8")
+        opened.close()
+        if had != text:
+            raise ValueError(f"{folder} was embedded with another spec: {had}")
+        return
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_spec.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, path):
+        raise RuntimeError(f"another run has begun in {folder}")
+
+
+def embed_shards(documents: DataFrame, folder: str, embed: Callable[[DataFrame], DataFrame], size: int = SHARD, spec: dict | None = None) -> int:
     """Embed the documents (document_id, text) of every shard that isn't on disk yet; the number of shards embedded.
 
     Shards are rows in order of document_id, ``size`` each. Shards on disk must hold the documents they would hold now,
-    else ``ValueError``. A job's shards appear together when it has ended, so a broken run leaves none behind.
+    and be made by the same ``spec`` (model, width and the like, recorded by the first run), else ``ValueError``.
+
+    A shard is the work of one task, of MOST_TASKS at most at a time, and its one file is renamed into place when that task
+    commits (the committer's version 2), not when the job ends: a run that breaks leaves whole shards, and the next one
+    embeds the others alone. ``embed`` must keep rows where they are (no shuffle), as functions of Arrow batches do.
     """
     spark = documents.sparkSession
-    numbered = shard_numbers(documents.select("document_id", "text"), "document_id", size)
+    _spec(spark, folder, {"size": size, **(spec or {})})
+    numbered = staged(shard_numbers(documents.select("document_id", "text"), "document_id", size), "numbered")
     digest = lambda df: df.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("document_id").cast("decimal(38,0)")).alias("h"))
     wanted = digest(numbered)
     if there(spark, folder):
@@ -48,10 +76,15 @@ def embed_shards(documents: DataFrame, folder: str, embed: Callable[[DataFrame],
         if not odd.isEmpty():
             raise ValueError(f"shard {odd.first()['shard']} holds other documents")
         wanted = wanted.join(had.select("shard"), "shard", "left_anti")
-    made = wanted.count()
+    todo = staged(shard_numbers(wanted.select(F.col("shard").alias("lacking")), "lacking").select(F.col("lacking").alias("shard"), F.col("row").alias("task")), "todo")
+    made = todo.count()
     if made:
-        todo = numbered.join(wanted.select("shard"), "shard", "left_semi").select("shard", "document_id", "text")
-        embed(todo).select("shard", "document_id", "embedding").write.mode("append").partitionBy("shard").parquet(folder)
+        tasks = min(made, MOST_TASKS)
+        rows = numbered.join(F.broadcast(todo) if made <= MOST_TASKS else todo, "shard").select("shard", "document_id", "text", F.pmod("task", F.lit(tasks)).cast("int").alias("task"))
+        rows = rows.repartitionById(tasks, "task").sortWithinPartitions("shard", "document_id").select("shard", "document_id", "text")
+        out = embed(rows).select("shard", "document_id", "embedding")
+        out.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("shard").parquet(folder)
+    drop_staged(numbered, todo)
     return made
 
 

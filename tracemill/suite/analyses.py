@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions import stats, text
-from tracemill.operators import analysis, metrics, report, retrieval
+from tracemill.operators import analysis, batches, metrics, report, retrieval
 from tracemill.plans.lens import Lens
 from tracemill.suite import query
 
@@ -157,6 +157,17 @@ def _(t: Lens) -> DataFrame:
     return retrieval.shard_numbers(t.table("documents").select("doc_id"), "doc_id", 256)
 
 
+@query("f12_request_batches", """WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, length(coalesce(text, '')) // 4 + 1 AS tokens FROM documents),
+s AS (SELECT *, sum(tokens) OVER (ORDER BY i) AS upto FROM d),
+x AS (SELECT a.i, least(a.i + 96, coalesce(min(b.i), (SELECT count(*) FROM d))) AS nxt FROM s a LEFT JOIN s b ON b.i > a.i AND b.i <= a.i + 96 AND b.upto - a.upto + a.tokens > 5000 GROUP BY a.i),
+r AS (SELECT CAST(0 AS BIGINT) AS i UNION ALL SELECT x.nxt FROM r JOIN x USING (i)),
+n AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS batch FROM r WHERE i < (SELECT count(*) FROM d))
+SELECT doc_id, d.i AS "row", CAST(tokens AS BIGINT) AS tokens, CAST(max(n.batch) AS BIGINT) AS batch FROM d JOIN n ON n.i <= d.i GROUP BY ALL""")
+def _(t: Lens) -> DataFrame:
+    """All documents in requests of at most 96 texts and 5,000 tokens."""
+    return batches.request_batches(t.table("documents"), "doc_id", batches.estimated_tokens(F.col("text")), 5000)
+
+
 @query("r01_tokens", f"SELECT doc_id, CAST(len({TOKENS}) AS BIGINT) AS length FROM documents")
 def _(t: Lens) -> DataFrame:
     return t.table("documents").select("doc_id", F.size(text.bm25_tokens(F.col("text"))).cast("long").alias("length"))
