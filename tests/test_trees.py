@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracemill.operators import trees
 
@@ -37,11 +38,31 @@ def forest(rng, traces, size):
 def test_forests(spark):
     rows = forest(random.Random(1), 6, 40)
     want, numbers = by_hand(rows)
-    got = trees.walked(spark, spark.createDataFrame(rows, SPAN)).collect()
+    got = trees.walked(spark, spark.createDataFrame(rows, SPAN), numbers=True).collect()
     assert {(r["trace_id"], r["span_id"]): (r["depth"], r["root"], r["top"]) for r in got} == want
-    for t in {r[0] for r in rows}:
-        ordered = [r["span_id"] for r in sorted((r for r in got if r["trace_id"] == t), key=lambda r: r["path"])]
-        assert ordered == sorted((s for (u, s) in numbers if u == t), key=lambda s: numbers[t, s])
+    numbers = {k: n + 1 for k, n in numbers.items()}
+    assert {(r["trace_id"], r["span_id"]): r["number"] for r in got} == numbers
+    up = {(r[0], r[1]): r[2] for r in rows}
+    for r in got:  # a subtree has a range of numbers of its own
+        inside = {(t, s) for t, s in numbers if t == r["trace_id"] and r["number"] <= numbers[t, s] < r["number"] + r["size"]}
+        below = {(r["trace_id"], r["span_id"])}
+        while more := {x for x in numbers if x not in below and (x[0], up[x]) in below}:
+            below |= more
+        assert inside == below
+
+
+@pytest.mark.parametrize("comb", [False, True])
+def test_chain_and_comb_of_many_spans(spark, comb):
+    """100,000 spans below each other, or every other one a leaf beside the chain: numbers and sizes by rule."""
+    n = 100_000
+    i = F.col("id")
+    up = F.when(i % 2 == 1, i - 1).otherwise(i - 2) if comb else i - 1
+    df = spark.range(n).select(F.lit(1).alias("trace_id"), i.alias("span_id"), F.when(i > 0, up).alias("parent_id"), i.alias("start_us"), i.alias("end_us"), F.lit("x").alias("span_type"))
+    got = trees.walked(spark, df, numbers=True)
+    # a leaf i of the comb stands before the chain's next span i + 1, as it starts earlier
+    size = F.when(F.col("span_id") % 2 == 1, 1).otherwise(n - F.col("span_id")) if comb else n - F.col("span_id")
+    depth = F.ceil(F.col("span_id") / 2) if comb else F.col("span_id")
+    assert got.where((F.col("number") == F.col("span_id") + 1) & (F.col("size") == size) & (F.col("depth") == depth)).count() == n
 
 
 def test_long_chains(spark):

@@ -58,32 +58,32 @@ def echo_mismatches(items: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def whole_trace(walked: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """(trace_id, rendered, spans, chars): a trace as text, depth first, indented by depth."""
+    """(trace_id, rendered, spans, chars): a trace as text, depth first, indented by depth; walked has numbers."""
     line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("span_type"), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
-    rows = walked.join(spans.select("span_id", "span_type", text), "span_id").select("trace_id", "path", line.alias("line"))
-    out = rows.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "line"))), lambda x: x["line"]), "\n").alias("rendered"), F.count(F.lit(1)).alias("spans"))
+    rows = walked.join(spans.select("trace_id", "span_id", "span_type", text), ["trace_id", "span_id"]).select("trace_id", "number", line.alias("line"))
+    out = rows.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("rendered"), F.count(F.lit(1)).alias("spans"))
     return out.withColumn("chars", F.length("rendered").cast("long"))
 
 
 def executed_steps(walked: DataFrame, spans: DataFrame) -> DataFrame:
     """(trace_id, steps): tool spans below the root in order of (start, id)."""
-    tools = walked.where("depth > 0").select("trace_id", "span_id").join(spans.where("span_type = 'tool'").select("span_id", "start_us", "status", "event_type"), "span_id")
+    tools = walked.where("depth > 0").select("trace_id", "span_id").join(spans.where("span_type = 'tool'").select("trace_id", "span_id", "start_us", "status", "event_type"), ["trace_id", "span_id"])
     return tools.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("start_us", "span_id", "event_type", "status"))).alias("steps"))
 
 
 def retyped(walked: DataFrame, spans: DataFrame, agent: Column) -> DataFrame:
-    """(span_id, span_type): model calls outside the agent's subtree are external, those right below another call internal."""
-    met = spans.join(walked.select("span_id", "top"), "span_id", "left")
-    parents = spans.where("span_type = 'llm'").select(F.col("span_id").alias("__p"))
-    met = met.join(parents, F.col("parent_id") == F.col("__p"), "left")
+    """(trace_id, span_id, span_type): model calls outside the agent's subtree are external, those right below another call internal."""
+    met = spans.join(walked.select("trace_id", "span_id", "top"), ["trace_id", "span_id"], "left")
+    parents = spans.where("span_type = 'llm'").select(F.col("trace_id").alias("__t"), F.col("span_id").alias("__p"))
+    met = met.join(parents, (F.col("trace_id") == F.col("__t")) & (F.col("parent_id") == F.col("__p")), "left")
     llm = F.col("span_type") == "llm"
-    return met.select("span_id", F.when(llm & ~agent, "external_llm").when(llm & F.col("__p").isNotNull(), "llm_internal").otherwise(F.col("span_type")).alias("span_type"))
+    return met.select("trace_id", "span_id", F.when(llm & ~agent, "external_llm").when(llm & F.col("__p").isNotNull(), "llm_internal").otherwise(F.col("span_type")).alias("span_type"))
 
 
 def topological(walked: DataFrame, spans: DataFrame) -> DataFrame:
     """(trace_id, span_id, number): parents before children, then by start and id."""
     w = Window.partitionBy("trace_id").orderBy("depth", "start_us", "span_id")
-    return walked.select("trace_id", "span_id", "depth").join(spans.select("span_id", "start_us"), "span_id").select("trace_id", "span_id", F.row_number().over(w).cast("long").alias("number"))
+    return walked.select("trace_id", "span_id", "depth").join(spans.select("trace_id", "span_id", "start_us"), ["trace_id", "span_id"]).select("trace_id", "span_id", F.row_number().over(w).cast("long").alias("number"))
 
 
 def asked(*parts: Column) -> Column:

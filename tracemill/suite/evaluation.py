@@ -324,8 +324,7 @@ def _(t: Lens) -> DataFrame:
 
 @query("f08_depth_first", WALK + "SELECT trace_id, span_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) AS BIGINT) AS number FROM w")
 def _(t: Lens) -> DataFrame:
-    w = Window.partitionBy("trace_id").orderBy("path")
-    return trees.walked(t.spark, t.spans()).select("trace_id", "span_id", F.row_number().over(w).cast("long").alias("number"))
+    return trees.walked(t.spark, t.spans(), numbers=True).select("trace_id", "span_id", "number")
 
 
 @query("m01_llm_calls", "SELECT t.trace_id, CASE WHEN count(s.span_id) = 0 THEN 'SKIPPED' ELSE 'COMPLETED' END AS status, CAST(nullif(count(s.span_id), 0) AS DOUBLE) AS score FROM (SELECT DISTINCT trace_id FROM short) t LEFT JOIN short s ON s.trace_id = t.trace_id AND s.span_type = 'llm' GROUP BY t.trace_id", "span short")

@@ -78,7 +78,7 @@ def _(t: Lens) -> DataFrame:
 @query("c30_retyped", WALK + "SELECT s.span_id, CASE WHEN s.span_type = 'llm' AND NOT coalesce(w.top % 2 = 0, false) THEN 'external_llm' WHEN s.span_type = 'llm' AND p.span_type = 'llm' THEN 'llm_internal' ELSE s.span_type END AS span_type FROM span s JOIN w ON w.span_id = s.span_id LEFT JOIN span p ON p.span_id = s.parent_id")
 def _(t: Lens) -> DataFrame:
     spans = t.spans()
-    return judged.retyped(trees.walked(t.spark, spans), spans, F.coalesce(F.col("top") % 2 == 0, F.lit(False)))
+    return judged.retyped(trees.walked(t.spark, spans), spans, F.coalesce(F.col("top") % 2 == 0, F.lit(False))).drop("trace_id")
 
 
 @query("d07_truth_keys", "SELECT m.metric, k.key, g.item_id FROM (VALUES ('recall', ['a', 'b']), ('plan', ['b', 'c'])) m(metric, ks), (SELECT unnest(['a', 'b', 'c']) AS key) k LEFT JOIN (SELECT item_id, CASE item_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS key FROM benchmark) g ON g.key = k.key WHERE list_contains(ks, k.key)")
@@ -171,7 +171,7 @@ def _(t: Lens) -> DataFrame:
 @query("m23_whole_trace", WALK + "SELECT w.trace_id, count(*) AS spans, md5(string_agg(repeat('  ', depth) || span_type || ': ' || props, chr(10) ORDER BY path)) AS digest FROM w JOIN span s ON s.span_id = w.span_id GROUP BY w.trace_id")
 def _(t: Lens) -> DataFrame:
     spans = t.spans()
-    return judged.whole_trace(trees.walked(t.spark, spans), spans, "props").select("trace_id", "spans", F.md5(F.col("rendered").cast("binary")).alias("digest"))
+    return judged.whole_trace(trees.walked(t.spark, spans, numbers=True), spans, "props").select("trace_id", "spans", F.md5(F.col("rendered").cast("binary")).alias("digest"))
 
 
 @query("m24_judged_once", "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE hash LIKE '%a%') AS BIGINT) AS yes FROM (SELECT event_type, sha256(props) AS hash FROM events) q GROUP BY event_type")
