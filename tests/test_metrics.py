@@ -1,7 +1,9 @@
 """Values known beforehand."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +152,24 @@ def test_plan_rules(spark):
     assert {tuple(r) for r in validate.plan_violations(plans).collect()} == {("circle", "dependency_cycle", "p"), ("self", "dependency_cycle", "p"), ("lacks", "unknown_dependency", "p"), ("turns", "plan_cycle", "p"), ("turns", "plan_cycle", "q")}
     steps = spark.createDataFrame([("good", "1", "p", "3"), ("good", "2", None, None), ("good", "3", "p", None), ("good", "4", "x", None), ("good", "5", "q", "z"), ("good", "6", None, "a")], "trace_id string, step_id string, plan_id string, planned_step_id string")
     assert {tuple(r)[1:] for r in validate.step_plan_violations(steps, plans).collect()} == {("unknown_plan", "4"), ("unknown_planned_step", "5"), ("unknown_planned_step", "6")}
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_quantiles(spark, monkeypatch, few):
+    """By one window and by ranges; null keys, null and repeated values, groups of one and of nulls only."""
+    monkeypatch.setattr(stats, "FEW", few)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(40)])) for _ in range(600)] + [("one", 7), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    got = {r["k"]: (r["a"], r["b"], r["c"]) for r in stats.quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.3, "c": 0.95}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for k, found in got.items():
+        assert found == pytest.approx(tuple(np.quantile([v for g, v in rows if g == k and v is not None], [0, 0.3, 0.95])))
+    assert [tuple(r) for r in stats.quantiles(df, [], "v", {"m": 0.5}).collect()] == [(pytest.approx(np.median([v for _, v in rows if v is not None])),)]
+    assert [tuple(r) for r in stats.quantiles(df.where("false"), [], "v", {"m": 0.5}).collect()] == [(None,)]
+    full = {r["k"]: r.asDict() for r in stats.score_stats(df, ["k"], "v").collect()}
+    assert full["none"]["median"] is None and full["none"]["n"] == 0 and full[None]["p25"] is not None and full["one"]["stddev"] is None
+    ranks = {r["k"]: (r["p50"], r["p95"], r["over"], r["n"]) for r in analysis.nearest_rank(df.where("v is not null"), ["k"], "v", [50, 95], 30).collect()}
+    for k, found in ranks.items():
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        assert found == (v[-(-len(v) * 50 // 100) - 1], v[-(-len(v) * 95 // 100) - 1], sum(x > 30 for x in v), len(v))

@@ -14,13 +14,59 @@ def rounded(c: Column) -> Column:
     return F.round(c.cast("double"), DIGITS)
 
 
-def score_stats(score: Column) -> list[Column]:
-    """count, mean, sample stddev (null for one), min, quartiles by linear interpolation, max; null without rows."""
-    return [F.count(score).alias("n"), rounded(F.avg(score)).alias("mean"), rounded(F.stddev_samp(score)).alias("stddev"), rounded(F.min(score)).alias("min"), rounded(F.percentile(score, 0.25)).alias("p25"), rounded(F.median(score)).alias("median"), rounded(F.percentile(score, 0.75)).alias("p75"), rounded(F.max(score)).alias("max")]
+#: The names of the quartiles and their shares.
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+#: So many rows of counts at most are put in order by one window; more of them are cut into ranges.
+FEW = 1 << 18
 
 
-def latency_stats(seconds: Column) -> list[Column]:
-    return [rounded(F.avg(seconds)).alias("mean"), rounded(F.median(seconds)).alias("median"), rounded(F.percentile(seconds, 0.95)).alias("p95"), rounded(F.min(seconds)).alias("min"), rounded(F.max(seconds)).alias("max")]
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables with one row for each key next to each other; null keys meet too."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # a row each
+    named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(c) for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return left.join(named, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Each key's quantiles by linear interpolation at (n - 1) p, from counts of equal values and the numbers of smaller ones.
+
+    No group's values come together in one buffer or task. Null values don't count; without ``keys`` there is one row,
+    with nulls if there is no value; with keys, those that have a value.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = less_than(counts, keys, "__v", "__c")
+    met = beside(ranked, ranked.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
+    said = {}
+    for name, p in shares.items():
+        place = (F.col("__n") - 1) * F.lit(p)
+        for side, at in (("l", F.floor(place)), ("h", F.ceil(place))):
+            said[f"__{side}_{name}"] = F.max(F.when((F.col("less") <= at) & (at < F.col("less") + F.col("__c")), F.col("__v").cast("double")))
+    found = met.groupBy(*keys).agg(F.max("__n").alias("__n"), *[c.alias(n) for n, c in said.items()])
+    part = lambda p: (F.col("__n") - 1) * F.lit(p) - F.floor((F.col("__n") - 1) * F.lit(p))
+    return found.select(*keys, *[(F.col(f"__l_{n}") + (F.col(f"__h_{n}") - F.col(f"__l_{n}")) * part(p)).alias(n) for n, p in shares.items()])
+
+
+def score_moments(score: Column) -> list[Column]:
+    """count, mean, sample stddev (null for one), min, max; null without rows."""
+    return [F.count(score).alias("n"), rounded(F.avg(score)).alias("mean"), rounded(F.stddev_samp(score)).alias("stddev"), rounded(F.min(score)).alias("min"), rounded(F.max(score)).alias("max")]
+
+
+def with_quantiles(made: DataFrame, df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """A table of groups with the quantiles of ``value`` in ``df``, rounded."""
+    found = quantiles(df, keys, value, shares)
+    return beside(made, found.select(*keys, *[rounded(F.col(n)).alias(n) for n in shares]), keys)
+
+
+def score_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each key's moments and quartiles."""
+    return with_quantiles(df.groupBy(*keys).agg(*score_moments(F.col(value))), df, keys, value, QUARTILES)
+
+
+def latency_stats(df: DataFrame, keys: list[str], seconds: str) -> DataFrame:
+    made = df.groupBy(*keys).agg(rounded(F.avg(seconds)).alias("mean"), rounded(F.min(seconds)).alias("min"), rounded(F.max(seconds)).alias("max"))
+    return with_quantiles(made, df, keys, seconds, {"median": 0.5, "p95": 0.95})
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -38,10 +84,13 @@ def kappa(a: Column, b: Column) -> Column:
 def less_than(counts: DataFrame, keys: list[str], value: str, total: str) -> DataFrame:
     """``counts`` (keys, value, total, ...) with ``less``: the sum of ``total`` over the key's smaller values.
 
-    Rows are cut into ranges of (keys, value), each range is summed up by itself, and the sums of the ranges before are
-    added, so that no task orders all of a key. (keys, value) must be unique.
+    Up to ``FEW`` rows are ordered by one window. More are cut into ranges of (keys, value), each range is summed up by
+    itself, and the sums of the ranges before are added, so that no task orders all of a key. (keys, value) must be unique.
     """
-    counts = staged(counts, "counts")  # cutting into ranges reads it twice
+    counts = staged(counts, "counts")  # its size decides, and cutting into ranges reads it twice
+    if counts.count() <= FEW:
+        smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("less", F.coalesce(F.sum(total).over(smaller), F.lit(0)))
     parts = staged(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*keys, "__p").agg(F.sum(total).alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.stats import guarded_corr, kappa, rounded, with_average_rank
+from tracemill.functions.stats import beside, guarded_corr, kappa, less_than, rounded, with_average_rank
 from tracemill.staging import staged
 
 
@@ -64,11 +64,11 @@ def mean_if_all(values: DataFrame, value: str, n: int = 3) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, percents: list[int], limit: float) -> DataFrame:
     """The values at rank ceil(p n / 100), and how many exceed the limit; by counts of equal values."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    run = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
-    at = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * p / 100), F.col(value))).alias(f"p{p}") for p in percents]
-    return run.groupBy(*keys).agg(*at, F.sum(F.when(F.col(value) > limit, F.col("c")).otherwise(0)).alias("over"), F.sum("c").alias("n"))
+    ranked = less_than(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")), keys, value, "c")
+    whole = ranked.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.when(F.col(value) > limit, F.col("c")).otherwise(0)).alias("over"))
+    run = beside(ranked, whole, keys)
+    at = [F.min(F.when(F.col("less") + F.col("c") >= F.ceil(F.col("n") * p / 100), F.col(value))).alias(f"p{p}") for p in percents]
+    return run.groupBy(*keys).agg(*at, F.max("over").alias("over"), F.max("n").alias("n"))
 
 
 def failed_units(computations: DataFrame) -> DataFrame:

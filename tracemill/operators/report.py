@@ -14,13 +14,14 @@ SCORED = "status = 'COMPLETED' and score is not null"
 
 
 def metric_scores(computations: DataFrame, keys: tuple[str, ...] = ("metric",)) -> DataFrame:
-    return computations.where(SCORED).groupBy(*keys).agg(*score_stats(F.col("score")))
+    return score_stats(computations.where(SCORED), list(keys), "score")
 
 
 def latency(run_samples: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Seconds of completed samples that have both times."""
     seconds = (F.col("end_us") - F.col("start_us")) / 1e6
-    return run_samples.where("status = 'COMPLETED' and start_us is not null and end_us is not null").withColumn("__s", seconds).groupBy(*keys).agg(*latency_stats(F.col("__s")))
+    done = run_samples.where("status = 'COMPLETED' and start_us is not null and end_us is not null").withColumn("__s", seconds)
+    return latency_stats(done, list(keys), "__s")
 
 
 def status_counts(status: str = "status") -> list[Column]:

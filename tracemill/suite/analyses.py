@@ -261,7 +261,8 @@ def flagship(t: Lens) -> DataFrame:
     skip, score = metrics.recall_of_counts(F.coalesce("hits", F.lit(0)), F.coalesce("relevant", F.lit(0)))
     done = rows.select(*metrics.result(skip, F.lit(None).cast("string"), score))
     scored = F.when(F.col("status") == "COMPLETED", F.col("score"))
-    return done.agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), *stats.score_stats(scored), F.round(F.coalesce(F.try_divide(F.count(scored).cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)), 6).alias("coverage"))
+    made = done.agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), *stats.score_moments(scored), F.round(F.coalesce(F.try_divide(F.count(scored).cast("double"), F.count(F.lit(1)).cast("double")), F.lit(0.0)), 6).alias("coverage"))
+    return stats.with_quantiles(made, done.select(scored.alias("score")), [], "score", stats.QUARTILES)
 
 
 @query("flagship", ", s AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label) AS rel, (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS hit FROM qv q), v AS (SELECT CASE WHEN rel > 0 THEN hit / rel END AS score FROM s) SELECT count(*) AS samples, count(score) AS completed, count(*) - count(score) AS skipped, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS stddev, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS p25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS p75, round(max(score), 6) AS max, round(count(score) / count(*), 6) AS coverage FROM v", "cand")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions import text
+from tracemill.functions import stats, text
 from tracemill.operators import catalog, judged, metrics, report, retrieval, store, trees
 from tracemill.plans.lens import Lens
 from tracemill.suite import query
@@ -107,7 +107,8 @@ def _(t: Lens) -> DataFrame:
 
 @query("e02_percentiles", "SELECT o_orderpriority AS dataset_id, round(quantile_cont(o_totalprice, 0.1), 4) AS p10, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1")
 def _(t: Lens) -> DataFrame:
-    return t.table("orders").groupBy(F.col("o_orderpriority").alias("dataset_id")).agg(F.round(F.percentile("o_totalprice", 0.1), 4).alias("p10"), F.round(F.percentile("o_totalprice", 0.9), 4).alias("p90"))
+    orders = t.table("orders").select(F.col("o_orderpriority").alias("dataset_id"), "o_totalprice")
+    return stats.quantiles(orders, ["dataset_id"], "o_totalprice", {"p10": 0.1, "p90": 0.9}).select("dataset_id", F.round("p10", 4).alias("p10"), F.round("p90", 4).alias("p90"))
 
 
 @query("f09_topological", WALK + "SELECT w.trace_id, w.span_id, CAST(row_number() OVER (PARTITION BY w.trace_id ORDER BY depth, start_us, w.span_id) AS BIGINT) AS number FROM w JOIN span s ON s.span_id = w.span_id")
