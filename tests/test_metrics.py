@@ -173,3 +173,23 @@ def test_quantiles(spark, monkeypatch, few):
     for k, found in ranks.items():
         v = sorted(x for g, x in rows if g == k and x is not None)
         assert found == (v[-(-len(v) * 50 // 100) - 1], v[-(-len(v) * 95 // 100) - 1], sum(x > 30 for x in v), len(v))
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_dense_search(spark, monkeypatch, own):
+    """Blocks of a few vectors against all pairs: copies, ties, two widths, vectors without a direction."""
+    for name, value in {"QUERY_BLOCK": 3, "BLOCK": 7, "HELD": 2}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(3)
+    vectors = [rng.normal(size=4 if i % 5 else 6).round(1).tolist() for i in range(90)]
+    vectors = {i: v for i, v in enumerate(vectors + vectors[:40] + [[0.0] * 4, None, [float("nan")] * 4, [None, 1.0, 1.0, 1.0], []])}
+    df = spark.createDataFrame([(i, v, f"l{i % 3}") for i, v in vectors.items()], "vec_id long, embedding array<double>, label string").repartition(5)
+    got = retrieval.dense_top(df.where("vec_id % 4 = 0"), df, 6, own).collect()
+    fine = {i: np.array(v) for i, v in vectors.items() if v and None not in v and np.isfinite(v).all() and any(v)}
+    want = set()
+    for q in [i for i in fine if i % 4 == 0]:
+        scored = sorted((-round(float(fine[q] @ v / np.sqrt((fine[q] @ fine[q]) * (v @ v))), 6), i) for i, v in fine.items() if len(v) == len(fine[q]) and (own or i != q))
+        want |= {(q, r, i, -s) for r, (s, i) in enumerate(scored[:6], 1)}
+    assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
+    assert all(r["label"] == f"l{r['vec_id'] % 3}" and r["q_label"] == f"l{r['query_id'] % 3}" for r in got)
+    assert retrieval.dense_top(df.where("false"), df, 6).collect() == []

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +11,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def dot_of(a: Column, b: Column, width: int) -> Column:
-    """The same for arrays of a known width, written out, which is compiled instead of interpreted."""
-    return reduce(lambda s, i: s + a[i].cast("double") * b[i].cast("double"), range(width), F.lit(0.0))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays in double precision."""
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

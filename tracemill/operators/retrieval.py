@@ -2,38 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.functions.scores import dot, dot_of
+from tracemill.functions.scores import dot
 from tracemill.functions.text import bm25_tokens
-from tracemill.staging import staged
+from tracemill.staging import arrow_rows, drop_staged, staged
 
 K1, B, RRF = 1.2, 0.75, 60
-#: Queries are sent to all executors in blocks of about so many rows; their terms if there are at most so many.
-BLOCK, TERMS = 10_000, 1_000_000
-#: Widest vectors whose products are written out as one expression.
-UNROLLED = 256
-
-
-def dense_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_id, q_label, vec_id, label, score): every query with every candidate, to six digits.
-
-    Exact search needs all pairs: the stated query set is broadcast block by block, so that candidates aren't shuffled.
-    """
-    own = lambda c: dot(F.col(c), F.col(c))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"), own("embedding").alias("qq"))
-    c = candidates.select("vec_id", "label", F.col("embedding").alias("cv"), own("embedding").alias("cc"))
-    facts = q.agg(F.count(F.lit(1)), F.min(F.size("qv")), F.max(F.size("qv"))).first()
-    blocks = -(-facts[0] // BLOCK) or 1
-    product = dot(F.col("qv"), F.col("cv"))
-    if facts[1] == facts[2] and facts[1] and facts[1] <= UNROLLED:  # the same sum, written out
-        product = F.when(F.size("cv") == facts[1], dot_of(F.col("qv"), F.col("cv"), facts[1])).otherwise(product)
-    score = F.round(F.try_divide(product, F.sqrt(F.col("qq") * F.col("cc"))), 6)
-    made = [c.crossJoin(F.broadcast(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i))).select("query_id", "q_label", "vec_id", "label", score.alias("score")) for i in range(blocks)]
-    return reduce(DataFrame.union, made)
+#: Rows of a block of queries, of candidates; blocks of queries that a task holds the best of at once; further ones kept.
+QUERY_BLOCK, BLOCK, HELD, SPARE = 512, 4096, 64, 8
+#: Queries' terms are sent to all executors if there are at most so many.
+TERMS = 1_000_000
 
 
 def top_k(scored: DataFrame, k: int, key: str = "query_id", item: str = "vec_id") -> DataFrame:
@@ -42,8 +27,107 @@ def top_k(scored: DataFrame, k: int, key: str = "query_id", item: str = "vec_id"
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def dense_top(queries: DataFrame, candidates: DataFrame, k: int = 50) -> DataFrame:
-    return top_k(dense_scores(queries, candidates), k)
+def matrices(df: DataFrame, rows: int) -> DataFrame:
+    """(width, ids, unit): vectors (id, v) of one width in blocks of up to ``rows``, at length one, as float64.
+
+    Vectors that are null, zero, or hold null or non-finite components take no part.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+
+        def block(width: int) -> pa.RecordBatch:
+            ids, vectors = held.pop(width)
+            return pa.RecordBatch.from_arrays([pa.array([width]), pa.array([ids], pa.list_(pa.int64())), pa.array([np.stack(vectors).tobytes()], pa.binary())], ["width", "ids", "unit"])
+
+        for batch in batches:
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if not v.is_valid or v.values.null_count or not len(v.values):
+                    continue
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                norm = np.sqrt((x * x).sum())
+                if not np.isfinite(norm) or norm == 0:
+                    continue
+                ids, vectors = held.setdefault(len(x), ([], []))
+                ids.append(i)
+                vectors.append(x / norm)
+                if len(ids) == rows:
+                    yield block(len(x))
+        for width in list(held):
+            yield block(width)
+
+    return df.where("id IS NOT NULL").select(F.col("id").cast("long"), "v").mapInArrow(pack, "width long, ids array<long>, unit binary")
+
+
+class Best:
+    """The ``k`` best candidates of each query of a block: by score to six digits, ties to the smaller id."""
+
+    def __init__(self, queries: list[int], k: int) -> None:
+        self.queries, self.k = queries, k
+        self.ids, self.scores = [np.zeros(0, np.int64) for _ in queries], [np.zeros(0, np.int64) for _ in queries]
+
+    def meet(self, ids: np.ndarray, scores: np.ndarray, own: bool) -> None:
+        """Scores (queries x ids) of more candidates."""
+        rounded = np.rint(scores * 1e6).astype(np.int64)
+        for i, query in enumerate(self.queries):
+            s = rounded[i]
+            if len(s) > self.k + 1:  # one may be the query's own
+                at = np.flatnonzero(s >= np.partition(s, len(s) - self.k - 1)[len(s) - self.k - 1])
+            else:
+                at = np.arange(len(s))
+            if not own:
+                at = at[ids[at] != query]
+            found, value = np.concatenate((self.ids[i], ids[at])), np.concatenate((self.scores[i], s[at]))
+            order = np.lexsort((found, -value))[: self.k]
+            self.ids[i], self.scores[i] = found[order], value[order]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(x) for x in self.ids]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(self.queries, np.int64), n)), pa.array(np.concatenate(self.ids)), pa.array(np.concatenate(self.scores))], ["query_id", "vec_id", "about"])
+
+
+def dense_top(queries: DataFrame, candidates: DataFrame, k: int = 50, own: bool = True) -> DataFrame:
+    """(query_id, q_label, vec_id, label, score, rank): each query's ``k`` largest cosines, to six digits, ties to the smaller
+    id. queries, candidates: vec_id (whole numbers, unique), embedding, label. Without ``own`` a query's own id is left out.
+
+    Exact search needs each query with each candidate: blocks of queries meet blocks of candidates as products of
+    matrices, each task holds the best ``k`` of the block of queries at hand (with ``SPARE`` more, since sums come in
+    another order), and only those are scored by the plain formula. Nothing is broadcast, and the plan is the same for
+    any number of queries. Vectors meet those of their own width; ones without a direction take no part.
+    """
+    spark = queries.sparkSession
+    shaped = lambda df: df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked, there = (staged(matrices(shaped(df), rows), "blocks") for df, rows in ((queries, QUERY_BLOCK), (candidates, BLOCK)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], Best] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                width, ids, unit, other_width, other_ids, other = (batch.column(c)[i] for c in range(6))
+                if width != other_width:
+                    continue
+                key = (width.as_py(), ids[0].as_py())
+                if key not in held:
+                    if len(held) == HELD:  # a block of queries comes again with each row of candidates, or not at all
+                        yield from (b.rows() for b in held.values())
+                        held.clear()
+                    held[key] = Best(ids.as_py(), k + SPARE)
+                a, b = (np.frombuffer(x.as_buffer(), np.float64).reshape(-1, key[0]) for x in (unit, other))
+                held[key].meet(other_ids.values.to_numpy(), a @ b.T, own)
+        yield from (b.rows() for b in held.values())
+
+    pairs = asked.crossJoin(there.select(*[F.col(c).alias(f"c_{c}") for c in there.columns]).hint("shuffle_replicate_nl"))
+    with arrow_rows(spark, 16):
+        near = staged(pairs.mapInArrow(meet, "query_id long, vec_id long, about long"), "near")
+    drop_staged(asked, there)
+    few = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+    near = near.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + SPARE).select("query_id", "vec_id")
+    length = lambda c: dot(F.col(c), F.col(c))
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
+    c = candidates.select("vec_id", "label", F.col("embedding").alias("cv"))
+    score = F.round(F.try_divide(dot(F.col("qv"), F.col("cv")), F.sqrt(length("qv") * length("cv"))), 6)
+    scored = near.join(q, "query_id").join(c, "vec_id").select("query_id", "q_label", "vec_id", "label", score.alias("score"))
+    return top_k(scored, k)
 
 
 def token_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -192,12 +192,12 @@ def _(t: Lens) -> DataFrame:
 
 @query("r03_cosine", "SELECT query_id, vec_id, score FROM dense WHERE rk <= 5", "cand")
 def _(t: Lens) -> DataFrame:
-    return retrieval.dense_top(*t.dense(), 5).select("query_id", "vec_id", "score")
+    return retrieval.dense_top(*t.dense(), 5, own=False).select("query_id", "vec_id", "score")
 
 
 @query("g02_dense_top50", "SELECT query_id, vec_id, CAST(rk AS BIGINT) AS rank FROM dense WHERE rk <= 50", "cand")
 def _(t: Lens) -> DataFrame:
-    return retrieval.dense_top(*t.dense(), 50).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.dense_top(*t.dense(), 50, own=False).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
 
 
 #: Dense and sparse rankings of the documents for each benchmark item: an item's vector is that of its number, as a document's is.
@@ -254,9 +254,9 @@ def _(t: Lens) -> DataFrame:
 def flagship(t: Lens) -> DataFrame:
     """Recall of dense retrieval by label: top 10 by cosine, recall by counts with its skip rule, one report row."""
     q, c = t.dense()
-    top = retrieval.dense_top(q, c, 10)
+    top = retrieval.dense_top(q, c, 10, own=False)
     hits = top.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("q_label")).alias("hits"))
-    relevant = c.groupBy("label").agg(F.count(F.lit(1)).alias("relevant"))
+    relevant = c.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant"))  # but for the query itself
     rows = q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(hits, "query_id", "left")
     skip, score = metrics.recall_of_counts(F.coalesce("hits", F.lit(0)), F.coalesce("relevant", F.lit(0)))
     done = rows.select(*metrics.result(skip, F.lit(None).cast("string"), score))
@@ -265,7 +265,7 @@ def flagship(t: Lens) -> DataFrame:
     return stats.with_quantiles(made, done.select(scored.alias("score")), [], "score", stats.QUARTILES)
 
 
-@query("flagship", ", s AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label) AS rel, (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS hit FROM qv q), v AS (SELECT CASE WHEN rel > 0 THEN hit / rel END AS score FROM s) SELECT count(*) AS samples, count(score) AS completed, count(*) - count(score) AS skipped, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS stddev, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS p25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS p75, round(max(score), 6) AS max, round(count(score) / count(*), 6) AS coverage FROM v", "cand")
+@query("flagship", ", s AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label AND cv.vec_id <> q.query_id) AS rel, (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS hit FROM qv q), v AS (SELECT CASE WHEN rel > 0 THEN hit / rel END AS score FROM s) SELECT count(*) AS samples, count(score) AS completed, count(*) - count(score) AS skipped, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS stddev, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS p25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS p75, round(max(score), 6) AS max, round(count(score) / count(*), 6) AS coverage FROM v", "cand")
 def _(t: Lens) -> DataFrame:
     return flagship(t)
 

@@ -164,7 +164,7 @@ def _(t: Lens) -> DataFrame:
 
 @query("m13_echo_mismatches", "SELECT query_id, CAST(count(*) FILTER (WHERE vec_id % 3 = 0) AS BIGINT) AS mismatches FROM dense WHERE rk <= 10 GROUP BY query_id", "cand")
 def _(t: Lens) -> DataFrame:
-    top = retrieval.dense_top(*t.dense(), 10).select(F.col("query_id").alias("unit_id"), F.col("rank").alias("item_pos"), F.col("vec_id").alias("retrieved_id"))
+    top = retrieval.dense_top(*t.dense(), 10, own=False).select(F.col("query_id").alias("unit_id"), F.col("rank").alias("item_pos"), F.col("vec_id").alias("retrieved_id"))
     said = top.withColumn("retrieved_id", F.when(F.col("retrieved_id") % 3 == 0, F.lit(-1)).otherwise(F.col("retrieved_id")))
     return judged.echo_mismatches(top, said).select(F.col("unit_id").alias("query_id"), "mismatches")
 
