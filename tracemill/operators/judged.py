@@ -17,8 +17,9 @@ from tracemill.functions.text import non_empty
 from tracemill.operators.metrics import Metric, Registry, retrieval_skip, selected
 
 #: score: of the answer or plan; rankings: of each ranking's items, whether they are relevant; attributable: of each claim;
-#: failure: the class of what went wrong.
-VERDICT = "score double, rankings array<array<boolean>>, attributable array<boolean>, failure string, input_tokens long, output_tokens long"
+#: ranks: of each verdict on
+#: an item the rank it names, where a metric asks for it; failure: the class of what went wrong. A judge may leave columns out.
+VERDICT = "score double, rankings array<array<boolean>>, ranks array<array<int>>, attributable array<boolean>, failure string, input_tokens long, output_tokens long"
 #: What claims are made of, by metric; stored ones are columns of the rows.
 STORED = {"contextual_recall_{}_stored_claims": ("claims", "selected", ("document", "snippet")), "contextual_recall_gold_claims": ("gold_claims", "retrieved", ("document",)), "contextual_recall_extracted_claims": ("extracted_claims", "retrieved", ("document",))}
 
@@ -57,14 +58,6 @@ def echo_mismatches(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     return met.groupBy("unit_id").agg(F.count_if(F.col("echoed").isNotNull() & (F.col("echoed") != F.col("retrieved_id"))).alias("mismatches"))
 
 
-def whole_trace(walked: DataFrame, spans: DataFrame, text: str) -> DataFrame:
-    """(trace_id, rendered, spans, chars): a trace as text, depth first, indented by depth; walked has numbers."""
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("span_type"), F.lit(": "), F.coalesce(F.col(text), F.lit("")))
-    rows = walked.join(spans.select("trace_id", "span_id", "span_type", text), ["trace_id", "span_id"]).select("trace_id", "number", line.alias("line"))
-    out = rows.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "line"))), lambda x: x["line"]), "\n").alias("rendered"), F.count(F.lit(1)).alias("spans"))
-    return out.withColumn("chars", F.length("rendered").cast("long"))
-
-
 def executed_steps(walked: DataFrame, spans: DataFrame) -> DataFrame:
     """(trace_id, steps): tool spans below the root in order of (start, id)."""
     tools = walked.where("depth > 0").select("trace_id", "span_id").join(spans.where("span_type = 'tool'").select("trace_id", "span_id", "start_us", "status", "event_type"), ["trace_id", "span_id"])
@@ -111,18 +104,10 @@ def failed(fault: Column) -> Callable[[], Column]:
 
 def register(r: Registry) -> None:
     """The metrics of a judge: answer and plan correctness, contextual precision and recall of documents and snippets."""
-    for name, text, skip, binary in (
-        ("answer_correctness_judge", lambda: asked(F.col("request"), F.col("expected_output"), F.col("answer")), lambda: F.when(non_empty(F.col("answer")).isNull(), "Trace does not provide an answer."), True),
-        ("plan_correctness_judge", lambda: asked(F.col("request"), F.array_join("expected_plan", "\n"), F.array_join("executed_steps", "\n")), lambda: F.when(F.col("executed_steps").isNull(), "Trace does not provide executed steps."), False),
-    ):
-        r.register(Metric(name, "agent_root", lambda: F.col("verdict.score"), skip=skip, fail=lambda binary=binary: failed(bounded_score(F.col("verdict.score"), binary)[0])(), ground_truth_keys=("expected_output" if binary else "expected_plan",), needs=("judge",), request=lambda text=text, name=name: asked(F.lit(name), text())))
+    scored(r, "answer_correctness_judge", lambda: asked(F.col("request"), F.col("expected_output"), F.col("answer")), lambda: F.when(non_empty(F.col("answer")).isNull(), "Trace does not provide an answer."), True, "expected_output")
+    scored(r, "plan_correctness_judge", lambda: asked(F.col("request"), F.array_join("expected_plan", "\n"), F.array_join("executed_steps", "\n")), lambda: F.when(F.col("executed_steps").isNull(), "Trace does not provide executed steps."), False, "expected_plan")
     for kind in ("document", "snippet"):
-        rankings = lambda kind=kind: F.transform(F.filter(selected(F.col("retrieval"), kind, "selected"), lambda x: x["availability"] == "available"), lambda x: x["contents"])
-        sizes = lambda rankings=rankings: F.transform(rankings(), lambda x: F.size(x))
-        mean = lambda: F.try_divide(F.aggregate(F.transform("verdict.rankings", precision_at_relevant), F.lit(0.0), lambda s, v: s + v), F.size("verdict.rankings").cast("double"))
-        wrong = lambda sizes=sizes: F.when(~F.coalesce(F.transform("verdict.rankings", lambda x: F.size(x)) == sizes(), F.lit(False)), "The judge's verdicts don't match the items.")
-        name = f"contextual_precision_{kind}_judge"
-        r.register(Metric(name, "agent_root", lambda mean=mean: F.coalesce(mean(), F.lit(0.0)), skip=lambda kind=kind: retrieval_skip(F.col("retrieval"), kind, ranked=True, content=True), fail=lambda wrong=wrong: failed(wrong())(), ground_truth_keys=("expected_output",), needs=("judge",), request=lambda rankings=rankings, name=name: asked(F.lit(name), F.col("request"), F.array_join(F.flatten(rankings()), "\n"))))
+        precision(r, f"contextual_precision_{kind}_judge", kind)
         recall(r, f"contextual_recall_{kind}_judge", kind, "selected", None, ("judge",))
         recall(r, f"contextual_recall_{kind}_claim_extractor", kind, "selected", "extracted", ("judge", "claim_extractor"))
     for name, (claims, stage, kinds) in STORED.items():
@@ -130,10 +115,30 @@ def register(r: Registry) -> None:
             recall(r, name.format(kind), kind, stage, claims, ("judge",))
 
 
-def recall(r: Registry, name: str, kind: str, stage: str, claims: str | None, needs: tuple[str, ...]) -> None:
+def scored(r: Registry, name: str, text: Callable[[], Column], skip: Callable[[], Column], binary: bool, key: str, fault: Callable[[], Column] | None = None, **more: bool) -> None:
+    """A metric whose score is the judge's own; ``fault``: what fails a unit before it is asked about."""
+    early = fault or (lambda: F.lit(None).cast("string"))
+    fail = lambda: F.coalesce(early(), failed(bounded_score(F.col("verdict.score"), binary)[0])())
+    r.register(Metric(name, "agent_root", lambda: F.col("verdict.score"), skip=skip, fail=fail, ground_truth_keys=(key,), needs=("judge",), request=lambda: asked(F.lit(name), text()), unasked=lambda: early().isNotNull(), **more))
+
+
+def precision(r: Registry, name: str, kind: str, wrong: Callable[[Column], Column] | None = None, flags: Callable[[], Column] | None = None, optional: bool = False) -> None:
+    """Precision at the relevant ranks, the mean over rankings. ``flags``: the verdicts in order of rank, as given by default;
+    ``wrong``: a verdict's fault from the rankings' sizes, by default that numbers differ."""
+    rankings = lambda: F.transform(F.filter(selected(F.col("retrieval"), kind, "selected"), lambda x: x["availability"] == "available"), lambda x: x["contents"])
+    sizes = lambda: F.transform(rankings(), lambda x: F.size(x))
+    given = flags or (lambda: F.col("verdict.rankings"))
+    mean = lambda: F.try_divide(F.aggregate(F.transform(given(), precision_at_relevant), F.lit(0.0), lambda s, v: s + v), F.size(given()).cast("double"))
+    counts = lambda n: F.when(~F.coalesce(F.transform("verdict.rankings", lambda x: F.size(x)) == n, F.lit(False)), "The judge's verdicts don't match the items.")
+    fail = lambda: failed(F.coalesce((wrong or counts)(sizes()), counts(sizes())))()
+    r.register(Metric(name, "agent_root", lambda: F.coalesce(mean(), F.lit(0.0)), skip=lambda: retrieval_skip(F.col("retrieval"), kind, ranked=True, content=True), fail=fail, ground_truth_keys=("expected_output",), needs=("judge",), request=lambda: asked(F.lit(name), F.col("request"), F.array_join(F.flatten(rankings()), "\n")), optional=optional))
+
+
+def recall(r: Registry, name: str, kind: str, stage: str, claims: str | None, needs: tuple[str, ...], shape: Callable[[Column], Column] | None = None, fault: Column | None = None, optional: bool = False) -> None:
     """Attributable claims by claims. The judge itself takes the expected output apart where ``claims`` is null; an
     extractor does where it is "extracted", unverifiable ones left out; else it is a column of texts, of which one at least
-    must be there. Without any content the score is 0 and nobody is asked."""
+    must be there. Without any content the score is 0 and nobody is asked. ``shape``: the claims as text, a line each by
+    default; ``fault``: what fails a unit before it is asked about."""
     texts = None if claims is None else F.transform(verifiable(F.col("claims_found")), lambda c: c["text"]) if claims == "extracted" else F.col(claims)
     empty = F.size(contents(kind, stage)) == 0
     known = F.size(F.coalesce(F.col("verdict.attributable"), F.array().cast("array<boolean>"))) if texts is None else F.coalesce(F.size(texts), F.lit(0))
@@ -142,10 +147,12 @@ def recall(r: Registry, name: str, kind: str, stage: str, claims: str | None, ne
     skip = retrieval_skip(F.col("retrieval"), kind, stage, content=True)
     mismatch = F.lit(None).cast("string") if texts is None else F.when(F.size("verdict.attributable") != known, "The judge's verdicts don't match the claims.")
     none = F.lit(None).cast("string") if texts is None or claims == "extracted" else F.when(F.coalesce(F.size(texts), F.lit(0)) == 0, "Ground truth has no claims.")
+    none = none if fault is None else F.coalesce(none, fault)
     unasked = empty if texts is None else empty | (known == 0)
+    unasked = unasked if fault is None else unasked | fault.isNotNull()
     fail = F.coalesce(none, F.when(~unasked, failed(mismatch)()))
-    parts = [F.col("expected_output")] if texts is None else [F.array_join(texts, "\n")]
-    r.register(Metric(name, "agent_root", lambda: score, skip=lambda: skip, fail=lambda: fail, ground_truth_keys=(claims or "expected_output",), needs=needs, request=lambda: asked(F.lit(name), F.col("request"), *parts, F.array_join(contents(kind, stage), "\n")), unasked=lambda: unasked, extract=(lambda: F.col("expected_output")) if claims == "extracted" else None))
+    parts = [F.col("expected_output")] if texts is None else [(shape or (lambda t: F.array_join(t, "\n")))(texts)]
+    r.register(Metric(name, "agent_root", lambda: score, skip=lambda: skip, fail=lambda: fail, ground_truth_keys=(claims or "expected_output",), needs=needs, request=lambda: asked(F.lit(name), F.col("request"), *parts, F.array_join(contents(kind, stage), "\n")), unasked=lambda: unasked, extract=(lambda: F.col("expected_output")) if claims == "extracted" else None, optional=optional))
 
 
 def with_rubric(metrics: list[Metric], rubric: dict[str, str]) -> list[Metric]:
@@ -184,5 +191,7 @@ def provided(rows: DataFrame, text: Column, provider: Callable[[DataFrame], Data
     keyed = rows.withColumns({"__text": text}).withColumn("__hash", F.sha2("__text", 256))
     requests = keyed.where("__hash is not null").select(F.col("__hash").alias("request_hash"), F.col("__text").alias("text")).dropDuplicates(["request_hash"])
     said = provider(requests).drop("text")
+    if "claims" not in said.columns:
+        said = said.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in VERDICT.split(", ") if c.split()[0] not in said.columns})
     said = said.select(F.col("request_hash").alias("__hash"), *[F.col(c).alias(f"{c}_") for c in said.columns if c != "request_hash"], *([F.lit(True).alias("__answered")] if "rankings" in said.columns else []))
     return keyed.join(said, "__hash", "left").drop("__hash", "__text")

@@ -35,6 +35,9 @@ class Metric:
     unasked: Callable[[], Column] = field(default=lambda: F.lit(False))
     #: The text that a claim extractor is asked; the request then reads the column ``claims``.
     extract: Callable[[], Column] | None = None
+    #: Chosen only by name; reads the whole trace as text.
+    optional: bool = False
+    renders: bool = False
 
 
 class Registry:
@@ -59,7 +62,7 @@ class Registry:
     def select(self, names: str | list[str] | None, clients: set[str] | None = None) -> list[Metric]:
         """Named metrics, in the order first named; all that the clients at hand allow if none is named."""
         if names is None:
-            return [m for m in self.metrics.values() if clients is None or set(m.needs) <= clients]
+            return [m for m in self.metrics.values() if not m.optional and (clients is None or set(m.needs) <= clients)]
         listed = names.split(",") if isinstance(names, str) else names
         keys = list(dict.fromkeys(self.key(n) for n in listed if n.strip()))
         unknown = [k for k in keys if k not in self.metrics]
@@ -172,11 +175,12 @@ def alignment(expected: Column, given: Column) -> dict[str, Column]:
 
 def built_in() -> Registry:
     """All metrics, over rows with answer, retrieval, relevant_document_ids and the like; those of a judge are added by
-    ``judged.register``."""
-    from tracemill.operators import judged
+    ``judged.register``, those that are only chosen by name by ``ablations.register``."""
+    from tracemill.operators import ablations, judged
 
     r = without_judge()
     judged.register(r)
+    ablations.register(r)
     return r
 
 
@@ -211,4 +215,6 @@ def compute(plan: DataFrame, metrics: list[Metric]) -> DataFrame:
         mine = F.col("metric") == m.name
         skip, fail, score = F.when(mine, m.skip()).otherwise(skip), F.when(mine, m.fail()).otherwise(fail), F.when(mine, m.score()).otherwise(score)
     usage = [c for c in ("input_tokens", "output_tokens") if c in plan.columns]
+    whole = F.col("metric").isin([m.name for m in metrics if m.renders])  # how long the text was, of failed units too
+    usage += [F.when(whole, F.col(c)).alias(c) for c in ("rendered_spans", "rendered_chars") if any(m.renders for m in metrics)]
     return plan.select("trace_id", "metric", "target_span_type", "span_ids", *result(F.coalesce(F.col("skip_reason"), skip), fail, score), *usage)

@@ -49,7 +49,7 @@ def bind_samples(requests: DataFrame, samples: DataFrame) -> tuple[DataFrame, Da
 
 #: What metrics read of a trace; columns that rows don't have are null.
 RESULT = "struct<kind:string,stage:string,availability:string,reason:string,ids:array<string>,contents:array<string>,ranked:boolean>"
-ROW = {"request": "string", "answer": "string", "expected_output": "string", "expected_plan": "array<string>", "executed_steps": "array<string>", "retrieval": f"array<{RESULT}>", "relevant_document_ids": "array<string>", "relevant_snippet_ids": "array<string>", "claims": "array<string>", "gold_claims": "array<string>", "extracted_claims": "array<string>"}
+ROW = {"request": "string", "answer": "string", "expected_output": "string", "expected_plan": "array<string>", "executed_steps": "array<string>", "retrieval": f"array<{RESULT}>", "relevant_document_ids": "array<string>", "relevant_snippet_ids": "array<string>", "claims": "array<string>", "gold_claims": "array<string>", "extracted_claims": "array<string>", "rendered": "string", "rendered_spans": "long", "rendered_chars": "long"}
 
 
 def evaluate(rows: DataFrame, spans: DataFrame, registry: Registry | None = None, names: str | list[str] | None = None, source_run: DataFrame | None = None, judge: Callable | None = None, extractor: Callable | None = None, rubric: dict[str, str] | None = None) -> DataFrame:

@@ -37,15 +37,17 @@ def low(i: Column) -> Column:
 
 
 def judge(requests: DataFrame) -> DataFrame:
-    """A score from the first digit; of 32 items and 32 claims each as its digit says, cut to the paragraph's lines."""
+    """A score from the first digit; of 32 items and 32 claims each as its digit says, cut to the paragraph's lines; the ranks named go down, and one in eight lacks the first."""
     parts = F.split("text", "\n\n", -1)
     name = F.element_at(parts, 1)
     lines = lambda p: F.when(F.element_at(parts, p) == "", 0).otherwise(F.size(F.split(F.element_at(parts, p), "\n", -1)))
     flags = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.lit(64)), lambda i: i <= n), low)
+    backwards = lambda n: F.when(n > 0, F.reverse(F.sequence(F.lit(1), n))).otherwise(F.array().cast("array<int>"))
+    ranks = lambda n: F.when(F.substring("request_hash", 63, 1) < "2", F.slice(backwards(n), 1, F.greatest(n - 1, F.lit(0)))).otherwise(backwards(n))
     score = F.conv(F.substring("request_hash", 1, 1), 16, 10).cast("double") / 15
     binary = F.when(name == "answer_correctness_judge", F.when(score > 0.9, 2.0).otherwise(F.round(score))).otherwise(score)
     failure = F.when(F.substring("request_hash", 64, 1) == "0", "timeout")
-    return requests.select("request_hash", binary.alias("score"), F.array(flags(lines(3))).alias("rankings"), flags(F.when(name.endswith("_judge"), 3).otherwise(lines(3))).alias("attributable"), failure.alias("failure"), F.length("text").cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
+    return requests.select("request_hash", binary.alias("score"), F.array(flags(lines(3))).alias("rankings"), F.array(ranks(lines(3))).alias("ranks"), flags(F.when(name.endswith("_judge"), 3).otherwise(lines(3))).alias("attributable"), failure.alias("failure"), F.length("text").cast("long").alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"))
 
 
 def extractor(requests: DataFrame) -> DataFrame:
@@ -155,6 +157,24 @@ def _(t: Lens) -> DataFrame:
     return scored(t, "contextual_recall_gold_claims", "contextual_recall_extracted_claims")
 
 
+BACK = "list_filter(range(1, len(items) + 1), lambda i: substr(h, len(items) + 1 - i, 1) < '8')"
+NUMBERED = "array_to_string(list_transform({c}, lambda c, i: i || '. ' || c), chr(10))"
+GOLD = "CASE WHEN k % 11 > 0 THEN claims ELSE [] END"
+
+
+@query("m22_single_call", TRACES + " " + verdict_sql("contextual_precision_document_judge_sc", request_sql("contextual_precision_document_judge_sc", ITEMS), GONE, "false", "len(items) > 0 AND substr(h, 63, 1) < '2'", f"CASE WHEN len({BACK}) = 0 THEN 0 ELSE list_avg(list_transform({BACK}, lambda i, j: j / i)) END")
+       + " UNION ALL " + verdict_sql("contextual_recall_gold_claims_sc_question", request_sql("contextual_recall_gold_claims_sc_question", NUMBERED.format(c=f"({GOLD})"), ITEMS), GONE, f"len(items) = 0 OR len({GOLD}) = 0", "k % 11 = 0", f"CASE WHEN len({GOLD}) = 0 THEN 0 ELSE {LOW.format(n=f'len({GOLD})')} / len({GOLD}) END"), "conv")
+def _(t: Lens) -> DataFrame:
+    """All items of a ranking, and all claims, in one request; ranks that don't fit fail their unit."""
+    return scored(t, "contextual_precision_document_judge_sc", "contextual_recall_gold_claims_sc_question")
+
+
+@query("m24_by_position", TRACES + " " + precision_sql("deepeval_contextual_precision") + " UNION ALL " + recall_sql("deepeval_contextual_recall_gold_claims", GOLD, "k % 11 = 0") + " UNION ALL " + verdict_sql("deepeval_answer_correctness", request_sql("deepeval_answer_correctness", "answer", "answer"), "answer IS NULL", "false", "false", DIGIT), "conv")
+def _(t: Lens) -> DataFrame:
+    """Verdicts matched by their place alone."""
+    return scored(t, "deepeval_contextual_precision", "deepeval_contextual_recall_gold_claims", "deepeval_answer_correctness")
+
+
 JUDGED = [*(n.format(k) for n in ("contextual_precision_{}_judge", "contextual_recall_{}_judge", "contextual_recall_{}_stored_claims") for k in ("document", "snippet")), "answer_correctness_judge", "plan_correctness_judge", "contextual_recall_gold_claims", "contextual_recall_extracted_claims"]
 EXTRACTED = [f"contextual_recall_{k}_claim_extractor" for k in ("document", "snippet")]
 ALONE = ["llm_calls", "response_length", "plan_efficiency", "plan_matching", *(f"{m}_{k}" for m in ("set_precision", "set_recall", "ndcg_at_10") for k in ("document", "snippet")), "set_precision_retrieved_document", "set_recall_retrieved_document"]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions import stats, text
-from tracemill.operators import catalog, judged, metrics, report, retrieval, store, trees
+from tracemill.operators import ablations, catalog, groups, judged, metrics, report, retrieval, store, trees
 from tracemill.plans.lens import Lens
 from tracemill.suite import query
 from tracemill.suite.evaluation import WALK
@@ -169,10 +172,38 @@ def _(t: Lens) -> DataFrame:
     return judged.echo_mismatches(top, said).select(F.col("unit_id").alias("query_id"), "mismatches")
 
 
-@query("m23_whole_trace", WALK + "SELECT w.trace_id, count(*) AS spans, md5(string_agg(repeat('  ', depth) || span_type || ': ' || props, chr(10) ORDER BY path)) AS digest FROM w JOIN span s ON s.span_id = w.span_id GROUP BY w.trace_id")
+NUMBERED = WALK + ", n AS (SELECT w.*, row_number() OVER (PARTITION BY trace_id ORDER BY path) AS num FROM w), x AS (SELECT n.trace_id, n.path, n.num, p.num AS above, s.* EXCLUDE (trace_id) FROM n JOIN span s ON s.span_id = n.span_id LEFT JOIN n p ON p.span_id = s.parent_id), "
+
+
+@query("m23_whole_trace", NUMBERED + """l AS (SELECT trace_id, path AS pos, '<span id="' || num || '"' || coalesce(' parent="' || above || '"', '') || ' type="' || span_type || '" name="' || event_type || '" status="' || status || '">' || chr(10) || CASE WHEN span_type = 'agent_root' THEN 'request:' || chr(10) || props ELSE 'input:' || chr(10) || props END AS line FROM x
+UNION ALL SELECT trace_id, path || '.~', CASE WHEN span_type = 'agent_root' THEN 'answer:' || chr(10) || event_type || chr(10) ELSE '' END || '</span>' FROM x)
+SELECT trace_id, CAST(count(*) // 2 AS BIGINT) AS spans, CAST(length(string_agg(line, chr(10) ORDER BY pos)) AS BIGINT) AS chars, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM l GROUP BY trace_id""")
+def _(t: Lens) -> DataFrame:
+    """Each trace's root with all below it as text; the root has a request and an answer, the others their input."""
+    spans, root = t.spans(), F.col("span_type") == "agent_root"
+    shown = spans.withColumns({"name": F.col("event_type"), "request": F.when(root, F.col("props")), "answer": F.when(root, F.col("event_type")), "input_data": F.col("props")})
+    found = ablations.rendered(trees.walked(t.spark, spans, numbers=True), shown)
+    return found.select("trace_id", F.col("rendered_spans").alias("spans"), F.col("rendered_chars").alias("chars"), F.md5(F.col("rendered").cast("binary")).alias("digest"))
+
+
+def switches(batches: Iterator[pa.RecordBatch]) -> tuple[float | None, str | None]:
+    """The share of a group's steps at which the event's type changes; a group of one span has no step."""
+    before, steps, changes = None, -1, 0
+    for batch in batches:
+        for kind in batch.column(0).to_pylist():
+            steps, changes, before = steps + 1, changes + (before is not None and kind != before), kind
+    return (changes / steps, None) if steps > 0 else (None, "A group of one span has no step.")
+
+
+@query("m29_group_code", """, o AS (SELECT trace_id, status, event_type <> lag(event_type) OVER w AS changed FROM (SELECT trace_id, CASE WHEN value < 50 THEN 'low' ELSE 'high' END AS status, event_type, start_us, span_id FROM span WHERE span_type <> 'agent_root') q WINDOW w AS (PARTITION BY trace_id, status ORDER BY start_us, span_id))
+SELECT trace_id, status AS "group", count(*) AS n_spans, CASE WHEN count(*) > 1 THEN 'COMPLETED' ELSE 'FAILED' END AS status, round(CASE WHEN count(*) > 1 THEN count(*) FILTER (WHERE changed) / (count(*) - 1) END, 6) AS score FROM o GROUP BY trace_id, o.status
+UNION ALL SELECT trace_id, NULL, 0, 'SKIPPED', NULL FROM span GROUP BY trace_id HAVING count(*) FILTER (WHERE span_type <> 'agent_root') = 0""", "span")
 def _(t: Lens) -> DataFrame:
+    """Two groups a trace, by the span's value; the score needs the spans in order."""
     spans = t.spans()
-    return judged.whole_trace(trees.walked(t.spark, spans, numbers=True), spans, "props").select("trace_id", "spans", F.md5(F.col("rendered").cast("binary")).alias("digest"))
+    metric = groups.GroupMetric("switches", ("retrieval", "tool", "llm", "chain"), ("event_type",), switches, group_spans=lambda: F.when(F.col("value") < 50, "low").otherwise("high"))
+    found = groups.scored(spans, metric, spans)
+    return found.select("trace_id", "group", "n_spans", "status", F.round("score", 6).alias("score"))
 
 
 @query("m24_judged_once", "SELECT event_type, count(*) AS n, CAST(count(*) FILTER (WHERE hash LIKE '%a%') AS BIGINT) AS yes FROM (SELECT event_type, sha256(props) AS hash FROM events) q GROUP BY event_type")

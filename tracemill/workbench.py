@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill import service
-from tracemill.operators import report
+from tracemill.operators import ablations, report, trees
 from tracemill.operators.catalog import page
+from tracemill.operators.metrics import built_in
 from tracemill.operators.store import Store, status_if_current, status_updated
 from tracemill.sources.files import dataset_json
 from tracemill.staging import drop_staged, staged
@@ -82,6 +83,15 @@ def rows_of(store: Store, run_id: str, dataset: str) -> tuple[DataFrame, DataFra
     return rows, spans.select("trace_id", "span_type", F.unix_micros("start_time").alias("start_us"), F.col("external_id").alias("span_id"))
 
 
+def with_rendered(store: Store, run_id: str, rows: DataFrame) -> DataFrame:
+    """Rows with each trace's first agent root and all below it as text."""
+    spans = store.table("spans").where(F.col("run_id") == run_id).withColumnsRenamed({"external_id": "span_id", "parent_span_id": "parent_id"})
+    tree = spans.select("trace_id", "span_id", "parent_id", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "span_type")
+    text = ablations.rendered(trees.walked(store.spark, tree, numbers=True), spans)
+    first = text.groupBy("trace_id").agg(F.min_by(F.struct("rendered", "rendered_spans", "rendered_chars"), "span_id").alias("t"))
+    return rows.join(first.select("trace_id", "t.*"), "trace_id", "left")
+
+
 def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None, judge: Callable | None = None, extractor: Callable | None = None, source_run: str | None = None, rubric: dict[str, str] | None = None) -> str:
     """Score a run's traces and store the computations; the run's status. A metric that the run has been scored by before
     gets its new computations instead of the old ones. With ``source_run`` the traces of that run are scored again as the
@@ -94,6 +104,8 @@ def evaluate_run(store: Store, run_id: str, names: str | list[str] | None = None
         raise ValueError(f"run {run_id} is there already")
     dataset = runs[0]["dataset"]
     rows, spans = rows_of(store, source, dataset)
+    if any(m.renders for m in built_in().select(names)):
+        rows = with_rendered(store, source, rows)
     found = service.evaluate(rows.drop("sample_id"), spans, names=names, judge=judge, extractor=extractor, rubric=rubric)
     bound = store.table("run_samples").where(F.col("run_id") == source)
     made = found.join(bound.select("trace_id", "sample_id"), "trace_id").select(F.lit(run_id).alias("run_id"), "sample_id", "trace_id", "metric", "target_span_type", "span_ids", "status", "score", "error_message", F.lit(None).cast("string").alias("reasoning"))
