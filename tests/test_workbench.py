@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_sources import SPANS
 from tracemill import __main__ as cli
@@ -208,3 +209,55 @@ def test_ids_of_any_form(spark, tmp_path):
     assert store.manifest() == before
     faults = workbench.import_run(store, str(tmp_path / "t"), "d", "r2", "research_agent", "gpt-x").collect()
     assert {"root", "other_model"} == {r["rule"] for r in faults} and workbench.run_progress(store, "r2").first()["failed"] == 1
+
+
+def test_appends_add_folders(spark, tmp_path, monkeypatch):
+    """An append writes its own rows alone; two writers both end in the manifest; a replaced table is told apart."""
+    store, other = (Store(spark, str(tmp_path / "s")) for _ in range(2))
+    rows = lambda *ids: spark.createDataFrame([(i, str(i)) for i in ids], "id long, s string")
+    store.append({"a": rows(1), "b": rows(1)})
+    first = store.manifest()["a"]
+    store.append({"a": rows(2).select("s", F.col("id").cast("int").alias("id"))})
+    assert store.manifest()["a"][:1] == first and len(store.manifest()["a"]) == 2 and {tuple(r) for r in store.table("a").collect()} == {(1, "1"), (2, "2")}
+    publish, done = Store._publish, []
+
+    def late(self, version, states):
+        if self is store and not done:
+            done.append(1)
+            other.append({"a": rows(3)})  # takes the number first
+        return publish(self, version, states)
+
+    monkeypatch.setattr(Store, "_publish", late)
+    store.append({"a": rows(4)})
+    assert sorted(r["id"] for r in store.table("a").collect()) == [1, 2, 3, 4]
+    done.clear()
+    store.commit({"b": rows(7)})  # the other's rows of a stay
+    assert sorted(r["id"] for r in store.table("a").collect()) == [1, 2, 3, 3, 4] and [r["id"] for r in store.table("b").collect()] == [7]
+    done.clear()
+    with pytest.raises(RuntimeError, match="another writer has changed a"):
+        store.commit({"a": rows(9)})
+    with pytest.raises(ValueError, match="columns"):
+        store.append({"a": rows(1).drop("s")})
+    before = store.table("a").count()
+    store.compact("a")
+    assert len(store.manifest()["a"]) == 1 and store.table("a").count() == before
+
+
+def test_a_broken_import_leaves_nothing(spark, tmp_path, monkeypatch):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.json").write_text(trace("t1", [dict(span("a1"), **{"attributes.input.value": "hi"})]))
+    (tmp_path / "d.json").write_text(json.dumps({"samples": [{"input_prompt": "hi"}]}))
+    store = Store(spark, str(tmp_path / "s"))
+    workbench.import_dataset(store, str(tmp_path / "d.json"), "d")
+    before = store.manifest()
+
+    def broken(*_):
+        raise OSError("no space left")
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "_publish", broken)
+        with pytest.raises(OSError):
+            workbench.import_run(store, str(tmp_path / "t"), "d", "r")
+    assert store.manifest() == before
+    workbench.import_run(store, str(tmp_path / "t"), "d", "r")
+    assert store.table("spans").count() == 1 and store.table("runs").count() == 1

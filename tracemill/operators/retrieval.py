@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.scores import dot
+from tracemill.functions.stemming import with_stems
 from tracemill.functions.text import bm25_tokens
 from tracemill.staging import arrow_rows, drop_staged, staged
 
@@ -149,18 +150,24 @@ def average_length(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.greatest(F.lit(1.0), F.coalesce(F.bround(F.avg("len"), 1), F.lit(1.0))).alias("avg_len"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "item_id", text: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: str = "item_id", text: str = "text", stemmed: bool = False) -> DataFrame:
     """(query_key, key, score): documents that share a term with the query.
 
     Documents are tokenised once; the terms are narrowed to the queries' before they are counted, by a join on terms; the
-    two corpus figures are one row.
+    two corpus figures are one row. With ``stemmed`` terms are English stems: each distinct term is stemmed once, and only
+    the terms whose stem is asked for meet the documents' tokens.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
     tokens = staged(token_table(docs, key, text), "tokens")
     facts = F.broadcast(average_length(tokens))
-    named = staged(asked.select("term").distinct(), "asked")
+    own = tokens.select(key, "len", F.explode("t").alias("term"))
+    if stemmed:
+        asked = asked.join(with_stems(asked.select("term").distinct()), "term").select(query_key, F.col("stem").alias("term")).distinct()
+        named = staged(with_stems(own.select("term").distinct()).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi"), "asked")
+    else:
+        named = staged(asked.select("term").distinct().withColumn("stem", F.col("term")), "asked")
     named = F.broadcast(named) if named.count() <= TERMS else named
-    wanted = tokens.select(key, "len", F.explode("t").alias("term")).join(named, "term", "left_semi")
+    wanted = own.join(named, "term").select(key, "len", F.col("stem").alias("term"))
     terms = staged(frequencies(wanted, key), "terms")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

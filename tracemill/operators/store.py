@@ -1,7 +1,8 @@
 """Writes: pure functions from old and new rows to the next state, and a store that publishes states atomically.
 
-A table's state is a folder of Parquet; a manifest names the folders of all tables. A transaction writes new folders and
-then one new manifest, so that readers see all of it or nothing. One writer at a time.
+A table's state is folders of Parquet; a manifest names those of all tables. A transaction writes new folders and then one
+new manifest, so that readers see all of it or nothing. A manifest's number can be taken once: a writer who comes second
+takes the next, with the first one's changes in it.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +68,7 @@ def status_updated(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def inserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old and new rows; ``ValueError`` if a new key is there or comes twice."""
+    """Old and new rows; ``ValueError`` if a new key is there or comes twice. A null key is like no old one, and may come once."""
     taken = new.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).union(new.select(key).join(old.select(key), key, "left_semi"))
     if not taken.isEmpty():
         raise ValueError(f"{key} is there already: {taken.first()[0]!r}")
@@ -74,7 +76,7 @@ def inserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def updated(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Old rows, those of the new keys replaced as a whole; ``LookupError`` if a key isn't there."""
+    """Old rows, those of the new keys replaced as a whole; ``LookupError`` if a key isn't there, as a null key never is."""
     unknown = new.select(key).join(old.select(key), key, "left_anti")
     if not unknown.isEmpty():
         raise LookupError(f"no row with {key} = {unknown.first()[0]!r}")
@@ -107,37 +109,76 @@ class Store:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict[str, str]:
-        """Table names and their folders: the newest manifest."""
+    def _newest(self) -> tuple[int, dict[str, list[str]]]:
+        """The newest manifest's number and what it says; 0 and nothing without one."""
         path = self._fs_path(f"{self.folder}/_manifests")
-        if not self._fs.exists(path):
-            return {}
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(path) if s.getPath().getName().endswith(".json"))
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(path) if s.getPath().getName().endswith(".json")) if self._fs.exists(path) else []
         if not names:
-            return {}
+            return 0, {}
         rows = self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).collect()
-        return json.loads(rows[0]["value"])
+        return int(names[-1].split(".")[0]), {name: [at] if isinstance(at, str) else at for name, at in json.loads(rows[0]["value"]).items()}
+
+    def manifest(self) -> dict[str, list[str]]:
+        """Table names and their folders."""
+        return self._newest()[1]
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{self.manifest()[name]}")
-
-    def commit(self, states: dict[str, DataFrame]) -> dict[str, str]:
-        """Write the tables' new states, then publish them together."""
-        now = self.manifest()
-        version = max([int(s.split("/")[1].split("-")[0]) for s in now.values()], default=0) + 1
-        for name, df in states.items():
-            now[name] = f"{name}/{version:08d}-{uuid.uuid4().hex}"
-            df.write.parquet(f"{self.folder}/{now[name]}")
+        return self.spark.read.parquet(*[f"{self.folder}/{at}" for at in self.manifest()[name]])
+
+    def _write(self, name: str, df: DataFrame) -> str:
+        at = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{at}")
+        return at
+
+    def _publish(self, version: int, states: dict[str, list[str]]) -> bool:
+        """Make a manifest the newest; whether its number was still free. Renaming never replaces a file."""
+        jvm = self.spark._jvm
         whole = self._fs_path(f"{self.folder}/_manifests/{version:08d}.json")
         part = self._fs_path(f"{self.folder}/_manifests/_{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
-        out.write(bytearray(json.dumps(now).encode()))
+        out.write(bytearray(json.dumps(states).encode()))
         out.close()
-        if not self._fs.rename(part, whole):
-            raise RuntimeError("another writer has published this version")
-        return now
-
-    def append(self, rows: dict[str, DataFrame]) -> dict[str, str]:
-        """Add rows to several tables in one transaction."""
-        there = self.manifest()
-        return self.commit({n: self.table(n).unionByName(df) if n in there else df for n, df in rows.items()})
+        kind = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = kind.NONE
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(part), self._fs.makeQualified(whole), options)
+        except Py4JJavaError as failure:
+            if "FileAlreadyExistsException" not in str(failure.java_exception.getClass()):
+                raise
+            self._fs.delete(part, False)
+            return False
+        return True
+
+    def commit(self, states: dict[str, DataFrame]) -> dict[str, list[str]]:
+        """Write the tables' new states, then publish them together. If another writer has published meanwhile, his changes
+        of other tables stay; ``RuntimeError`` if he has changed one of these."""
+        base = self.manifest()
+        made = {name: [self._write(name, df)] for name, df in states.items()}
+        while True:
+            version, now = self._newest()
+            if changed := [name for name in made if now.get(name) != base.get(name)]:
+                raise RuntimeError(f"another writer has changed {', '.join(changed)}")
+            if self._publish(version + 1, now | made):
+                return now | made
+
+    def append(self, rows: dict[str, DataFrame]) -> dict[str, list[str]]:
+        """Add rows to several tables in one transaction: a folder more for each, whatever the tables' sizes. What other
+        writers publish meanwhile stays. Rows get the table's columns and types; ``ValueError`` if the columns differ."""
+        there, made = self.manifest(), {}
+        for name, df in rows.items():
+            if name in there:
+                fields = self.table(name).schema.fields
+                if sorted(f.name for f in fields) != sorted(df.columns):
+                    raise ValueError(f"{name} has the columns {', '.join(f.name for f in fields)}")
+                df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+            made[name] = self._write(name, df)
+        while True:
+            version, now = self._newest()
+            states = now | {name: [*now.get(name, []), at] for name, at in made.items()}
+            if self._publish(version + 1, states):
+                return states
+
+    def compact(self, *names: str) -> dict[str, list[str]]:
+        """Rewrite tables of many folders as one each."""
+        return self.commit({name: self.table(name) for name in names})

@@ -97,6 +97,9 @@ def load_vectors(store: Store, vectors: DataFrame, documents: DataFrame) -> int:
         raise ValueError(f"{missing} documents or vectors are without the other, {unmatched} come twice")
     terms = term_table(documents.select("document_id", "text"), "document_id", "text")
     known = store.manifest()
+    if "doc_vectors" in known and store.table("doc_vectors").join(vectors.select("document_id"), "document_id", "left_semi").isEmpty():
+        store.append({"doc_vectors": vectors, "doc_terms": terms})  # all are new: nothing that is there is written again
+        return store.table("doc_vectors").count()
     if "doc_vectors" in known:
         old = store.table("doc_terms").join(documents.select("document_id"), "document_id", "left_anti")
         vectors, terms = upserted(store.table("doc_vectors"), vectors, ["document_id"]), old.unionByName(terms)
