@@ -101,6 +101,10 @@ def persist_outcome(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return n.join(o, F.col(key) == F.col("__key"), "left").withColumn("outcome", F.when(F.col("__key").isNull(), "new").when(same, "unchanged").otherwise("conflict"))
 
 
+#: The manifest's entry for streams.
+MARKS = "_marks"
+
+
 class Store:
     """Tables under a folder, published by manifests."""
 
@@ -109,18 +113,22 @@ class Store:
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _newest(self) -> tuple[int, dict[str, list[str]]]:
+    def _newest(self) -> tuple[int, dict]:
         """The newest manifest's number and what it says; 0 and nothing without one."""
         path = self._fs_path(f"{self.folder}/_manifests")
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(path) if s.getPath().getName().endswith(".json")) if self._fs.exists(path) else []
         if not names:
             return 0, {}
         rows = self.spark.read.text(f"{self.folder}/_manifests/{names[-1]}", wholetext=True).collect()
-        return int(names[-1].split(".")[0]), {name: [at] if isinstance(at, str) else at for name, at in json.loads(rows[0]["value"]).items()}
+        return int(names[-1].split(".")[0]), json.loads(rows[0]["value"])
 
     def manifest(self) -> dict[str, list[str]]:
         """Table names and their folders."""
-        return self._newest()[1]
+        return {name: at for name, at in self._newest()[1].items() if name != MARKS}
+
+    def marks(self) -> dict[str, int]:
+        """How far each stream has been written."""
+        return self._newest()[1].get(MARKS, {})
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.folder}/{at}" for at in self.manifest()[name]])
@@ -162,9 +170,10 @@ class Store:
             if self._publish(version + 1, now | made):
                 return now | made
 
-    def append(self, rows: dict[str, DataFrame]) -> dict[str, list[str]]:
+    def append(self, rows: dict[str, DataFrame], marks: dict[str, int] | None = None) -> dict[str, list[str]]:
         """Add rows to several tables in one transaction: a folder more for each, whatever the tables' sizes. What other
-        writers publish meanwhile stays. Rows get the table's columns and types; ``ValueError`` if the columns differ."""
+        writers publish meanwhile stays. Rows get the table's columns and types; ``ValueError`` if the columns differ. ``marks`` are published
+        with them."""
         there, made = self.manifest(), {}
         for name, df in rows.items():
             if name in there:
@@ -175,7 +184,7 @@ class Store:
             made[name] = self._write(name, df)
         while True:
             version, now = self._newest()
-            states = now | {name: [*now.get(name, []), at] for name, at in made.items()}
+            states = now | {name: [*now.get(name, []), at] for name, at in made.items()} | ({MARKS: now.get(MARKS, {}) | marks} if marks else {})
             if self._publish(version + 1, states):
                 return states
 
