@@ -253,6 +253,13 @@ def test_resampling_of_the_whole_table(spark):
     assert got == resampled_by_hand(sorted(whole(spark)), target)
 
 
+def test_resampling_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    assert rows(queries.op13_importance_resampling(spark, DATA).toPandas()) == rows(con.execute(resampling.RESAMPLED_SQL).fetchdf())
+
+
 def test_resampling_in_small_runs_blocks_and_ranges(spark, monkeypatch):
     for name, value in {"RUN_ROWS": 40, "BLOCK_ROWS": 3, "RANGE_ROWS": 50, "PART_BYTES": 700}.items():
         monkeypatch.setattr(resampling, name, value)

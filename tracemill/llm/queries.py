@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": linededup.LINE_SQL, "op5_minhash_near_dedup": neardup.NEARDUP_SQL, "op7_nearest_neighbours": ann.NEAREST_SQL, "op3_arc_to_warc": arc.ARCHIVE_SQL, "op11_phrase_collocations": collocations.MINED_SQL}
+    return {"op4_line_dedup": linededup.LINE_SQL, "op5_minhash_near_dedup": neardup.NEARDUP_SQL, "op7_nearest_neighbours": ann.NEAREST_SQL, "op3_arc_to_warc": arc.ARCHIVE_SQL, "op11_phrase_collocations": collocations.MINED_SQL, "op13_importance_resampling": resampling.RESAMPLED_SQL}

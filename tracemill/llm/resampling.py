@@ -393,3 +393,27 @@ def resampled(docs: DataFrame, target: DataFrame, percent: int = PERCENT) -> Dat
     """Every document: doc_id, n_features, weight, score, rank (1, 2, ... of those drawn, else null)."""
     gain = gains(bucket_counts(docs), bucket_counts(target))
     return drawn(staged(scored(docs, gain), "scored"), percent)
+
+
+#: DuckDB SQL for ``resampled``'s rows: crc32 byte by byte over lists, with a table made by its rule.
+RESAMPLED_SQL = r"""
+WITH tab AS (SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(256)) AS i)),
+x AS (SELECT true AS corpus, row_number() OVER () AS d, doc_id, text FROM documents UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT corpus, d, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT corpus, d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM x)),
+v AS (SELECT w, list_transform(range(strlen(w)), lambda k: CAST(strpos('0123456789ABCDEF', substr(h, 2 * k + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * k + 2, 1)) - 17 AS BIGINT)) AS b FROM (SELECT DISTINCT w, hex(w) AS h FROM w)),
+g AS (SELECT corpus, d, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY corpus, d ORDER BY i)),
+f AS (SELECT corpus, d, a, NULL AS b, NULL AS c FROM g UNION ALL SELECT corpus, d, a, b, NULL FROM g WHERE b IS NOT NULL UNION ALL SELECT corpus, d, a, b, c FROM g WHERE c IS NOT NULL),
+u AS (SELECT DISTINCT a, b, c FROM f),
+k AS (SELECT u.*, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_concat(x.b, CASE WHEN u.b IS NULL THEN [] WHEN u.c IS NULL THEN list_concat([32], y.b) ELSE list_concat(list_concat([32], y.b), list_concat([32], z.b)) END)), lambda p, q: xor(p >> 8, t[(xor(p, q) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM u JOIN v x ON x.w = u.a LEFT JOIN v y ON y.w = u.b LEFT JOIN v z ON z.w = u.c, tab),
+n AS (SELECT f.corpus, f.d, bucket FROM f JOIN k ON k.a = f.a AND k.b IS NOT DISTINCT FROM f.b AND k.c IS NOT DISTINCT FROM f.c),
+s AS (SELECT bucket, count(*) FILTER (WHERE corpus) AS s, count(*) FILTER (WHERE NOT corpus) AS t FROM n GROUP BY bucket),
+m AS (SELECT coalesce(sum(s), 0) + 10000 AS sa, coalesce(sum(t), 0) + 10000 AS ta FROM s),
+gain AS (SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * sa AS DOUBLE) / CAST((s + 1) * ta AS DOUBLE))) AS BIGINT) AS gain FROM s, m),
+l AS (SELECT d, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM n JOIN gain USING (bucket) WHERE corpus GROUP BY d),
+e AS (SELECT d, count(*) AS words FROM w WHERE corpus GROUP BY d),
+r AS (SELECT x.doc_id, x.d, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score, coalesce(words, 0) >= 20 AS fit
+  FROM x LEFT JOIN l USING (d) LEFT JOIN e USING (d) WHERE x.corpus),
+o AS (SELECT *, CASE WHEN fit THEN row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) END AS place FROM r)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT 5 * count(*) // 100 FROM r WHERE fit) THEN place END AS rank FROM o
+"""
