@@ -77,11 +77,12 @@ UNION ALL SELECT trace_id, 'cycle', CAST(span_id AS VARCHAR) FROM e WHERE c = 7
 UNION ALL SELECT trace_id, 'duplicate_span_id', CAST(-2000000000 - span_id AS VARCHAR) FROM e WHERE c = 8
 UNION ALL SELECT -1 - trace_id, 'no_spans', NULL FROM t
 UNION ALL SELECT trace_id, 'schema_version', '2' FROM t WHERE trace_id % 3 = 0
+UNION ALL SELECT trace_id, 'negative_trace_duration', CAST(trace_id AS VARCHAR) FROM t WHERE trace_id % 5 = 0
 UNION ALL SELECT trace_id, 'other_trace', CAST(root AS VARCHAR) FROM t WHERE trace_id % 4 = 0""", "span")
 def _(t: Lens) -> DataFrame:
     """Each rule is broken by the spans of one class of ids: a parent that isn't there (5), a leaf above itself (6), two
-    spans above each other, one of them a leaf (7), a span that comes twice (8); and by traces without spans, of another version, and with
-    a span that names another trace."""
+    spans above each other, one of them a leaf (7), a span that comes twice (8); and by traces without spans, of another version, with
+    a span that names another trace, and with an end before their start."""
     s, n = t.spans(), F.count(F.lit(1)).over(Window.partitionBy("trace_id"))
     s = s.withColumns({"end_us": F.col("end_us") - 5000000, "c": F.when((F.col("span_id") % 11).isin(6, 7) & (2 * F.col("rn") <= n), 0).otherwise(F.col("span_id") % 11)})
     columns = ["trace_id", "span_id", "parent_id", "start_us", "end_us"]
@@ -91,7 +92,7 @@ def _(t: Lens) -> DataFrame:
     spans = s.withColumn("parent_id", F.when(F.col("c") == 5, F.lit(-5)).when(F.col("c") == 6, F.col("span_id")).when(F.col("c") == 7, other)).select(*columns)
     spans = reduce(DataFrame.union, [spans, extra([6, 7], other, F.col("span_id")), twice, twice])
     heads = t.spans().groupBy("trace_id").agg(F.min_by("span_id", "rn").alias("root"))
-    traces = heads.select("trace_id", F.when(F.col("trace_id") % 3 == 0, 2).otherwise(1).alias("schema_version")).union(heads.select(-1 - F.col("trace_id"), F.lit(1)))
+    traces = heads.select("trace_id", F.when(F.col("trace_id") % 3 == 0, 2).otherwise(1).alias("schema_version"), F.lit(0).cast("long").alias("start_us"), F.when(F.col("trace_id") % 5 == 0, -1).otherwise(0).cast("long").alias("end_us")).union(heads.select(-1 - F.col("trace_id"), F.lit(1), F.lit(0).cast("long"), F.lit(None).cast("long")))
     stated = heads.select("trace_id", F.col("root").alias("span_id"), F.when(F.col("trace_id") % 4 == 0, -1).otherwise(F.col("trace_id")).alias("stated_trace_id"))
     return validate.span_violations(spans).union(validate.envelope_violations(traces, spans)).union(validate.trace_id_violations(stated))
 
@@ -203,6 +204,18 @@ def _(t: Lens) -> DataFrame:
     return planner.plan(spans, spans, wanted).select("trace_id", "metric", "target_span_type", F.array_join(F.transform("span_ids", lambda x: x.cast("string")), ",").alias("span_ids"), "skip_reason")
 
 
+@query("d06_plan_hex", """, w AS (SELECT * FROM (VALUES ('llm_calls', 'llm', 'GROUP'), ('tool_calls', 'tool', 'SINGLE'), ('judge', 'judge', 'SINGLE')) v(metric, target_span_type, mode)),
+tr AS (SELECT DISTINCT trace_id FROM short),
+g AS (SELECT trace_id, span_type, string_agg(lpad(lower(to_hex(span_id)), 16, '0'), ',' ORDER BY start_us, span_id) AS ids FROM short GROUP BY ALL)
+SELECT tr.trace_id, metric, target_span_type, CASE WHEN mode = 'GROUP' THEN g.ids ELSE lpad(lower(to_hex(s.span_id)), 16, '0') END AS span_ids, CASE WHEN g.ids IS NULL THEN 'No spans found for target span type "' || target_span_type || '".' END AS skip_reason
+FROM tr CROSS JOIN w LEFT JOIN g ON g.trace_id = tr.trace_id AND g.span_type = target_span_type LEFT JOIN short s ON mode = 'SINGLE' AND s.trace_id = tr.trace_id AND s.span_type = target_span_type""", "span short")
+def _(t: Lens) -> DataFrame:
+    """The same over ids of 16 hex digits, as tracers give them."""
+    wanted = t.spark.createDataFrame([("llm_calls", "llm", "GROUP"), ("tool_calls", "tool", "SINGLE"), ("judge", "judge", "SINGLE")], "metric string, target_span_type string, mode string")
+    spans = t.short_traces().withColumn("span_id", F.lpad(F.lower(F.hex("span_id")), 16, "0"))
+    return planner.plan(spans, spans, wanted).select("trace_id", "metric", "target_span_type", F.array_join("span_ids", ",").alias("span_ids"), "skip_reason")
+
+
 @query("e01_score_stats", "SELECT metric, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS stddev, round(min(score), 6) AS min, round(quantile_cont(score, 0.25), 6) AS p25, round(median(score), 6) AS median, round(quantile_cont(score, 0.75), 6) AS p75, round(max(score), 6) AS max FROM comp WHERE status = 'COMPLETED' AND score IS NOT NULL GROUP BY metric", "comp")
 def _(t: Lens) -> DataFrame:
     return report.metric_scores(t.computations())
