@@ -79,7 +79,7 @@ def test_code_lengths_by_hand(spark):
     texts = {"aa": [" ".join(rng.choice(["tata", "tito", "nana"]) for _ in range(30)) for _ in range(6)], "bb": [" ".join(rng.choice(["tüta", "xito", "non"]) for _ in range(30)) for _ in range(6)]}
     rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    contexts = {value.to_bytes(order, "big") for order, value in model.contexts}
+    contexts = {int(value).to_bytes(order, "big") for order, values in enumerate(model.contexts) for value in values}
     counts = {lang: defaultdict(Counter) for lang in texts}
     for lang, ts in texts.items():
         for t in ts:
@@ -87,9 +87,8 @@ def test_code_lengths_by_hand(spark):
             for i in range(3, len(raw)):
                 for k in range(4):
                     counts[lang][raw[i - k : i]][raw[i]] += 1
-    # a context is kept if one language uses it often enough; all are, as there are few
-    for context in {c for lang in texts for c in counts[lang]}:
-        assert (context in contexts) == (not context or any(sum(counts[lang][context].values()) >= langid.MIN_USES for lang in texts))
+    # every context is kept, those used once too
+    assert contexts == {c for lang in texts for c in counts[lang]}
     asked = ["tata tüto nuna", "xyz"]
     got = langid.Scorer(model).code_lengths([t.encode() for t in asked])
     for n, t in enumerate(asked):
@@ -99,13 +98,20 @@ def test_code_lengths_by_hand(spark):
             assert got[n, m] == pytest.approx(want, rel=1e-4)
 
 
-def test_languages_share_the_bounds(spark, monkeypatch):
-    """A language of short texts keeps its contexts beside one of long texts, and is known though its texts are empty."""
-    monkeypatch.setattr(langid, "MAX_CONTEXTS", 40)
-    rows = [(i, "the long text of one language goes on and on " * 40, "en") for i in range(20)] + [(100 + i, "zyx qwv", "xx") for i in range(20)] + [(200, "", "zz")]
+def test_no_context_is_left_out(spark):
+    """All strings of the sample are in the model, of a language of short texts as of one of long texts, and a language is
+    known though its texts are empty."""
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randrange(0x61, 0x5000)) for _ in range(4000)), "zyx qwv", ""]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(zip(texts, ("en", "xx", "zz"), strict=True))]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert model.langs == ["en", "xx", "zz"] and sum(v.to_bytes(3, "big") in b"zyx qwv" for o, v in model.contexts if o == 3) >= 4
-    assert [r["lang_pred"] for r in langid.predict(documents(spark, ["zyx", "the text"]), model).orderBy("doc_id").collect()] == ["xx", "en"]
+    padded = [langid.PAD + t.encode() for t in texts]
+    for order in range(4):
+        want = {int.from_bytes(t[i - order : i + 1], "big") for t in padded for i in range(3, len(t))}
+        assert want == set(model.grams[order].tolist()) - (set(range(256)) - want if order == 0 else set())
+    assert model.langs == ["en", "xx", "zz"] and len(model.contexts[3]) > 4096
+    assert np.allclose(langid.Scorer(model).code_lengths([b"zyx"])[0, 2], 24)
+    assert [r["lang_pred"] for r in langid.predict(documents(spark, ["zyx", texts[0][:50]]), model).orderBy("doc_id").collect()] == ["xx", "en"]
 
 
 def test_predictions_keep_any_columns(spark):

@@ -77,18 +77,17 @@ def test_code_lengths_are_a_distribution(spark):
     texts = ["the cat sat on the mat and the dog"] * 3 + ["le chat est sur le tapis et le chien"] * 3
     df = spark.createDataFrame([(i, t, "en" if i < 3 else "fr") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     model = langid.train(df)
-    assert np.allclose(np.exp2(-model.bits.astype(float)).sum(axis=1), 1, atol=1e-3)
     scorer = langid.Scorer(model)
+    for order, contexts in enumerate(model.contexts):
+        for c in [*contexts.tolist(), 7]:
+            after = scorer.bits_of((np.uint32(c << 8) + np.arange(256)).astype(np.uint32))
+            assert order < 3 or np.allclose(np.exp2(-after.astype(float)).sum(axis=0), 1, atol=1e-3)
     whole = scorer.code_lengths([t.encode() for t in texts])
-    by_hand = np.zeros(len(model.langs))
-    raw, ids = langid.PAD + texts[0].encode(), {c: i for i, c in enumerate(model.contexts)}
-    for i in range(3, len(raw)):
-        for k in (3, 2, 1, 0):
-            c = (k, int.from_bytes(raw[i - k : i], "big"))
-            if c in ids:
-                by_hand += model.bits[ids[c], raw[i]]
-                break
-    assert np.allclose(whole[0], by_hand, rtol=1e-5)
+    raw = [langid.PAD + t.encode() for t in texts]
+    by_hand = [sum(scorer.bits_of(np.array([int.from_bytes(t[i - 3 : i + 1], "big")], np.uint32))[0] for i in range(3, len(t))) for t in raw]
+    assert np.allclose(whole, by_hand, rtol=1e-5)
+    scorer.most = 5
+    assert np.allclose(scorer.code_lengths([t.encode() for t in texts]), by_hand, rtol=1e-5)
     got = langid.predict(df.union(spark.createDataFrame([(9, None, None), (10, "12 34", None), (11, "", "en")], df.schema)), model).collect()
     said = {r["doc_id"]: r["lang_pred"] for r in got}
     assert [said[i] for i in range(6)] == ["en"] * 3 + ["fr"] * 3 and said[9] == said[10] == said[11] == "und"

@@ -1,15 +1,16 @@
 """Language ID by prediction by partial matching (PPM) over bytes.
 
-Each language has a tree of contexts of up to three bytes. A symbol's code length in the deepest context that is kept is
--log2 of its probability there: seen symbols share ``total / (total + distinct)`` by count, the escape's share goes to
-the shorter context's distribution over the symbols not seen here (exclusion), down to equal shares of 256 bytes. After
-training the statistics are frozen, so every context's code lengths are known beforehand and a text is scored by looking
-up each byte's; the language with the shortest code wins.
+Each language has a tree of contexts of up to three bytes. A symbol's code length is -log2 of its probability in the
+deepest context that the language has: seen symbols share ``total / (total + distinct)`` by count, the escape's share
+goes to the shorter context's distribution over the symbols not seen here (exclusion), down to equal shares of 256 bytes.
+After training the statistics are frozen, so the code lengths of all symbols seen after a context, and each context's
+escape, exclusion included, are known beforehand; a byte is looked up in the deepest context that has seen it, and the
+escapes on the way are added. The language with the shortest code wins.
 
 The trees are learned from a bounded sample: about ``SAMPLE`` rows of each language, chosen by a hash of the id over the
-whole table, whole texts. Counting is distributed; the driver gets at most ``MAX_GRAMS`` counts of each language, the
-highest. The model's size is bounded too: of the contexts with ``MIN_USES`` uses in any language those stay that rank
-highest in one, so that each language has the same share of the ``MAX_CONTEXTS``.
+whole table, whole texts. The sample is the only bound: every context and every count of it is kept, as sorted arrays
+with a row for each four-byte string that the sample has, so that the model is smaller than the sample's text times the
+number of languages. Counting is distributed.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0; ties go to the first language by name;
 without labelled rows every text is ``und``; a language of which there are only empty texts has 8 bits for each byte;
@@ -22,16 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from .common import col, crc_mod, hash_share, plain, sliced, small_batches, with_fields
 
-#: Rows of each language that are learned from, about; counts of each that reach the driver; contexts of three bytes that
-#: are kept, and of two; uses that a context needs.
-SAMPLE, MAX_GRAMS, MAX_CONTEXTS, MAX_PAIRS, MIN_USES = 800, 1 << 18, 4096, 1024, 8
+#: Rows of each language that are learned from, about; bytes of a context, at most.
+SAMPLE, DEPTH = 800, 3
+#: What an escape has from a context that has seen all that the shorter one expects; rests up to this are none.
+NONE_LEFT = 1e-12
 PAD = b"\n\n\n"
 LETTER = regex.compile(r"\p{L}")
 
@@ -55,71 +58,75 @@ def gram_counts(df: DataFrame) -> DataFrame:
     return df.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+
+
 class Model:
-    """Code lengths in bits: ``bits[context, byte, language]``; ``contexts``: (length, value), value's last byte nearest."""
+    """Frozen statistics. For contexts of 0 to DEPTH bytes: ``grams``, sorted, are the contexts with a symbol behind them,
+    the last byte nearest; ``bits[gram, language]`` the symbol's code length there; ``contexts``, sorted, the contexts
+    alone, and ``escapes[context, language]`` what is added to a shorter context's code length for any other symbol."""
 
     def __init__(self, counts: pa.Table, langs: list[str]):
         """counts: lang, gram, n."""
         self.langs = sorted(langs)
-        gram, n = counts["gram"].to_numpy().astype(np.int64), counts["n"].to_numpy().astype(np.int64)
-        at_lang = {name: i for i, name in enumerate(self.langs)}
-        lang = np.array([at_lang[x] for x in counts["lang"].to_pylist()], np.int64)
-        self.contexts: list[tuple[int, int]] = [(0, 0)]
-        for order, most in ((1, 256), (2, MAX_PAIRS), (3, MAX_CONTEXTS)):
-            keys, at = np.unique(gram >> 8 & (1 << 8 * order) - 1, return_inverse=True)
-            used = np.zeros((len(keys), max(1, len(self.langs))), np.int64)
-            np.add.at(used, (at, lang), n)
-            # each context's best place among one language's, most used first
-            place = np.argsort(np.argsort(-used, axis=0, kind="stable"), axis=0, kind="stable")
-            best = np.where(used >= MIN_USES, place, len(keys)).min(axis=1, initial=len(keys))
-            kept = [int(i) for i in np.lexsort((keys, best)) if best[i] < len(keys)]
-            self.contexts += [(order, int(keys[i])) for i in kept[:most]]
-        ids = {c: i for i, c in enumerate(self.contexts)}
-        seen = np.zeros((len(self.contexts), 256, len(self.langs)), np.float32)
-        for order in range(4):
-            value = gram >> 8 & (1 << 8 * order) - 1
-            row = np.array([ids.get((order, int(v)), -1) for v in value.tolist()], np.int64) if len(gram) else gram
-            ok = row >= 0
-            np.add.at(seen, (row[ok], gram[ok] & 255, lang[ok]), n[ok])
-        share = np.empty_like(seen)
-        for i, (order, value) in enumerate(self.contexts):
-            shorter = share[self._parent(ids, order, value)] if order else np.full(seen.shape[1:], 1 / 256, np.float32)
-            count = seen[i]
-            total, distinct = count.sum(axis=0), (count > 0).sum(axis=0)
-            rest = np.where(count > 0, 0, shorter)
-            left = rest.sum(axis=0)
-            escape = np.where(left > 0, distinct / np.maximum(total + distinct, 1), 0)
-            here = (1 - escape) * count / np.maximum(total, 1) + escape * rest / np.maximum(left, 1e-30)
-            share[i] = np.where(total > 0, here, shorter)
-        self.bits = -np.log2(np.maximum(share, 1e-12)).astype(np.float32)
-
-    @staticmethod
-    def _parent(ids: dict[tuple[int, int], int], order: int, value: int) -> int:
-        while order:
-            order -= 1
-            value &= (1 << 8 * order) - 1
-            if (order, value) in ids:
-                return ids[order, value]
-        return 0
-
-    def table(self) -> np.ndarray:
-        """The deepest kept context of every three bytes."""
-        t = np.zeros((256, 256, 256), np.int16)
-        for i, (order, v) in enumerate(self.contexts):
-            a, b, c = v >> 16 & 255, v >> 8 & 255, v & 255
-            if order == 1:
-                t[:, :, c] = i
-            elif order == 2:
-                t[:, b, c] = i
-            elif order == 3:
-                t[a, b, c] = i
-        return t.reshape(-1)
+        gram, n = counts["gram"].to_numpy().astype(np.uint32), counts["n"].to_numpy().astype(float)
+        lang = pc.index_in(counts["lang"].combine_chunks(), pa.array(self.langs, pa.string())).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.grams: list[np.ndarray] = []
+        self.bits: list[np.ndarray] = []
+        self.contexts: list[np.ndarray] = []
+        self.escapes: list[np.ndarray] = []
+        share = np.full((256, len(self.langs)), 1 / 256)
+        for order in range(DEPTH + 1):
+            key = gram & np.uint32((1 << 8 * order + 8) - 1)
+            grams, at = np.unique(key, return_inverse=True) if order else (np.arange(256, dtype=np.uint32), key.astype(np.int64))
+            count = np.zeros((len(grams), len(self.langs)))
+            np.add.at(count, (at, lang), n)
+            # all that ends here ends in the shorter context too
+            shorter = share[np.searchsorted(self.grams[-1], grams & np.uint32((1 << 8 * order) - 1))] if order else share
+            starts = _runs(grams >> np.uint32(8))
+            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(grams))))
+            total, distinct = np.add.reduceat(count, starts, axis=0), np.add.reduceat((count > 0).astype(float), starts, axis=0)
+            left = 1 - np.add.reduceat(np.where(count > 0, shorter, 0), starts, axis=0)
+            escape = np.where(left > NONE_LEFT, distinct / np.maximum(total + distinct, 1), 0)
+            other = np.where(total > 0, np.where(left > NONE_LEFT, escape / np.maximum(left, NONE_LEFT), NONE_LEFT), 1)
+            share = np.where(count > 0, (1 - escape[of]) * count / np.maximum(total[of], 1), other[of] * shorter)
+            self.grams.append(grams)
+            self.bits.append(-np.log2(share).astype(np.float32))
+            self.contexts.append(grams[starts] >> np.uint32(8))
+            self.escapes.append(-np.log2(other).astype(np.float32))
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among sorted keys, and whether the key there is the wanted one."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
 
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.table = model, model.table()
-        self.rows = model.bits.reshape(len(model.contexts) * 256, len(model.langs))
+        self.model = model
+        #: Bytes whose code lengths are held at once.
+        self.most = max(1 << 12, (1 << 20) // max(1, len(model.langs)))
+
+    def bits_of(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths, in each language, of the last byte of each four-byte string."""
+        model = self.model
+        out = np.zeros((len(grams), len(model.langs)), np.float32)
+        rest = np.arange(len(grams))
+        for order in range(DEPTH, -1, -1):
+            key = grams[rest] & np.uint32((1 << 8 * order + 8) - 1)
+            at, hit = _find(model.grams[order], key)
+            out[rest[hit]] += model.bits[order][at[hit]]
+            rest, key = rest[~hit], key[~hit]
+            if not len(rest):
+                break
+            at, hit = _find(model.contexts[order], key >> np.uint32(8))
+            out[rest[hit]] += model.escapes[order][at[hit]]
+        return out
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language."""
@@ -135,16 +142,16 @@ class Scorer:
         return out
 
     def _add(self, texts: list[bytes], group: list[int], out: np.ndarray) -> None:
-        raw = np.frombuffer(b"".join(PAD + texts[i] for i in group), np.uint8)
-        a = raw.astype(np.int32)
-        context = self.table[a[:-3] << 16 | a[1:-2] << 8 | a[2:-1]].astype(np.int32)
-        where = context << 8 | a[3:]
-        start = 0
-        for i in group:
-            n = len(texts[i])
-            for first in range(start, start + n, 1 << 18):
-                out[i] += self.rows[where[first : min(first + (1 << 18), start + n)]].sum(axis=0, dtype=np.float64)
-            start += n + 3
+        raw = np.frombuffer(b"".join(PAD + texts[i] for i in group), np.uint8).astype(np.uint32)
+        grams = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
+        ends = np.cumsum([len(texts[i]) + len(PAD) for i in group])
+        starts = ends - [len(texts[i]) + len(PAD) for i in group]
+        for first in range(0, len(grams), self.most):
+            bits = self.bits_of(grams[first : first + self.most])
+            for k in range(int(np.searchsorted(ends, first, "right")), int(np.searchsorted(starts, first + self.most))):
+                a, b = max(starts[k] - first, 0), min(ends[k] - len(PAD) - first, len(bits))
+                if a < b:
+                    out[group[k]] += bits[a:b].sum(axis=0, dtype=np.float64)
 
 
 def train(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
@@ -155,10 +162,8 @@ def train(df: DataFrame, use: Column | None = None, id_col: str = "doc_id", text
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, sample / n)).otherwise(share)
     chosen = rows.where((hash_share(F.col("id"), 11) < share) & F.col("text").isNotNull())
-    most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    counts = gram_counts(chosen).withColumn("place", F.row_number().over(most)).where(F.col("place") <= MAX_GRAMS).drop("place")
     with small_batches(df.sparkSession):
-        return Model(counts.toArrow(), list(sizes))
+        return Model(gram_counts(chosen).toArrow(), list(sizes))
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, prefix: str = "") -> DataFrame:
