@@ -185,7 +185,9 @@ def components(edges: DataFrame) -> DataFrame:
         new = staged(small, "edges")
         drop_staged(now)
         now = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._staged_path = now._staged_path
+    return out
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -201,17 +203,15 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     full = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     buckets = staged(rows.join(full, "key").dropDuplicates(["key", "node"]), "buckets")
     sets = staged(full_sets(docs, classes.select("node", "doc_id", "mark").join(buckets.select("node").distinct(), "node")), "sets")
-    brief = classes.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("brief"))
-    members = staged(buckets.join(sets.select("node", F.size("s").alias("n"), "bits").join(brief, "node"), "node"), "members")
+    members = staged(buckets.join(sets.select("node", F.size("s").alias("n"), "bits").join(classes.select("node", "keys"), "node"), "node"), "members")
     drop_staged(buckets)
-    mine = ["key", "band", "node", "n", "brief", "bits"]
-    edges: DataFrame | None = None
+    mine = ["key", "band", "node", "n", "keys", "bits"]
     roots: DataFrame | None = None
     active, centres_each = members, CENTRES
     while True:
         if roots is None:  # the first round: every member meets its bucket's smallest
             now = active.withColumn("root", F.col("node"))
-            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root", "brief", "bits")).alias("c"))
+            centres = now.groupBy("key").agg(F.min(F.struct("node", "n", "root", "keys", "bits")).alias("c"))
             fresh = F.lit(True)
         else:
             now = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -227,17 +227,21 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
             now = active.drop("main")
             outside = active.where("root <> main").withColumn("place", F.pmod(F.xxhash64("node", "key"), F.lit(centres_each)))
             centres_each = min(centres_each * 32, MOST_CENTRES)
-            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root", "brief", "bits")).alias("c"))
-            # a pair that shares several bands meets in the first of them only
-            fresh = (F.col("band") == 0) | ~F.arrays_overlap(F.slice("brief", 1, F.greatest("band", F.lit(1))), F.slice("cb", 1, F.greatest("band", F.lit(1))))
-        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("size"), F.col("c.root").alias("cr"), F.col("c.brief").alias("cb"), F.col("c.bits").alias("cbits")), "centres")
+            centres = outside.groupBy("key", "place").agg(F.min(F.struct("node", "n", "root", "keys", "bits")).alias("c"))
+            # a pair that shares several bands meets in the first of them only: whole keys, which are the buckets' own, so that
+            # what is left out here is in an earlier bucket together
+            earlier = lambda keys: F.slice(keys, 1, F.greatest("band", F.lit(1)))
+            fresh = (F.col("band") == 0) | ~F.arrays_overlap(earlier("keys"), earlier("ck"))
+        centres = staged(centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("size"), F.col("c.root").alias("cr"), F.col("c.keys").alias("ck"), F.col("c.bits").alias("cbits")), "centres")
         meets = now.join(centres, "key").where("node <> cn and root <> cr").where(may_link()).where(fresh)
         pairs = meets.select(F.least("node", "cn").alias("x"), F.greatest("node", "cn").alias("y")).distinct()
         found = staged(confirmed(pairs, sets), "links")
-        edges = found if edges is None else edges.union(found)
         if roots is None or not found.isEmpty():
-            roots = components(edges)
-            edges = roots.select(F.col("node").alias("x"), F.col("root").alias("y"))
+            before = roots
+            roots = components(found if before is None else found.union(before.select(F.col("node").alias("x"), F.col("root").alias("y"))))
+            if before is not None:
+                drop_staged(before)
+        drop_staged(found)
         left = active
         active = staged(now.join(centres.select("key", F.col("cn").alias("node")), ["key", "node"], "left_anti").select(*mine), "left")
         if left is not members:
