@@ -5,8 +5,8 @@ more than once, the occurrence of the smallest (doc_id, position) stays and all
 covered; covered lines are removed once, however many windows cover them.
 
 Edge cases: texts of fewer than three lines have no window and stay; null texts stay null; rows with equal doc_id and
-equal text are one document (one result for each row); a null doc_id sorts first; other columns are carried along, but
-for those with the names of the two columns added, which these replace.
+equal text are one document (one result for each row); a null doc_id sorts first; other columns are carried along, and
+the two columns added give way to those that have their names.
 """
 
 from __future__ import annotations
@@ -74,9 +74,9 @@ def covered(df: DataFrame) -> DataFrame:
 
 def dedup_lines(df: DataFrame, lines: str = "__lines", removed: str = "__removed") -> DataFrame:
     """All columns of ``df`` with the text's later lines removed, and two more: the numbers of its lines and of those
-    removed. Columns of ``df`` that are called like these two give way to them."""
-    df = df.select(*[col(c) for c in df.columns if c.lower() not in (lines.lower(), removed.lower())])
+    removed. These come last; where ``df`` has columns called like them, they have underscores more before their names."""
     names, texts = list(df.columns), df.columns.index("text")
+    lines, removed = free_names(names, lines, removed)
     key, mark, at = free_names(names, "key", "mark", "starts")
     starts = covered(df.select("doc_id", "text")).select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("starts").alias(at))
     schema = with_fields(df, names, (lines, IntegerType()), (removed, IntegerType()))
