@@ -155,6 +155,28 @@ def test_archive_sql(spark):
     assert rows(queries.op3_arc_to_warc(spark, DATA).toPandas()) == rows(con.execute(arc.ARCHIVE_SQL).fetchdf())
 
 
+def test_records_say_where_they_come_from(spark):
+    """Repeated rows have ids of their own; a revisit names the first record, its URI and date; IP address and media type
+    stay; what has no HTTP head is a resource."""
+    html = "x" * 200
+    pages = spark.createDataFrame([(2, "http://b/", html), (1, "http://a/", html), (1, "http://a/", html), (3, "http://c/", "")], "page_id long, url string, html string").coalesce(1)
+    warcs = arc.convert(arc.arc_table(pages))
+    found = [h for r in warcs.collect() for h, _ in arc.parse_warc(r["data"]) if h["warc-type"] != "warcinfo"]
+    ids = [h["warc-record-id"] for h in found]
+    assert len(ids) == len(set(ids)) == 4
+    again = [h for h in found if h["warc-type"] == "revisit"]
+    first = [h for h in found if h["warc-target-uri"] == "http://a/"]
+    assert [h["warc-refers-to"] for h in again] == [first[0]["warc-record-id"]]
+    assert (again[0]["warc-refers-to-target-uri"], again[0]["warc-refers-to-date"]) == ("http://a/", first[0]["warc-date"])
+    data = arc.arc_version_block("f") + arc.arc_record("http://x/", b"one", ip="192.0.2.7", kind="image/gif") + arc.arc_record("http://y/", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    warcs = arc.convert(spark.createDataFrame([("f", bytearray(data))], "name string, data binary"))
+    one, two = (x for r in warcs.collect() for x in arc.parse_warc(r["data"]) if x[0]["warc-type"] != "warcinfo")
+    assert (one[0]["warc-type"], one[0]["content-type"], one[0]["warc-ip-address"], one[1]) == ("resource", "image/gif", "192.0.2.7", b"one")
+    assert (two[0]["warc-type"], "warc-ip-address" in two[0]) == ("response", False)
+    got = {r["record_type"]: r["payload_bytes"] for r in arc.warc_records(warcs).collect()}
+    assert got == {"resource": 3, "response": 4}
+
+
 # --- 4
 
 
@@ -177,10 +199,11 @@ def test_line_dedup(spark):
     texts = ["\n".join(rng.choice("abc") for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "", "a\nb", "q\nr\ns\nq\nr\ns"]
     df = documents(spark, texts).withColumns({n: F.lit("x") for n in ("pos", "starts", "__starts", "__lines", "__key", "mark", "a", "odd.name")})
     out = linededup.dedup_lines(df)
-    assert out.columns == [*(c for c in df.columns if c != "__lines"), "__lines", "__removed"]
+    assert out.columns == [*df.columns, "___lines", "__removed"]
     got = {r["doc_id"]: r for r in out.collect()}
     assert [got[i]["text"] for i in range(len(texts))] == dedup_by_hand(texts)
-    assert all(got[i]["__lines"] == (0 if t is None else t.count("\n") + 1) for i, t in enumerate(texts))
+    assert all(got[i]["___lines"] == (0 if t is None else t.count("\n") + 1) for i, t in enumerate(texts))
+    assert {r["__lines"] for r in got.values()} == {"x"}
     twice = linededup.line_query(documents(spark, ["a\nb\nc"]).union(documents(spark, ["a\nb\nc"]))).collect()
     assert [r["n_removed"] for r in twice] == [0, 0]
     assert linededup.line_query(documents(spark, [])).count() == 0

@@ -6,11 +6,13 @@ that writing and reading them is spread over executors and works on any store th
 
 ARC version 1 has URL, IP, date, type and length in a record's line, version 2 also result code, checksum, location,
 offset and file name; the version block's second line says which. Synthesised for WARC: the record id (a UUID of the
-record's origin and content), the date in ISO form, the type (response or revisit) and SHA-256 digests.
+record's place in its archive and its content), the date in ISO form, the type (response, revisit, or resource where there is
+no HTTP head, which then has the ARC's media type), SHA-256 digests, the IP address where one is known, and what a revisit
+refers to: record, URI and date.
 
 Edge cases: null payloads are empty; null URLs are ``-``; line feeds in URLs are percent-encoded; rows with a null id
 are responses and take no part in finding equal payloads; rows with equal id and payload are each a response or each a
-revisit of the smaller id's.
+revisit of the smaller id's first record, and each has a record id of its own.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .common import col, drop_staged, sliced, staged
 SEGMENT, LEAST, DEALT = 2 << 20, 100, 16
 #: Bytes of pages for a bucket of segments, about, and the most buckets.
 BUCKET, MOST_BUCKETS = 256 << 20, 100_000
-DATE = "20260101000000"
+DATE, NO_IP = "20260101000000", "0.0.0.0"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -65,10 +67,10 @@ def arc_version_block(name: str, version: int = 1) -> bytes:
     fields = "URL IP-address Archive-date Content-type " + ("Archive-length" if version == 1 else "Result-code Checksum Location Offset Filename Archive-length")
     body = f"{version} 0 -\n{fields}\n".encode()
     middle = f"{len(body)}" if version == 1 else f"200 - - 0 {name} {len(body)}"
-    return f"filedesc://{name} 0.0.0.0 {DATE} text/plain {middle}\n".encode() + body + b"\n"
+    return f"filedesc://{name} {NO_IP} {DATE} text/plain {middle}\n".encode() + body + b"\n"
 
 
-def arc_record(url: str, content: bytes, version: int = 1, date: str = DATE, ip: str = "0.0.0.0", kind: str = "text/html", code: int = 200, name: str = "-", offset: int = 0) -> bytes:
+def arc_record(url: str, content: bytes, version: int = 1, date: str = DATE, ip: str = NO_IP, kind: str = "text/html", code: int = 200, name: str = "-", offset: int = 0) -> bytes:
     middle = f"{len(content)}" if version == 1 else f"{code} {hashlib.md5(content).hexdigest()} - {offset} {name} {len(content)}"
     return f"{url} {ip} {date} {kind} {middle}\n".encode() + content + b"\n"
 
@@ -166,7 +168,7 @@ def placed(arcs: DataFrame) -> DataFrame:
 
 
 def arc_records(arcs: DataFrame, id_type: str = "long") -> DataFrame:
-    """(part, seq, at, page_id, payload_bytes, digest) of every ARC record; ``at`` counts a segment's records."""
+    """(part, seq, at, page_id, payload_bytes, digest, url, date) of every ARC record; ``at`` counts a segment's records."""
     arcs = placed(arcs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,31 +176,43 @@ def arc_records(arcs: DataFrame, id_type: str = "long") -> DataFrame:
             rows = []
             for at, r in enumerate(parse_arc(batch.column(3)[0].as_py())):
                 headers, _, payload = http_split(r["content"])
-                rows.append((at, id_of(headers), len(payload), hashlib.sha256(payload).hexdigest()))
-            c = list(zip(*rows, strict=True)) if rows else [()] * 4
+                rows.append((at, id_of(headers), len(payload), hashlib.sha256(payload).hexdigest(), r["url"], r["date"]))
+            c = list(zip(*rows, strict=True)) if rows else [()] * 6
             where = pa.array(np.zeros(len(rows), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(c[0], pa.int32()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string())], ["part", "seq", "at", "page_id", "payload_bytes", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(c[0], pa.int32()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), *(pa.array(x, pa.string()) for x in c[3:])], ["part", "seq", "at", "page_id", "payload_bytes", "digest", "url", "date"])
 
     kind = dict(arcs.dtypes)["part"]
-    out = arcs.select("part", "seq", "name", "data").mapInArrow(run, f"part {kind}, seq int, at int, page_id string, payload_bytes long, digest string")
+    out = arcs.select("part", "seq", "name", "data").mapInArrow(run, f"part {kind}, seq int, at int, page_id string, payload_bytes long, digest string, url string, date string")
     return out.withColumn("page_id", F.col("page_id").cast(id_type))
 
 
 # --- WARC
 
 
-def warc_record(kind: str, url: str, date: str, head: bytes, payload: bytes, digest: str, page_id=None, refers_to=None) -> bytes:
-    """A response with HTTP head and payload, or a revisit with the head alone."""
-    block = head + (payload if kind == "response" else b"")
-    iso = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(page_id, url, digest)}>", f"WARC-Date: {iso}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {'application/http; msgtype=response' if head else 'application/octet-stream'}", f"Content-Length: {len(block)}"]
-    if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-Id: {quote(str(refers_to), safe='')}"]
+def iso(date: str) -> str:
+    """An ARC's date of 14 digits in ISO form."""
+    return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
+
+
+def warc_record(kind: str, url: str, date: str, head: bytes, payload: bytes, digest: str, page_id=None, origin: str = "", ip: str = NO_IP, media: str = "-", refers: dict | None = None) -> bytes:
+    """A response with HTTP head and payload, a resource without a head, or a revisit with the head alone.
+
+    refers: what a revisit refers to, as page_id, origin, url and date; its payload is the same.
+    """
+    block = head + (b"" if kind == "revisit" else payload)
+    content = "application/http; msgtype=response" if head else media if "/" in media else "application/octet-stream"
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id(origin, page_id, url, digest)}>", f"WARC-Date: {iso(date)}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    if ip != NO_IP:
+        lines.append(f"WARC-IP-Address: {ip}")
+    if refers is not None:
+        first = record_id(refers["origin"], refers["page_id"], refers["url"], digest)
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{first}>", f"WARC-Refers-To-Target-URI: {refers['url']}", f"WARC-Refers-To-Date: {iso(refers['date'])}", f"X-Refers-To-Page-Id: {quote(str(refers['page_id']), safe='')}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def record_id(page_id, url: str, digest: str) -> uuid.UUID:
-    return uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}\n{url}\n{digest}")
+def record_id(origin: str, page_id, url: str, digest: str) -> uuid.UUID:
+    """origin: the record's place, which tells equal records apart."""
+    return uuid.uuid5(uuid.NAMESPACE_URL, f"{origin}\n{page_id}\n{url}\n{digest}")
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -225,17 +239,20 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def revisits(records: DataFrame) -> DataFrame:
-    """(part, seq, again): the records of each segment whose payload a smaller id has, as (at, refers_to).
+    """(part, seq, again): the records of each segment whose payload a smaller id has, as (at, page_id, origin, url, date),
+    the last four being the first record's of the smallest id.
 
     Equal payloads may be a large part of all rows: their ids are dealt out to DEALT places, and the smallest id to those
     of the places that hold any.
     """
     ids = records.where((F.col("payload_bytes") >= LEAST) & F.col("page_id").isNotNull()).withColumn("place", F.pmod(F.xxhash64("page_id"), F.lit(DEALT)).cast("int"))
-    held = ids.groupBy("digest", "place").agg(F.min("page_id").alias("low"), F.max("page_id").alias("top"))
-    firsts = held.groupBy("digest").agg(F.min("low").alias("refers_to"), F.max("top").alias("top"), F.collect_set("place").alias("places")).where("top > refers_to")
-    firsts = firsts.select("digest", "refers_to", F.explode("places").alias("place"))
-    again = ids.join(firsts, ["digest", "place"]).where("page_id > refers_to")
-    return again.groupBy("part", "seq").agg(F.collect_list(F.struct("at", F.col("refers_to").cast("string").alias("refers_to"))).alias("again"))
+    held = ids.groupBy("digest", "place").agg(F.min(F.struct("page_id", "part", "seq", "at", "url", "date")).alias("low"), F.max("page_id").alias("top"))
+    firsts = held.groupBy("digest").agg(F.min("low").alias("first"), F.max("top").alias("top"), F.collect_set("place").alias("places")).where("top > first.page_id")
+    firsts = firsts.select("digest", "first", F.explode("places").alias("place"))
+    again = ids.join(firsts, ["digest", "place"]).where("page_id > first.page_id")
+    origin = F.concat_ws("/", "first.part", "first.seq", "first.at")
+    told = F.struct("at", F.col("first.page_id").cast("string").alias("page_id"), origin.alias("origin"), "first.url", "first.date")
+    return again.groupBy("part", "seq").agg(F.collect_list(told).alias("again"))
 
 
 def convert(arcs: DataFrame, id_type: str = "long") -> DataFrame:
@@ -248,7 +265,7 @@ def convert(arcs: DataFrame, id_type: str = "long") -> DataFrame:
     again = revisits(arc_records(arcs, id_type)).withColumnsRenamed({"part": "of_part", "seq": "of_seq"})
     # not an equality of two columns: the join must go by part alone, as the buckets do
     same = (F.col("part") == F.col("of_part")) & (F.col("seq").bitwiseXOR(F.col("of_seq")) == 0)
-    joined = arcs.join(again.hint("shuffle_hash"), same, "left").select("data", "again")
+    joined = arcs.join(again.hint("shuffle_hash"), same, "left").select("data", "again", "part", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -263,11 +280,13 @@ def convert(arcs: DataFrame, id_type: str = "long") -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([data], pa.binary())], ["name", "data"])
 
         for batch in sliced(batches, 1):
-            refers = {r["at"]: r["refers_to"] for r in batch.column(1)[0].as_py() or ()}
+            again = {r["at"]: r for r in batch.column(1)[0].as_py() or ()}
+            segment = f"{batch.column(2)[0].as_py()}/{batch.column(3)[0].as_py()}"
             for at, r in enumerate(parse_arc(batch.column(0)[0].as_py())):
                 headers, head, payload = http_split(r["content"])
-                kind = "revisit" if at in refers else "response"
-                record = gz(warc_record(kind, r["url"], r["date"], head, payload, hashlib.sha256(payload).hexdigest(), id_of(headers), refers.get(at)))
+                kind = "revisit" if at in again else "response" if head else "resource"
+                digest = hashlib.sha256(payload).hexdigest()
+                record = gz(warc_record(kind, r["url"], r["date"], head, payload, digest, id_of(headers), f"{segment}/{at}", r["ip"], r["kind"], again.get(at)))
                 held.append(record)
                 size += len(record)
                 if size >= SEGMENT:
@@ -288,9 +307,9 @@ def warc_records(warcs: DataFrame, id_type: str = "long") -> DataFrame:
                 rows = []
                 for headers, block in parse_warc(data):
                     kind = headers["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "revisit", "resource"):
                         continue
-                    http, _, payload = http_split(block)
+                    http, _, payload = ({}, b"", block) if kind == "resource" else http_split(block)
                     digest = headers["warc-payload-digest"].removeprefix("sha256:")
                     size = len(payload)
                     if kind == "revisit":
