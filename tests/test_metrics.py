@@ -193,3 +193,13 @@ def test_dense_search(spark, monkeypatch, own):
     assert {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got} == want
     assert all(r["label"] == f"l{r['vec_id'] % 3}" and r["q_label"] == f"l{r['query_id'] % 3}" for r in got)
     assert retrieval.dense_top(df.where("false"), df, 6).collect() == []
+
+
+def test_names_and_clients_by_row(spark):
+    """Columns of lists and of clients give what the registry gives for one; null lists and clients give null."""
+    built_in = metrics.built_in()
+    df = spark.createDataFrame([(" LLM_calls,, llm_calls,nope", ["judge"]), ("", []), (None, None), ("plan_matching", ["claim_extractor", "judge"])], "names string, clients array<string>")
+    got = df.select(built_in.keys_of(F.col("names")).alias("keys"), built_in.allowed(F.col("clients")).alias("allowed"), "clients").withColumn("known", built_in.known(F.col("keys"))).collect()
+    assert [r["keys"] for r in got] == [["llm_calls", "nope"], [], None, ["plan_matching"]]
+    assert [r["known"] for r in got] == [["llm_calls"], [], None, ["plan_matching"]]
+    assert [r["allowed"] for r in got] == [None if r["clients"] is None else built_in.available(set(r["clients"])) for r in got]

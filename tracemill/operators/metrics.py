@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.functions.scores import ndcg, precision_at_relevant, sequence_match
-from tracemill.functions.text import non_empty
+from tracemill.functions.text import non_empty, strip
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,19 @@ class Registry:
         """Names of the metrics that the clients at hand allow."""
         return [m.name for m in self.select(None, clients)]
 
+    def keys_of(self, names: Column) -> Column:
+        """The normalised names in lists with commas, each once, in the order first named; known or not."""
+        return F.array_distinct(F.filter(F.transform(F.split(names, ","), lambda n: F.lower(strip(n))), lambda n: n != ""))
+
+    def known(self, keys: Column) -> Column:
+        """Those of an array of keys that are metrics."""
+        return F.filter(keys, lambda k: k.isin(list(self.metrics)))
+
+    def allowed(self, clients: Column) -> Column:
+        """Names of the metrics that each row's clients allow, as ``available`` for one set; null if there is no array."""
+        each = [F.when(F.size(F.array_except(F.array(*map(F.lit, sorted(m.needs))), clients)) == 0, m.name) if m.needs else F.when(clients.isNotNull(), m.name) for m in self.select(None)]
+        return F.when(clients.isNotNull(), F.array_compact(F.array(*each)))
+
     def required_clients(self, names: str | list[str] | None) -> set[str]:
         """What the named metrics need, of judge and claim_extractor."""
         return set().union(*[m.needs for m in self.select(names)])

@@ -116,6 +116,13 @@ def append_record(spark: SparkSession, folder: str, step: str, status: str, run_
     spark.createDataFrame([row], RECORD).coalesce(1).write.mode("append").json(folder)
 
 
+def append_records(df: DataFrame, folder: str) -> None:
+    """Many lines at once: the rows' step, status, run_ids and details, recorded now; null run_ids are none, null details
+    an empty object."""
+    rows = df.select("step", "status", F.coalesce("run_ids", F.array().cast("array<string>")).alias("run_ids"), F.coalesce("details", F.lit("{}")).alias("details"), F.current_timestamp().alias("recorded_at"))
+    rows.write.mode("append").json(folder)
+
+
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """A log's records in the order they were made; none if there is no log."""
     if not there(spark, folder):

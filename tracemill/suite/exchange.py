@@ -146,13 +146,21 @@ def _(t: Lens) -> DataFrame:
     return s.table("doc_vectors").join(docs.select("document_id", "text"), "document_id").select("document_id", F.size("embedding").cast("long").alias("width"), F.md5("text").alias("text"))
 
 
-@query("b21_step_log", "SELECT * FROM (VALUES (1, 'load', 'started', '{\"n\": 1}'), (2, 'load', 'ended', '{}'), (3, 'score', 'failed', '{}')) v(n, step, status, details)")
+LOG_SQL = """
+SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderpriority AS step, CASE o_orderstatus WHEN 'F' THEN 'ended' ELSE 'started' END AS status,
+  CASE WHEN o_orderstatus = 'F' THEN '{"n":' || o_custkey || '}' ELSE '{}' END AS details
+FROM orders
+"""
+
+
+@query("b21_step_log", LOG_SQL)
 def _(t: Lens) -> DataFrame:
-    path = folder(t.spark, "log")
-    for step, status, details in (("load", "started", {"n": 1}), ("load", "ended", None), ("score", "failed", None)):
-        sinks.append_record(t.spark, path, step, status, details=details)
-    rows = [(i, r["step"], r["status"], r["details"]) for i, r in enumerate(sinks.records(t.spark, path).collect(), 1)]
-    return t.spark.createDataFrame(rows, "n int, step string, status string, details string")
+    """Orders as runs: what is started first, then, as lines added to the same log, what has ended, with details."""
+    path, orders, done = folder(t.spark, "log"), t.table("orders"), F.col("o_orderstatus") == "F"
+    named = [F.col("o_orderpriority").alias("step"), F.array(F.col("o_orderkey").cast("string")).alias("run_ids")]
+    sinks.append_records(orders.where(~done).select(*named, F.lit("started").alias("status"), F.lit(None).cast("string").alias("details")), path)
+    sinks.append_records(orders.where(done).select(*named, F.lit("ended").alias("status"), F.to_json(F.struct(F.col("o_custkey").alias("n"))).alias("details")), path)
+    return sinks.records(t.spark, path).select(F.col("run_ids")[0].alias("run_id"), "step", "status", "details")
 
 
 @query("b22_markdown", "SELECT '| ' || dataset_id || ' | ' || CAST(n AS DOUBLE) || ' | ' || coalesce(CAST(CASE WHEN n % 2 = 0 THEN 0.5 END AS VARCHAR), '–') || ' |' AS line FROM (SELECT o_orderpriority AS dataset_id, count(*) AS n FROM orders GROUP BY 1) q UNION ALL SELECT '| dataset_id | n | half |' UNION ALL SELECT '|---|--:|--:|'")
@@ -247,11 +255,21 @@ def _(t: Lens) -> DataFrame:
     return spans.select(F.col("external_id").alias("span_id"), F.col("parent_span_id").alias("parent_id"), "span_type", F.unix_micros("start_time").alias("start_us"), "usage.input_tokens")
 
 
-@query("c34_selection", "SELECT * FROM (VALUES (1, 'llm_calls'), (2, 'plan_matching'), (3, 'set_recall_document')) v(pos, metric)")
+SELECTION_SQL = """
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'llm_calls,set_recall_document' WHEN 1 THEN 'llm_calls,plan_matching' ELSE 'llm_calls' END AS metrics,
+  lower(p_type) AS unknown
+FROM part
+"""
+
+
+@query("c34_selection", SELECTION_SQL)
 def _(t: Lens) -> DataFrame:
-    """Case, white space, repeats and empty names."""
-    found = metrics.built_in().select(" LLM_calls,plan_matching, ,llm_calls,Set_Recall_Document")
-    return t.spark.createDataFrame([(i, m.name) for i, m in enumerate(found, 1)], "pos int, metric string")
+    """Lists of a request for each part: case, white space, repeats and empty names, and one name that is no metric."""
+    k, built_in = F.col("p_partkey"), metrics.built_in()
+    second = F.when(k % 3 == 0, "Set_Recall_Document").when(k % 3 == 1, "plan_matching").otherwise(" ")
+    keys = built_in.keys_of(F.concat_ws(",", F.lit(" LLM_calls"), second, F.lit("llm_calls "), F.upper("p_type"), F.lit("")))
+    asked = t.table("part").select("p_partkey", keys.alias("keys")).withColumn("found", built_in.known(F.col("keys")))
+    return asked.select("p_partkey", F.array_join("found", ",").alias("metrics"), F.array_join(F.array_except("keys", "found"), ",").alias("unknown"))
 
 
 @query("c21_answers_and_steps", "SELECT conv_id, md5(answer) AS answer, array_to_string(executed, ',') AS steps FROM conv WHERE answer IS NOT NULL AND regexp_matches(answer, '[^\\s]')", "conv")
