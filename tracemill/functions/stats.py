@@ -16,7 +16,7 @@ def rounded(c: Column) -> Column:
 
 #: The names of the quartiles and their shares.
 QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
-#: So many rows of counts at most are put in order by one window; more of them are cut into ranges.
+#: So many rows of counts of one key at most are put in order by a window; where a key has more, all are cut into ranges.
 FEW = 1 << 18
 
 
@@ -36,8 +36,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
     with nulls if there is no value; with keys, those that have a value.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ranked = less_than(counts, keys, "__v", "__c")
-    met = beside(ranked, ranked.groupBy(*keys).agg(F.sum("__c").alias("__n")), keys)
+    met = less_than(counts, keys, "__v", "__c", "__n")
     said = {}
     for name, p in shares.items():
         place = (F.col("__n") - 1) * F.lit(p)
@@ -81,16 +80,21 @@ def kappa(a: Column, b: Column) -> Column:
     return F.when(chance < 1 - 1e-12, (agreed - chance) / (1 - chance))
 
 
-def less_than(counts: DataFrame, keys: list[str], value: str, total: str) -> DataFrame:
-    """``counts`` (keys, value, total, ...) with ``less``: the sum of ``total`` over the key's smaller values.
+def less_than(counts: DataFrame, keys: list[str], value: str, total: str, whole: str | None = None) -> DataFrame:
+    """``counts`` (keys, value, total, ...) with ``less``: the sum of ``total`` over the key's smaller values, and as ``whole``,
+    if it is named, that over all of the key's.
 
-    Up to ``FEW`` rows are ordered by one window. More are cut into ranges of (keys, value), each range is summed up by
-    itself, and the sums of the ranges before are added, so that no task orders all of a key. (keys, value) must be unique.
+    Where no key has more than ``FEW`` rows, a window orders each key's by itself. Else all are cut into ranges of
+    (keys, value), each range is summed up by itself, and the sums of the ranges before are added, so that no task orders
+    all of a key. (keys, value) must be unique.
     """
-    counts = staged(counts, "counts")  # its size decides, and cutting into ranges reads it twice
-    if counts.count() <= FEW:
-        smaller = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("less", F.coalesce(F.sum(total).over(smaller), F.lit(0)))
+    counts = staged(counts, "counts")  # its largest key decides, and cutting into ranges reads it twice
+    if (counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0) <= FEW:
+        w = Window.partitionBy(*keys).orderBy(value)
+        sums = {"less": F.coalesce(F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+        if whole:
+            sums[whole] = F.sum(total).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return counts.withColumns(sums)
     parts = staged(counts.repartitionByRange(*keys, value).withColumn("__p", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     sums = parts.groupBy(*keys, "__p").agg(F.sum(total).alias("__s")).withColumn("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)))
@@ -98,7 +102,8 @@ def less_than(counts: DataFrame, keys: list[str], value: str, total: str) -> Dat
     here = Window.partitionBy("__p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     on = [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate([*keys, "__p"])]
     out = parts.withColumn("__l", F.coalesce(F.sum(total).over(here), F.lit(0))).join(sums, on)
-    return out.select(*counts.columns, (F.col("__l") + F.col("__b")).alias("less"))
+    out = out.select(*counts.columns, (F.col("__l") + F.col("__b")).alias("less"))
+    return beside(out, counts.groupBy(*keys).agg(F.sum(total).alias(whole)), keys) if whole else out
 
 
 def with_average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

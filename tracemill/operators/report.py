@@ -179,10 +179,10 @@ def full_report(run: DataFrame, run_samples: DataFrame, computations: DataFrame,
     """One JSON document for each run: status counts, latency, metrics with coverage, scores and reasons, samples."""
     per_metric = computations.groupBy("run_id", "metric").agg(*status_counts(), F.count_distinct(F.when(F.expr(SCORED), F.col("sample_id"))).alias("covered"))
     stats = metric_scores(computations, ("run_id", "metric"))
-    why = reasons(computations, ["run_id", "metric"]).groupBy("run_id", "metric").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(": ", "status", "reason"), "n")))).alias("reasons"))
+    why = reasons(computations, ["run_id", "metric"]).groupBy("run_id", "metric").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws(": ", "status", "reason"), "n")))).alias("reasons"))
     rows = per_metric.join(stats, ["run_id", "metric"], "left").join(why, ["run_id", "metric"], "left")
     listed = rows.groupBy("run_id").agg(F.collect_list(F.struct("metric", "completed", "failed", "skipped", "covered", F.struct("n", "mean", "stddev", "min", "p25", "median", "p75", "max").alias("scores"), F.to_json("reasons").alias("reasons"))).alias("metrics"))
     times = latency(run_samples, ("run_id",))
     out = run.join(sample_counts(run_samples), "run_id", "left").join(times, "run_id", "left").join(listed, "run_id", "left")
-    ordered = F.array_sort("metrics")
+    ordered = F.sort_array("metrics")
     return out.select("run_id", F.to_json(F.struct("run_id", "status", F.struct(F.coalesce("seen", F.lit(0)).alias("processed"), F.coalesce("ok", F.lit(0)).alias("succeeded"), F.coalesce("bad", F.lit(0)).alias("failed")).alias("samples"), F.struct("mean", "median", "p95", "min", "max").alias("latency_seconds"), F.array(*[F.lit(w) for w in wanted]).alias("selected_metrics"), ordered.alias("metrics"))).alias("report"))

@@ -62,8 +62,8 @@ def _(t: Lens) -> DataFrame:
 
 def run_reports(runs: DataFrame, run_samples: DataFrame, computations: DataFrame) -> DataFrame:
     out = report.full_report(runs.select("run_id", "status"), run_samples, computations, ["AF"])
-    n = lambda path: F.get_json_object("report", path).cast("long")
-    return out.select("run_id", F.get_json_object("report", "$.status").alias("status"), n("$.samples.processed").alias("processed"), n("$.samples.succeeded").alias("succeeded"))
+    read = out.select("run_id", F.from_json("report", "status string, samples struct<processed: long, succeeded: long>").alias("r"))
+    return read.select("run_id", "r.status", "r.samples.processed", "r.samples.succeeded")
 
 
 @query("b17_report", "SELECT r.run_id, r.status, count(s.run_id) AS processed, CAST(count(*) FILTER (WHERE s.status = 'COMPLETED') AS BIGINT) AS succeeded FROM run r LEFT JOIN rs s USING (run_id) GROUP BY ALL", "run rs")
