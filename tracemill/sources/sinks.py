@@ -124,10 +124,15 @@ def append_records(df: DataFrame, folder: str) -> None:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """A log's records in the order they were made; none if there is no log."""
+    """A log's records in the order they were made, those of one time as they lie in the log's files; none if there is no log.
+
+    All lines of one append have the same time: by time alone they would all be put in order by one task.
+    """
     if not there(spark, folder):
         return spark.createDataFrame([], RECORD)
-    return spark.read.schema(RECORD).json(folder).orderBy("recorded_at")
+    rows = spark.read.schema(RECORD).json(folder)
+    lies = rows.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
+    return lies.orderBy("recorded_at", "__file", "__block", "__line").select(*rows.columns)
 
 
 def write_rows(df: DataFrame, folder: str) -> None:
