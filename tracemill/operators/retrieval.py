@@ -18,8 +18,8 @@ from tracemill.staging import arrow_rows, drop_staged, staged
 K1, B, RRF = 1.2, 0.75, 60
 #: Rows of a block of queries, of candidates; blocks of queries that a task holds the best of at once; further ones kept.
 QUERY_BLOCK, BLOCK, HELD, SPARE = 512, 4096, 64, 8
-#: Queries' terms are sent to all executors if there are at most so many.
-TERMS = 1_000_000
+#: Queries' terms are sent to all executors if there are at most so many; documents' terms that a task scores, about.
+TERMS, SCORED = 1_000_000, 50_000
 
 
 def top_k(scored: DataFrame, k: int, key: str = "query_id", item: str = "vec_id") -> DataFrame:
@@ -155,7 +155,9 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: st
 
     Documents are tokenised once; the terms are narrowed to the queries' before they are counted, by a join on terms; the
     two corpus figures are one row. With ``stemmed`` terms are English stems: each distinct term is stemmed once, and only
-    the terms whose stem is asked for meet the documents' tokens.
+    the terms whose stem is asked for meet the documents' tokens. While the queries have at most ``TERMS`` terms, these go to
+    where each document's terms lie together, so that a pair's sum is made in place and no pair of a query and a document
+    is shuffled.
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(bm25_tokens(F.col(text)))).alias("term"))
     tokens = staged(token_table(docs, key, text), "tokens")
@@ -166,14 +168,19 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", query_key: st
         named = staged(with_stems(own.select("term").distinct()).join(asked.select(F.col("term").alias("stem")).distinct(), "stem", "left_semi"), "asked")
     else:
         named = staged(asked.select("term").distinct().withColumn("stem", F.col("term")), "asked")
-    named = F.broadcast(named) if named.count() <= TERMS else named
+    asked = staged(asked, "queries")
+    few = asked.count() <= TERMS
+    named = F.broadcast(named) if few or named.count() <= TERMS else named
     wanted = own.join(named, "term").select(key, "len", F.col("stem").alias("term"))
     terms = staged(frequencies(wanted, key), "terms")
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) * idf
+    if few:
+        terms = terms.repartition(-(-terms.count() // SCORED) or 1, key)
+        asked, df = F.broadcast(asked), F.broadcast(df)
     weights = terms.join(df, "term").crossJoin(facts).select("term", key, part.alias("w"))
-    return asked.join(weights, "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
+    return weights.join(asked, "term").groupBy(query_key, key).agg(F.round(F.sum("w"), 6).alias("score"))
 
 
 def fused(rankings: list[DataFrame], key: str, item: str, k: int = RRF) -> DataFrame:
@@ -216,6 +223,7 @@ def degraded(results: DataFrame, pool: DataFrame, key: str, item: str, share: fl
     its own, modulo a prime, so that no place comes twice; as many steps as it has results, swaps and numbers past the
     pool are sure to meet enough others. No list of all pairs. ``ValueError`` if the pool has less than twice the results.
     """
+    results = staged(results, "results")  # what finds them runs once, not for each use below
     pool = shard_numbers(pool.select(item).distinct(), item).select(F.col(item).alias("__new"), F.col("row").alias("__row"))
     sizes = results.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     total, most = pool.count(), sizes.agg(F.max("__n")).first()[0] or 0
