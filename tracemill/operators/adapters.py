@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracemill.functions.text import non_empty
 from tracemill.operators import report, trees
 from tracemill.operators.normalize import ADAPTERS, adapter, attribute, canonical
+from tracemill.staging import staged
 
 #: Names that the agents' instrumentation writes.
 SEARCH_TOOL, SEARCH_SPAN = "search_knowledge_base", "retrieval"
@@ -190,21 +191,23 @@ def workflow(records: DataFrame) -> Adapted:
 def simulation(records: DataFrame) -> Adapted:
     """The agent's span below the simulation's root is the agent root. Model calls outside it have types of their own and
     no usage, as those nested in another call; its tool calls are the executed steps, in order of (start, id)."""
+    records = staged(records, "records")  # what makes them runs once, not for each of the reads below
     head, faults = heads(records, F.col("name") == ROOTS["tau2"], attribute("input.value"), F.lit(None).cast("string"))
     spans = canonical(records).join(head, "trace_id", "left")
     is_agent = (F.col("span_type") == "agent") & (F.col("parent_span_id") == F.col("root_id"))
     agents = spans.groupBy("trace_id").agg(F.count_if(is_agent).alias("agents"), F.max(F.when(is_agent, F.col("external_id"))).alias("agent_id"))
     faults.append(fault(agents.where("agents <> 1"), "agents", F.col("agents")))
-    spans = spans.join(agents.where("agents = 1").select("trace_id", "agent_id"), "trace_id")
+    spans = staged(spans.join(agents.where("agents = 1").select("trace_id", "agent_id"), "trace_id"), "spans")
     tree = spans.select("trace_id", F.col("external_id").alias("span_id"), F.col("parent_span_id").alias("parent_id"), F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"), "span_type")
     tops = trees.walked(records.sparkSession, tree).select("trace_id", F.col("span_id").alias("external_id"), "top")
     above = spans.select("trace_id", F.col("external_id").alias("top"), F.col("name").alias("top_name"))
     parents = spans.select("trace_id", F.col("external_id").alias("parent_span_id"), (F.col("span_type") == "llm").alias("nested"))
-    met = spans.join(tops, ["trace_id", "external_id"], "left").join(above, ["trace_id", "top"], "left").join(parents, ["trace_id", "parent_span_id"], "left")
+    placed = spans.join(tops, ["trace_id", "external_id"], "left")
+    met = placed.join(above, ["trace_id", "top"], "left").join(parents, ["trace_id", "parent_span_id"], "left")
     raw = records.select("trace_id", F.col("context_span_id").alias("external_id"), non_empty(attribute("tool.name")).alias("tool"), attribute("tool.id").alias("tool_call_id"), attribute("output.value").alias("raw_output"))
     inside = F.coalesce(F.col("top") == F.col("agent_id"), F.lit(False))
     step = F.struct("start_time", "external_id", F.struct(F.col("external_id").alias("id"), F.coalesce("tool", "name").alias("operation"), F.when(F.col("status") == "error", "error").otherwise("completed").alias("status"), F.col("input_data").alias("input"), F.col("raw_output").alias("output"), "start_time", "end_time", "tool_call_id").alias("step"))
-    steps = met.where((F.col("span_type") == "tool") & inside).join(raw, ["trace_id", "external_id"]).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["step"]).alias("steps"))
+    steps = placed.where((F.col("span_type") == "tool") & inside).join(raw, ["trace_id", "external_id"]).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(step)), lambda s: s["step"]).alias("steps"))
     met = met.join(steps, "trace_id", "left")
     llm, mine, root = F.col("span_type") == "llm", F.col("external_id") == F.col("agent_id"), F.col("external_id") == F.col("root_id")
     outside = F.when(llm & F.coalesce("nested", F.lit(False)), "llm_internal").when(llm & ~inside, F.coalesce(*[F.when(F.col("top_name") == k, v) for k, v in OUTSIDE.items()], F.lit("external_llm")))
