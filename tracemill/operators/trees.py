@@ -74,7 +74,8 @@ def walked(spark: SparkSession, spans: DataFrame, numbers: bool = False) -> Data
     own on, ``size`` of them. A parent may have any number of children: their order comes from sums over ranges.
     """
     nodes = spans.dropDuplicates(["trace_id", "span_id"]).select(F.col("trace_id").alias("key"), F.col("span_id").alias("node"), F.col("parent_id").alias("up"), F.struct("start_us", "end_us", "span_type", "span_id").alias("at"))
-    done, _ = resolved(nodes.drop("at"), numbers)
+    nodes = staged(nodes if numbers else nodes.drop("at"), "nodes")  # read by nodes, by parents and by siblings
+    done, _ = resolved(nodes.select("key", "node", "up"), numbers)
     found = done.where("root is not null")
     head = [F.col("key").alias("trace_id"), F.col("node").alias("span_id"), F.col("depth").cast("int").alias("depth"), "root", "top"]
     if not numbers:
