@@ -62,7 +62,7 @@ class Lens:
         docs = self.table("documents").select("doc_id", "text")
         heads = items.withColumn("w", split(F.col("item"))).where(F.size("w") >= 5).select("item_id", "item", F.array_join(F.slice("w", 2, 3), " ").alias("head"))
         w = split(F.col("text"))
-        runs = docs.withColumn("w", w).where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
+        runs = docs.withColumn("w", w).where(F.size("w") >= 3).select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("head"))
         hits = runs.join(heads, "head").select("doc_id", "item_id", "item").distinct()
         long = docs.join(hits, "doc_id").where(F.contains("text", "item")).select("item_id", "doc_id")
         few = items.where(F.size(split(F.col("item"))) < 5)
