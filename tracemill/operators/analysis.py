@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.stats import beside, guarded_corr, kappa, less_than, rounded, with_average_rank
@@ -32,9 +32,12 @@ def first_decisions(items: DataFrame, keys: list[str], order: list[str], values:
 
 
 def latest_attempts(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """All rows of each pair's last attempt: a later one replaces all rows of earlier ones."""
-    last = rows.groupBy(*keys).agg(F.max(sequence).alias("__last"))
-    return rows.join(last, keys).where(F.col(sequence) == F.col("__last")).drop("__last")
+    """All rows of each pair's last attempt: a later one replaces all rows of earlier ones.
+
+    Each task sends on only the rows of the last attempts that it has; ranks hold no group in memory.
+    """
+    last = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(sequence))
+    return rows.withColumn("__place", F.rank().over(last)).where("__place = 1").drop("__place")
 
 
 def chains(runs: DataFrame, keys: list[str], run: str = "run_id", start: str = "start_us", source: str = "source") -> DataFrame:
