@@ -17,7 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tracemill.staging import staged
+
 SCHEMA = "trace_id string, span_id string, parent_id string, record string"
+#: Traces that a task asks for, about: ids are short and answers long, so that the ids' bytes don't tell how many tasks are needed.
+TRACES = 1000
 
 
 def with_retries(call: Callable[[], list[dict]], tries: int = 4, pause: float = 0.2, limit: float = 5.0) -> list[dict]:
@@ -131,5 +135,6 @@ def from_service(asked: DataFrame, client: Callable[[str, int, str | None], dict
                 rows = [(trace_id, r["context.span_id"], r["parent_id"], json.dumps(r, sort_keys=True)) for r in found]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else [()] * 4)], ["trace_id", "span_id", "parent_id", "record"])
 
-    ids = asked.select(asked["trace_id"].cast("string").alias("trace_id")).distinct()
-    return ids.mapInArrow(run, SCHEMA)
+    ids = staged(asked.select(asked["trace_id"].cast("string").alias("trace_id")).distinct(), "asked")
+    tasks = -(-ids.count() // TRACES) or 1
+    return ids.repartition(tasks, "trace_id").mapInArrow(run, SCHEMA)
