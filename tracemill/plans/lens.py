@@ -72,7 +72,7 @@ class Lens:
             long = long.union(docs.join(some, F.contains("text", "item")).select("item_id", "doc_id"))
         return long
 
-    def dense(self, every: int = 100) -> tuple[DataFrame, DataFrame]:
+    def dense(self, every: int = 25) -> tuple[DataFrame, DataFrame]:
         """(queries, candidates) of dense retrieval: the rows whose id is divisible by ``every``, and all rows."""
         e = self.table("embeddings").select("vec_id", "embedding", "label")
         return e.where(F.col("vec_id") % every == 0), e
@@ -100,7 +100,7 @@ span AS (SELECT a.event_id AS span_id, a.user_id AS trace_id, p.event_id AS pare
     "comp": "comp AS (SELECT l_orderkey AS run_id, l_partkey % 5 AS sample_id, l_returnflag || l_linestatus AS metric, CASE WHEN l_discount > 0 THEN l_discount * 10 END AS score, CASE WHEN l_discount = 0 THEN 'SKIPPED' WHEN l_tax > 0.07 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN l_returnflag = 'N' THEN '' ELSE l_returnflag END AS error_message, CASE WHEN l_linestatus = 'O' THEN NULL ELSE 'reason' END AS reasoning, epoch_us(l_shipdate) AS us, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem)",
     "gold": "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))",
     "conv": "conv AS (SELECT conv_id, first(text ORDER BY turn) FILTER (WHERE role = 'user') AS request, last(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS answer, list(role ORDER BY turn) AS executed, list(CASE WHEN turn % 2 = 0 THEN 'user' ELSE 'assistant' END ORDER BY turn) AS expected FROM conversations GROUP BY conv_id)",
-    "cand": "qv AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 100 = 0), cv AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), cand AS (SELECT q.query_id, q.label AS q_label, c.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM qv q JOIN cv c ON c.vec_id <> q.query_id), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM cand)",
+    "cand": "qv AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 25 = 0), cv AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), cand AS (SELECT q.query_id, q.label AS q_label, c.vec_id, c.label, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM qv q JOIN cv c ON c.vec_id <> q.query_id), dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rk FROM cand)",
 }
 
 
