@@ -34,3 +34,8 @@ def found(spark, folder, name):
 def test_cosine_asks_every_25th(spark, small):
     folder, near = small
     assert set(found(spark, folder, "r03_cosine")) == {(q, i, s) for q in ASKED for i, s in near[q][:5]}
+
+
+def test_top_50_asks_every_25th(spark, small):
+    folder, near = small
+    assert set(found(spark, folder, "g02_dense_top50")) == {(q, i, r) for q in ASKED for r, (i, _) in enumerate(near[q][:50], 1)}
