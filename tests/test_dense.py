@@ -39,3 +39,14 @@ def test_cosine_asks_every_25th(spark, small):
 def test_top_50_asks_every_25th(spark, small):
     folder, near = small
     assert set(found(spark, folder, "g02_dense_top50")) == {(q, i, r) for q in ASKED for r, (i, _) in enumerate(near[q][:50], 1)}
+
+
+def flags(near, q):
+    return [LABELS[i] == LABELS[q] for i, _ in near[q][:10]]
+
+
+def test_flagship_asks_every_25th(spark, small):
+    folder, near = small
+    recalls = [sum(flags(near, q)) / (LABELS.count(LABELS[q]) - 1) for q in ASKED]
+    [row] = found(spark, folder, "flagship")
+    assert row[:5] == (len(ASKED), len(ASKED), 0, len(ASKED), pytest.approx(np.mean(recalls), abs=1e-6)) and max(recalls) in [pytest.approx(x, abs=1e-6) for x in row[5:]]
