@@ -50,3 +50,16 @@ def test_flagship_asks_every_25th(spark, small):
     recalls = [sum(flags(near, q)) / (LABELS.count(LABELS[q]) - 1) for q in ASKED]
     [row] = found(spark, folder, "flagship")
     assert row[:5] == (len(ASKED), len(ASKED), 0, len(ASKED), pytest.approx(np.mean(recalls), abs=1e-6)) and max(recalls) in [pytest.approx(x, abs=1e-6) for x in row[5:]]
+
+
+def counts(near):
+    """(id, matched, predicted, relevant): every fourth found nothing, every third has nothing relevant."""
+    for q in ASKED:
+        none, empty = q % 3 == 0, q % 4 == 0
+        yield q, 0 if none or empty else sum(flags(near, q)), 0 if empty else 10, 0 if none else LABELS.count(LABELS[q]) - 1
+
+
+def test_set_precision_asks_every_25th(spark, small):
+    folder, near = small
+    want = {(q, "Nothing selected, so precision is undefined." if relevant and not predicted else None, m / predicted if predicted else None if relevant else 1.0) for q, m, predicted, relevant in counts(near)}
+    assert set(found(spark, folder, "m04_set_precision")) == want

@@ -370,16 +370,15 @@ def searched(t: Lens) -> DataFrame:
     found = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", (F.col("label") == F.col("q_label")).alias("hit")))), lambda x: x["hit"]).alias("flags"))
     relevant = c.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant"))  # but for the query itself
     rows = q.select(F.col("vec_id").alias("query_id"), "label").join(relevant, "label", "left").join(found, "query_id", "left")
-    number = F.floor(F.col("query_id") / 100)
-    none = number % 3 == 0
-    flags = F.when(number % 4 == 0, F.filter("flags", lambda x: F.lit(False))).otherwise(F.transform("flags", lambda x: x & ~none))
+    none = F.col("query_id") % 3 == 0
+    flags = F.when(F.col("query_id") % 4 == 0, F.filter("flags", lambda x: F.lit(False))).otherwise(F.transform("flags", lambda x: x & ~none))
     rows = rows.select("query_id", flags.alias("flags"), F.when(none, 0).otherwise(F.coalesce("relevant", F.lit(0))).alias("relevant"))
     return rows.withColumns({"predicted": F.size("flags"), "matched": F.size(F.filter("flags", lambda x: x))})
 
 
-HITS = """hits AS (SELECT q.query_id, CASE WHEN q.query_id // 100 % 3 = 0 THEN 0 ELSE (SELECT count(*) FROM cv WHERE cv.label = q.label AND cv.vec_id <> q.query_id) END AS relevant,
- CASE WHEN q.query_id // 100 % 4 = 0 THEN 0 ELSE 10 END AS predicted,
- CASE WHEN q.query_id // 100 % 3 = 0 OR q.query_id // 100 % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) END AS matched FROM qv q)"""
+HITS = """hits AS (SELECT q.query_id, CASE WHEN q.query_id % 3 = 0 THEN 0 ELSE (SELECT count(*) FROM cv WHERE cv.label = q.label AND cv.vec_id <> q.query_id) END AS relevant,
+ CASE WHEN q.query_id % 4 = 0 THEN 0 ELSE 10 END AS predicted,
+ CASE WHEN q.query_id % 3 = 0 OR q.query_id % 4 = 0 THEN 0 ELSE (SELECT count(*) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) END AS matched FROM qv q)"""
 
 
 @query("m04_set_precision", f", {HITS} SELECT query_id, CASE WHEN predicted = 0 AND relevant > 0 THEN 'Nothing selected, so precision is undefined.' END AS skip_reason, round(CASE WHEN predicted = 0 AND relevant = 0 THEN 1.0 WHEN predicted > 0 THEN matched / predicted END, 6) AS score FROM hits", "cand")
@@ -394,7 +393,7 @@ def _(t: Lens) -> DataFrame:
     return searched(t).select("query_id", skip.alias("skip_reason"), F.round(score, 6).alias("score"))
 
 
-@query("m08_ndcg", ", r AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label AND cv.vec_id <> q.query_id) AS relevant, (SELECT sum(1 / log2(rk + 1)) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS gain FROM qv q WHERE q.query_id // 100 % 3 <> 0 AND q.query_id // 100 % 4 <> 0) SELECT query_id, round(coalesce(gain, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) g(i) WHERE i <= least(relevant, 10)), 6) AS score FROM r", "cand")
+@query("m08_ndcg", ", r AS (SELECT q.query_id, (SELECT count(*) FROM cv WHERE cv.label = q.label AND cv.vec_id <> q.query_id) AS relevant, (SELECT sum(1 / log2(rk + 1)) FROM dense d WHERE d.query_id = q.query_id AND rk <= 10 AND d.label = q.label) AS gain FROM qv q WHERE q.query_id % 3 <> 0 AND q.query_id % 4 <> 0) SELECT query_id, round(coalesce(gain, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) g(i) WHERE i <= least(relevant, 10)), 6) AS score FROM r", "cand")
 def _(t: Lens) -> DataFrame:
     rows = searched(t).where("predicted > 0 and relevant > 0")
     return rows.select("query_id", F.round(scores.ndcg_of_flags(F.col("flags"), F.col("relevant")), 6).alias("score"))
