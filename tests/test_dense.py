@@ -63,3 +63,9 @@ def test_set_precision_asks_every_25th(spark, small):
     folder, near = small
     want = {(q, "Nothing selected, so precision is undefined." if relevant and not predicted else None, m / predicted if predicted else None if relevant else 1.0) for q, m, predicted, relevant in counts(near)}
     assert set(found(spark, folder, "m04_set_precision")) == want
+
+
+def test_set_recall_asks_every_25th(spark, small):
+    folder, near = small
+    want = {(q, None if relevant else "No relevant IDs, so recall is undefined.", round(m / relevant, 6) if relevant else None) for q, m, _, relevant in counts(near)}
+    assert set(found(spark, folder, "m06_set_recall")) == want
