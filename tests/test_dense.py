@@ -69,3 +69,10 @@ def test_set_recall_asks_every_25th(spark, small):
     folder, near = small
     want = {(q, None if relevant else "No relevant IDs, so recall is undefined.", round(m / relevant, 6) if relevant else None) for q, m, _, relevant in counts(near)}
     assert set(found(spark, folder, "m06_set_recall")) == want
+
+
+def test_ndcg_asks_every_25th(spark, small):
+    folder, near = small
+    gain = lambda hits: sum(x / np.log2(r + 1) for r, x in enumerate(hits, 1))
+    want = {q: pytest.approx(gain(flags(near, q)) / gain([1] * min(relevant, 10)), abs=1e-6) for q, _, predicted, relevant in counts(near) if predicted and relevant}
+    assert dict(found(spark, folder, "m08_ndcg")) == want
