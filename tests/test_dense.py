@@ -76,3 +76,8 @@ def test_ndcg_asks_every_25th(spark, small):
     gain = lambda hits: sum(x / np.log2(r + 1) for r, x in enumerate(hits, 1))
     want = {q: pytest.approx(gain(flags(near, q)) / gain([1] * min(relevant, 10)), abs=1e-6) for q, _, predicted, relevant in counts(near) if predicted and relevant}
     assert dict(found(spark, folder, "m08_ndcg")) == want
+
+
+def test_confusion_asks_every_25th(spark, small):
+    folder, near = small
+    assert set(found(spark, folder, "h02_confusion")) == {(q, m, predicted - m, relevant - m) for q, m, predicted, relevant in counts(near)}
