@@ -81,3 +81,9 @@ def test_ndcg_asks_every_25th(spark, small):
 def test_confusion_asks_every_25th(spark, small):
     folder, near = small
     assert set(found(spark, folder, "h02_confusion")) == {(q, m, predicted - m, relevant - m) for q, m, predicted, relevant in counts(near)}
+
+
+def test_precision_at_k_asks_every_25th(spark, small):
+    folder, near = small
+    want = {(q, r, sum(flags(near, q)[:r]), round(sum(flags(near, q)[:r]) / r, 6)) for q in ASKED for r in range(1, 11)}
+    assert set(found(spark, folder, "f03_precision_at_k")) == want
