@@ -87,3 +87,9 @@ def test_precision_at_k_asks_every_25th(spark, small):
     folder, near = small
     want = {(q, r, sum(flags(near, q)[:r]), round(sum(flags(near, q)[:r]) / r, 6)) for q in ASKED for r in range(1, 11)}
     assert set(found(spark, folder, "f03_precision_at_k")) == want
+
+
+def test_contextual_precision_asks_every_25th(spark, small):
+    folder, near = small
+    at = {q: [sum(flags(near, q)[:r]) / r for r in range(1, 11) if flags(near, q)[r - 1]] for q in ASKED}
+    assert dict(found(spark, folder, "m12_contextual_precision")) == {q: pytest.approx(np.mean(x) if x else 0, abs=1e-6) for q, x in at.items()}
