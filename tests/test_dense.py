@@ -93,3 +93,8 @@ def test_contextual_precision_asks_every_25th(spark, small):
     folder, near = small
     at = {q: [sum(flags(near, q)[:r]) / r for r in range(1, 11) if flags(near, q)[r - 1]] for q in ASKED}
     assert dict(found(spark, folder, "m12_contextual_precision")) == {q: pytest.approx(np.mean(x) if x else 0, abs=1e-6) for q, x in at.items()}
+
+
+def test_echo_mismatches_ask_every_25th(spark, small):
+    folder, near = small
+    assert set(found(spark, folder, "m13_echo_mismatches")) == {(q, sum(i % 3 == 0 for i, _ in near[q][:10])) for q in ASKED}
